@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightlines import codes
 from sightlines.operators.filters import ObservationFilter, apply_filters
 from sightlines.sources.tables import OccurrenceTables
 
-# Beyond this many leading rows a page is located by id ranges instead of a top-k.
+# Beyond this many leading rows a page is located by key ranges instead of one top-k.
 TOP_K_ROWS = 100_000
-ID_RANGES = 2_000
+KEY_CELLS = 1_024
 
 _PAGE_COLUMNS = (
     "observation_id", "taxon_id", "location_id", "taxon_group_id", "category_id", "date_time_collected",
@@ -30,34 +30,36 @@ def window_of(df: DataFrame, key: str, skip: int, take: int, top_k_rows: int = T
     """Rows ``skip`` .. ``skip + take`` in the order of the unique column ``key``."""
     if skip + take <= top_k_rows:
         return df.orderBy(key).offset(skip).limit(take)
-    return _deep_window(df, key, skip, take)
+    return _deep_window(df, key, skip, take, near_rows=top_k_rows)
 
 
-def _deep_window(df: DataFrame, key: str, skip: int, take: int, ranges: int = ID_RANGES) -> DataFrame:
+def _deep_window(
+    df: DataFrame, key: str, skip: int, take: int, near_rows: int = TOP_K_ROWS, cells: int = KEY_CELLS
+) -> DataFrame:
     """A page far down the list, without a top-k over everything before it.
 
-    Approximate quantiles cut the keys into ranges of similar size, exact counts
-    per range find the few ranges the page touches, and only those are ranked.
-    The cuts need not be accurate for the result to be exact.
+    Counts per key range (``cells`` rows each time) narrow down where row ``skip``
+    lies until at most ``near_rows`` rows come before it in its range; the rest is
+    a short top-k from there. Exact for any distribution of integer keys: a range
+    shrinks by the factor ``cells`` per round, so 64-bit keys need at most seven.
     """
-    cuts = df.agg(
-        F.percentile_approx(key, [i / ranges for i in range(1, ranges)], F.lit(ranges * 10)).alias("cuts")
-    ).scalar()
-    in_range = df.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col(key))))
-    # At most ID_RANGES rows.
-    sizes = in_range.groupBy("_range").agg(F.count("*").alias("n"))
-    start = F.sum("n").over(Window.orderBy("_range")) - F.col("n")
-    touched = sizes.select("_range", "n", start.alias("_start")).where(
-        (F.col("_start") < skip + take) & (F.col("_start") + F.col("n") > skip)
-    )
-    position = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return (
-        in_range.join(F.broadcast(touched.select("_range", "_start")), "_range")
-        .withColumn("_position", position)
-        .where((F.col("_position") > skip) & (F.col("_position") <= skip + take))
-        .select(*df.columns)
-        .orderBy(key)
-    )
+    column = F.col(key)
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return df.limit(0)
+    before = 0
+    while high > low and skip - before > near_rows:
+        width = (high - low) // cells + 1
+        cell = F.expr(f"(`{key}` - {low}L) div {width}L")
+        counted = df.where(column.between(low, high)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+        for number, n in sorted(tuple(row) for row in counted.collect()):
+            if before + n > skip:
+                low, high = low + number * width, min(high, low + (number + 1) * width - 1)
+                break
+            before += n
+        else:
+            return df.limit(0)
+    return df.where(column >= low).orderBy(key).offset(skip - before).limit(take)
 
 
 def rows_after(df: DataFrame, key: str, last: int | None, take: int) -> DataFrame:

@@ -76,7 +76,7 @@ REQUESTS = {
     "export_summary": ObservationFilter(category_ids=(9, 11), organization_ids=(2, 4, 10)),
     "polygons": ObservationFilter(
         taxon_group_ids=tuple(range(1, 16)), max_results=300,
-        envelope=Envelope(0.0, 1_000_000.0, 99_000.0, 7_000_000.0),
+        envelope=Envelope(5.5, 40.0, 60_000.0, 6_500_900.0),
     ),
     "polygons_all": ObservationFilter(category_ids=(9, 11), max_results=900),
 }
