@@ -1,33 +1,40 @@
-"""Scalar column expressions (O-07 .. O-18, O-22)."""
+"""Scalar expressions (O-07 .. O-18, O-22).
+
+Functions take and return expression texts, so that they nest and cost one call
+to the JVM where they are used.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from sightlines import codes
 
 
-def or_zero(column: Column) -> Column:
+def quoted(text: str) -> str:
+    """A Python string as an SQL literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def or_zero(value: str) -> str:
     """O-07: null counts and coordinates read as zero."""
-    return F.coalesce(column, F.lit(0))
+    return f"coalesce({value}, 0)"
 
 
-def entity_id(fid: Column) -> Column:
+def entity_id(fid: str) -> str:
     """O-10: area fid to integer id; null when it is not a number."""
-    return F.replace(fid, F.lit("_"), F.lit("")).try_cast("int")
+    return f"try_cast(replace({fid}, '_', '') AS INT)"
 
 
-def restricted_entity_id(fid: Column) -> Column:
+def restricted_entity_id(fid: str) -> str:
     """O-11: restricted-area fid to integer id."""
-    return F.replace(fid, F.lit(codes.RESTRICTED_FID_PREFIX), F.lit("")).try_cast("int")
+    return f"try_cast(replace({fid}, '{codes.RESTRICTED_FID_PREFIX}', '') AS INT)"
 
 
-def area_entity_id(fid: Column, area_type: Column) -> Column:
+def area_entity_id(fid: str, area_type: str) -> str:
     """The id under which the index stores an area."""
-    return F.when(area_type == codes.RESTRICTED_AREA, restricted_entity_id(fid)).otherwise(entity_id(fid))
+    return f"IF({area_type} = {codes.RESTRICTED_AREA}, {restricted_entity_id(fid)}, {entity_id(fid)})"
 
 
 _INTEGER = re.compile(r"\s*[+-]?[0-9]+\s*")
@@ -40,76 +47,77 @@ def parse_entity_ids(fids: tuple[str, ...], prefix: str = "_") -> list[int]:
     return [n for n in numbers if -(2**31) <= n < 2**31]
 
 
-def default_zoom_level(area_type: Column, current: Column) -> Column:
+def default_zoom_level(area_type: str, current: str) -> str:
     """O-13: counties show at zoom 1, municipalities at zoom 2, others keep theirs."""
-    return F.when(area_type == codes.COUNTY, 1).when(area_type == codes.MUNICIPALITY, 2).otherwise(current)
+    return f"CASE {area_type} WHEN {codes.COUNTY} THEN 1 WHEN {codes.MUNICIPALITY} THEN 2 ELSE {current} END"
 
 
-def registration_status(not_recovered: Column, absent: Column) -> Column:
+def registration_status(not_recovered: str, absent: str) -> str:
     """O-14: status from the two tag flags; "not recovered" outranks "absent"."""
     return (
-        F.when(not_recovered, codes.STATUS_NOT_RECOVERED)
-        .when(absent, codes.STATUS_ABSENT)
-        .otherwise(codes.STATUS_FOUND)
+        f"CASE WHEN {not_recovered} THEN {codes.STATUS_NOT_RECOVERED} "
+        f"WHEN {absent} THEN {codes.STATUS_ABSENT} ELSE {codes.STATUS_FOUND} END"
     )
 
 
-def export_slug(name: Column) -> Column:
+def export_slug(name: str) -> str:
     """O-16: file-name form of an export name."""
-    kept = F.regexp_replace(F.translate(name, " ", "-"), r"[^\p{L}\p{Nd}_-]", "")
-    blank = name.isNull() | (F.regexp_replace(name, r"\s", "") == "")
-    return F.when(blank | (kept == ""), codes.EXPORT_DEFAULT_NAME).otherwise(kept)
+    kept = f"regexp_replace(translate({name}, ' ', '-'), '[^\\\\p{{L}}\\\\p{{Nd}}_-]', '')"
+    blank = f"{name} IS NULL OR regexp_replace({name}, '\\\\s', '') = '' OR {kept} = ''"
+    return f"IF({blank}, '{codes.EXPORT_DEFAULT_NAME}', {kept})"
 
 
-def abbreviated(count: Column) -> Column:
+def abbreviated(count: str) -> str:
     """O-17: 1234 -> 1.2K. Ties round half up in decimal arithmetic."""
 
-    def scaled(divisor: int, suffix: str) -> Column:
-        tenths = F.round(count.cast("decimal(20,0)") / F.lit(divisor).cast("decimal(10,0)"), 1)
-        text = tenths.cast("decimal(20,1)").cast("string")
-        return F.concat(F.regexp_replace(text, r"\.0$", ""), F.lit(suffix))
+    def scaled(divisor: int, suffix: str) -> str:
+        tenths = f"round(CAST({count} AS DECIMAL(20, 0)) / CAST({divisor} AS DECIMAL(10, 0)), 1)"
+        text = f"CAST(CAST({tenths} AS DECIMAL(20, 1)) AS STRING)"
+        return f"concat(regexp_replace({text}, '\\\\.0$', ''), '{suffix}')"
 
     return (
-        F.when(count >= 1_000_000, scaled(1_000_000, "M"))
-        .when(count >= 1_000, scaled(1_000, "K"))
-        .otherwise(count.cast("string"))
+        f"CASE WHEN {count} >= 1000000 THEN {scaled(1_000_000, 'M')} "
+        f"WHEN {count} >= 1000 THEN {scaled(1_000, 'K')} ELSE CAST({count} AS STRING) END"
     )
 
 
-def category_rank(code: Column) -> Column:
+def category_rank(code: str) -> str:
     """O-18: position of a category code in the display order; unknown codes come last."""
-    order = F.array(*[F.lit(c) for c in codes.CATEGORY_ORDER])
-    position = F.array_position(order, code)
-    return F.when(position > 0, position.cast("int")).otherwise(len(codes.CATEGORY_ORDER) + 1)
+    order = ", ".join(quoted(c) for c in codes.CATEGORY_ORDER)
+    last = len(codes.CATEGORY_ORDER) + 1
+    return f"coalesce(nullif(CAST(array_position(array({order}), {code}) AS INT), 0), {last})"
 
 
-def zoom_bucket(zoom: Column) -> Column:
+def zoom_bucket(zoom: str) -> str:
     """O-22: map zoom to result level: 3 points, 2 municipalities, 1 counties."""
-    return F.when(zoom >= 11, 3).when(zoom >= 9, 2).otherwise(1)
+    return f"CASE WHEN {zoom} >= 11 THEN 3 WHEN {zoom} >= 9 THEN 2 ELSE 1 END"
 
 
-def number_text(value: Column) -> Column:
+def number_text(value: str) -> str:
     """A double in invariant notation: shortest digits, no trailing ``.0``,
     exponents from 1E+15 up and from 1E-05 down."""
-    shortest = value.cast("string")
-    digits = F.regexp_replace(F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
-    exponent = F.regexp_extract(shortest, r"E(-?\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_replace(F.regexp_replace(shortest, r"E.*$", ""), r"\.0$", "")
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("E-")).otherwise(F.lit("E+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    size = F.abs(value)
+    shortest = f"CAST({value} AS STRING)"
+    plain = f"CAST(try_cast({value} AS DECIMAL(38, 18)) AS STRING)"
+    digits = f"regexp_replace(regexp_replace({plain}, '0+$', ''), '\\\\.$', '')"
+    exponent = f"try_cast(regexp_extract({shortest}, 'E(-?\\\\d+)$', 1) AS INT)"
+    mantissa = f"regexp_replace(regexp_replace({shortest}, 'E.*$', ''), '\\\\.0$', '')"
+    scientific = f"concat({mantissa}, IF({exponent} < 0, 'E-', 'E+'), lpad(CAST(abs({exponent}) AS STRING), 2, '0'))"
+    size = f"abs({value})"
     return (
-        F.when(F.isnan(value), shortest)
-        .when(size == 0, F.lit("0"))
-        .when((size >= 1e-5) & (size < 1e15), digits)
-        .when(exponent.isNotNull(), scientific)
-        .otherwise(shortest)
+        f"CASE WHEN isnan({value}) THEN {shortest} WHEN {size} = 0 THEN '0' "
+        f"WHEN {size} >= 1e-5 AND {size} < 1e15 THEN {digits} "
+        f"WHEN {exponent} IS NOT NULL THEN {scientific} ELSE {shortest} END"
     )
 
 
-def contains_text(column: Column, term: str) -> Column:
+def contains_text(column: str, term: str) -> str:
     """Case-insensitive literal substring match (O-38: ``[``, ``%`` and ``_`` are plain characters)."""
-    return F.contains(F.lower(column), F.lit(term.lower()))
+    return f"contains(lower({column}), {quoted(term.lower())})"
+
+
+def any_of(column: str, values: tuple | list) -> str:
+    """Membership in a request list; false, not null, when the column is null."""
+    if not values:
+        return "FALSE"
+    items = ", ".join(quoted(v) if isinstance(v, str) else str(int(v)) for v in values)
+    return f"coalesce({column} IN ({items}), FALSE)"

@@ -2,108 +2,86 @@
 
 A parsed geometry is polygons -> rings -> points: ``array<array<array<struct<x,y>>>>``.
 Points with other than two numbers and rings with fewer than three points are
-left out; text that is no polygon parses to null.
+left out; text that is no polygon parses to null. Functions take and return
+expression texts; parse into a column first where a shape is used repeatedly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from sightlines.functions.scalars import number_text
 
-_MULTI = r"(?is)MULTIPOLYGON\s*\(\(\((.*)\)\)\)"
-_SINGLE = r"(?is)POLYGON\s*\(\((.*)\)\)"
-_NEXT_POLYGON = r"\)\)\s*,\s*\(\("
-_NEXT_RING = r"\)\s*,\s*\("
-
 
-def is_multi(wkt: Column) -> Column:
-    return F.rlike(wkt, F.lit("(?i)MULTIPOLYGON"))
+def is_multi(wkt: str) -> str:
+    return f"rlike({wkt}, '(?i)MULTIPOLYGON')"
 
 
-def is_polygon(wkt: Column) -> Column:
+def is_polygon(wkt: str) -> str:
     """The geometry type is Polygon or MultiPolygon."""
-    return F.rlike(wkt, F.lit(r"(?i)^\s*(MULTI)?POLYGON"))
+    return f"rlike({wkt}, '(?i)^\\\\s*(MULTI)?POLYGON')"
 
 
-def _point(text: Column) -> Column:
-    numbers = F.split(F.trim(text), r"\s+")
-    x, y = F.get(numbers, F.lit(0)).try_cast("double"), F.get(numbers, F.lit(1)).try_cast("double")
-    return F.when(
-        (F.size(numbers) == 2) & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y"))
-    )
+def _ring(text: str) -> str:
+    pair = "transform(split(trim(t), '\\\\s+'), n -> try_cast(n AS DOUBLE))"
+    pairs = f"transform(split({text}, ','), t -> {pair})"
+    numeric = "size(p) = 2 AND p[0] IS NOT NULL AND p[1] IS NOT NULL"
+    return f"transform(filter({pairs}, p -> {numeric}), p -> named_struct('x', p[0], 'y', p[1]))"
 
 
-def _ring(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), _point), lambda p: p.isNotNull())
+def _rings(text: str) -> str:
+    rings = f"transform(split({text}, '\\\\)\\\\s*,\\\\s*\\\\('), r -> {_ring('r')})"
+    return f"filter({rings}, ring -> size(ring) >= 3)"
 
 
-def _rings(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, _NEXT_RING), _ring), lambda r: F.size(r) >= 3)
+def polygons(wkt: str) -> str:
+    several = f"regexp_extract({wkt}, '(?is)MULTIPOLYGON\\\\s*\\\\(\\\\(\\\\((.*)\\\\)\\\\)\\\\)', 1)"
+    one = f"regexp_extract({wkt}, '(?is)POLYGON\\\\s*\\\\(\\\\((.*)\\\\)\\\\)', 1)"
+    parts = f"IF({is_multi(wkt)}, split({several}, '\\\\)\\\\)\\\\s*,\\\\s*\\\\(\\\\('), array({one}))"
+    # A text without a polygon extracts as '', which has no ring and hence no polygon.
+    parsed = f"filter(transform({parts}, part -> {_rings('part')}), rings -> size(rings) > 0)"
+    return f"nullif({parsed}, array())"
 
 
-def polygons(wkt: Column) -> Column:
-    body = F.when(is_multi(wkt), F.regexp_extract(wkt, _MULTI, 1)).otherwise(F.regexp_extract(wkt, _SINGLE, 1))
-    parts = F.when(is_multi(wkt), F.split(body, _NEXT_POLYGON)).otherwise(F.array(body))
-    parsed = F.filter(F.transform(parts, _rings), lambda rings: F.size(rings) > 0)
-    return F.when((body != "") & (F.size(parsed) > 0), parsed)
+def points(parsed: str) -> str:
+    """All points of a parsed geometry, holes included."""
+    return f"flatten(flatten({parsed}))"
 
 
-def bounds(parsed: Column) -> Column:
-    """struct<min_x, min_y, max_x, max_y> over all rings."""
-    points = F.flatten(F.flatten(parsed))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    box = F.struct(
-        F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"),
-        F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"),
+def bounds(all_points: str) -> str:
+    """struct<min_x, min_y, max_x, max_y> of a point list; null for a null list."""
+    box = ", ".join(
+        f"'{side}_{axis}', array_{side}(transform({all_points}, p -> p.{axis}))"
+        for side in ("min", "max")
+        for axis in ("x", "y")
     )
-    return F.when(parsed.isNotNull(), box)
-
-
-def first_ring_mean(parsed: Column) -> Column:
-    """Mean of the vertices of the first ring: struct<x, y>."""
-    ring = F.get(F.get(parsed, F.lit(0)), F.lit(0))
-
-    def mean(axis: str) -> Column:
-        total = F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[axis])
-        return total / F.size(ring)
+    return f"IF({all_points} IS NOT NULL, named_struct({box}), NULL)"
 
-    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
 
+def first_ring_mean(parsed: str, axis: str) -> str:
+    """Mean of one coordinate over the vertices of the first ring."""
+    ring = f"get(get({parsed}, 0), 0)"
+    return f"aggregate({ring}, 0D, (total, p) -> total + p.{axis}) / size({ring})"
 
-def first_ring_commas(wkt: Column) -> Column:
-    """Commas between the second ``(`` and the next ``)``: points of the first ring minus one."""
-    opened = F.regexp_extract(wkt, r"^[^(]*\([^(]*\(([^)]*)\)", 1)
-    return F.length(opened) - F.length(F.replace(opened, F.lit(","), F.lit("")))
 
+def is_rectangle(wkt: str) -> str:
+    """Exactly five points in the first ring, as grid squares have: four commas
+    between the second ``(`` and the next ``)``."""
+    ring = f"regexp_extract({wkt}, '^[^(]*\\\\([^(]*\\\\(([^)]*)\\\\)', 1)"
+    return f"regexp_count({ring}, ',') = 4"
 
-def is_rectangle(wkt: Column) -> Column:
-    """Exactly five points in the first ring, as grid squares have."""
-    return first_ring_commas(wkt) == 4
 
+def point_json(x: str, y: str) -> str:
+    return f"concat('[', {number_text(x)}, ',', {number_text(y)}, ']')"
 
-def point_json(x: Column, y: Column) -> Column:
-    return F.concat(F.lit("["), number_text(x), F.lit(","), number_text(y), F.lit("]"))
 
+def _json_list(items: str) -> str:
+    return f"concat('[', array_join({items}, ','), ']')"
 
-def _json_list(items: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
-
-def geometry_json(wkt: Column, parsed: Column) -> Column:
+def geometry_json(wkt: str, parsed: str) -> str:
     """GeoJSON geometry text of a parsed polygon or multipolygon."""
-
-    def ring_json(ring: Column) -> Column:
-        return _json_list(F.transform(ring, lambda p: point_json(p["x"], p["y"])))
-
-    def polygon_json(rings: Column) -> Column:
-        return _json_list(F.transform(rings, ring_json))
-
-    several = F.concat(
-        F.lit('{"type":"MultiPolygon","coordinates":'), _json_list(F.transform(parsed, polygon_json)), F.lit("}")
-    )
-    one = F.concat(
-        F.lit('{"type":"Polygon","coordinates":'), polygon_json(F.get(parsed, F.lit(0))), F.lit("}")
-    )
-    return F.when(is_multi(wkt), several).otherwise(one)
+    ring_json = _json_list(f"transform(ring, p -> {point_json('p.x', 'p.y')})")
+    rings_json = _json_list(f"transform(rings, ring -> {ring_json})")
+    shapes = f"transform({parsed}, rings -> {rings_json})"
+    several = f"concat('{{\"type\":\"MultiPolygon\",\"coordinates\":', {_json_list(shapes)}, '}}')"
+    one = f"concat('{{\"type\":\"Polygon\",\"coordinates\":', {shapes}[0], '}}')"
+    return f"IF({is_multi(wkt)}, {several}, {one})"

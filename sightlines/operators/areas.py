@@ -6,11 +6,11 @@ counts are aggregated before they meet the areas.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightlines import codes
-from sightlines.functions.scalars import entity_id, or_zero
+from sightlines.functions.scalars import any_of, entity_id, or_zero, quoted
 from sightlines.operators.filters import (
     ObservationFilter,
     apply_filters,
@@ -20,11 +20,6 @@ from sightlines.operators.filters import (
 from sightlines.sources.tables import OccurrenceTables
 
 
-def _is_any(column: Column, values: tuple[str, ...]) -> Column:
-    """Membership in a request list; false, not null, when the column is null."""
-    return F.coalesce(column.isin(*values), F.lit(False)) if values else F.lit(False)
-
-
 # --- hierarchy ---------------------------------------------------------------
 
 
@@ -35,19 +30,19 @@ def hierarchy_triples(areas: DataFrame) -> DataFrame:
 
 def municipality_counties(areas: DataFrame) -> DataFrame:
     """O-62c: (municipality, county) by parent fid, one county per municipality."""
-    known = areas.where(
-        F.col("is_current") & (F.col("area_type_id") == codes.MUNICIPALITY) & (F.col("parent_fid") != "")
+    return _placed_municipalities(areas).groupBy("municipality_fid").agg(F.min("county_fid").alias("county_fid"))
+
+
+def _placed_municipalities(areas: DataFrame) -> DataFrame:
+    return areas.where(f"is_current AND area_type_id = {codes.MUNICIPALITY} AND parent_fid <> ''").selectExpr(
+        "fid AS municipality_fid", "parent_fid AS county_fid"
     )
-    return known.groupBy(F.col("fid").alias("municipality_fid")).agg(F.min("parent_fid").alias("county_fid"))
 
 
 def county_municipalities(areas: DataFrame) -> DataFrame:
     """O-62c: the municipality list of each county."""
-    known = areas.where(
-        F.col("is_current") & (F.col("area_type_id") == codes.MUNICIPALITY) & (F.col("parent_fid") != "")
-    )
-    return known.groupBy(F.col("parent_fid").alias("county_fid")).agg(
-        F.sort_array(F.collect_set("fid")).alias("municipality_fids")
+    return _placed_municipalities(areas).groupBy("county_fid").agg(
+        F.sort_array(F.collect_set("municipality_fid")).alias("municipality_fids")
     )
 
 
@@ -57,25 +52,25 @@ def prefix_groups(areas: DataFrame) -> DataFrame:
     Counties without municipalities stay, with a null municipality.
     """
     # The lookup tree behind this operator holds current, undeleted areas.
-    listed = areas.where(F.col("is_current") & ~F.col("is_deleted") & (F.col("fid") != ""))
-    counties = listed.where(F.col("area_type_id") == codes.COUNTY).select(
-        F.col("fid").alias("county_fid"), _left_padded(F.col("fid"), 2).alias("prefix")
+    listed = areas.where("is_current AND NOT is_deleted AND fid <> ''")
+    counties = listed.where(f"area_type_id = {codes.COUNTY}").selectExpr(
+        "fid AS county_fid", f"{_left_padded('fid', 2)} AS prefix"
     )
-    municipalities = listed.where(F.col("area_type_id") == codes.MUNICIPALITY).select(
-        F.col("fid").alias("municipality_fid"), F.substring(_left_padded(F.col("fid"), 4), 1, 2).alias("prefix")
+    municipalities = listed.where(f"area_type_id = {codes.MUNICIPALITY}").selectExpr(
+        "fid AS municipality_fid", f"substring({_left_padded('fid', 4)}, 1, 2) AS prefix"
     )
     return counties.join(municipalities, "prefix", "left").select("county_fid", "municipality_fid")
 
 
-def _left_padded(fid: Column, width: int) -> Column:
+def _left_padded(fid: str, width: int) -> str:
     """Zero-padded on the left; a longer text is kept whole."""
-    return F.when(F.length(fid) < width, F.lpad(fid, width, "0")).otherwise(fid)
+    return f"IF(length({fid}) < {width}, lpad({fid}, {width}, '0'), {fid})"
 
 
 def _literal_fids(spark: SparkSession, fids: tuple[str, ...]) -> DataFrame:
     """The (at most 500) fids of a request as rows."""
-    values = F.array(*[F.lit(x) for x in fids]) if fids else F.lit([]).cast("array<string>")
-    return spark.range(1).select(F.explode(values).alias("fid"))
+    values = ", ".join(quoted(x) for x in fids)
+    return spark.range(1).selectExpr(f"explode(CAST(array({values}) AS ARRAY<STRING>)) AS fid")
 
 
 def collapse_selection(areas: DataFrame, municipality_ids: tuple[str, ...], county_ids: tuple[str, ...]) -> DataFrame:
@@ -84,19 +79,18 @@ def collapse_selection(areas: DataFrame, municipality_ids: tuple[str, ...], coun
     A county whose municipalities are all chosen replaces them; other chosen
     municipalities stay; directly chosen counties are always kept.
     """
-    chosen = _is_any(F.col("municipality_fid"), municipality_ids)
-    groups = prefix_groups(areas).withColumn("chosen", chosen)
+    groups = prefix_groups(areas).selectExpr("*", f"{any_of('municipality_fid', municipality_ids)} AS chosen")
     sizes = groups.groupBy("county_fid").agg(
         F.count("municipality_fid").alias("members"), F.count_if("chosen").alias("chosen_members")
     )
-    full = (F.col("members") == F.col("chosen_members")) & (F.col("chosen_members") > 0)
-    collapsed = sizes.where(full).select(F.lit("county").alias("level"), F.col("county_fid").alias("fid"))
+    full = "members = chosen_members AND chosen_members > 0"
+    collapsed = sizes.where(full).selectExpr("'county' AS level", "county_fid AS fid")
     single = (
         groups.where("chosen")
-        .join(sizes.where(~full), "county_fid", "left_semi")
-        .select(F.lit("municipality").alias("level"), F.col("municipality_fid").alias("fid"))
+        .join(sizes.where(f"NOT ({full})"), "county_fid", "left_semi")
+        .selectExpr("'municipality' AS level", "municipality_fid AS fid")
     )
-    direct = _literal_fids(areas.sparkSession, county_ids).select(F.lit("county").alias("level"), "fid")
+    direct = _literal_fids(areas.sparkSession, county_ids).selectExpr("'county' AS level", "fid")
     return collapsed.unionByName(single).unionByName(direct).distinct()
 
 
@@ -110,15 +104,13 @@ def load_areas(tables: OccurrenceTables, zoom_level: int, f: ObservationFilter |
     chosen ocean areas that the level lacks are appended (O-64g).
     """
     current = tables.area.where("is_current")
-    at_level = F.col("zoom_level") == zoom_level
+    at_level = f"zoom_level = {int(zoom_level)}"
     if zoom_level in (1, 2):
-        return current.where(
-            at_level | F.col("area_type_id").isin(codes.OCEAN_AREA, codes.POLAR_ISLANDS)
-        )
+        return current.where(f"{at_level} OR area_type_id IN ({codes.OCEAN_AREA}, {codes.POLAR_ISLANDS})")
     loaded = current.where(at_level)
     if f is None or not f.ocean_area_ids:
         return loaded
-    missing = current.where(F.col("fid").isin(*f.ocean_area_ids)).join(
+    missing = current.where(any_of("fid", f.ocean_area_ids)).join(
         loaded.select("fid").distinct(), "fid", "left_anti"
     )
     return loaded.unionByName(missing.select(*loaded.columns))
@@ -128,20 +120,17 @@ def select_areas(areas: DataFrame, tables: OccurrenceTables, f: ObservationFilte
     """O-64h: chosen areas, areas below a chosen county, and the county above a chosen municipality."""
     if not f.has_area_selection:
         return areas
-    fid, parent = F.col("fid"), F.col("parent_fid")
-    direct = (
-        _is_any(fid, f.county_ids) | _is_any(fid, f.municipality_ids) | _is_any(fid, f.ocean_area_ids)
-        | _is_any(parent, f.county_ids)
-    )
+    chosen = f.county_ids + f.municipality_ids + f.ocean_area_ids
+    direct = f"{any_of('fid', chosen)} OR {any_of('parent_fid', f.county_ids)}"
     if not f.municipality_ids:
         return areas.where(direct)
     derived = (
         municipality_counties(tables.area)
-        .where(F.col("municipality_fid").isin(*f.municipality_ids))
-        .select(F.col("county_fid").alias("fid"), F.lit(True).alias("derived"))
+        .where(any_of("municipality_fid", f.municipality_ids))
+        .selectExpr("county_fid AS fid", "TRUE AS derived")
         .distinct()
     )
-    return areas.join(derived, "fid", "left").where(direct | F.col("derived")).select(*areas.columns)
+    return areas.join(derived, "fid", "left").where(f"{direct} OR derived").select(*areas.columns)
 
 
 def _chosen_areas(tables: OccurrenceTables, zoom_level: int, f: ObservationFilter, compat: bool) -> DataFrame:
@@ -166,16 +155,16 @@ def dynamic_counts(tables: OccurrenceTables, areas: DataFrame, f: ObservationFil
     Filters the index has columns for are applied to it directly. Only the rest
     needs the filtered observations, joined by id (O-50).
     """
-    index = tables.enriched_index
-    for condition in shared_conditions(f):
-        index = index.where(condition)
+    # Area types lie below the institution code, so this drops whole index partitions.
+    conditions = [f"entity_type_id < {codes.INSTITUTION}", *shared_conditions(f)]
     if f.registration_status_id is not None:
-        index = index.where(F.col("registration_status_id") == f.registration_status_id)
+        conditions.append(f"registration_status_id = {int(f.registration_status_id)}")
     if f.with_images is not None:
-        index = index.where(F.col("has_media_files") == f.with_images)
-    keys = areas.select(
-        F.col("area_type_id").alias("entity_type_id"), entity_id(F.col("fid")).alias("entity_id")
-    ).where("entity_id IS NOT NULL")
+        conditions.append("has_media_files" if f.with_images else "NOT has_media_files")
+    index = tables.enriched_index.where(" AND ".join(conditions))
+    keys = areas.selectExpr("area_type_id AS entity_type_id", f"{entity_id('fid')} AS entity_id").where(
+        "entity_id IS NOT NULL"
+    )
     index = index.join(keys.distinct(), ["entity_type_id", "entity_id"], "left_semi")
     if f.needs_observation_rows:
         matching = apply_filters(tables.observation, tables, f).select("observation_id")
@@ -187,13 +176,15 @@ def dynamic_counts(tables: OccurrenceTables, areas: DataFrame, f: ObservationFil
 def rollup_to_counties(tables: OccurrenceTables, municipality_ids: tuple[str, ...]) -> DataFrame:
     """O-58: stored counts of chosen municipalities, summed per parent county."""
     parents = municipality_counties(tables.area)
-    chosen = tables.area.where(F.col("is_current") & _is_any(F.col("fid"), municipality_ids))
-    county = F.coalesce("parent_fid", "county_fid")
+    chosen = tables.area.where(f"is_current AND {any_of('fid', municipality_ids)}").selectExpr(
+        "fid AS municipality_fid", "parent_fid", f"{or_zero('observation_count')} AS stored_count"
+    )
     return (
-        chosen.join(parents, chosen["fid"] == parents["municipality_fid"], "left")
-        .where(county.isNotNull())
-        .groupBy(county.alias("fid"))
-        .agg(F.sum(or_zero(F.col("observation_count"))).alias("rolled_count"))
+        chosen.join(parents, "municipality_fid", "left")
+        .selectExpr("coalesce(parent_fid, county_fid) AS fid", "stored_count")
+        .where("fid IS NOT NULL")
+        .groupBy("fid")
+        .agg(F.sum("stored_count").alias("rolled_count"))
     )
 
 
@@ -210,22 +201,20 @@ def counted_areas(
     columns = areas.columns
     if f.needs_dynamic_counts(compat):
         counts = dynamic_counts(tables, areas, f).withColumnRenamed("observation_count", "found_count")
-        keyed = areas.withColumn("entity_type_id", F.col("area_type_id")).withColumn(
-            "entity_id", entity_id(F.col("fid"))
-        )
+        keyed = areas.selectExpr("*", "area_type_id AS entity_type_id", f"{entity_id('fid')} AS entity_id")
         counted = keyed.join(counts, ["entity_type_id", "entity_id"], "left")
-        return counted.select(*columns, or_zero(F.col("found_count")).alias("area_count"))
-    stored = or_zero(F.col("observation_count")).cast("bigint")
+        return counted.selectExpr(*columns, f"{or_zero('found_count')} AS area_count")
+    stored = f"CAST({or_zero('observation_count')} AS BIGINT) AS area_count"
     if f.municipality_ids and f.is_active(compat):
-        shows_municipality = areas.where(F.col("fid").isin(*f.municipality_ids)).select("area_id").exists()
+        shows_municipality = areas.where(any_of("fid", f.municipality_ids)).select("area_id").exists()
         rolled = areas.join(rollup_to_counties(tables, f.municipality_ids), "fid", "left").where(
             ~shows_municipality
         )
         kept = areas.where(shows_municipality)
-        return kept.select(*columns, stored.alias("area_count")).unionByName(
-            rolled.select(*columns, or_zero(F.col("rolled_count")).alias("area_count"))
+        return kept.selectExpr(*columns, stored).unionByName(
+            rolled.selectExpr(*columns, f"{or_zero('rolled_count')} AS area_count")
         )
-    return areas.select(*columns, stored.alias("area_count"))
+    return areas.selectExpr(*columns, stored)
 
 
 def area_counts(
@@ -248,13 +237,13 @@ def area_markers(
     "First" is the smallest area id. Polygons join in after the aggregation.
     """
     counted = counted_areas(tables, zoom_level, f, compat)
-    with_polygon = F.when(F.col("wkt_polygon").isNotNull(), F.col("area_id"))
+    with_polygon = "min(IF(wkt_polygon IS NOT NULL, area_id, NULL))"
     merged = (
         counted.groupBy("name")
         .agg(
             F.sum("area_count").alias("observation_count"),
             F.min("area_id").alias("marker_id"),
-            F.coalesce(F.min(with_polygon), F.min("area_id")).alias("area_id"),
+            F.expr(f"coalesce({with_polygon}, min(area_id)) AS area_id"),
         )
         .where("observation_count > 0")
     )
@@ -279,14 +268,13 @@ def merge_counts(areas: DataFrame, counts: DataFrame, f: ObservationFilter) -> D
 
     An area without observations stays only when it was chosen itself.
     """
-    fid = F.col("fid")
-    chosen = _is_any(fid, f.county_ids) | _is_any(fid, f.municipality_ids) | _is_any(fid, f.ocean_area_ids)
-    shown = areas.where(chosen | _is_any(F.col("parent_fid"), f.county_ids)) if f.has_area_selection else areas
+    chosen = any_of("fid", f.county_ids + f.municipality_ids + f.ocean_area_ids)
+    shown = areas.where(f"{chosen} OR {any_of('parent_fid', f.county_ids)}") if f.has_area_selection else areas
     merged = shown.drop("observation_count").join(
-        counts.select("fid", F.col("observation_count").alias("found")), "fid", "left"
+        counts.selectExpr("fid", "observation_count AS found"), "fid", "left"
     )
     return (
-        merged.withColumn("observation_count", or_zero(F.col("found")))
-        .where((F.col("observation_count") > 0) | chosen)
+        merged.selectExpr("*", f"{or_zero('found')} AS observation_count")
+        .where(f"observation_count > 0 OR {chosen}")
         .drop("found")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightlines import codes, schema
-from sightlines.functions.scalars import export_slug, number_text
+from sightlines.functions.scalars import export_slug, number_text, quoted
 from sightlines.operators.filters import ObservationFilter, apply_filters
 from sightlines.sources.tables import OccurrenceTables
 
@@ -143,7 +143,7 @@ def as_text(rows: DataFrame) -> DataFrame:
         if kind == "boolean":
             return column.cast("int").cast("string")
         if kind in ("double", "float"):
-            return number_text(column.cast("double"))
+            return F.expr(number_text(f"CAST(`{name}` AS DOUBLE)"))
         return column.cast("string")
 
     return rows.select(*[text(n, t).alias(n) for n, t in rows.dtypes])
@@ -183,7 +183,7 @@ def export_summary(
         F.floor(F.col("total_rows") * F.lit(row_bytes)).cast("bigint").alias("estimated_bytes"),
         (F.col("total_rows") > soft_limit).alias("exceeds_soft_limit"),
         (F.col("total_rows") > hard_limit).alias("exceeds_hard_limit"),
-        export_slug(F.lit(name).cast("string")).alias("export_name"),
+        F.expr(export_slug("CAST(NULL AS STRING)" if name is None else quoted(name))).alias("export_name"),
     )
 
 
@@ -205,7 +205,7 @@ def parsed_jobs(jobs: DataFrame) -> DataFrame:
         "name",
         F.from_json("filter_json", schema.JOB_FILTER_JSON).alias("filter"),
         F.coalesce(F.from_json("selected_columns", "array<string>"), F.array().cast("array<string>")).alias("columns"),
-        export_slug(F.col("name")).alias("slug"),
+        F.expr(export_slug("name")).alias("slug"),
     )
 
 

@@ -9,11 +9,8 @@ from __future__ import annotations
 
 import dataclasses
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from sightlines import codes
 from sightlines.functions.scalars import contains_text, parse_entity_ids
@@ -165,40 +162,38 @@ def _require_range(value: int, low: int, high: int) -> None:
         raise ValueError(f"value must be between {low} and {high}")
 
 
-def _timestamp(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
+def _in(column: str, values: tuple[int, ...] | list[int]) -> str:
+    return f"{column} IN ({', '.join(str(int(v)) for v in values)})"
 
 
-def _all(df: DataFrame, conditions: list[Column]) -> DataFrame:
-    for condition in conditions:
-        df = df.where(condition)
-    return df
+def _all(conditions: list[str]) -> str:
+    return " AND ".join(f"({c})" for c in conditions) or "TRUE"
 
 
-def shared_conditions(f: ObservationFilter) -> list[Column]:
+def shared_conditions(f: ObservationFilter) -> list[str]:
     """Predicates on columns that observations and the enriched index have in common
     (O-23 .. O-25, O-30 .. O-32). Nulls never match."""
     conditions = []
     if f.taxon_group_ids:
-        conditions.append(F.col("taxon_group_id").isin(*f.taxon_group_ids))
+        conditions.append(_in("taxon_group_id", f.taxon_group_ids))
     if f.category_ids:
-        conditions.append(F.col("category_id").isin(*f.category_ids))
+        conditions.append(_in("category_id", f.category_ids))
     if f.basis_of_record_ids:
-        conditions.append(F.col("basis_of_record_id").isin(*f.basis_of_record_ids))
+        conditions.append(_in("basis_of_record_id", f.basis_of_record_ids))
     if f.precision_from is not None:
-        conditions.append(F.col("coordinate_precision_m") >= f.precision_from)
+        conditions.append(f"coordinate_precision_m >= {int(f.precision_from)}")
     if f.precision_to is not None:
-        conditions.append(F.col("coordinate_precision_m") <= f.precision_to)
+        conditions.append(f"coordinate_precision_m <= {int(f.precision_to)}")
     if f.period_from is not None:
-        conditions.append(F.col("date_time_collected") >= _timestamp(f"{f.period_from:04d}-01-01 00:00:00"))
+        conditions.append(f"date_time_collected >= TIMESTAMP_NTZ '{f.period_from:04d}-01-01 00:00:00'")
     if f.period_to is not None:
-        conditions.append(F.col("date_time_collected") <= _timestamp(f"{f.period_to:04d}-12-31 23:59:59"))
+        conditions.append(f"date_time_collected <= TIMESTAMP_NTZ '{f.period_to:04d}-12-31 23:59:59'")
     if f.months:
-        conditions.append(F.month("date_time_collected").isin(*f.months))
+        conditions.append(_in("month(date_time_collected)", f.months))
     return conditions
 
 
-def geography_condition(f: ObservationFilter, polar: bool = True) -> Column:
+def geography_condition(f: ObservationFilter, polar: bool = True) -> str:
     """O-26: index rows in any chosen area. County ids also name polar islands.
 
     A list whose entries are all unparsable matches no row (T-02).
@@ -212,19 +207,17 @@ def geography_condition(f: ObservationFilter, polar: bool = True) -> Column:
     ]
     if polar:
         wanted.append((codes.POLAR_ISLANDS, counties))
-    matches = [
-        (F.col("entity_type_id") == kind) & F.col("entity_id").isin(*ids) for kind, ids in wanted if ids
-    ]
-    return reduce(or_, matches, F.lit(False))
+    matches = [f"(entity_type_id = {kind} AND {_in('entity_id', ids)})" for kind, ids in wanted if ids]
+    return " OR ".join(matches) or "FALSE"
 
 
-def institution_condition(f: ObservationFilter) -> Column:
-    return (F.col("entity_type_id") == codes.INSTITUTION) & F.col("entity_id").isin(*f.organization_ids)
+def institution_condition(f: ObservationFilter) -> str:
+    return f"(entity_type_id = {codes.INSTITUTION} AND {_in('entity_id', f.organization_ids)})"
 
 
 def _ids(df: DataFrame) -> DataFrame:
     """De-duplicated ids: a key with very many rows collapses before the shuffle."""
-    return df.select("observation_id").where(F.col("observation_id").isNotNull()).distinct()
+    return df.select("observation_id").where("observation_id IS NOT NULL").distinct()
 
 
 def _having(df: DataFrame, related: DataFrame) -> DataFrame:
@@ -258,23 +251,23 @@ def by_geography(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter,
 
 def by_status(df: DataFrame, tables: OccurrenceTables, status: int | None) -> DataFrame:
     """O-29: values other than 1, 2 and 3 filter nothing."""
-    tag = F.col("tag_id")
     if status == codes.STATUS_FOUND:
-        return _without(df, tables.observation_tag.where(tag.isin(codes.TAG_ABSENT, codes.TAG_NOT_RECOVERED)))
+        deciding = _in("tag_id", (codes.TAG_ABSENT, codes.TAG_NOT_RECOVERED))
+        return _without(df, tables.observation_tag.where(deciding))
     if status == codes.STATUS_ABSENT:
-        return _having(df, tables.observation_tag.where(tag == codes.TAG_ABSENT))
+        return _having(df, tables.observation_tag.where(f"tag_id = {codes.TAG_ABSENT}"))
     if status == codes.STATUS_NOT_RECOVERED:
-        return _having(df, tables.observation_tag.where(tag == codes.TAG_NOT_RECOVERED))
+        return _having(df, tables.observation_tag.where(f"tag_id = {codes.TAG_NOT_RECOVERED}"))
     return df
 
 
 def by_project(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
     """O-33: the organisation id wins over the name."""
     if f.project_organization_id is not None:
-        relation = tables.organization_relation.where(F.col("organization_id") == f.project_organization_id)
+        relation = tables.organization_relation.where(f"organization_id = {int(f.project_organization_id)}")
         return _having(df, relation)
     if _given(f.project_name):
-        named = tables.organization.where(contains_text(F.col("name"), f.project_name.strip()))
+        named = tables.organization.where(contains_text("name", f.project_name.strip()))
         return _having(
             df, tables.organization_relation.join(named.select("organization_id"), "organization_id", "left_semi")
         )
@@ -284,27 +277,26 @@ def by_project(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter) ->
 def by_text(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
     """O-36: name filters on the taxon and on the matched name; not trimmed."""
     if f.preferred_popular_name:
-        taxa = tables.taxon.where(contains_text(F.col("preferred_popular_name"), f.preferred_popular_name))
+        taxa = tables.taxon.where(contains_text("preferred_popular_name", f.preferred_popular_name))
         df = df.join(taxa.select("taxon_id"), "taxon_id", "left_semi")
     name_conditions = []
     if f.scientific_name:
-        name_conditions.append(contains_text(F.col("scientific_name"), f.scientific_name))
+        name_conditions.append(contains_text("scientific_name", f.scientific_name))
     if f.author:
-        name_conditions.append(contains_text(F.col("scientific_name_authorship"), f.author))
+        name_conditions.append(contains_text("scientific_name_authorship", f.author))
     if name_conditions:
-        names = _all(tables.taxon_name, name_conditions).select(
-            F.col("taxon_name_id").alias("matched_scientific_name_id")
+        names = tables.taxon_name.where(_all(name_conditions)).selectExpr(
+            "taxon_name_id AS matched_scientific_name_id"
         )
         df = df.join(names, "matched_scientific_name_id", "left_semi")
     return df
 
 
-def envelope_condition(envelope: Envelope) -> Column:
+def envelope_condition(envelope: Envelope) -> str:
     """O-37: inclusive bounds, truncated to integers (T-13)."""
-    east, north = F.col("east"), F.col("north")
     return (
-        east.between(int(envelope.min_x), int(envelope.max_x))
-        & north.between(int(envelope.min_y), int(envelope.max_y))
+        f"east BETWEEN {int(envelope.min_x)} AND {int(envelope.max_x)} "
+        f"AND north BETWEEN {int(envelope.min_y)} AND {int(envelope.max_y)}"
     )
 
 
@@ -328,21 +320,22 @@ def apply_filters(
     institutions are OR-ed with areas, polar islands are not matched, and status,
     project, collection, catalogue and media filters are ignored.
     """
-    df = _all(observations, shared_conditions(f))
+    if mode not in ("search", "export"):
+        raise ValueError(f"unknown filter mode {mode!r}")
+    conditions = shared_conditions(f)
+    if mode == "search":
+        if _given(f.collection_code):
+            conditions.append(contains_text("collection_code", f.collection_code.strip()))
+        if _given(f.catalog_number):
+            conditions.append(contains_text("catalog_number", f.catalog_number.strip()))
+    df = by_text(observations.where(_all(conditions)), tables, f)
     if mode == "export":
         return _export_filters(df, tables, f)
-    if mode != "search":
-        raise ValueError(f"unknown filter mode {mode!r}")
-    if _given(f.collection_code):
-        df = df.where(contains_text(F.col("collection_code"), f.collection_code.strip()))
-    if _given(f.catalog_number):
-        df = df.where(contains_text(F.col("catalog_number"), f.catalog_number.strip()))
-    df = by_text(df, tables, f)
     df = by_geography(df, tables, f, route)
     if f.organization_ids:
         df = _having(df, tables.entity_index.where(institution_condition(f)))
     if f.behavior_ids:
-        df = _having(df, tables.observation_behavior.where(F.col("behavior_id").isin(*f.behavior_ids)))
+        df = _having(df, tables.observation_behavior.where(_in("behavior_id", f.behavior_ids)))
     df = by_status(df, tables, f.registration_status_id)
     df = by_project(df, tables, f)
     if f.with_images is not None:
@@ -351,12 +344,11 @@ def apply_filters(
 
 
 def _export_filters(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
-    df = by_text(df, tables, f)
     if f.has_geography or f.organization_ids:
         condition = geography_condition(f, polar=False)
         if f.organization_ids:
-            condition = condition | institution_condition(f)
+            condition = f"{condition} OR {institution_condition(f)}"
         df = _having(df, tables.entity_index.where(condition))
     if f.behavior_ids:
-        df = _having(df, tables.observation_behavior.where(F.col("behavior_id").isin(*f.behavior_ids)))
+        df = _having(df, tables.observation_behavior.where(_in("behavior_id", f.behavior_ids)))
     return df

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightlines import codes
 from sightlines.functions import wkt as W
-from sightlines.functions.scalars import abbreviated, or_zero
+from sightlines.functions.scalars import abbreviated, any_of, or_zero
 from sightlines.functions.visible import surface_centroid, visible_point
 from sightlines.operators.filters import ObservationFilter, apply_filters, by_envelope
 from sightlines.operators.locations import count_by_location
@@ -17,25 +17,34 @@ BOX = ("min_x", "min_y", "max_x", "max_y")
 
 # Grid levels of the box join: cells of side 4^level; one cell for everything on top.
 _FINEST, _COARSEST, _TOP = -3, 13, 14
-_FURTHEST = 1e15
+_FURTHEST = "1e15"
 
 
-def with_bounds(df: DataFrame, wkt: str) -> DataFrame:
-    """O-64o: the bounding box of a WKT column; rows that hold no polygon are dropped."""
-    boxed = df.withColumn("_box", W.bounds(W.polygons(F.col(wkt)))).where("_box IS NOT NULL")
-    return boxed.select(*df.columns, *[F.col(f"_box.{c}").alias(c) for c in BOX])
+def _with_parsed(df: DataFrame, wkt: str) -> DataFrame:
+    """The parsed shape as ``_parsed``; rows that hold no polygon are dropped."""
+    return df.selectExpr("*", f"{W.polygons(wkt)} AS _parsed").where("_parsed IS NOT NULL")
 
 
-# --- box overlap join --------------------------------------------------------
+def with_bounds(df: DataFrame, wkt: str) -> DataFrame:
+    """O-64o: the bounding box of a WKT column; rows that hold no polygon are dropped.
+
+    Parsing, flattening and measuring are separate projections, so that the text is
+    parsed once per row.
+    """
+    boxed = (
+        df.selectExpr("*", f"{W.polygons(wkt)} AS _parsed")
+        .selectExpr(*df.columns, f"{W.points('_parsed')} AS _points")
+        .selectExpr(*df.columns, f"{W.bounds('_points')} AS _box")
+    )
+    return boxed.where("_box IS NOT NULL").selectExpr(*df.columns, *[f"_box.{c} AS {c}" for c in BOX])
 
 
-def _clamped(value: Column) -> Column:
-    return F.greatest(F.least(value, F.lit(_FURTHEST)), F.lit(-_FURTHEST))
+# --- box overlap join --------------------------------------------------------
 
 
-def _cell(value: Column, level: Column) -> Column:
-    side = F.pow(F.lit(4.0), level)
-    return F.when(level == _TOP, F.lit(0)).otherwise(F.floor(_clamped(value) / side)).cast("bigint")
+def _cell(value: str, level: str = "_level") -> str:
+    clamped = f"greatest(least({value}, {_FURTHEST}), -{_FURTHEST})"
+    return f"CAST(IF({level} = {_TOP}, 0, floor({clamped} / pow(4D, {level}))) AS BIGINT)"
 
 
 def _on_grid(boxes: DataFrame, prefix: str) -> DataFrame:
@@ -43,23 +52,23 @@ def _on_grid(boxes: DataFrame, prefix: str) -> DataFrame:
 
     At its own level a box touches at most four cells.
     """
-    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    fitting = F.ceil(F.log(4.0, F.greatest(size, F.lit(4.0**_FINEST)))).cast("int")
-    own = F.when(size > 4.0**_COARSEST, _TOP).otherwise(F.greatest(fitting, F.lit(_FINEST)))
-    level = F.col("_level")
-
-    def span(axis: str) -> Column:
-        return F.explode(F.sequence(_cell(F.col(f"min_{axis}"), level), _cell(F.col(f"max_{axis}"), level)))
-
-    gridded = (
-        boxes.withColumn("_own", own)
-        .withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(_TOP))))
-        .withColumn("_cx", span("x"))
-        .withColumn("_cy", span("y"))
-        .withColumn("_at_own", level == F.col("_own"))
-        .drop("_own")
+    size = "greatest(max_x - min_x, max_y - min_y)"
+    fitting = f"CAST(ceil(log(4D, greatest({size}, {4.0**_FINEST}D))) AS INT)"
+    own = f"IF({size} > {4.0**_COARSEST}D, {_TOP}, greatest({fitting}, {_FINEST}))"
+    kept = [f"{c} AS {prefix}{c}" if c in BOX else c for c in boxes.columns]
+    columns = [f"{prefix}{c}" if c in BOX else c for c in boxes.columns]
+
+    def span(axis: str) -> str:
+        low, high = _cell(f"{prefix}min_{axis}"), _cell(f"{prefix}max_{axis}")
+        return f"explode(sequence({low}, {high})) AS _c{axis}"
+
+    at_own = f"{prefix}_at_own"
+    return (
+        boxes.selectExpr(*kept, f"{own} AS _own")
+        .selectExpr(*columns, "_own", f"explode(sequence(_own, {_TOP})) AS _level")
+        .selectExpr(*columns, "_level", f"_level = _own AS {at_own}", span("x"))
+        .selectExpr(*columns, "_level", at_own, "_cx", span("y"))
     )
-    return gridded.withColumnsRenamed({c: f"{prefix}{c}" for c in (*BOX, "_at_own")})
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_prefix: str = "a_", right_prefix: str = "v_") -> DataFrame:
@@ -69,24 +78,19 @@ def overlapping(left: DataFrame, right: DataFrame, left_prefix: str = "a_", righ
     left corner of its intersection, hence exactly once. Box columns come back
     with a prefix.
     """
-    a = _on_grid(left, left_prefix)
-    v = _on_grid(right, right_prefix)
-    level = F.col("_level")
-
-    def corner(axis: str) -> Column:
-        return _cell(F.greatest(F.col(f"{left_prefix}min_{axis}"), F.col(f"{right_prefix}min_{axis}")), level)
+    a, v = left_prefix, right_prefix
 
-    def touches(axis: str) -> Column:
-        return (F.col(f"{left_prefix}min_{axis}") <= F.col(f"{right_prefix}max_{axis}")) & (
-            F.col(f"{left_prefix}max_{axis}") >= F.col(f"{right_prefix}min_{axis}")
+    def met(axis: str) -> str:
+        corner = _cell(f"greatest({a}min_{axis}, {v}min_{axis})")
+        return (
+            f"{a}min_{axis} <= {v}max_{axis} AND {a}max_{axis} >= {v}min_{axis} AND _c{axis} = {corner}"
         )
 
     return (
-        a.join(v, ["_level", "_cx", "_cy"])
-        .where(F.col(f"{left_prefix}_at_own") | F.col(f"{right_prefix}_at_own"))
-        .where(touches("x") & touches("y"))
-        .where((F.col("_cx") == corner("x")) & (F.col("_cy") == corner("y")))
-        .drop("_level", "_cx", "_cy", f"{left_prefix}_at_own", f"{right_prefix}_at_own")
+        _on_grid(left, a)
+        .join(_on_grid(right, v), ["_level", "_cx", "_cy"])
+        .where(f"({a}_at_own OR {v}_at_own) AND {met('x')} AND {met('y')}")
+        .drop("_level", "_cx", "_cy", f"{a}_at_own", f"{v}_at_own")
     )
 
 
@@ -111,34 +115,26 @@ def location_polygons(tables: OccurrenceTables, f: ObservationFilter = Observati
         .orderBy(F.desc("observation_count"), "location_id")
         .limit(polygon_limit(f.max_results))
     )
-    shape = F.col("geometry_wkt")
     shaped = tables.location.select("location_id", "locality", "geometry_wkt").where(
-        W.is_polygon(shape) & ~W.is_rectangle(shape)
+        f"{W.is_polygon('geometry_wkt')} AND NOT {W.is_rectangle('geometry_wkt')}"
     )
     found = shaped.join(F.broadcast(top), "location_id")
     if f.envelope is not None:
         e = f.envelope
         found = with_bounds(found, "geometry_wkt").where(
-            ~(
-                (F.col("max_x") < e.min_x) | (F.col("min_x") > e.max_x)
-                | (F.col("max_y") < e.min_y) | (F.col("min_y") > e.max_y)
-            )
+            f"max_x >= {float(e.min_x)}D AND min_x <= {float(e.max_x)}D "
+            f"AND max_y >= {float(e.min_y)}D AND min_y <= {float(e.max_y)}D"
         )
-    return found.select(
-        "location_id", "locality", F.col("geometry_wkt").alias("wkt_polygon"), "observation_count"
+    return found.selectExpr(
+        "location_id", "locality", "geometry_wkt AS wkt_polygon", "observation_count"
     ).orderBy(F.desc("observation_count"), "location_id")
 
 
 def with_centroids(areas: DataFrame) -> DataFrame:
     """O-64r: centroid of each area's surface, null without a polygon."""
-    point = surface_centroid(F.col("wkt_polygon"))
-    return (
-        areas.drop("centroid_x", "centroid_y")
-        .withColumn("_point", point)
-        .withColumn("centroid_x", F.col("_point.x"))
-        .withColumn("centroid_y", F.col("_point.y"))
-        .drop("_point")
-    )
+    bare = areas.drop("centroid_x", "centroid_y")
+    pointed = bare.withColumn("_point", surface_centroid("wkt_polygon"))
+    return pointed.selectExpr(*bare.columns, "_point.x AS centroid_x", "_point.y AS centroid_y")
 
 
 def viewport_markers(areas: DataFrame, viewports: DataFrame) -> DataFrame:
@@ -148,111 +144,96 @@ def viewport_markers(areas: DataFrame, viewports: DataFrame) -> DataFrame:
     marked at its stored centroid; only the others reach the clipping function.
     """
     pairs = overlapping(with_bounds(areas, "wkt_polygon"), viewports)
-    fully_visible = (
-        (F.col("a_min_x") >= F.col("v_min_x")) & (F.col("a_min_y") >= F.col("v_min_y"))
-        & (F.col("a_max_x") <= F.col("v_max_x")) & (F.col("a_max_y") <= F.col("v_max_y"))
+    columns = [c for c in pairs.columns if not c.startswith(("a_", "v_"))]
+    inside = (
+        "a_min_x >= v_min_x AND a_min_y >= v_min_y AND a_max_x <= v_max_x AND a_max_y <= v_max_y AS fully_visible"
     )
-    clipped = visible_point(
-        F.when(~fully_visible, F.col("wkt_polygon")), *[F.col(f"v_{c}") for c in BOX]
+    placed = (
+        pairs.selectExpr("*", inside)
+        .selectExpr("*", "IF(fully_visible, NULL, wkt_polygon) AS _to_clip")
+        .withColumn("_clipped", visible_point("_to_clip", *[f"v_{c}" for c in BOX]))
     )
-    mean = W.first_ring_mean(W.polygons(F.col("wkt_polygon")))
-    stored = F.col("centroid_x").isNotNull() & F.col("centroid_y").isNotNull()
-
-    def marker(axis: str) -> Column:
-        fallback = F.when(stored, F.col(f"centroid_{axis}")).otherwise(mean[axis])
-        return F.coalesce(F.col(f"_clipped.{axis}"), fallback).alias(f"marker_{axis}")
-
-    # A second projection keeps the function to one evaluation per row.
-    return pairs.withColumn("fully_visible", fully_visible).withColumn("_clipped", clipped).select(
-        *[c for c in pairs.columns if not c.startswith(("a_", "v_"))], "fully_visible", marker("x"), marker("y")
+    no_centroid = "centroid_x IS NULL OR centroid_y IS NULL"
+    meant = placed.selectExpr("*", f"IF({no_centroid}, {W.polygons('wkt_polygon')}, NULL) AS _parsed")
+    return meant.selectExpr(
+        *columns,
+        "fully_visible",
+        *[
+            f"coalesce(_clipped.{axis}, IF({no_centroid}, {W.first_ring_mean('_parsed', axis)}, centroid_{axis})) "
+            f"AS marker_{axis}"
+            for axis in ("x", "y")
+        ],
     )
 
 
 # --- features ----------------------------------------------------------------
 
 
-def _feature(geometry: Column, properties: Column, feature_id: Column | None = None) -> Column:
-    head = [F.lit('{"type":"Feature",')]
-    if feature_id is not None:
-        head += [F.lit('"id":'), feature_id.cast("string"), F.lit(",")]
-    return F.concat(
-        *head, F.lit('"geometry":'), geometry, F.lit(',"properties":'), F.to_json(properties), F.lit("}")
+def _feature(geometry: str, properties: dict[str, str], feature_id: str | None = None) -> str:
+    """Text of a GeoJSON feature; ``properties`` maps names to expressions."""
+    head = "'{\"type\":\"Feature\",'" if feature_id is None else f"'{{\"type\":\"Feature\",\"id\":', {feature_id}, ','"
+    fields = ", ".join(f"{expression} AS {name}" for name, expression in properties.items())
+    return (
+        f"concat({head}, '\"geometry\":', {geometry}, ',\"properties\":', to_json(struct({fields})), '}}')"
     )
 
 
-def _point_geometry(x: Column, y: Column) -> Column:
-    return F.concat(F.lit('{"type":"Point","coordinates":'), W.point_json(x, y), F.lit("}"))
-
-
-def _fields(**columns: Column) -> Column:
-    return F.struct(*[c.alias(n) for n, c in columns.items()])
+def _point_geometry(x: str, y: str) -> str:
+    return f"concat('{{\"type\":\"Point\",\"coordinates\":', {W.point_json(x, y)}, '}}')"
 
 
-def _shown(count: Column) -> Column:
-    return F.when(count > 0, abbreviated(count)).otherwise(F.lit(""))
+def _shown(count: str) -> str:
+    return f"IF({count} > 0, {abbreviated(count)}, '')"
 
 
 def location_features(located: DataFrame) -> DataFrame:
     """O-64q: point features of locations, one per row; NaN coordinates are dropped."""
-    key, count = F.col("location_id"), F.col("observation_count")
-    properties = _fields(
-        id=key,
-        name=F.concat(F.lit("Location "), key.cast("string")),
-        observationCount=count,
-        observationCountDisplay=_shown(count),
-        isPolygon=F.lit(False),
-    )
-    usable = located.where(~F.isnan("longitude") & ~F.isnan("latitude"))
-    return usable.select(
-        "location_id",
-        _feature(_point_geometry(F.col("longitude"), F.col("latitude")), properties, key).alias("feature"),
-    )
+    properties = {
+        "id": "location_id",
+        "name": "concat('Location ', location_id)",
+        "observationCount": "observation_count",
+        "observationCountDisplay": _shown("observation_count"),
+        "isPolygon": "FALSE",
+    }
+    feature = _feature(_point_geometry("longitude", "latitude"), properties, "location_id")
+    usable = located.where("NOT isnan(longitude) AND NOT isnan(latitude)")
+    return usable.selectExpr("location_id", f"{feature} AS feature")
 
 
 def polygon_features(polygons: DataFrame) -> DataFrame:
     """O-64q: outline features of location polygons; unparsable shapes are dropped."""
-    key = F.col("location_id")
-    count = or_zero(F.col("observation_count"))
-    properties = _fields(
-        id=key,
-        name=F.coalesce("locality", F.concat(F.lit("Location "), key.cast("string"))),
-        observationCount=count,
-        observationCountDisplay=_shown(count),
-        isPolygon=F.lit(True),
-    )
-    parsed = polygons.withColumn("_parsed", W.polygons(F.col("wkt_polygon"))).where("_parsed IS NOT NULL")
-    geometry = W.geometry_json(F.col("wkt_polygon"), F.col("_parsed"))
-    return parsed.select("location_id", _feature(geometry, properties, key).alias("feature"))
+    count = or_zero("observation_count")
+    properties = {
+        "id": "location_id",
+        "name": "coalesce(locality, concat('Location ', location_id))",
+        "observationCount": count,
+        "observationCountDisplay": _shown(count),
+        "isPolygon": "TRUE",
+    }
+    feature = _feature(W.geometry_json("wkt_polygon", "_parsed"), properties, "location_id")
+    return _with_parsed(polygons, "wkt_polygon").selectExpr("location_id", f"{feature} AS feature")
 
 
 def overlay_features(areas: DataFrame, fids: tuple[str, ...]) -> DataFrame:
     """O-64q: outlines of chosen areas."""
-    chosen = areas.where(F.col("fid").isin(*fids)) if fids else areas.where(F.lit(False))
-    parsed = chosen.withColumn("_parsed", W.polygons(F.col("wkt_polygon"))).where("_parsed IS NOT NULL")
-    properties = _fields(id=F.col("area_id"), name=F.col("name"), fid=F.col("fid"))
-    geometry = W.geometry_json(F.col("wkt_polygon"), F.col("_parsed"))
-    return parsed.select("area_id", _feature(geometry, properties).alias("feature"))
+    chosen = areas.where(any_of("fid", fids))
+    properties = {"id": "area_id", "name": "name", "fid": "fid"}
+    feature = _feature(W.geometry_json("wkt_polygon", "_parsed"), properties)
+    return _with_parsed(chosen, "wkt_polygon").selectExpr("area_id", f"{feature} AS feature")
 
 
 def area_features(areas: DataFrame, viewports: DataFrame) -> DataFrame:
     """O-64q: per viewport, the outline of each overlapping area and its count marker."""
-    marked = viewport_markers(areas, viewports)
-    outline = _feature(
-        W.geometry_json(F.col("wkt_polygon"), W.polygons(F.col("wkt_polygon"))),
-        _fields(id=F.col("area_id"), name=F.col("name"), areaTypeId=F.col("area_type_id"), fid=F.col("fid")),
-    )
-    count = or_zero(F.col("observation_count"))
+    marked = _with_parsed(viewport_markers(areas, viewports), "wkt_polygon")
+    named = {"id": "area_id", "name": "name", "areaTypeId": "area_type_id"}
+    outline = _feature(W.geometry_json("wkt_polygon", "_parsed"), {**named, "fid": "fid"})
+    count = or_zero("observation_count")
     marker = _feature(
-        _point_geometry(F.col("marker_x"), F.col("marker_y")),
-        _fields(
-            id=F.col("area_id"), name=F.col("name"), areaTypeId=F.col("area_type_id"), observationCount=count,
-            fid=F.col("fid"), label=abbreviated(count),
-        ),
-    )
-    kinds = F.array(
-        F.struct(F.lit("outline").alias("kind"), outline.alias("feature")),
-        F.struct(F.lit("marker").alias("kind"), marker.alias("feature")),
+        _point_geometry("marker_x", "marker_y"),
+        {**named, "observationCount": count, "fid": "fid", "label": abbreviated(count)},
     )
-    return marked.select("viewport_id", "area_id", F.explode(kinds).alias("f")).select(
-        "viewport_id", "area_id", "f.kind", "f.feature"
+    return marked.selectExpr(
+        "viewport_id",
+        "area_id",
+        f"inline(array(struct('outline' AS kind, {outline} AS feature), struct('marker' AS kind, {marker} AS feature)))",
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightlines import codes
-from sightlines.functions.scalars import area_entity_id, default_zoom_level, registration_status
+from sightlines.functions.scalars import area_entity_id, default_zoom_level, quoted, registration_status
 from sightlines.sources.tables import OccurrenceTables
 
 INDEX_KEYS = ("observation_id", "entity_type_id", "entity_id")
@@ -27,10 +27,8 @@ FILTER_COLUMNS = (
 
 
 def _current_entities(tables: OccurrenceTables) -> DataFrame:
-    return tables.area.where("is_current").select(
-        "area_id",
-        F.col("area_type_id").alias("entity_type_id"),
-        area_entity_id(F.col("fid"), F.col("area_type_id")).alias("entity_id"),
+    return tables.area.where("is_current").selectExpr(
+        "area_id", "area_type_id AS entity_type_id", f"{area_entity_id('fid', 'area_type_id')} AS entity_id"
     )
 
 
@@ -59,14 +57,14 @@ def index_areas(tables: OccurrenceTables) -> DataFrame:
 def index_institutions(tables: OccurrenceTables) -> DataFrame:
     """O-41: institution rows."""
     institutions = tables.organization.where(
-        F.col("organization_type_id") == codes.INSTITUTION_ORGANIZATION_TYPE
+        f"organization_type_id = {codes.INSTITUTION_ORGANIZATION_TYPE}"
     ).select("organization_id")
     return (
         tables.organization_relation.join(institutions, "organization_id", "left_semi")
-        .select(
+        .selectExpr(
             "observation_id",
-            F.lit(codes.INSTITUTION).alias("entity_type_id"),
-            F.col("organization_id").cast("int").alias("entity_id"),
+            f"{codes.INSTITUTION} AS entity_type_id",
+            "CAST(organization_id AS INT) AS entity_id",
         )
         .distinct()
     )
@@ -79,18 +77,12 @@ def index_all(tables: OccurrenceTables) -> DataFrame:
 
 def observation_status(tables: OccurrenceTables) -> DataFrame:
     """O-14 for observations that carry a deciding tag: (observation_id, registration_status_id)."""
-    tag = F.col("tag_id")
-    flags = (
-        tables.observation_tag.where(tag.isin(codes.TAG_ABSENT, codes.TAG_NOT_RECOVERED))
+    not_recovered = f"max(tag_id = {codes.TAG_NOT_RECOVERED})"
+    absent = f"max(tag_id = {codes.TAG_ABSENT})"
+    return (
+        tables.observation_tag.where(f"tag_id IN ({codes.TAG_ABSENT}, {codes.TAG_NOT_RECOVERED})")
         .groupBy("observation_id")
-        .agg(
-            F.max(tag == codes.TAG_NOT_RECOVERED).alias("not_recovered"),
-            F.max(tag == codes.TAG_ABSENT).alias("absent"),
-        )
-    )
-    return flags.select(
-        "observation_id",
-        registration_status(F.col("not_recovered"), F.col("absent")).alias("registration_status_id"),
+        .agg(F.expr(registration_status(not_recovered, absent)).alias("registration_status_id"))
     )
 
 
@@ -100,50 +92,51 @@ def observation_attributes(tables: OccurrenceTables) -> DataFrame:
         tables.media_file.select("observation_id")
         .where("observation_id IS NOT NULL")
         .distinct()
-        .withColumn("has_media_files", F.lit(True))
+        .selectExpr("observation_id", "TRUE AS has_media_files")
     )
     return (
         tables.observation.select("observation_id", "location_id", *FILTER_COLUMNS[:5])
         .join(observation_status(tables), "observation_id", "left")
         .join(media, "observation_id", "left")
-        .select(
+        .selectExpr(
             "observation_id",
             "location_id",
             *FILTER_COLUMNS[:5],
-            F.coalesce("registration_status_id", F.lit(codes.STATUS_FOUND)).alias("registration_status_id"),
-            F.coalesce("has_media_files", F.lit(False)).alias("has_media_files"),
+            f"coalesce(registration_status_id, {codes.STATUS_FOUND}) AS registration_status_id",
+            "coalesce(has_media_files, FALSE) AS has_media_files",
         )
     )
 
 
 def as_unfilled(keys: DataFrame) -> DataFrame:
     """Index keys as rows that still wait for their filter columns."""
-    return keys.select(
+    return keys.selectExpr(
         *INDEX_KEYS,
-        F.lit(codes.UNFILLED_TAXON_GROUP).alias("taxon_group_id"),
-        F.lit(None).cast("int").alias("category_id"),
-        F.lit(0).alias("basis_of_record_id"),
-        F.lit(None).cast("int").alias("coordinate_precision_m"),
-        F.lit(None).cast("timestamp_ntz").alias("date_time_collected"),
-        F.lit(0).alias("registration_status_id"),
-        F.lit(False).alias("has_media_files"),
+        f"{codes.UNFILLED_TAXON_GROUP} AS taxon_group_id",
+        "CAST(NULL AS INT) AS category_id",
+        "0 AS basis_of_record_id",
+        "CAST(NULL AS INT) AS coordinate_precision_m",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS date_time_collected",
+        "0 AS registration_status_id",
+        "FALSE AS has_media_files",
     )
 
 
+def _fill(todo: DataFrame, tables: OccurrenceTables) -> DataFrame:
+    """Filter columns from the observation; a row without an observation keeps its own."""
+    attributes = observation_attributes(tables).selectExpr("observation_id", *FILTER_COLUMNS, "TRUE AS found")
+    filled = [f"IF(a.found, a.{name}, i.{name}) AS {name}" for name in FILTER_COLUMNS]
+    return todo.alias("i").join(attributes.alias("a"), "observation_id", "left").selectExpr(*INDEX_KEYS, *filled)
+
+
 def backfill(index: DataFrame, tables: OccurrenceTables) -> DataFrame:
     """O-43: fill the marked rows, pass finished ones through; safe to repeat.
 
     A marked row without an observation stays marked.
     """
-    marked = F.col("taxon_group_id") == codes.UNFILLED_TAXON_GROUP
-    attributes = observation_attributes(tables).drop("location_id").withColumn("found", F.lit(True))
-    todo = index.where(marked).alias("i").join(attributes.alias("a"), "observation_id", "left")
-
-    def filled(name: str):
-        return F.when(F.col("a.found"), F.col(f"a.{name}")).otherwise(F.col(f"i.{name}")).alias(name)
-
-    done = index.where(~marked).select(*INDEX_KEYS, *FILTER_COLUMNS)
-    return todo.select(*INDEX_KEYS, *[filled(c) for c in FILTER_COLUMNS]).unionByName(done)
+    marked = f"taxon_group_id = {codes.UNFILLED_TAXON_GROUP}"
+    done = index.where(f"NOT ({marked})").select(*INDEX_KEYS, *FILTER_COLUMNS)
+    return _fill(index.where(marked), tables).unionByName(done)
 
 
 def index_enriched(tables: OccurrenceTables) -> DataFrame:
@@ -158,7 +151,7 @@ def index_enriched(tables: OccurrenceTables) -> DataFrame:
         .join(entities, "location_id")
         .select(*INDEX_KEYS, *FILTER_COLUMNS)
     )
-    return areas.unionByName(backfill(as_unfilled(index_institutions(tables)), tables))
+    return areas.unionByName(_fill(as_unfilled(index_institutions(tables)), tables))
 
 
 def write_entity_index(index: DataFrame, path: str, mode: str = "error") -> None:
@@ -180,21 +173,20 @@ def write_entity_index(index: DataFrame, path: str, mode: str = "error") -> None
 
 def with_zoom_levels(areas: DataFrame) -> DataFrame:
     """O-13: set the zoom level of counties and municipalities."""
-    return areas.withColumn("zoom_level", default_zoom_level(F.col("area_type_id"), F.col("zoom_level")))
+    return areas.withColumn("zoom_level", F.expr(default_zoom_level("area_type_id", "zoom_level")))
 
 
 def carry_soft_delete(rows: DataFrame, legacy: str = "legacy_deleted") -> DataFrame:
     """O-44: a row deleted under the legacy flag is deleted; the legacy column goes."""
-    return rows.withColumn(
-        "is_deleted", F.when(F.col(legacy), F.lit(True)).otherwise(F.col("is_deleted"))
-    ).drop(legacy)
+    return rows.withColumn("is_deleted", F.expr(f"IF({legacy}, TRUE, is_deleted)")).drop(legacy)
 
 
 def with_dna_basis(basis_of_records: DataFrame) -> DataFrame:
     """O-45: append the DNA rows to the basis-of-record lookup."""
-    rows = [(i, n, d, v, None, False) for i, n, d, v in codes.DNA_BASIS_ROWS]
-    schema = (
-        "basis_of_record_id int, name string, description string, variants string, "
-        "observation_count int, is_deleted boolean"
+    rows = ", ".join(
+        f"struct({i} AS basis_of_record_id, {quoted(name)} AS name, {quoted(text)} AS description, "
+        f"{quoted(variants)} AS variants, CAST(NULL AS INT) AS observation_count, FALSE AS is_deleted)"
+        for i, name, text, variants in codes.DNA_BASIS_ROWS
     )
-    return basis_of_records.unionByName(basis_of_records.sparkSession.createDataFrame(rows, schema))
+    appended = basis_of_records.sparkSession.range(1).selectExpr(f"inline(array({rows}))")
+    return basis_of_records.unionByName(appended)

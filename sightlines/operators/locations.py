@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightlines import codes
@@ -37,10 +37,10 @@ def locations(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter
         places = places.where(envelope_condition(f.envelope))
     return (
         counts.join(places.select("location_id", "latitude", "longitude"), "location_id")
-        .select(
+        .selectExpr(
             "location_id",
-            or_zero(F.col("latitude")).alias("latitude"),
-            or_zero(F.col("longitude")).alias("longitude"),
+            f"{or_zero('latitude')} AS latitude",
+            f"{or_zero('longitude')} AS longitude",
             "observation_count",
         )
         .orderBy(F.desc("observation_count"), "location_id")
@@ -48,24 +48,23 @@ def locations(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter
     )
 
 
-def _line() -> Column:
-    return F.concat(
-        F.lit("["), F.col("location_id").cast("string"), F.lit(","), number_text(F.col("longitude")),
-        F.lit(","), number_text(F.col("latitude")), F.lit(","),
-        F.col("observation_count").cast("string"), F.lit("]"),
-    )
+_LINE = (
+    f"concat('[', location_id, ',', {number_text('longitude')}, ',', {number_text('latitude')}, ',', "
+    "observation_count, ']')"
+)
 
 
 def location_lines(located: DataFrame) -> DataFrame:
     """O-05, one JSON array ``[id,lon,lat,count]`` per row."""
-    return located.select("location_id", _line().alias("line"))
+    return located.selectExpr("location_id", f"{_LINE} AS line")
 
 
 def location_document(located: DataFrame, epsg: int = codes.DEFAULT_EPSG) -> DataFrame:
     """O-05 as one document. Only for results of ``locations``, which are at most
     100 000 rows; larger results are written as lines."""
-    ranked = F.struct((-F.col("observation_count")).alias("rank"), "location_id", _line().alias("line"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(ranked)), lambda r: r["line"]), ",")
+    lines = f"sort_array(collect_list(struct(-observation_count AS rank, location_id, {_LINE} AS line)))"
     return located.agg(
-        F.concat(F.lit(f'{{"epsg":{epsg},"locations":['), body, F.lit("]}")).alias("document")
+        F.expr(f"""concat('{{"epsg":{int(epsg)},"locations":[', array_join({lines}.line, ','), ']}}')""").alias(
+            "document"
+        )
     )

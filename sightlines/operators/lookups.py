@@ -19,7 +19,7 @@ def _sort_name(name: str, collation: str | None) -> Column:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("is_deleted"))
+    return df.where("NOT is_deleted")
 
 
 def category_rows(tables: OccurrenceTables) -> DataFrame:
@@ -51,7 +51,7 @@ def ordered_categories(tables: OccurrenceTables) -> DataFrame:
     """O-18: undeleted categories with their display rank."""
     return (
         _kept(tables.category)
-        .select("category_id", "code", "name", category_rank(F.col("code")).alias("display_rank"))
+        .selectExpr("category_id", "code", "name", f"{category_rank('code')} AS display_rank")
         .orderBy("display_rank", "category_id")
     )
 
@@ -101,10 +101,7 @@ def institutions(tables: OccurrenceTables, collation: str | None = None) -> Data
     """O-64i: institutions with observations, by name."""
     return (
         _kept(tables.organization)
-        .where(
-            (F.col("organization_type_id") == codes.INSTITUTION_ORGANIZATION_TYPE)
-            & (F.col("observation_count") > 0)
-        )
+        .where(f"organization_type_id = {codes.INSTITUTION_ORGANIZATION_TYPE} AND observation_count > 0")
         .orderBy(_sort_name("name", collation), "organization_id")
         .select("organization_id", "name", "code", "observation_count")
     )
@@ -116,7 +113,7 @@ def organization_search(
     """O-64j: organisations whose name contains a text, by name; a blank text finds none."""
     if not 1 <= max_count <= codes.MAX_ORGANIZATIONS:
         raise ValueError(f"max_count must be between 1 and {codes.MAX_ORGANIZATIONS}")
-    condition = contains_text(F.col("name"), name.strip()) if name.strip() else F.lit(False)
+    condition = contains_text("name", name.strip()) if name.strip() else "FALSE"
     return (
         _kept(tables.organization)
         .where(condition)

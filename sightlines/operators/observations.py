@@ -75,21 +75,22 @@ def observation_rows(page: DataFrame, tables: OccurrenceTables) -> DataFrame:
     its ids are broadcast to the index, and the index is read once for both the
     institution and the municipality. Each takes the smallest entity id (T-08).
     """
-    kind = F.col("entity_type_id")
-    wanted = tables.entity_index.where(kind.isin(codes.INSTITUTION, codes.MUNICIPALITY))
+    wanted = tables.entity_index.where(f"entity_type_id IN ({codes.INSTITUTION}, {codes.MUNICIPALITY})")
     entries = (
         wanted.select("observation_id", "entity_type_id", "entity_id")
         .join(F.broadcast(page.select("observation_id")), "observation_id", "left_semi")
         .join(
-            tables.organization.select(F.col("organization_id").alias("entity_id"), F.col("name").alias("org_name")),
+            tables.organization.selectExpr("organization_id AS entity_id", "name AS org_name"),
             "entity_id",
             "left",
         )
     )
-    named_institution = (kind == codes.INSTITUTION) & F.col("org_name").isNotNull()
+    named_institution = f"entity_type_id = {codes.INSTITUTION} AND org_name IS NOT NULL"
     lookups = entries.groupBy("observation_id").agg(
-        F.min_by("org_name", F.when(named_institution, F.col("entity_id"))).alias("institution"),
-        F.min(F.when(kind == codes.MUNICIPALITY, F.col("entity_id"))).cast("string").alias("municipality_id"),
+        F.expr(f"min_by(org_name, IF({named_institution}, entity_id, NULL)) AS institution"),
+        F.expr(
+            f"CAST(min(IF(entity_type_id = {codes.MUNICIPALITY}, entity_id, NULL)) AS STRING) AS municipality_id"
+        ),
     )
     taxa = tables.taxon.select(
         "taxon_id", "preferred_popular_name", "valid_scientific_name", "valid_scientific_name_authorship"
@@ -98,11 +99,11 @@ def observation_rows(page: DataFrame, tables: OccurrenceTables) -> DataFrame:
         page.join(taxa, "taxon_id")
         .join(tables.location.select("location_id", "locality"), "location_id", "left")
         .join(lookups, "observation_id", "left")
-        .select(
+        .selectExpr(
             "observation_id",
             "preferred_popular_name",
-            F.col("valid_scientific_name").alias("scientific_name"),
-            F.col("valid_scientific_name_authorship").alias("author"),
+            "valid_scientific_name AS scientific_name",
+            "valid_scientific_name_authorship AS author",
             "institution",
             "locality",
             "municipality_id",
@@ -135,15 +136,10 @@ def observations(tables: OccurrenceTables, f: ObservationFilter = ObservationFil
 def page_meta(window: DataFrame, f: ObservationFilter, lookahead: int = codes.LOOKAHEAD_PAGES) -> DataFrame:
     """O-64b: one row describing the look-ahead window of a paged request."""
     per_page = f.results_per_page
-    n = F.count("*")
-    return window.agg(
-        F.least(n, F.lit(per_page)).alias("items"),
-        F.greatest(F.ceil(n / F.lit(per_page)).cast("bigint") - 1, F.lit(0)).cast("bigint").alias("lookahead_count"),
-        (n >= per_page * lookahead).alias("has_more_pages"),
-    ).select(
-        F.lit(f.page_number).alias("page_number"),
-        F.lit(per_page).alias("results_per_page"),
-        "items",
-        "lookahead_count",
-        "has_more_pages",
+    return window.agg(F.count("*").alias("n")).selectExpr(
+        f"{f.page_number} AS page_number",
+        f"{per_page} AS results_per_page",
+        f"least(n, {per_page}) AS items",
+        f"greatest((n + {per_page - 1}) div {per_page} - 1, 0L) AS lookahead_count",
+        f"n >= {per_page * lookahead} AS has_more_pages",
     )

@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightlines import codes
-from sightlines.functions.scalars import contains_text
+from sightlines.functions.scalars import contains_text, quoted
 from sightlines.sources.tables import OccurrenceTables
 
 EXACT, PREFIX, INSIDE = 1, 2, 3
 
 
 def active_taxa(tables: OccurrenceTables) -> DataFrame:
-    return tables.taxon.where(
-        ~F.col("is_deleted") & ((F.col("cumulative_observation_count") > 0) | F.col("exists_in_country"))
-    )
+    return tables.taxon.where("NOT is_deleted AND (cumulative_observation_count > 0 OR exists_in_country)")
 
 
 def _names(tables: OccurrenceTables) -> DataFrame:
     """Undeleted scientific and popular names: (taxon_id, name)."""
-    kept = ~F.col("is_deleted")
-    scientific = tables.taxon_name.where(kept).select("taxon_id", F.col("scientific_name").alias("name"))
-    popular = tables.taxon_popular_name.where(kept).select("taxon_id", "name")
+    scientific = tables.taxon_name.where("NOT is_deleted").selectExpr("taxon_id", "scientific_name AS name")
+    popular = tables.taxon_popular_name.where("NOT is_deleted").select("taxon_id", "name")
     return scientific.unionByName(popular)
 
 
-def match_level(name: Column, term: str) -> Column:
-    """1 equal, 2 starts with, 3 contains; ignoring case, wildcards taken literally."""
-    text, wanted = F.lower(name), F.lit(term)
-    return F.when(text == wanted, EXACT).when(F.startswith(text, wanted), PREFIX).otherwise(INSIDE)
+def _tests(name: str, term: str) -> tuple[str, str, str]:
+    """Equal, starts with, contains; ignoring case, wildcards taken literally."""
+    text, wanted = f"lower({name})", quoted(term)
+    return f"{text} = {wanted}", f"startswith({text}, {wanted})", contains_text(name, term)
+
+
+def match_level(name: str, term: str) -> str:
+    exact, prefix, _ = _tests(name, term)
+    return f"CASE WHEN {exact} THEN {EXACT} WHEN {prefix} THEN {PREFIX} ELSE {INSIDE} END"
 
 
 def matching_taxa(tables: OccurrenceTables, name: str) -> DataFrame:
@@ -37,9 +39,9 @@ def matching_taxa(tables: OccurrenceTables, name: str) -> DataFrame:
     term = name.strip().lower()
     hits = (
         _names(tables)
-        .where(contains_text(F.col("name"), term))
+        .where(contains_text("name", term))
         .groupBy("taxon_id")
-        .agg(F.min(match_level(F.col("name"), term)).alias("level"))
+        .agg(F.expr(f"min({match_level('name', term)}) AS level"))
     )
     return active_taxa(tables).join(hits, "taxon_id")
 
@@ -50,7 +52,7 @@ def taxon_search(tables: OccurrenceTables, name: str, max_count: int = codes.DEF
         raise ValueError(f"max_count must be between 1 and {codes.MAX_TAXA}")
     found = matching_taxa(tables, name)
     if not name.strip():
-        found = found.where(F.lit(False))
+        found = found.where("FALSE")
     return (
         found.orderBy("level", "taxon_id")
         .limit(max_count)
@@ -66,8 +68,6 @@ def taxon_union(tables: OccurrenceTables, name: str) -> DataFrame:
     """The same matches as a union of the three levels; every match, no limit."""
     term = name.strip().lower()
     names = _names(tables)
-    text, wanted = F.lower("name"), F.lit(term)
-    levels = [text == wanted, F.startswith(text, wanted), F.contains(text, wanted)]
-    exact, prefix, inside = (names.where(c).select("taxon_id") for c in levels)
+    exact, prefix, inside = (names.where(test).select("taxon_id") for test in _tests("name", term))
     ids = exact.union(prefix).union(inside).distinct()
     return active_taxa(tables).join(ids, "taxon_id", "left_semi")

@@ -410,7 +410,7 @@ def export_job_columns(t: OccurrenceTables) -> DataFrame:
 
 @_query
 def slug(t: OccurrenceTables) -> DataFrame:
-    return t.export_job.select("job_id", export_slug(F.col("name")).alias("slug"))
+    return t.export_job.selectExpr("job_id", f"{export_slug('name')} AS slug")
 
 
 # --- samples, geometry -------------------------------------------------------
@@ -537,14 +537,13 @@ def slow_log(t: OccurrenceTables) -> DataFrame:
 
 @_query
 def abbrev(t: OccurrenceTables) -> DataFrame:
-    count = F.col("elapsed_ms") * F.col("request_id")
-    return t.request_log.select("request_id", abbreviated(count).alias("shown"))
+    counted = t.request_log.selectExpr("request_id", "elapsed_ms * request_id AS n")
+    return counted.selectExpr("request_id", f"{abbreviated('n')} AS shown")
 
 
 @_query
 def zoom_buckets(t: OccurrenceTables) -> DataFrame:
-    zoom = F.col("elapsed_ms") / F.lit(100.0)
-    return t.request_log.select("request_id", zoom_bucket(zoom).alias("zoom_level"))
+    return t.request_log.selectExpr("request_id", f"{zoom_bucket('elapsed_ms / 100D')} AS zoom_level")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ observation <- orders, location <- customer, municipality <- nation,
 county <- region, taxon <- part, organisation <- supplier, tags, behaviours and
 media <- lineitem, export jobs and request log <- events. Nulls, deleted rows and
 historical areas come from modulo rules, as the supplied tables have none.
+
+The mappings are expression texts: a text is one call to the JVM, where a tree of
+column objects is one call per node.
 """
 
 from __future__ import annotations
@@ -11,8 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sightlines import schema
 from sightlines.sources.tables import OccurrenceTables
@@ -29,396 +31,309 @@ def supplied_tables(spark: SparkSession, sf_dir: str) -> OccurrenceTables:
     return OccurrenceTables(spark, {name: partial(build, raw) for name, build in _MAPPINGS.items()})
 
 
-def _null_when(condition: Column, value: Column) -> Column:
-    return F.when(~condition, value)
-
-
-def _group_number(brand: str) -> Column:
-    return F.substring(brand, 7, 10).cast("int")
+_GROUP_NUMBER = "CAST(substring(p_brand, 7) AS INT)"
 
 
 def _taxon_group(raw: Raw) -> DataFrame:
-    return raw("part").select(
-        _group_number("p_brand").alias("taxon_group_id"),
-        F.col("p_brand").alias("name"),
-        F.lit(None).cast("int").alias("observation_count"),
-        F.lit(False).alias("is_deleted"),
+    return raw("part").selectExpr(
+        f"{_GROUP_NUMBER} AS taxon_group_id",
+        "p_brand AS name",
+        "CAST(NULL AS INT) AS observation_count",
+        "FALSE AS is_deleted",
     ).distinct()
 
 
 def _taxon(raw: Raw) -> DataFrame:
-    key = F.col("p_partkey")
-    return raw("part").select(
-        key.alias("taxon_id"),
-        (key + 100000).alias("external_taxon_id"),
-        F.col("p_name").alias("valid_scientific_name"),
-        F.col("p_type").alias("valid_scientific_name_authorship"),
-        F.concat_ws(" ", "p_name", "p_brand").alias("preferred_popular_name"),
-        _group_number("p_brand").alias("taxon_group_id"),
-        F.col("p_size").alias("taxon_rank_id"),
-        F.when(key % 11 == 0, F.lit(0)).otherwise(F.col("p_size")).alias("cumulative_observation_count"),
-        (key % 2 == 0).alias("exists_in_country"),
-        (key % 17 == 0).alias("is_deleted"),
+    return raw("part").selectExpr(
+        "p_partkey AS taxon_id",
+        "p_partkey + 100000 AS external_taxon_id",
+        "p_name AS valid_scientific_name",
+        "p_type AS valid_scientific_name_authorship",
+        "concat(p_name, ' ', p_brand) AS preferred_popular_name",
+        f"{_GROUP_NUMBER} AS taxon_group_id",
+        "p_size AS taxon_rank_id",
+        "IF(p_partkey % 11 = 0, 0, p_size) AS cumulative_observation_count",
+        "p_partkey % 2 = 0 AS exists_in_country",
+        "p_partkey % 17 = 0 AS is_deleted",
     )
 
 
 def _taxon_name(raw: Raw) -> DataFrame:
-    part = raw("part")
-    accepted = part.select(
-        (F.col("p_partkey") * 2).alias("taxon_name_id"),
-        F.col("p_partkey").alias("taxon_id"),
-        F.col("p_name").alias("scientific_name"),
-        F.col("p_type").alias("scientific_name_authorship"),
-        F.lit(True).alias("accepted"),
-        F.lit(False).alias("is_deleted"),
-    )
-    synonyms = part.select(
-        (F.col("p_partkey") * 2 + 1).alias("taxon_name_id"),
-        F.col("p_partkey").alias("taxon_id"),
-        F.concat(F.lit("syn "), "p_name").alias("scientific_name"),
-        F.col("p_type").alias("scientific_name_authorship"),
-        F.lit(False).alias("accepted"),
-        (F.col("p_partkey") % 5 == 0).alias("is_deleted"),
+    """An accepted name and a synonym per part, in one scan."""
+    fields = "struct({0} AS taxon_name_id, {1} AS scientific_name, {2} AS accepted, {3} AS is_deleted)"
+    accepted = fields.format("p_partkey * 2", "p_name", "TRUE", "FALSE")
+    synonym = fields.format("p_partkey * 2 + 1", "concat('syn ', p_name)", "FALSE", "p_partkey % 5 = 0")
+    return raw("part").selectExpr(
+        "p_partkey AS taxon_id", "p_type AS scientific_name_authorship", f"inline(array({accepted}, {synonym}))"
     )
-    return accepted.unionByName(synonyms)
 
 
 def _taxon_popular_name(raw: Raw) -> DataFrame:
-    return raw("part").select(
-        F.col("p_partkey").alias("taxon_popular_name_id"),
-        F.col("p_partkey").alias("taxon_id"),
-        F.concat_ws(" ", "p_name", "p_brand").alias("name"),
-        F.lit("nb").alias("language"),
-        F.lit(True).alias("preferred"),
-        (F.col("p_partkey") % 7 == 0).alias("is_deleted"),
+    return raw("part").selectExpr(
+        "p_partkey AS taxon_popular_name_id",
+        "p_partkey AS taxon_id",
+        "concat(p_name, ' ', p_brand) AS name",
+        "'nb' AS language",
+        "TRUE AS preferred",
+        "p_partkey % 7 = 0 AS is_deleted",
     )
 
 
 def _location(raw: Raw) -> DataFrame:
-    key = F.col("c_custkey")
-    text = key.cast("string")
-    rectangle = F.concat(F.lit("POLYGON ((0 0, 0 "), text, F.lit(", 9 "), text, F.lit(", 9 0, 0 0))"))
-    triangle = F.concat(F.lit("POLYGON ((0 0, 0 "), text, F.lit(", 9 "), text, F.lit(", 0 0))"))
-    point = F.concat(F.lit("POINT ("), text, F.lit(" 1)"))
-    return raw("customer").select(
-        key.alias("location_id"),
-        _null_when(key % 20 == 0, F.lit(58.0) + (key % 1300) / F.lit(100.0)).alias("latitude"),
-        (F.lit(5.0) + (key % 2500) / F.lit(100.0)).alias("longitude"),
-        F.floor(F.col("c_acctbal") * 10).cast("int").alias("east"),
-        (key + 6500000).cast("int").alias("north"),
-        F.col("c_name").alias("locality"),
-        F.when(key % 3 == 0, rectangle).when(key % 3 == 1, triangle).otherwise(point).alias("geometry_wkt"),
+    return raw("customer").selectExpr(
+        "c_custkey AS location_id",
+        "IF(c_custkey % 20 = 0, NULL, 58.0D + (c_custkey % 1300) / 100.0D) AS latitude",
+        "5.0D + (c_custkey % 2500) / 100.0D AS longitude",
+        "CAST(floor(c_acctbal * 10) AS INT) AS east",
+        "CAST(6500000 + c_custkey AS INT) AS north",
+        "c_name AS locality",
+        """CASE c_custkey % 3
+             WHEN 0 THEN concat('POLYGON ((0 0, 0 ', c_custkey, ', 9 ', c_custkey, ', 9 0, 0 0))')
+             WHEN 1 THEN concat('POLYGON ((0 0, 0 ', c_custkey, ', 9 ', c_custkey, ', 0 0))')
+             ELSE concat('POINT (', c_custkey, ' 1)') END AS geometry_wkt""",
     )
 
 
 def _observation(raw: Raw) -> DataFrame:
-    key = F.col("o_orderkey")
-    first_part = raw("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("first_part"))
-    rows = (
-        raw("orders")
-        .join(first_part, key == F.col("l_orderkey"), "left")
-        .withColumn("p_partkey", F.coalesce("first_part", F.lit(0)))
-        .join(raw("part").select("p_partkey", "p_brand"), "p_partkey")
+    first_part = raw("lineitem").groupBy("l_orderkey").agg({"l_partkey": "min"}).withColumnsRenamed(
+        {"l_orderkey": "o_orderkey", "min(l_partkey)": "first_part"}
     )
-    return rows.select(
-        key.alias("observation_id"),
-        _null_when(key % 97 == 0, F.col("o_custkey")).alias("location_id"),
-        F.col("p_partkey").alias("taxon_id"),
-        (F.col("p_partkey") * 2 + F.when(key % 4 == 0, 1).otherwise(0)).alias("matched_scientific_name_id"),
-        _group_number("p_brand").alias("taxon_group_id"),
-        F.when(F.col("o_orderstatus") == "F", 9).when(F.col("o_orderstatus") == "O", 11).alias("category_id"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("basis_of_record_id"),
-        _null_when(key % 13 == 0, F.floor(F.col("o_totalprice") / 100).cast("int")).alias(
-            "coordinate_precision_m"
-        ),
-        _null_when(key % 50 == 0, F.col("o_orderdate")).alias("date_time_collected"),
-        F.concat(F.lit("COLL-"), "o_orderpriority").alias("collection_code"),
-        _null_when(key % 9 == 0, F.concat(F.lit("CAT_"), key.cast("string"))).alias("catalog_number"),
-        (F.lit(58.0) + (F.col("o_custkey") % 1300) / F.lit(100.0)).alias("latitude"),
-        (F.lit(5.0) + (F.col("o_custkey") % 2500) / F.lit(100.0)).alias("longitude"),
-        (key % 2 == 0).alias("has_errors"),
+    orders = raw("orders").join(first_part, "o_orderkey", "left").selectExpr(
+        "*", "coalesce(first_part, 0L) AS p_partkey"
+    )
+    return orders.join(raw("part").select("p_partkey", "p_brand"), "p_partkey").selectExpr(
+        "o_orderkey AS observation_id",
+        "IF(o_orderkey % 97 = 0, NULL, o_custkey) AS location_id",
+        "p_partkey AS taxon_id",
+        "p_partkey * 2 + IF(o_orderkey % 4 = 0, 1, 0) AS matched_scientific_name_id",
+        f"{_GROUP_NUMBER} AS taxon_group_id",
+        "CASE o_orderstatus WHEN 'F' THEN 9 WHEN 'O' THEN 11 END AS category_id",
+        "CAST(substring(o_orderpriority, 1, 1) AS INT) AS basis_of_record_id",
+        "IF(o_orderkey % 13 = 0, NULL, CAST(floor(o_totalprice / 100) AS INT)) AS coordinate_precision_m",
+        "IF(o_orderkey % 50 = 0, NULL, o_orderdate) AS date_time_collected",
+        "concat('COLL-', o_orderpriority) AS collection_code",
+        "IF(o_orderkey % 9 = 0, NULL, concat('CAT_', o_orderkey)) AS catalog_number",
+        "58.0D + (o_custkey % 1300) / 100.0D AS latitude",
+        "5.0D + (o_custkey % 2500) / 100.0D AS longitude",
+        "o_orderkey % 2 = 0 AS has_errors",
     )
 
 
 def _observation_detail(raw: Raw) -> DataFrame:
-    key = F.col("o_orderkey")
-    return raw("orders").where(key % 3 != 0).select(
-        key.alias("observation_id"),
-        F.concat(F.lit("Dataset "), "o_orderpriority").alias("dataset_name"),
-        F.concat(F.lit("Collector "), F.col("o_custkey").cast("string")).alias("collector"),
-        F.concat(F.lit('seen "'), "o_orderstatus", F.lit('"; noted')).alias("notes"),
-        _null_when(key % 5 == 0, F.lit("shore")).alias("locality"),
+    return raw("orders").where("o_orderkey % 3 <> 0").selectExpr(
+        "o_orderkey AS observation_id",
+        "concat('Dataset ', o_orderpriority) AS dataset_name",
+        "concat('Collector ', o_custkey) AS collector",
+        "concat('seen \"', o_orderstatus, '\"; noted') AS notes",
+        "IF(o_orderkey % 5 = 0, NULL, 'shore') AS locality",
     )
 
 
 def _observation_behavior(raw: Raw) -> DataFrame:
-    return raw("lineitem").select(
-        F.col("l_orderkey").alias("observation_id"), F.col("l_linenumber").alias("behavior_id")
-    ).distinct()
+    return raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_linenumber AS behavior_id").distinct()
 
 
 def _observation_tag(raw: Raw) -> DataFrame:
-    flag = F.col("l_returnflag")
-    return raw("lineitem").where(F.col("l_quantity") <= 8).select(
-        F.col("l_orderkey").alias("observation_id"),
-        F.when(flag == "A", 5).when(flag == "R", 6).otherwise(3).alias("tag_id"),
+    return raw("lineitem").where("l_quantity <= 8").selectExpr(
+        "l_orderkey AS observation_id", "CASE l_returnflag WHEN 'A' THEN 5 WHEN 'R' THEN 6 ELSE 3 END AS tag_id"
     ).distinct()
 
 
 def _media_file(raw: Raw) -> DataFrame:
-    return raw("lineitem").where((F.col("l_linestatus") == "F") & (F.col("l_discount") >= 0.08)).select(
-        F.col("l_orderkey").alias("observation_id"), F.col("l_partkey").alias("media_file_id")
+    return raw("lineitem").where("l_linestatus = 'F' AND l_discount >= 0.08D").selectExpr(
+        "l_orderkey AS observation_id", "l_partkey AS media_file_id"
     )
 
 
 def _organization(raw: Raw) -> DataFrame:
-    key = F.col("s_suppkey")
-    return raw("supplier").select(
-        key.alias("organization_id"),
-        F.col("s_name").alias("name"),
-        F.concat(F.lit("ORG"), key.cast("string")).alias("code"),
-        F.when(key % 2 == 0, 1).otherwise(3).alias("organization_type_id"),
-        (key % 19 == 0).alias("is_deleted"),
-        _null_when(key % 6 == 0, key.cast("int")).alias("observation_count"),
+    return raw("supplier").selectExpr(
+        "s_suppkey AS organization_id",
+        "s_name AS name",
+        "concat('ORG', s_suppkey) AS code",
+        "IF(s_suppkey % 2 = 0, 1, 3) AS organization_type_id",
+        "s_suppkey % 19 = 0 AS is_deleted",
+        "IF(s_suppkey % 6 = 0, NULL, CAST(s_suppkey AS INT)) AS observation_count",
     )
 
 
 def _organization_relation(raw: Raw) -> DataFrame:
-    return raw("lineitem").select(
-        F.col("l_orderkey").alias("observation_id"), F.col("l_suppkey").alias("organization_id")
-    ).distinct()
+    return raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_suppkey AS organization_id").distinct()
 
 
-def _area(raw: Raw) -> DataFrame:
-    nation, region = raw("nation"), raw("region")
-    n, r = F.col("n_nationkey"), F.col("r_regionkey")
-
-    def rows(
-        df: DataFrame, area_id: Column, fid: Column, name: Column, kind: int, zoom: int,
-        parent: Column | None = None, current: Column | None = None, count: Column | int | None = None,
-        wkt: Column | None = None, deleted: Column | None = None,
-    ) -> DataFrame:
-        count = count if isinstance(count, Column) else F.lit(count)
-        return df.select(
-            area_id.cast("bigint").alias("area_id"),
-            fid.alias("fid"),
-            name.alias("name"),
-            F.lit(kind).alias("area_type_id"),
-            F.lit(zoom).alias("zoom_level"),
-            (F.lit(None).cast("string") if parent is None else parent).alias("parent_fid"),
-            (F.lit(True) if current is None else current).alias("is_current"),
-            (F.lit(False) if deleted is None else deleted).alias("is_deleted"),
-            count.cast("int").alias("observation_count"),
-            (F.lit(None).cast("string") if wkt is None else wkt).alias("wkt_polygon"),
-        )
+_AREA_FIELDS = (
+    "CAST({area_id} AS BIGINT) AS area_id, {fid} AS fid, {name} AS name, {kind} AS area_type_id, "
+    "{zoom} AS zoom_level, CAST({parent} AS STRING) AS parent_fid, {current} AS is_current, "
+    "{deleted} AS is_deleted, CAST({count} AS INT) AS observation_count, CAST({wkt} AS STRING) AS wkt_polygon"
+)
+
+
+def _area_struct(area_id: str, fid: str, name: str, kind: int, zoom: int, **known: str) -> str:
+    blank = {"parent": "NULL", "current": "TRUE", "deleted": "FALSE", "count": "NULL", "wkt": "NULL"}
+    fields = _AREA_FIELDS.format(area_id=area_id, fid=fid, name=name, kind=kind, zoom=zoom, **(blank | known))
+    return f"struct({fields})"
 
-    west, east = n.cast("string"), (n + 3).cast("string")
-    square = F.concat(
-        F.lit("POLYGON (("), west, F.lit(" 0, "), west, F.lit(" 5, "), east, F.lit(" 5, "), east,
-        F.lit(" 0, "), west, F.lit(" 0))"),
+
+def _area(raw: Raw) -> DataFrame:
+    """A nation is a municipality and at times a reserve; a region a county, a sea and once the polar islands."""
+    municipality = _area_struct(
+        "1000 + n_nationkey", "CAST(100 * (n_regionkey + 1) + n_nationkey AS STRING)", "n_name", 1, 2,
+        parent="n_regionkey + 1", current="n_nationkey <> 24", deleted="n_nationkey = 23", count="n_nationkey * 7",
+        wkt="concat('POLYGON ((', n_nationkey, ' 0, ', n_nationkey, ' 5, ', n_nationkey + 3, ' 5, ', "
+            "n_nationkey + 3, ' 0, ', n_nationkey, ' 0))')",
+    )
+    reserve = _area_struct(
+        "3000 + n_nationkey", "concat('Naturbase VV0000', n_nationkey)", "concat('Reserve ', n_name)", 3, 3
     )
-    municipalities = rows(
-        nation, 1000 + n, (100 * (F.col("n_regionkey") + 1) + n).cast("string"), F.col("n_name"), 1, 2,
-        parent=(F.col("n_regionkey") + 1).cast("string"), current=n != 24, count=n * 7, wkt=square,
-        deleted=n == 23,
+    county = _area_struct(
+        "2000 + r_regionkey", "CAST(r_regionkey + 1 AS STRING)", "r_name", 2, 1, count="r_regionkey * 100"
     )
-    counties = rows(region, 2000 + r, (r + 1).cast("string"), F.col("r_name"), 2, 1, count=r * 100)
-    reserves = rows(
-        nation.where(n % 5 == 0), 3000 + n, F.concat(F.lit("Naturbase VV0000"), n.cast("string")),
-        F.concat(F.lit("Reserve "), "n_name"), 3, 3,
+    sea = _area_struct(
+        "4000 + r_regionkey", "CAST(91 + r_regionkey AS STRING)", "concat('Sea ', r_name)", 4, 1, count="50"
     )
-    seas = rows(region, 4000 + r, (91 + r).cast("string"), F.concat(F.lit("Sea "), "r_name"), 4, 1, count=50)
-    polar = rows(region.where(r == 0), F.lit(6000), F.lit("21_99"), F.lit("Polar islands"), 6, 1, count=5)
-    return municipalities.unionByName(counties).unionByName(reserves).unionByName(seas).unionByName(polar)
+    polar = _area_struct("6000", "'21_99'", "'Polar islands'", 6, 1, count="5")
+    nations = raw("nation").selectExpr(
+        f"inline(IF(n_nationkey % 5 = 0, array({municipality}, {reserve}), array({municipality})))"
+    )
+    regions = raw("region").selectExpr(f"inline(IF(r_regionkey = 0, array({county}, {sea}, {polar}), array({county}, {sea})))")
+    return nations.unionByName(regions)
 
 
 def _area_type(raw: Raw) -> DataFrame:
     """Area types 1-4 and 6 from region; the name decides the list order."""
-    kind = F.when(F.col("r_regionkey") == 4, 6).otherwise(F.col("r_regionkey") + 1)
-    return raw("region").select(
-        kind.cast("int").alias("area_type_id"),
-        F.concat(F.lit("Type "), "r_name").alias("name"),
-        F.lit(False).alias("is_deleted"),
+    return raw("region").selectExpr(
+        "IF(r_regionkey = 4, 6, r_regionkey + 1) AS area_type_id",
+        "concat('Type ', r_name) AS name",
+        "FALSE AS is_deleted",
     )
 
 
 def _location_area(raw: Raw) -> DataFrame:
-    customer = raw("customer")
-    key = F.col("c_custkey").alias("location_id")
-    region_of = customer.join(
-        raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey"
-    )
-
-    def rows(df: DataFrame, area_id: Column) -> DataFrame:
-        return df.select(key, area_id.cast("bigint").alias("area_id"))
-
-    return (
-        rows(customer, 1000 + F.col("c_nationkey"))
-        .unionByName(rows(region_of, 2000 + F.col("n_regionkey")))
-        .unionByName(
-            rows(
-                customer.where((F.col("c_nationkey") % 5 == 0) & (F.col("c_custkey") % 3 == 0)),
-                3000 + F.col("c_nationkey"),
-            )
-        )
-        .unionByName(rows(region_of.where(F.col("c_mktsegment") == "BUILDING"), 4000 + F.col("n_regionkey")))
-        .unionByName(rows(customer.where(F.col("c_custkey") % 101 == 0), F.lit(6000)))
+    """A customer lies in its nation and region, and under conditions in three other areas; one scan."""
+    regions = raw("nation").selectExpr("n_nationkey AS c_nationkey", "n_regionkey")
+    return raw("customer").join(regions, "c_nationkey").selectExpr(
+        "c_custkey AS location_id",
+        """explode(CAST(array_compact(array(
+             1000 + c_nationkey,
+             2000 + n_regionkey,
+             IF(c_nationkey % 5 = 0 AND c_custkey % 3 = 0, 3000 + c_nationkey, NULL),
+             IF(c_mktsegment = 'BUILDING', 4000 + n_regionkey, NULL),
+             IF(c_custkey % 101 = 0, 6000, NULL))) AS ARRAY<BIGINT>)) AS area_id""",
     )
 
 
 def _category_type(raw: Raw) -> DataFrame:
-    region = raw("region")
-    types = region.select(
-        F.col("r_regionkey").alias("category_type_id"),
-        F.col("r_name").alias("name"),
-        (F.col("r_regionkey") == 3).alias("is_deleted"),
-    )
-    empty = region.where(F.col("r_regionkey") == 0).select(
-        F.lit(99).alias("category_type_id"), F.lit("Empty type").alias("name"), F.lit(False).alias("is_deleted")
-    )
-    return types.unionByName(empty)
+    own = "struct(r_regionkey AS category_type_id, r_name AS name, r_regionkey = 3 AS is_deleted)"
+    empty = "struct(99 AS category_type_id, 'Empty type' AS name, FALSE AS is_deleted)"
+    return raw("region").selectExpr(f"inline(IF(r_regionkey = 0, array({own}, {empty}), array({own})))")
 
 
 def _category(raw: Raw) -> DataFrame:
-    n = F.col("n_nationkey")
-    code = F.when(n % 5 == 0, "SE").when(n % 5 == 1, "CR").when(n % 5 == 2, "LC").when(n % 5 == 3, "NE")
-    return raw("nation").select(
-        n.alias("category_id"),
-        F.col("n_name").alias("name"),
-        F.col("n_regionkey").alias("category_type_id"),
-        code.otherwise("XX").alias("code"),
-        (n * 3).alias("observation_count"),
-        (n % 8 == 0).alias("is_deleted"),
+    return raw("nation").selectExpr(
+        "n_nationkey AS category_id",
+        "n_name AS name",
+        "n_regionkey AS category_type_id",
+        "CASE n_nationkey % 5 WHEN 0 THEN 'SE' WHEN 1 THEN 'CR' WHEN 2 THEN 'LC' WHEN 3 THEN 'NE' ELSE 'XX' END AS code",
+        "n_nationkey * 3 AS observation_count",
+        "n_nationkey % 8 = 0 AS is_deleted",
     )
 
 
 def _behavior(raw: Raw) -> DataFrame:
     """Behaviours before the soft-delete carry-over: they still hold the legacy flag."""
-    counts = raw("lineitem").groupBy("l_linenumber").agg(F.count("*").cast("int").alias("observation_count"))
-    number = F.col("l_linenumber")
-    text = number.cast("string")
-    return counts.select(
-        number.alias("behavior_id"),
-        F.concat(F.lit("behaviour "), text).alias("name"),
-        F.concat(F.lit("b"), text, F.lit(",Behaviour "), text, F.lit(",bhv"), text).alias("variants"),
-        F.lit(None).cast("string").alias("description"),
-        "observation_count",
-        F.lit(False).alias("is_deleted"),
-        (number % 4 == 0).alias("legacy_deleted"),
+    return raw("lineitem").groupBy("l_linenumber").count().selectExpr(
+        "l_linenumber AS behavior_id",
+        "concat('behaviour ', l_linenumber) AS name",
+        "concat('b', l_linenumber, ',Behaviour ', l_linenumber, ',bhv', l_linenumber) AS variants",
+        "CAST(NULL AS STRING) AS description",
+        "CAST(count AS INT) AS observation_count",
+        "FALSE AS is_deleted",
+        "l_linenumber % 4 = 0 AS legacy_deleted",
     )
 
 
 def _basis_of_record(raw: Raw) -> DataFrame:
-    priority = F.col("o_orderpriority")
-    return raw("orders").groupBy("o_orderpriority").agg(F.count("*").cast("int").alias("observation_count")).select(
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("basis_of_record_id"),
-        priority.alias("name"),
-        F.concat(F.lit("Basis "), priority).alias("description"),
-        priority.alias("variants"),
-        "observation_count",
-        F.lit(False).alias("is_deleted"),
+    return raw("orders").groupBy("o_orderpriority").count().selectExpr(
+        "CAST(substring(o_orderpriority, 1, 1) AS INT) AS basis_of_record_id",
+        "o_orderpriority AS name",
+        "concat('Basis ', o_orderpriority) AS description",
+        "o_orderpriority AS variants",
+        "CAST(count AS INT) AS observation_count",
+        "FALSE AS is_deleted",
     )
 
 
 def _export_job(raw: Raw) -> DataFrame:
-    key, kind = F.col("event_id"), F.col("event_type")
-    group = (key % 25 + 1).cast("string")
-    status = (
-        F.when(kind == "view", "Complete").when(kind == "click", "Complete").when(kind == "purchase", "Failed")
-        .when(kind == "signup", "Cancelled").otherwise("Pending")
-    )
-    return raw("events").select(
-        key.alias("job_id"),
-        F.col("user_id").cast("string").alias("user_id"),
-        F.concat(kind, F.lit(" æ/"), key.cast("string"), F.lit("!")).alias("name"),
-        status.alias("status"),
-        F.concat(
-            F.lit('{"TaxonGroupIds":['), group, F.lit('],"CountyIds":["'), (key % 5 + 1).cast("string"),
-            F.lit('"],"Period":{"From":'), (1995 + key % 4).cast("string"), F.lit(',"To":null,"Months":[5,6]}}'),
-        ).alias("filter_json"),
-        F.when(key % 3 == 0, F.lit('["Id","Detail.Notes","Bogus"]')).otherwise(F.lit("[]")).alias("selected_columns"),
-        F.floor("value").cast("bigint").alias("file_size"),
-        _null_when(key % 4 == 0, F.concat(F.lit("exports/"), key.cast("string"), F.lit(".csv"))).alias("blob_path"),
-        F.lit(None).cast("string").alias("excel_blob_path"),
-        F.col("ts").alias("created_at"),
-        _null_when(kind == "error", F.col("ts")).alias("completed_at"),
-        F.when(kind == "view", F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"),
+    return raw("events").selectExpr(
+        "event_id AS job_id",
+        "CAST(user_id AS STRING) AS user_id",
+        "concat(event_type, ' æ/', event_id, '!') AS name",
+        """CASE event_type WHEN 'view' THEN 'Complete' WHEN 'click' THEN 'Complete' WHEN 'purchase' THEN 'Failed'
+             WHEN 'signup' THEN 'Cancelled' ELSE 'Pending' END AS status""",
+        """concat('{"TaxonGroupIds":[', event_id % 25 + 1, '],"CountyIds":["', event_id % 5 + 1,
+             '"],"Period":{"From":', 1995 + event_id % 4, ',"To":null,"Months":[5,6]}}') AS filter_json""",
+        """IF(event_id % 3 = 0, '["Id","Detail.Notes","Bogus"]', '[]') AS selected_columns""",
+        "CAST(floor(value) AS BIGINT) AS file_size",
+        "IF(event_id % 4 = 0, NULL, concat('exports/', event_id, '.csv')) AS blob_path",
+        "CAST(NULL AS STRING) AS excel_blob_path",
+        "ts AS created_at",
+        "IF(event_type = 'error', NULL, ts) AS completed_at",
+        "IF(event_type = 'view', ts + INTERVAL 10 DAYS, NULL) AS expires_at",
     )
 
 
 def _request_log(raw: Raw) -> DataFrame:
-    return raw("events").select(
-        F.col("event_id").alias("request_id"),
-        F.col("event_type").alias("endpoint"),
-        F.floor(F.col("value") * 10).cast("bigint").alias("elapsed_ms"),
-        F.col("props").alias("request_body"),
-        F.col("ts").alias("occurred_at"),
+    return raw("events").selectExpr(
+        "event_id AS request_id",
+        "event_type AS endpoint",
+        "CAST(floor(value * 10) AS BIGINT) AS elapsed_ms",
+        "props AS request_body",
+        "ts AS occurred_at",
     )
 
 
 def _species_response(raw: Raw) -> DataFrame:
     """Two JSON shapes: even keys answer a search, odd keys a look-up by id."""
-    key = F.col("p_partkey")
-    names = F.struct(
-        F.col("p_name").alias("name"),
-        F.concat(F.lit("<i>"), "p_name", F.lit("</i>")).alias("nameFormatted"),
-        F.col("p_type").alias("author"),
-        F.lit("species").alias("rank"),
-    )
-    search = F.to_json(
-        F.struct(
-            key.cast("int").alias("taxonId"),
-            names.alias("acceptedScientificName"),
-            F.array(F.struct(F.col("p_brand").alias("name"), F.lit("nb").alias("nameLanguageIso"))).alias(
-                "preferredVernacularNames"
-            ),
-            F.array(F.struct(F.concat("p_brand", F.lit(" two")).alias("name"), F.lit("nn").alias("nameLanguageIso"))).alias(
-                "vernacularNameSynonyms"
-            ),
-            F.array(names).alias("scientificNameSynonyms"),
-        )
-    )
-
-    def scientific(status: Column, prefix: str) -> Column:
-        shown = F.concat(F.lit(prefix), "p_name")
-        return F.struct(
-            status.alias("taxonomicStatus"),
-            shown.alias("scientificNamePresentation"),
-            F.concat(F.lit("<i>"), shown, F.lit("</i>")).alias("scientificNamePresentationHtml"),
-            F.col("p_type").alias("scientificNameAuthorship"),
-            F.lit("species").alias("taxonRank"),
+    name = "struct(p_name AS name, concat('<i>', p_name, '</i>') AS nameFormatted, p_type AS author, 'species' AS rank)"
+    search = f"""to_json(struct(
+        CAST(p_partkey AS INT) AS taxonId,
+        {name} AS acceptedScientificName,
+        array(struct(p_brand AS name, 'nb' AS nameLanguageIso)) AS preferredVernacularNames,
+        array(struct(concat(p_brand, ' two') AS name, 'nn' AS nameLanguageIso)) AS vernacularNameSynonyms,
+        array({name}) AS scientificNameSynonyms))"""
+
+    def scientific(status: str, prefix: str) -> str:
+        return (
+            f"struct({status} AS taxonomicStatus, concat('{prefix}', p_name) AS scientificNamePresentation, "
+            f"concat('<i>{prefix}', p_name, '</i>') AS scientificNamePresentationHtml, "
+            "p_type AS scientificNameAuthorship, 'species' AS taxonRank)"
         )
 
-    def vernacular(suffix: str, status: str) -> Column:
-        return F.struct(
-            F.concat("p_brand", F.lit(suffix)).alias("vernacularName"),
-            F.lit(status).alias("vernacularNameStatus"),
-            F.lit("nb").alias("languageIsoCode"),
+    def vernacular(suffix: str, status: str) -> str:
+        return (
+            f"struct(concat(p_brand, '{suffix}') AS vernacularName, '{status}' AS vernacularNameStatus, "
+            "'nb' AS languageIsoCode)"
         )
 
-    accepted = F.when(key % 7 == 0, F.lit("Uncertain")).otherwise(F.lit("Accepted"))
-    by_id = F.to_json(
-        F.struct(
-            key.cast("int").alias("taxonId"),
-            F.array(scientific(F.lit("Synonym"), "syn "), scientific(accepted, "")).alias("scientificNames"),
-            F.array(vernacular("", "Recommended"), vernacular(" two", "Allowed")).alias("vernacularNames"),
-        )
-    )
-    return raw("part").select(
-        key.alias("response_id"),
-        F.when(key % 2 == 0, "search").otherwise("by_id").alias("shape"),
-        F.when(key % 2 == 0, search).otherwise(by_id).alias("body"),
+    accepted = scientific("IF(p_partkey % 7 = 0, 'Uncertain', 'Accepted')", "")
+    synonym = scientific("'Synonym'", "syn ")
+    by_id = f"""to_json(struct(
+        CAST(p_partkey AS INT) AS taxonId,
+        array({synonym}, {accepted}) AS scientificNames,
+        array({vernacular('', 'Recommended')}, {vernacular(' two', 'Allowed')}) AS vernacularNames))"""
+    return raw("part").selectExpr(
+        "p_partkey AS response_id",
+        "IF(p_partkey % 2 = 0, 'search', 'by_id') AS shape",
+        f"IF(p_partkey % 2 = 0, {search}, {by_id}) AS body",
     )
 
 
 def _viewport(raw: Raw) -> DataFrame:
-    west = F.col("r_regionkey") * 4
-    return raw("region").select(
-        F.col("r_regionkey").alias("viewport_id"),
-        west.cast("double").alias("min_x"),
-        F.lit(1.0).alias("min_y"),
-        (west + 6).cast("double").alias("max_x"),
-        F.lit(4.0).alias("max_y"),
+    return raw("region").selectExpr(
+        "r_regionkey AS viewport_id",
+        "CAST(r_regionkey * 4 AS DOUBLE) AS min_x",
+        "1.0D AS min_y",
+        "CAST(r_regionkey * 4 + 6 AS DOUBLE) AS max_x",
+        "4.0D AS max_y",
     )
 
 
