@@ -77,7 +77,7 @@ VIEWS = {
     "f_organization_relation": """
         SELECT DISTINCT l_orderkey AS observation_id, l_suppkey AS organization_id FROM lineitem""",
     "f_area": """
-        SELECT 1000 + n_nationkey AS area_id, CAST(100 * (n_regionkey + 1) + n_nationkey AS VARCHAR) AS fid,
+        SELECT CAST(1000 + n_nationkey AS BIGINT) AS area_id, CAST(100 * (n_regionkey + 1) + n_nationkey AS VARCHAR) AS fid,
                n_name AS name, 1 AS area_type_id, 2 AS zoom_level, CAST(n_regionkey + 1 AS VARCHAR) AS parent_fid,
                n_nationkey <> 24 AS is_current, n_nationkey = 23 AS is_deleted,
                CAST(n_nationkey * 7 AS INT) AS observation_count,
