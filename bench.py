@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR   folder of the supplied tables (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
-BENCH_REPEATS  timed runs per request, of which the median counts (default 3)
+BENCH_REPEATS  timed runs per request, of which the median counts (default 2)
 
 ``named.*`` are queries over the raw tables, mapping included. ``store`` maps and
 writes the occurrence tables, ``index_build`` builds and writes the entity index
@@ -63,7 +63,7 @@ def _once(action) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("sightlines-bench")

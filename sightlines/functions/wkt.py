@@ -2,8 +2,8 @@
 
 A parsed geometry is polygons -> rings -> points: ``array<array<array<struct<x,y>>>>``.
 Points with other than two numbers and rings with fewer than three points are
-left out; text that is no polygon parses to null. Functions take and return
-expression texts; parse into a column first where a shape is used repeatedly.
+left out; text that is no polygon parses to an empty list, null to null. Functions
+take and return expression texts.
 """
 
 from __future__ import annotations
@@ -37,8 +37,16 @@ def polygons(wkt: str) -> str:
     one = f"regexp_extract({wkt}, '(?is)POLYGON\\\\s*\\\\(\\\\((.*)\\\\)\\\\)', 1)"
     parts = f"IF({is_multi(wkt)}, split({several}, '\\\\)\\\\)\\\\s*,\\\\s*\\\\(\\\\('), array({one}))"
     # A text without a polygon extracts as '', which has no ring and hence no polygon.
-    parsed = f"filter(transform({parts}, part -> {_rings('part')}), rings -> size(rings) > 0)"
-    return f"nullif({parsed}, array())"
+    return f"filter(transform({parts}, part -> {_rings('part')}), rings -> size(rings) > 0)"
+
+
+def when_filled(items: str, alias: str) -> str:
+    """A list expression as one row, none when it is empty or null.
+
+    As a generator it is evaluated once per row, and later predicates on the result
+    stay above it instead of being copied into the scan together with the parsing.
+    """
+    return f"explode(filter(array({items}), items -> size(items) > 0)) AS {alias}"
 
 
 def points(parsed: str) -> str:
@@ -47,13 +55,13 @@ def points(parsed: str) -> str:
 
 
 def bounds(all_points: str) -> str:
-    """struct<min_x, min_y, max_x, max_y> of a point list; null for a null list."""
+    """struct<min_x, min_y, max_x, max_y> of a point list."""
     box = ", ".join(
         f"'{side}_{axis}', array_{side}(transform({all_points}, p -> p.{axis}))"
         for side in ("min", "max")
         for axis in ("x", "y")
     )
-    return f"IF({all_points} IS NOT NULL, named_struct({box}), NULL)"
+    return f"named_struct({box})"
 
 
 def first_ring_mean(parsed: str, axis: str) -> str:

@@ -22,21 +22,13 @@ _FURTHEST = "1e15"
 
 def _with_parsed(df: DataFrame, wkt: str) -> DataFrame:
     """The parsed shape as ``_parsed``; rows that hold no polygon are dropped."""
-    return df.selectExpr("*", f"{W.polygons(wkt)} AS _parsed").where("_parsed IS NOT NULL")
+    return df.selectExpr("*", W.when_filled(W.polygons(wkt), "_parsed"))
 
 
 def with_bounds(df: DataFrame, wkt: str) -> DataFrame:
-    """O-64o: the bounding box of a WKT column; rows that hold no polygon are dropped.
-
-    Parsing, flattening and measuring are separate projections, so that the text is
-    parsed once per row.
-    """
-    boxed = (
-        df.selectExpr("*", f"{W.polygons(wkt)} AS _parsed")
-        .selectExpr(*df.columns, f"{W.points('_parsed')} AS _points")
-        .selectExpr(*df.columns, f"{W.bounds('_points')} AS _box")
-    )
-    return boxed.where("_box IS NOT NULL").selectExpr(*df.columns, *[f"_box.{c} AS {c}" for c in BOX])
+    """O-64o: the bounding box of a WKT column; rows that hold no polygon are dropped."""
+    pointed = df.selectExpr("*", W.when_filled(W.points(W.polygons(wkt)), "_points"))
+    return pointed.selectExpr(*df.columns, f"inline(array({W.bounds('_points')}))")
 
 
 # --- box overlap join --------------------------------------------------------

@@ -80,9 +80,13 @@ def _from_id(doc: Column) -> Column:
 
 def species_records(responses: DataFrame) -> DataFrame:
     """(response_id, record fields) from rows of (response_id, shape, body)."""
-    by_search = F.from_json("body", schema.SPECIES_SEARCH_JSON)
-    by_id = F.from_json("body", schema.SPECIES_BY_ID_JSON)
-    record = F.when(F.col("shape") == SEARCH, _from_search(by_search)).when(
-        F.col("shape") == BY_ID, _from_id(by_id)
+    # Parsed in a projection of its own, so that each body is read once.
+    parsed = responses.select(
+        "response_id",
+        F.when(F.col("shape") == SEARCH, F.from_json("body", schema.SPECIES_SEARCH_JSON)).alias("by_search"),
+        F.when(F.col("shape") == BY_ID, F.from_json("body", schema.SPECIES_BY_ID_JSON)).alias("by_id"),
     )
-    return responses.select("response_id", record.alias("record")).select("response_id", "record.*")
+    record = F.when(F.col("by_search").isNotNull(), _from_search(F.col("by_search"))).when(
+        F.col("by_id").isNotNull(), _from_id(F.col("by_id"))
+    )
+    return parsed.select("response_id", record.alias("record")).select("response_id", "record.*")

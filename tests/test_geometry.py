@@ -28,7 +28,7 @@ def test_parsing(spark):
              "POLYGON EMPTY", "POLYGON ((a b, 0 0, 1 0, 1 1.5e1))"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, w string")
     shapes = values(df.orderBy("i").select(F.expr(W.polygons("w")).alias("p")), "p")
-    sizes = [None if s is None else [[len(r) for r in rings] for rings in s] for s in shapes]
+    sizes = [[[len(r) for r in rings] for rings in s or []] or None for s in shapes]
     assert sizes == [[[5]], [[5], [5]], [[5, 5]], None, [[3]], None, None, None, [[3]]]
     python = [[[len(r) for r in rings] for rings in V.parse_polygons(t)] or None for t in texts]
     assert python == sizes
