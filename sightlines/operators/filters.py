@@ -77,10 +77,20 @@ class ObservationFilter:
     def but(self, **changes: object) -> ObservationFilter:
         return dataclasses.replace(self, **changes)
 
+    def anywhere(self) -> ObservationFilter:
+        """The same request without its area and envelope filters."""
+        return self.but(municipality_ids=(), county_ids=(), restricted_area_ids=(), ocean_area_ids=(), envelope=None)
+
     @property
     def is_paginated(self) -> bool:
         return self.page_number is not None and self.results_per_page is not None
 
+    @property
+    def matches_all(self) -> bool:
+        """No predicate on observations at all."""
+        texts = (self.preferred_popular_name, self.scientific_name, self.author)
+        return not (self.is_active() or any(texts) or self.envelope is not None)
+
     @property
     def has_geography(self) -> bool:
         return bool(self.municipality_ids or self.county_ids or self.restricted_area_ids or self.ocean_area_ids)
@@ -215,38 +225,43 @@ def institution_condition(f: ObservationFilter) -> str:
     return f"(entity_type_id = {codes.INSTITUTION} AND {_in('entity_id', f.organization_ids)})"
 
 
-def _ids(df: DataFrame) -> DataFrame:
+def distinct_ids(df: DataFrame) -> DataFrame:
     """De-duplicated ids: a key with very many rows collapses before the shuffle."""
     return df.select("observation_id").where("observation_id IS NOT NULL").distinct()
 
 
 def _having(df: DataFrame, related: DataFrame) -> DataFrame:
-    return df.join(_ids(related), "observation_id", "left_semi")
+    return df.join(distinct_ids(related), "observation_id", "left_semi")
 
 
 def _without(df: DataFrame, related: DataFrame) -> DataFrame:
-    return df.join(_ids(related), "observation_id", "left_anti")
+    return df.join(distinct_ids(related), "observation_id", "left_anti")
+
+
+def chosen_locations(tables: OccurrenceTables, f: ObservationFilter, polar: bool = True) -> DataFrame:
+    """Ids of the existing locations that lie in any chosen area."""
+    from sightlines.operators.index import location_area_entities
 
+    return location_area_entities(tables).where(geography_condition(f, polar)).select("location_id").distinct()
 
-def by_geography(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter, route: str = "auto") -> DataFrame:
+
+def by_geography(
+    df: DataFrame, tables: OccurrenceTables, f: ObservationFilter, route: str = "auto", polar: bool = True
+) -> DataFrame:
     """O-26 as a semi join.
 
-    ``index`` looks observations up in the entity index. ``location`` asks the
-    location dimension instead, which avoids shuffling observations by their own
-    id; both give the same rows when the index is current. ``auto`` uses a stored
-    index where there is one.
+    ``location`` asks the location dimension, whose id set is smaller than one of
+    observations and often small enough to broadcast; ``index`` looks the rows up in
+    the entity index by observation. Both give the same rows when the index is
+    current. ``auto`` takes the location wherever the rows carry one.
     """
     if not f.has_geography:
         return df
-    condition = geography_condition(f)
     if route == "auto":
-        route = "index" if tables.has_stored_index or "location_id" not in df.columns else "location"
+        route = "location" if "location_id" in df.columns else "index"
     if route == "index":
-        return _having(df, tables.entity_index.where(condition))
-    from sightlines.operators.index import location_area_entities
-
-    chosen = location_area_entities(tables).where(condition).select("location_id").distinct()
-    return df.join(chosen, "location_id", "left_semi")
+        return _having(df, tables.entity_index.where(geography_condition(f, polar)))
+    return df.join(chosen_locations(tables, f, polar), "location_id", "left_semi")
 
 
 def by_status(df: DataFrame, tables: OccurrenceTables, status: int | None) -> DataFrame:
@@ -330,7 +345,7 @@ def apply_filters(
             conditions.append(contains_text("catalog_number", f.catalog_number.strip()))
     df = by_text(observations.where(_all(conditions)), tables, f)
     if mode == "export":
-        return _export_filters(df, tables, f)
+        return _export_filters(df, tables, f, route)
     df = by_geography(df, tables, f, route)
     if f.organization_ids:
         df = _having(df, tables.entity_index.where(institution_condition(f)))
@@ -343,12 +358,13 @@ def apply_filters(
     return df
 
 
-def _export_filters(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
-    if f.has_geography or f.organization_ids:
-        condition = geography_condition(f, polar=False)
-        if f.organization_ids:
-            condition = f"{condition} OR {institution_condition(f)}"
-        df = _having(df, tables.entity_index.where(condition))
+def _export_filters(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter, route: str) -> DataFrame:
+    if f.organization_ids:
+        # Areas or institutions: only the index holds both.
+        either = f"{geography_condition(f, polar=False)} OR {institution_condition(f)}"
+        df = _having(df, tables.entity_index.where(either))
+    else:
+        df = by_geography(df, tables, f, route, polar=False)
     if f.behavior_ids:
         df = _having(df, tables.observation_behavior.where(_in("behavior_id", f.behavior_ids)))
     return df

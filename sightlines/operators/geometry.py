@@ -9,8 +9,8 @@ from sightlines import codes
 from sightlines.functions import wkt as W
 from sightlines.functions.scalars import abbreviated, any_of, or_zero
 from sightlines.functions.visible import surface_centroid, visible_point
-from sightlines.operators.filters import ObservationFilter, apply_filters, by_envelope
-from sightlines.operators.locations import count_by_location
+from sightlines.operators.filters import ObservationFilter, apply_filters
+from sightlines.operators.locations import chosen_places, count_by_location
 from sightlines.sources.tables import OccurrenceTables
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
@@ -101,12 +101,11 @@ def location_polygons(tables: OccurrenceTables, f: ObservationFilter = Observati
     shorter than the limit (T-10). They are at most 5 000 rows, hence broadcast to
     the location table, whose geometry column then needs no shuffle.
     """
-    matching = by_envelope(apply_filters(tables.observation, tables, f), tables, f.envelope)
-    top = (
-        count_by_location(matching)
-        .orderBy(F.desc("observation_count"), "location_id")
-        .limit(polygon_limit(f.max_results))
-    )
+    counts = count_by_location(apply_filters(tables.observation, tables, f.anywhere()))
+    if f.has_geography or f.envelope is not None:
+        counts = counts.join(chosen_places(tables, f).select("location_id"), "location_id", "left_semi")
+    at_most = polygon_limit(f.max_results)
+    top = counts.orderBy(F.desc("observation_count"), "location_id").limit(at_most)
     shaped = tables.location.select("location_id", "locality", "geometry_wkt").where(
         f"{W.is_polygon('geometry_wkt')} AND NOT {W.is_rectangle('geometry_wkt')}"
     )
@@ -119,7 +118,7 @@ def location_polygons(tables: OccurrenceTables, f: ObservationFilter = Observati
         )
     return found.selectExpr(
         "location_id", "locality", "geometry_wkt AS wkt_polygon", "observation_count"
-    ).orderBy(F.desc("observation_count"), "location_id")
+    ).orderBy(F.desc("observation_count"), "location_id").limit(at_most)
 
 
 def with_centroids(areas: DataFrame) -> DataFrame:

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from sightlines import codes
 from sightlines.functions.scalars import number_text, or_zero
-from sightlines.operators.filters import ObservationFilter, apply_filters, envelope_condition
+from sightlines.operators.filters import (
+    ObservationFilter,
+    apply_filters,
+    chosen_locations,
+    envelope_condition,
+)
 from sightlines.sources.tables import OccurrenceTables
 
 
@@ -25,16 +30,25 @@ def location_limit(max_results: int) -> int:
     return max_results if 0 < max_results <= codes.MAX_LOCATIONS else codes.DEFAULT_LOCATIONS
 
 
+def chosen_places(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
+    """The location rows a request allows: area and envelope filters say nothing about an
+    observation but where it lies, so they are answered here and not per observation."""
+    places = tables.location
+    if f.envelope is not None:
+        places = places.where(envelope_condition(f.envelope))
+    if f.has_geography:
+        places = places.join(chosen_locations(tables, f), "location_id", "left_semi")
+    return places
+
+
 def locations(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
     """Locations with the most matching observations.
 
-    Counting comes before the join with the location table, so the join moves one
-    row per location. Ties are broken by location id (T-09).
+    Counting comes before any join on the location, so that joins move one row per
+    location and never an observation. Ties are broken by location id (T-09).
     """
-    counts = count_by_location(apply_filters(tables.observation, tables, f))
-    places = tables.location
-    if f.envelope is not None:
-        places = places.where(envelope_condition(f.envelope))
+    counts = count_by_location(apply_filters(tables.observation, tables, f.anywhere()))
+    places = chosen_places(tables, f)
     return (
         counts.join(places.select("location_id", "latitude", "longitude"), "location_id")
         .selectExpr(

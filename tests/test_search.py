@@ -132,6 +132,26 @@ def test_stored_and_derived_index_give_the_same_page(supplied, stored):
     assert a == sorted(a)
 
 
+@pytest.mark.parametrize(
+    "fields",
+    [
+        {"county_ids": ("1", "4")}, {"municipality_ids": ("201", "302"), "ocean_area_ids": ("93",)},
+        {"county_ids": ("1",), "organization_ids": (2, 4, 6)}, {"restricted_area_ids": ("x",)},
+    ],
+)
+@pytest.mark.parametrize("page", [1, 3, 40])
+def test_pages_named_by_the_index_equal_filtered_ones(stored, fields, page):
+    f = ObservationFilter(page_number=page, results_per_page=15, **fields)
+    from sightlines.operators.filters import apply_filters
+
+    rows = apply_filters(stored.observation, stored, f).select("observation_id")
+    expected = values(observations.window_of(rows, "observation_id", *observations.page_bounds(f)), "observation_id")
+    indexed = observations.page_of(stored, f)
+    assert "BroadcastHashJoin LeftSemi BuildRight" in plan_of(indexed)
+    assert sorted(values(indexed, "observation_id")) == expected
+    assert values(observations.observations(stored, f), "observation_id") == expected
+
+
 def test_taxon_search_ranks_levels(tables):
     assert values(taxa.taxon_search(tables, " REPO-eksakt-art "), "taxon_id") == [1, 2, 3]
     assert values(taxa.taxon_search(tables, "repo-eksakt-art", 1), "taxon_id") == [1]
