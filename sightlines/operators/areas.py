@@ -116,34 +116,39 @@ def load_areas(tables: OccurrenceTables, zoom_level: int, f: ObservationFilter |
     return loaded.unionByName(missing.select(*loaded.columns))
 
 
-def select_areas(areas: DataFrame, tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
-    """O-64h: chosen areas, areas below a chosen county, and the county above a chosen municipality."""
-    if not f.has_area_selection:
-        return areas
+def _with_selected(areas: DataFrame, tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
+    """Areas with a flag: chosen, below a chosen county, or above a chosen municipality."""
     chosen = f.county_ids + f.municipality_ids + f.ocean_area_ids
     direct = f"{any_of('fid', chosen)} OR {any_of('parent_fid', f.county_ids)}"
     if not f.municipality_ids:
-        return areas.where(direct)
+        return areas.selectExpr("*", f"{direct} AS selected")
     derived = (
         municipality_counties(tables.area)
         .where(any_of("municipality_fid", f.municipality_ids))
         .selectExpr("county_fid AS fid", "TRUE AS derived")
         .distinct()
     )
-    return areas.join(derived, "fid", "left").where(f"{direct} OR derived").select(*areas.columns)
+    return areas.join(derived, "fid", "left").selectExpr(
+        *areas.columns, f"{direct} OR coalesce(derived, FALSE) AS selected"
+    )
+
+
+def select_areas(areas: DataFrame, tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
+    """O-64h: chosen areas, areas below a chosen county, and the county above a chosen municipality."""
+    if not f.has_area_selection:
+        return areas
+    return _with_selected(areas, tables, f).where("selected").drop("selected")
 
 
 def _chosen_areas(tables: OccurrenceTables, zoom_level: int, f: ObservationFilter, compat: bool) -> DataFrame:
     """Areas to show. With dynamic counts, a selection that hits no area of this
     level falls back to all areas (T-12)."""
     areas = load_areas(tables, zoom_level, f)
-    if not f.has_area_selection:
-        return areas
-    selected = select_areas(areas, tables, f)
-    if not f.needs_dynamic_counts(compat):
-        return selected
-    fallback = areas.where(~selected.select("area_id").exists())
-    return selected.unionByName(fallback.select(*selected.columns))
+    if not (f.has_area_selection and f.needs_dynamic_counts(compat)):
+        return select_areas(areas, tables, f)
+    flagged = _with_selected(areas, tables, f)
+    any_selected = flagged.where("selected").select("area_id").exists()
+    return flagged.where(F.col("selected") | ~any_selected).drop("selected")
 
 
 # --- counts ------------------------------------------------------------------
@@ -168,8 +173,10 @@ def dynamic_counts(tables: OccurrenceTables, areas: DataFrame, f: ObservationFil
     index = index.join(keys.distinct(), ["entity_type_id", "entity_id"], "left_semi")
     if f.needs_observation_rows:
         matching = apply_filters(tables.observation, tables, f).select("observation_id")
+        # These already lie in the chosen areas.
         index = index.join(matching, "observation_id", "left_semi")
-    index = by_geography(index, tables, f, route="index")
+    else:
+        index = by_geography(index, tables, f, route="index")
     return index.groupBy("entity_type_id", "entity_id").agg(F.count("*").alias("observation_count"))
 
 
