@@ -636,13 +636,15 @@ QUERIES = {
         SELECT location_id, concat('{{"type":"Feature","id":', location_id, ',"geometry":{{"type":"Point",',
                '"coordinates":[', {_number('longitude')}, ',', {_number('latitude')}, ']}},"properties":{{"id":',
                location_id, ',"name":"Location ', location_id, '","observationCount":', observation_count,
-               ',"observationCountDisplay":"', observation_count, '","isPolygon":false}}}}') AS feature
+               ',"observationCountDisplay":"', {_ABBREVIATED.format(n='observation_count')},
+               '","isPolygon":false}}}}') AS feature
         FROM f_located""",
-    "geojson_polygons": """
-        SELECT location_id, concat('{"type":"Feature","id":', location_id, ',"geometry":{"type":"Polygon",',
-               '"coordinates":[[[0,0],[0,', location_id, '],[9,', location_id, '],[0,0]]]},"properties":{"id":',
+    "geojson_polygons": f"""
+        SELECT location_id, concat('{{"type":"Feature","id":', location_id, ',"geometry":{{"type":"Polygon",',
+               '"coordinates":[[[0,0],[0,', location_id, '],[9,', location_id, '],[0,0]]]}},"properties":{{"id":',
                location_id, ',"name":"', locality, '","observationCount":', observation_count,
-               ',"observationCountDisplay":"', observation_count, '","isPolygon":true}}') AS feature
+               ',"observationCountDisplay":"', {_ABBREVIATED.format(n='observation_count')},
+               '","isPolygon":true}}}}') AS feature
         FROM f_polygons_all""",
     "geojson_overlays": """
         SELECT a.area_id, concat('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[', n_nationkey,

@@ -15,12 +15,39 @@ from tests.conftest import SMALL
 QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
 
 
+def _connect(folder):
+    connection = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        connection.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    return connection
+
+
 @pytest.fixture(scope="module")
 def duck():
+    return _connect(SMALL)
+
+
+# A third of the rows share one customer, order, part, supplier, user, nation or brand.
+_HOT = {
+    "orders": "SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END AS o_custkey)",
+    "lineitem": """SELECT * REPLACE (CASE WHEN l_suppkey % 3 = 0 THEN 5 ELSE l_orderkey END AS l_orderkey,
+                   CASE WHEN l_linenumber % 3 = 0 THEN 11 ELSE l_partkey END AS l_partkey,
+                   CASE WHEN l_linenumber % 3 = 1 THEN 4 ELSE l_suppkey END AS l_suppkey)""",
+    "events": "SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS user_id)",
+    "customer": "SELECT * REPLACE (CAST(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE c_nationkey END AS INT) AS c_nationkey)",
+    "part": "SELECT * REPLACE (CASE WHEN p_partkey % 3 = 0 THEN 'Brand#3' ELSE p_brand END AS p_brand)",
+}
+
+
+@pytest.fixture(scope="module")
+def skewed(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("skewed"))
     connection = duckdb.connect()
     for path in glob.glob(f"{SMALL}/*.parquet"):
-        connection.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    return connection
+        name = os.path.basename(path)[:-8]
+        select = _HOT.get(name, "SELECT *")
+        connection.execute(f"COPY ({select} FROM '{path}') TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return folder, _connect(folder)
 
 
 def _plain(value):
@@ -59,6 +86,19 @@ def test_query_equals_sql(spark, duck, name):
     assert {n: _SAME_TYPE[t] for n, t in df.dtypes} == types
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["index_enriched", "f_combined_search", "f_status_2", "locations", "observations_page", "area_counts_dynamic",
+     "sample_observations", "polygons_all", "geojson_locations", "history", "bbox_overlap", "export_rows"],
+)
+def test_skewed_data_gives_whole_results(spark, skewed, name):
+    folder, connection = skewed
+    df = QUERIES[name](spark, folder)
+    relation = connection.execute(ORACLE[name])
+    columns = [c[0] for c in relation.description]
+    assert _normal(df.columns, [tuple(r) for r in df.collect()]) == _normal(columns, relation.fetchall())
+
+
 def test_flagship(spark):
     df = driver.entry(spark)
     assert df.columns == ["location_id", "latitude", "longitude", "observation_count"] and df.count() > 0
