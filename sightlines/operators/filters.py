@@ -337,6 +337,7 @@ def apply_filters(
     """
     if mode not in ("search", "export"):
         raise ValueError(f"unknown filter mode {mode!r}")
+    f.validate()
     conditions = shared_conditions(f)
     if mode == "search":
         if _given(f.collection_code):

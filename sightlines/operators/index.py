@@ -159,7 +159,8 @@ def write_entity_index(index: DataFrame, path: str, mode: str = "error") -> None
 
     Range partitioning on (type, entity, observation) gives files of equal size
     even when one entity holds most rows, and narrow min/max statistics on
-    ``entity_id``, so that an area filter skips most files.
+    ``entity_id``, so that an area filter skips most files. Sampling the ranges
+    repeats the last stage of the build; its shuffles are reused.
     """
     ordering = ("entity_type_id", "entity_id", "observation_id")
     (

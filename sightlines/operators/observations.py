@@ -93,6 +93,7 @@ def page_ids(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
     itself, from the partitions of those entity types. Otherwise the filters run over
     the observations, reading the columns they test.
     """
+    f.validate_page()
     if _named_by_index(tables, f):
         found = distinct_ids(tables.entity_index.where(geography_condition(f)))
         if f.organization_ids:

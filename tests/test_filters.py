@@ -166,6 +166,11 @@ def test_limits():
         ObservationFilter(envelope=Envelope(1, 1, 1, 2)).validate_locations()
 
 
+def test_limits_hold_before_planning(tables):
+    with pytest.raises(ValueError):
+        ids(tables, taxon_group_ids=range(501))
+
+
 def test_which_filters_need_dynamic_counts():
     assert not ObservationFilter().is_active()
     only_areas = ObservationFilter(county_ids=["3"])
