@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontamination, divergence
+from . import byte_bpe, decontamination, divergence, near_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.learnt(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, machine).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +47,7 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op7_byte_bpe, op8_decontamination, op10_divergence)}
+    return {f.__name__: f for f in (op1_near_dedup, op5_toxicity, op7_byte_bpe, op8_decontamination, op10_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
