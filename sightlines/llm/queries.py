@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontamination, divergence, near_dedup, substring_dedup, toxicity
+from . import byte_bpe, decontamination, divergence, licenses, near_dedup, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
 
@@ -51,9 +55,9 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_near_dedup, op3_substring_dedup, op5_toxicity, op7_byte_bpe, op8_decontamination, op10_divergence)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_licenses, op3_substring_dedup, op5_toxicity, op7_byte_bpe, op8_decontamination, op10_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB counterparts, where SQL can express the query."""
-    return {}
+    return {"op2_licenses": licenses.oracle_sql()}
