@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontamination, divergence, licenses, near_dedup, substring_dedup, toxicity
+from . import byte_bpe, decontamination, divergence, html_content, licenses, near_dedup, substring_dedup, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,21 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.learnt(docs, _table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, machine).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_content.extracted(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +64,7 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_near_dedup, op2_licenses, op3_substring_dedup, op5_toxicity, op7_byte_bpe, op8_decontamination, op10_divergence)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_licenses, op3_substring_dedup, op4_warc_zip, op5_toxicity, op6_html_content, op7_byte_bpe, op8_decontamination, op10_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
