@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -99,6 +99,12 @@ def shingles(words: list[bytes], n: int = 5) -> np.ndarray:
     return runs_of(hashed(words), min(n, len(words)))
 
 
+def kept_apart(frame: DataFrame, names: str) -> tuple[DataFrame, list]:
+    """The frame with columns of these (space-separated) names renamed, and the columns to select to get it back."""
+    clashing = {c: f"own_{i}_{c}" for i, c in enumerate(frame.columns) if c.lower() in names.split()}
+    return frame.withColumnsRenamed(clashing), [F.col(f"`{clashing.get(c, c)}`").alias(c) for c in frame.columns]
+
+
 def appended(frame: DataFrame, needed: list[str], rows: Callable[[dict[str, list]], dict[str, list]], ddl: str) -> DataFrame:
     """The frame with columns that ``rows`` makes from the needed ones, a few rows at a time, inside Arrow batches.
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import appended, hashed, runs_of
+from .common import appended, hashed, kept_apart, runs_of
 
 #: Words of a window of a test item.
 WINDOW_WORDS = 13
@@ -188,3 +188,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             "n_items": F.size("items").cast("long"),
         }
     ).withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, all columns kept."""
+    docs, back = kept_apart(docs, "n_words spans items n_hit n_items contaminated _spans _items")
+    return contamination(docs, benchmark).filter("NOT contaminated").select(*back)

@@ -14,7 +14,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import REMEMBERED_WORDS, appended, exploded
+from .common import REMEMBERED_WORDS, appended, exploded, kept_apart
 
 #: Places of the hashed terms, as a power of two, and entries of a term's vector.
 HASH_BITS, RANK = 18, 4
@@ -93,41 +93,54 @@ def fitted(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Mach
     known = _telling(samples, labels, size)
     samples = [s[known[s]] for s in samples]
     random = np.random.default_rng(seed)
-    w, v = machine.weights, machine.vectors
-    v[known] = random.normal(0, 0.01, (int(known.sum()), RANK))
+    machine.vectors[known] = random.normal(0, 0.05, (int(known.sum()), RANK))
     seen_w, seen_v, seen_b = np.full(size, 1e-2, np.float32), np.full((size, RANK), 1e-2, np.float32), 1e-2
     for _ in range(EPOCHS):
         order = random.permutation(len(samples))
         for start in range(0, len(order), BATCH_ROWS):
-            rows = [r for r in order[start : start + BATCH_ROWS].tolist() if len(samples[r])]
-            if not rows:
-                continue
-            lengths = np.array([len(samples[r]) for r in rows])
-            places = np.concatenate([samples[r] for r in rows])
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            vectors = v[places]
-            sums = np.add.reduceat(vectors, starts)
-            value = machine.bias + np.add.reduceat(w[places], starts) + 0.5 * (
-                (sums**2).sum(axis=1) - np.add.reduceat((vectors**2).sum(axis=1), starts)
-            )
-            error = 1 / (1 + np.exp(-np.clip(value, -40, 40))) - labels[rows]
-            each = np.repeat(error, lengths).astype(np.float32)
-            at, where = np.unique(places, return_inverse=True)
-            slope_w = np.bincount(where, each, len(at)) / len(rows) + SHRINK * w[at]
-            slope_v = np.repeat(sums, lengths, axis=0) - vectors
-            slope_v *= each[:, None]
-            slope_v = np.stack([np.bincount(where, slope_v[:, k], len(at)) for k in range(RANK)], axis=1)
-            slope_v = slope_v / len(rows) + SHRINK * v[at]
-            seen_w[at] += slope_w**2
-            seen_v[at] += slope_v**2
-            w[at] -= RATE * slope_w / np.sqrt(seen_w[at])
-            v[at] -= 0.2 * RATE * slope_v / np.sqrt(seen_v[at])
-            slope = float(error.mean())
+            batch = order[start : start + BATCH_ROWS].tolist()
+            rows = [r for r in batch if len(samples[r])]
+            bare = [r for r in batch if not len(samples[r])]  # these bear on the bias alone
+            slope = float(np.sum(1 / (1 + np.exp(-machine.bias)) - labels[bare])) if bare else 0.0
+            if rows:
+                slope += _stepped(machine, [samples[r] for r in rows], labels[rows], seen_w, seen_v)
+            slope /= len(batch)
             seen_b += slope**2
             machine.bias -= RATE * slope / seen_b**0.5
     return machine
 
 
+def _stepped(machine: Machine, samples: list, labels: np.ndarray, seen_w: np.ndarray, seen_v: np.ndarray) -> float:
+    """One step of the weights and vectors against the error; the sum of the errors."""
+    w, v = machine.weights, machine.vectors
+    lengths = np.array(list(map(len, samples)))
+    places = np.concatenate(samples)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    vectors = v[places]
+    sums = np.add.reduceat(vectors, starts)
+    value = machine.bias + np.add.reduceat(w[places], starts) + 0.5 * (
+        (sums**2).sum(axis=1) - np.add.reduceat((vectors**2).sum(axis=1), starts)
+    )
+    error = 1 / (1 + np.exp(-np.clip(value, -40, 40))) - labels
+    each = np.repeat(error, lengths).astype(np.float32)
+    at, where = np.unique(places, return_inverse=True)
+    slope_w = np.bincount(where, each, len(at)) / len(samples) + SHRINK * w[at]
+    slope_v = (np.repeat(sums, lengths, axis=0) - vectors) * each[:, None]
+    slope_v = np.stack([np.bincount(where, slope_v[:, k], len(at)) for k in range(RANK)], axis=1)
+    slope_v = slope_v / len(samples) + SHRINK * v[at]
+    seen_w[at] += slope_w**2
+    seen_v[at] += slope_v**2
+    w[at] -= RATE * slope_w / np.sqrt(seen_w[at])
+    v[at] -= RATE * slope_v / np.sqrt(seen_v[at])
+    return float(error.sum())
+
+
+def accepted(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The documents that aren't predicted toxic, all columns kept."""
+    docs, back = kept_apart(docs, "score predicted")
+    return scored(docs, machine).filter("predicted = 0").select(*back)
+
+
 def held_out(column: str = "doc_id") -> F.Column:
     """Ids whose labels are never learnt from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
