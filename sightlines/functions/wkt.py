@@ -20,24 +20,33 @@ def is_polygon(wkt: str) -> str:
     return f"rlike({wkt}, '(?i)^\\\\s*(MULTI)?POLYGON')"
 
 
-def _ring(text: str) -> str:
-    pair = "transform(split(trim(t), '\\\\s+'), n -> try_cast(n AS DOUBLE))"
-    pairs = f"transform(split({text}, ','), t -> {pair})"
-    numeric = "size(p) = 2 AND p[0] IS NOT NULL AND p[1] IS NOT NULL"
-    return f"transform(filter({pairs}, p -> {numeric}), p -> named_struct('x', p[0], 'y', p[1]))"
-
-
-def _rings(text: str) -> str:
-    rings = f"transform(split({text}, '\\\\)\\\\s*,\\\\s*\\\\('), r -> {_ring('r')})"
-    return f"filter({rings}, ring -> size(ring) >= 3)"
+def _numbered_points(text: str) -> str:
+    """Points of a comma-separated list; entries of other than two numbers are left out."""
+    numbers = "filter(split(entry, '[ \\\\t\\\\r\\\\n]'), n -> n <> '')"
+    read = f"transform(split({text}, ','), entry -> transform({numbers}, n -> try_cast(n AS DOUBLE)))"
+    usable = f"filter({read}, xy -> size(xy) = 2 AND forall(xy, n -> n IS NOT NULL))"
+    return f"transform({usable}, xy -> named_struct('x', xy[0], 'y', xy[1]))"
 
 
 def polygons(wkt: str) -> str:
-    several = f"regexp_extract({wkt}, '(?is)MULTIPOLYGON\\\\s*\\\\(\\\\(\\\\((.*)\\\\)\\\\)\\\\)', 1)"
-    one = f"regexp_extract({wkt}, '(?is)POLYGON\\\\s*\\\\(\\\\((.*)\\\\)\\\\)', 1)"
-    parts = f"IF({is_multi(wkt)}, split({several}, '\\\\)\\\\)\\\\s*,\\\\s*\\\\(\\\\('), array({one}))"
-    # A text without a polygon extracts as '', which has no ring and hence no polygon.
-    return f"filter(transform({parts}, part -> {_rings('part')}), rings -> size(rings) > 0)"
+    """Rings are the innermost parenthesised lists, in text order; a part ends where two parentheses close at once."""
+    innermost = f"regexp_extract_all({wkt}, '[(]([^()]*)([)]\\\\s*[)]?)', 0)"
+    listed = f"IF(rlike({wkt}, '(?i)POLYGON\\\\s*[(]\\\\s*[(]'), {innermost}, IF({wkt} IS NULL, NULL, array()))"
+    ring = _numbered_points("translate(token, '()', '')")
+    tokens = f"transform({listed}, token -> named_struct('ring', {ring}, 'closes', rlike(token, '[)]\\\\s*[)]')))"
+    # parts that are done, and the rings of the one that is open
+    step = (
+        "IF(token.closes, named_struct('done', concat(s.done, array(concat(s.open, array(token.ring)))),"
+        " 'open', slice(s.open, 1, 0)), named_struct('done', s.done, 'open', concat(s.open, array(token.ring))))"
+    )
+    point = "STRUCT<x: DOUBLE, y: DOUBLE>"
+    nothing = (
+        f"named_struct('done', CAST(array() AS ARRAY<ARRAY<ARRAY<{point}>>>),"
+        f" 'open', CAST(array() AS ARRAY<ARRAY<{point}>>))"
+    )
+    grouped = f"aggregate({tokens}, {nothing}, (s, token) -> {step}, s -> s.done)"
+    filled = f"transform({grouped}, part -> filter(part, ring -> size(ring) >= 3))"
+    return f"filter({filled}, part -> size(part) > 0)"
 
 
 def when_filled(items: str, alias: str) -> str:

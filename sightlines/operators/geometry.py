@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightlines import codes
 from sightlines.functions import wkt as W
 from sightlines.functions.scalars import abbreviated, any_of, or_zero
-from sightlines.functions.visible import surface_centroid, visible_point
+from sightlines.functions.visible import rings_of, surface_centroid, visible_point
 from sightlines.operators.filters import ObservationFilter, apply_filters
 from sightlines.operators.locations import chosen_places, count_by_location
 from sightlines.sources.tables import OccurrenceTables
@@ -39,36 +39,52 @@ def _cell(value: str, level: str = "_level") -> str:
     return f"CAST(IF({level} = {_TOP}, 0, floor({clamped} / pow(4D, {level}))) AS BIGINT)"
 
 
-def _on_grid(boxes: DataFrame, prefix: str) -> DataFrame:
-    """Each box in the cells it touches, at the level of its own size and at every coarser one.
-
-    At its own level a box touches at most four cells.
-    """
+def _own_level(boxes: DataFrame) -> DataFrame:
+    """Boxes with ``_own``: the finest level at which a box touches at most two cells per axis."""
     size = "greatest(max_x - min_x, max_y - min_y)"
     fitting = f"CAST(ceil(log(4D, greatest({size}, {4.0**_FINEST}D))) AS INT)"
-    own = f"IF({size} > {4.0**_COARSEST}D, {_TOP}, greatest({fitting}, {_FINEST}))"
-    kept = [f"{c} AS {prefix}{c}" if c in BOX else c for c in boxes.columns]
-    columns = [f"{prefix}{c}" if c in BOX else c for c in boxes.columns]
+    return boxes.selectExpr("*", f"IF({size} > {4.0**_COARSEST}D, {_TOP}, greatest({fitting}, {_FINEST})) AS _own")
+
+
+def _on_grid(boxes: DataFrame, other: DataFrame, prefix: str, coarser_than_own: bool) -> DataFrame:
+    """Each box in the cells it touches, in two kinds of grids.
+
+    Grids of one kind hold the boxes of this side at their own level, those of the other kind copies at the levels at
+    which the other side has boxes of its own: strictly coarser ones if ``coarser_than_own``, else the own level too.
+    So a copy never meets a copy.
+    """
+    kept = [f"{c} AS {prefix}{c}" if c in BOX else c for c in boxes.columns if c != "_own"]
+    columns = [f"{prefix}{c}" if c in BOX else c for c in boxes.columns if c != "_own"]
+    own_kind, first = (0, "_own + 1") if coarser_than_own else (1, "_own")
+    levels = other.selectExpr("_own AS _level").distinct()
+    named = boxes.selectExpr(*kept, "_own")
+    copies = named.where(f"{first} <= {_TOP}").selectExpr(
+        *columns, f"{1 - own_kind} AS _kind", f"explode(sequence({first}, {_TOP})) AS _level"
+    ).join(levels, "_level", "left_semi")
+    own = named.selectExpr(*columns, f"{own_kind} AS _kind", "_own AS _level")
 
     def span(axis: str) -> str:
         low, high = _cell(f"{prefix}min_{axis}"), _cell(f"{prefix}max_{axis}")
         return f"explode(sequence({low}, {high})) AS _c{axis}"
 
-    at_own = f"{prefix}_at_own"
-    return (
-        boxes.selectExpr(*kept, f"{own} AS _own")
-        .selectExpr(*columns, "_own", f"explode(sequence(_own, {_TOP})) AS _level")
-        .selectExpr(*columns, "_level", f"_level = _own AS {at_own}", span("x"))
-        .selectExpr(*columns, "_level", at_own, "_cx", span("y"))
-    )
+    at = (*columns, "_kind", "_level")
+    return own.unionByName(copies).selectExpr(*at, span("x")).selectExpr(*at, "_cx", span("y"))
+
+
+def meeting(left: DataFrame, right: DataFrame, left_prefix: str, right_prefix: str) -> DataFrame:
+    """Candidate pairs of ``overlapping``: boxes that share a cell at the coarser of their two levels."""
+    left, right = _own_level(left), _own_level(right)
+    cells = ["_kind", "_level", "_cx", "_cy"]
+    return _on_grid(left, right, left_prefix, True).join(_on_grid(right, left, right_prefix, False), cells)
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_prefix: str = "a_", right_prefix: str = "v_") -> DataFrame:
     """O-53: pairs whose boxes overlap or touch, as an equi-join on grid cells.
 
-    A pair meets at the coarser of its two levels, in the cell that holds the lower
-    left corner of its intersection, hence exactly once. Box columns come back
-    with a prefix.
+    The larger box of a pair stands in the grid of its own level, where it touches at most four cells and fills a good
+    part of them; the smaller one is copied to that level. The pair is kept in the cell that holds the lower left
+    corner of its intersection, hence exactly once. Box columns come back with a prefix; carry ids through this join
+    and fetch wide columns by id afterwards.
     """
     a, v = left_prefix, right_prefix
 
@@ -78,12 +94,7 @@ def overlapping(left: DataFrame, right: DataFrame, left_prefix: str = "a_", righ
             f"{a}min_{axis} <= {v}max_{axis} AND {a}max_{axis} >= {v}min_{axis} AND _c{axis} = {corner}"
         )
 
-    return (
-        _on_grid(left, a)
-        .join(_on_grid(right, v), ["_level", "_cx", "_cy"])
-        .where(f"({a}_at_own OR {v}_at_own) AND {met('x')} AND {met('y')}")
-        .drop("_level", "_cx", "_cy", f"{a}_at_own", f"{v}_at_own")
-    )
+    return meeting(left, right, a, v).where(f"{met('x')} AND {met('y')}").drop("_kind", "_level", "_cx", "_cy")
 
 
 # --- queries -----------------------------------------------------------------
@@ -94,37 +105,44 @@ def polygon_limit(max_results: int) -> int:
     return min(max_results, codes.MAX_POLYGONS) if max_results > 0 else codes.DEFAULT_POLYGONS
 
 
-def location_polygons(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
-    """O-64n: polygon shapes of the locations with most observations.
+def requested_polygons(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
+    """O-64n under the request's rule for the number of results."""
+    return location_polygons(tables, f, polygon_limit(f.max_results))
+
 
-    The top locations are chosen before shapes are looked at, so the result may be
-    shorter than the limit (T-10). They are at most 5 000 rows, hence broadcast to
-    the location table, whose geometry column then needs no shuffle.
+def location_polygons(
+    tables: OccurrenceTables, f: ObservationFilter = ObservationFilter(), max_results: int | None = None
+) -> DataFrame:
+    """O-64n: polygon shapes of the locations with most observations, of all locations without ``max_results``.
+
+    The top locations are chosen before shapes are looked at, so the result may be shorter than the limit (T-10).
     """
     counts = count_by_location(apply_filters(tables.observation, tables, f.anywhere()))
     if f.has_geography or f.envelope is not None:
         counts = counts.join(chosen_places(tables, f).select("location_id"), "location_id", "left_semi")
-    at_most = polygon_limit(f.max_results)
-    top = counts.orderBy(F.desc("observation_count"), "location_id").limit(at_most)
+    if max_results is not None:
+        counts = counts.orderBy(F.desc("observation_count"), "location_id").limit(max_results)
     shaped = tables.location.select("location_id", "locality", "geometry_wkt").where(
         f"{W.is_polygon('geometry_wkt')} AND NOT {W.is_rectangle('geometry_wkt')}"
     )
-    found = shaped.join(F.broadcast(top), "location_id")
+    found = shaped.join(counts, "location_id")
     if f.envelope is not None:
         e = f.envelope
         found = with_bounds(found, "geometry_wkt").where(
             f"max_x >= {float(e.min_x)}D AND min_x <= {float(e.max_x)}D "
             f"AND max_y >= {float(e.min_y)}D AND min_y <= {float(e.max_y)}D"
         )
-    return found.selectExpr(
+    found = found.selectExpr(
         "location_id", "locality", "geometry_wkt AS wkt_polygon", "observation_count"
-    ).orderBy(F.desc("observation_count"), "location_id").limit(at_most)
+    ).orderBy(F.desc("observation_count"), "location_id")
+    return found if max_results is None else found.limit(max_results)
 
 
 def with_centroids(areas: DataFrame) -> DataFrame:
     """O-64r: centroid of each area's surface, null without a polygon."""
     bare = areas.drop("centroid_x", "centroid_y")
-    pointed = bare.withColumn("_point", surface_centroid("wkt_polygon"))
+    parsed = areas.selectExpr(*bare.columns, f"{W.polygons('wkt_polygon')} AS _parsed")
+    pointed = parsed.withColumn("_point", surface_centroid(*rings_of("_parsed"))).drop("_parsed")
     return pointed.selectExpr(*bare.columns, "_point.x AS centroid_x", "_point.y AS centroid_y")
 
 
@@ -134,19 +152,23 @@ def viewport_markers(areas: DataFrame, viewports: DataFrame) -> DataFrame:
     ``areas`` carry ``wkt_polygon`` and a stored centroid. A fully visible area is
     marked at its stored centroid; only the others reach the clipping function.
     """
-    pairs = overlapping(with_bounds(areas, "wkt_polygon"), viewports)
-    columns = [c for c in pairs.columns if not c.startswith(("a_", "v_"))]
+    boxes = with_bounds(areas.select("area_id", "wkt_polygon"), "wkt_polygon").drop("wkt_polygon")
     inside = (
         "a_min_x >= v_min_x AND a_min_y >= v_min_y AND a_max_x <= v_max_x AND a_max_y <= v_max_y AS fully_visible"
     )
-    placed = (
-        pairs.selectExpr("*", inside)
-        .selectExpr("*", "IF(fully_visible, NULL, wkt_polygon) AS _to_clip")
-        .withColumn("_clipped", visible_point("_to_clip", *[f"v_{c}" for c in BOX]))
-    )
+    pairs = overlapping(boxes, viewports).selectExpr("*", inside)
+    pairs = pairs.drop("a_min_x", "a_min_y", "a_max_x", "a_max_y").join(areas, "area_id")
+    columns = [c for c in pairs.columns if not c.startswith("v_") and c != "fully_visible"]
     no_centroid = "centroid_x IS NULL OR centroid_y IS NULL"
-    meant = placed.selectExpr("*", f"IF({no_centroid}, {W.polygons('wkt_polygon')}, NULL) AS _parsed")
-    return meant.selectExpr(
+    parsed = pairs.selectExpr(
+        "*", f"IF(fully_visible AND NOT ({no_centroid}), NULL, {W.polygons('wkt_polygon')}) AS _parsed"
+    )
+    # the union keeps rows without anything to clip away from the Arrow function
+    whole = parsed.where("fully_visible").selectExpr("*", "CAST(NULL AS STRUCT<x: DOUBLE, y: DOUBLE>) AS _clipped")
+    cut = parsed.where("NOT fully_visible").withColumn(
+        "_clipped", visible_point(*rings_of("_parsed"), *[f"v_{c}" for c in BOX])
+    )
+    return whole.unionByName(cut).selectExpr(
         *columns,
         "fully_visible",
         *[
