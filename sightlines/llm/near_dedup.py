@@ -7,8 +7,8 @@ Documents with the same set of shingles form a class; one member stands for it.
 outside the prefixes are skipped when candidates are made and only counted in the signatures (skip merging).
 
 A posting list is not expanded into all pairs: each member first meets the list's smallest one, the links found join
-members to components, and only members of different components meet further. Candidates with enough matches are
-confirmed on the full sets.
+members to components, and only members of different components meet further, without those that share too few shingles
+with all others to have any link. Candidates with enough matches are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import appended, drop_stored, mixed, shingles, space_words, stored
+from .common import appended, drop_stored, exploded, mixed, shingles, space_words, stored
 from .components import components
 
 #: Words of a shingle.
@@ -29,7 +29,7 @@ LEAST_PERCENT = 85
 #: mean 40.8 and deviation 2.5; fewer than 25 have a probability of 4e-9.
 COORDINATES, LEAST_MATCHES = 48, 25
 #: Rounds in which lists meet one member of theirs; after them all members of different components meet.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 _PREFIX = COORDINATES - LEAST_MATCHES + 1
 #: A set of fewer shingles can't reach the similarity with another set.
@@ -108,6 +108,29 @@ def _across(postings: DataFrame, of: DataFrame) -> DataFrame:
     return found.join(several.filter("low < high"), "key")
 
 
+def _linkable(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class) of those members of lists that can be linked with another member at all.
+
+    A set shares ``LEAST_PERCENT`` of its shingles with any set it is linked with, so a member of whose shingles fewer
+    occur in other members is linked with none. In a large family this sets aside the many that differ from all.
+    """
+    members = texts.join(lists.select("class").distinct(), "class", "left_semi")
+
+    def rows(columns: dict) -> dict:
+        sets = [np.unique(shingles(space_words(t), SHINGLE_WORDS)).view(np.int64) for t in columns["text"]]
+        sizes = list(map(len, sets))
+        return {
+            "class": np.repeat(np.array(columns["class"], np.int64), sizes),
+            "shingle": np.concatenate(sets) if sets else [],
+            "n_shingles": np.repeat(sizes, sizes),
+        }
+
+    held = exploded(members, rows, "class long, shingle long, n_shingles long")
+    several = held.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
+    found = held.join(several, "shingle", "left_semi").groupBy("class", "n_shingles").agg(F.count("*").alias("n"))
+    return found.filter(f"100 * n >= {LEAST_PERCENT} * n_shingles").select("class")
+
+
 def _links(postings: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between classes that give the components of all links."""
     spark = postings.sparkSession
@@ -115,6 +138,10 @@ def _links(postings: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     of = spark.range(0).selectExpr("id AS node", "id AS component")
     for turn in range(STAR_ROUNDS + 1):
         lists = _across(postings, of)
+        if turn == 1:
+            kept = stored(_linkable(lists, texts), "linkable")
+            postings = postings.join(kept, "class", "left_semi")
+            lists = _across(postings, of)
         if turn < STAR_ROUNDS:
             # all meet a member of the smallest component, in every other round one of the largest
             centre = lists.groupBy("key").agg(

@@ -64,7 +64,7 @@ def test_near_duplicates(docs, rows):
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in expected.items() if d == c} | {None}
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
+@pytest.mark.parametrize("rounds", [0, 1, 2])
 def test_near_duplicates_of_a_large_family(spark, monkeypatch, rounds):
     monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)
     r = random.Random(9)
