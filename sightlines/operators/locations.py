@@ -41,15 +41,22 @@ def chosen_places(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
     return places
 
 
-def locations(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
-    """Locations with the most matching observations.
+def requested_locations(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
+    """O-54 under the request's rule for the number of results."""
+    return locations(tables, f, location_limit(f.max_results))
+
+
+def locations(
+    tables: OccurrenceTables, f: ObservationFilter = ObservationFilter(), max_results: int | None = None
+) -> DataFrame:
+    """Locations by number of matching observations: those with most, or all without ``max_results``.
 
     Counting comes before any join on the location, so that joins move one row per
     location and never an observation. Ties are broken by location id (T-09).
     """
     counts = count_by_location(apply_filters(tables.observation, tables, f.anywhere()))
     places = chosen_places(tables, f)
-    return (
+    ranked = (
         counts.join(places.select("location_id", "latitude", "longitude"), "location_id")
         .selectExpr(
             "location_id",
@@ -58,8 +65,8 @@ def locations(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter
             "observation_count",
         )
         .orderBy(F.desc("observation_count"), "location_id")
-        .limit(location_limit(f.max_results))
     )
+    return ranked if max_results is None else ranked.limit(max_results)
 
 
 _LINE = (
@@ -73,12 +80,13 @@ def location_lines(located: DataFrame) -> DataFrame:
     return located.selectExpr("location_id", f"{_LINE} AS line")
 
 
-def location_document(located: DataFrame, epsg: int = codes.DEFAULT_EPSG) -> DataFrame:
-    """O-05 as one document. Only for results of ``locations``, which are at most
-    100 000 rows; larger results are written as lines."""
+def location_document(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
+    """O-05 as one document with the request's EPSG code, for the rows of a request, which are at most 100 000; all
+    locations are written as lines."""
+    located = requested_locations(tables, f)
     lines = f"sort_array(collect_list(struct(-observation_count AS rank, location_id, {_LINE} AS line)))"
     return located.agg(
-        F.expr(f"""concat('{{"epsg":{int(epsg)},"locations":[', array_join({lines}.line, ','), ']}}')""").alias(
+        F.expr(f"""concat('{{"epsg":{int(f.epsg)},"locations":[', array_join({lines}.line, ','), ']}}')""").alias(
             "document"
         )
     )

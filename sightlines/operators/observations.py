@@ -15,10 +15,8 @@ from sightlines.operators.filters import (
 )
 from sightlines.sources.tables import OccurrenceTables
 
-# A top-k sends k rows per task to one task; from this k on, the key range is narrowed first.
-TOP_K_ROWS = 2_000
-RANGE_ROWS = 100_000
-KEY_CELLS = 1_024
+# Cells that a search for a key counts per round, and rows among which the key is then picked.
+KEY_CELLS, FEW_ROWS = 1_024, 10_000
 
 _PAGE_COLUMNS = (
     "observation_id", "taxon_id", "location_id", "taxon_group_id", "category_id", "date_time_collected",
@@ -33,50 +31,49 @@ def page_bounds(f: ObservationFilter, lookahead: int = codes.LOOKAHEAD_PAGES) ->
     return (f.page_number - 1) * f.results_per_page, f.results_per_page * lookahead
 
 
-def window_of(df: DataFrame, key: str, skip: int, take: int, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
-    """Rows ``skip`` .. ``skip + take`` in the order of the unique integer column ``key``."""
-    if skip + take <= top_k_rows:
-        return df.orderBy(key).offset(skip).limit(take)
-    return _narrowed_window(df, key, skip, take)
+def first_rows(df: DataFrame, key: str, take: int) -> DataFrame:
+    """The first rows in the order of a unique key: a top-k, which sends at most ``take`` rows per task to one task."""
+    return df.orderBy(key).limit(take)
 
 
-def _narrowed_window(
-    df: DataFrame, key: str, skip: int, take: int, range_rows: int = RANGE_ROWS, cells: int = KEY_CELLS
-) -> DataFrame:
-    """A large or far page, without a top-k over everything before it.
+def key_at(df: DataFrame, key: str, rank: int, cells: int = KEY_CELLS, few: int = FEW_ROWS) -> int | None:
+    """The key of the row with a given rank (from 0) in key order, None behind the last row. Runs jobs.
 
-    Row counts per key cell (at most ``cells`` rows reach the driver) tell in which
-    cells the window begins and ends; the range of those cells is cut into cells
-    again until it holds few rows besides the window. Exact for any distribution of
-    keys; a round narrows the range up to ``cells`` times.
+    Counts per cell of the key range (at most ``cells`` rows reach the driver) tell which cell holds the row; that cell is
+    cut into cells again until it holds few rows, of which the row is picked. Exact for any distribution of
+    integer keys; a round narrows the range up to ``cells`` times.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.limit(0)
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if rank >= n:
+        return None
     before = 0
-    while high > low:
+    while high > low and n > few:
         width = (high - low) // cells + 1
         cell = F.expr(f"(`{key}` - {low}L) div {width}L").alias("cell")
         counted = df.where(F.col(key).between(low, high)).groupBy(cell).agg(F.count("*").alias("n"))
-        first = last = None
-        inside = 0
         for number, n in sorted(tuple(row) for row in counted.collect()):
-            if first is None and before + n <= skip:
-                before += n
-                continue
-            first = number if first is None else first
-            last = number
-            inside += n
-            if before + inside >= skip + take:
+            if before + n > rank:
                 break
-        if first is None:
-            return df.limit(0)
-        span = high - low
-        low, high = low + first * width, min(high, low + (last + 1) * width - 1)
-        # Few rows left, or a window whose two ends lie far apart: no use in cutting on.
-        if inside <= take + range_rows or high - low > span // 2:
-            break
-    return df.where(F.col(key).between(low, high)).orderBy(key).offset(skip - before).limit(take)
+            before += n
+        low, high = low + number * width, min(high, low + (number + 1) * width - 1)
+    few_rows = df.select(key).where(F.col(key).between(low, high)).orderBy(key)
+    return few_rows.offset(rank - before).limit(1).first()[0]
+
+
+def located_window(
+    df: DataFrame, key: str, skip: int, take: int, cells: int = KEY_CELLS, few: int = FEW_ROWS
+) -> DataFrame:
+    """Rows ``skip`` .. ``skip + take`` in the order of the unique integer column ``key``, for pages of any depth.
+
+    Runs jobs: the keys of the first and of the last row are searched, each by itself, and the rows between them
+    filtered. Nothing is skipped row by row, and a window whose ends lie far apart costs the same.
+    """
+    first = key_at(df, key, skip, cells, few)
+    if first is None or take <= 0:
+        return df.limit(0)
+    last = key_at(df, key, skip + take - 1, cells, few)
+    inside = F.col(key) >= first if last is None else F.col(key).between(first, last)
+    return df.where(inside).orderBy(key)
 
 
 def rows_after(df: DataFrame, key: str, last: int | None, take: int) -> DataFrame:
@@ -85,32 +82,49 @@ def rows_after(df: DataFrame, key: str, last: int | None, take: int) -> DataFram
     return rows.orderBy(key).limit(take)
 
 
+def matching_ids(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
+    """Ids of all observations that a request matches.
+
+    Under area filters, with or without institutions, a stored index names them by itself, from the partitions of
+    those entity types; an observation stands once below each entity, so one entity needs no distinct. Otherwise the
+    filters run over the observations, reading the columns they test.
+    """
+    if not _named_by_index(tables, f):
+        return apply_filters(tables.observation, tables, f).select("observation_id")
+    listed = tables.entity_index.where(geography_condition(f))
+    found = listed.select("observation_id") if _entities(f) == 1 else distinct_ids(listed)
+    if f.organization_ids:
+        of_institutions = tables.entity_index.where(institution_condition(f))
+        found = found.join(distinct_ids(of_institutions), "observation_id", "left_semi")
+    return found
+
+
+def _entities(f: ObservationFilter) -> int:
+    return sum(map(len, (f.municipality_ids, f.county_ids, f.restricted_area_ids, f.ocean_area_ids)))
+
+
 def page_ids(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
-    """Observation ids of the look-ahead window of a request (at most 40 000: four
-    pages of 10 000 rows).
+    """Ids of the look-ahead window of a request (at most 40 000: four pages of 10 000 rows).
 
-    Under area filters, with or without institutions, a stored index names them by
-    itself, from the partitions of those entity types. Otherwise the filters run over
-    the observations, reading the columns they test.
+    The first window is a top-k; further ones are located by key, which runs jobs. Where the index lists an id once for
+    each chosen entity, as many rows as the window has ids and entities hold the window: a top-k goes before the distinct.
     """
     f.validate_page()
-    if _named_by_index(tables, f):
-        found = distinct_ids(tables.entity_index.where(geography_condition(f)))
-        if f.organization_ids:
-            of_institutions = tables.entity_index.where(institution_condition(f))
-            found = found.join(distinct_ids(of_institutions), "observation_id", "left_semi")
-    else:
-        found = apply_filters(tables.observation, tables, f).select("observation_id")
-    return window_of(found, "observation_id", *page_bounds(f))
+    skip, take = page_bounds(f)
+    if skip:
+        return located_window(matching_ids(tables, f), "observation_id", skip, take)
+    if _named_by_index(tables, f) and not f.organization_ids:
+        listed = tables.entity_index.where(geography_condition(f)).select("observation_id")
+        return first_rows(first_rows(listed, "observation_id", take * _entities(f)).distinct(), "observation_id", take)
+    return first_rows(matching_ids(tables, f), "observation_id", take)
 
 
 def _named_by_index(tables: OccurrenceTables, f: ObservationFilter) -> bool:
     return tables.has_stored_index and f.has_geography and f.anywhere().but(organization_ids=()).matches_all
 
 
-def page_of(tables: OccurrenceTables, f: ObservationFilter, ids: DataFrame | None = None) -> DataFrame:
-    """The observations of the window, fetched by a broadcast of their ids."""
-    ids = page_ids(tables, f) if ids is None else ids
+def _page_of(tables: OccurrenceTables, f: ObservationFilter, ids: DataFrame) -> DataFrame:
+    """The observations of a window, fetched by a broadcast of its ids, which come from ``page_ids`` alone."""
     rows = tables.observation.select(*_PAGE_COLUMNS)
     if _named_by_index(tables, f):
         # Finding the bounds is cheap here; they let the scan skip row groups of a
@@ -120,17 +134,19 @@ def page_of(tables: OccurrenceTables, f: ObservationFilter, ids: DataFrame | Non
     return rows.join(F.broadcast(ids), "observation_id", "left_semi")
 
 
-def observation_rows(page: DataFrame, ids: DataFrame, tables: OccurrenceTables) -> DataFrame:
-    """O-64m: the eleven list columns for the observations of ``page``.
+def observation_rows(page: DataFrame, tables: OccurrenceTables) -> DataFrame:
+    """O-64m: the eleven list columns for any observations."""
+    return _observation_rows(page, tables, page.select("observation_id"))
+
 
-    ``ids`` are the ids of the page, bounded and hence broadcast to the index, which is
-    read once for both the institution and the municipality. Each takes the smallest
-    entity id (T-08).
+def _observation_rows(page: DataFrame, tables: OccurrenceTables, ids: DataFrame) -> DataFrame:
+    """``ids`` are those of the page; with a broadcast hint only if they come from ``page_ids``. The index is read once
+    for both the institution and the municipality. Each takes the smallest entity id (T-08).
     """
     entries = (
         tables.entity_index.where(f"entity_type_id IN ({codes.INSTITUTION}, {codes.MUNICIPALITY})")
         .select("observation_id", "entity_type_id", "entity_id")
-        .join(F.broadcast(ids), "observation_id", "left_semi")
+        .join(ids, "observation_id", "left_semi")
         .join(
             tables.organization.selectExpr("organization_id AS entity_id", "name AS org_name"), "entity_id", "left"
         )
@@ -166,15 +182,21 @@ def observation_rows(page: DataFrame, ids: DataFrame, tables: OccurrenceTables)
 
 
 def observations(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
-    """Observation list in id order: the requested page and its look-ahead, or the
-    first rows when no page is given.
+    """Observation list: all observations that match, in id order, with the list columns."""
+    page = tables.observation.select(*_PAGE_COLUMNS)
+    if not f.matches_all:
+        page = page.join(matching_ids(tables, f), "observation_id", "left_semi")
+    return observation_rows(page, tables).orderBy("observation_id")
+
+
+def requested_observations(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
+    """O-64a, the request's rule: the page asked for and its look-ahead, or the first rows when no page is given.
 
-    The window is decided on ids alone; wide columns and the joins for display
-    follow for its rows only. The broadcast of the ids serves both the observations
-    and the index.
+    The window is decided on ids alone; wide columns and the joins for display follow for its rows only. The
+    broadcast of the ids serves both the observations and the index.
     """
     ids = page_ids(tables, f)
-    rows = observation_rows(page_of(tables, f, ids), ids, tables)
+    rows = _observation_rows(_page_of(tables, f, ids), tables, F.broadcast(ids))
     # The limit drops nothing; with it, the final order is a top-k instead of a range shuffle.
     _, take = page_bounds(f)
     return rows.orderBy("observation_id").limit(take)

@@ -421,6 +421,23 @@ QUERIES = {
                       ORDER BY o.observation_id LIMIT 20) {_OBSERVATION_ROW}""",
     "observations_deep": """
         SELECT observation_id, taxon_group_id FROM f_observation ORDER BY observation_id LIMIT 80 OFFSET 900""",
+    "observations_scattered": """
+        WITH far AS (SELECT CASE WHEN observation_id % 5 = 0 THEN observation_id + 1000000000000000
+                                 ELSE observation_id END AS observation_id, taxon_group_id FROM f_observation),
+             ranked AS (SELECT *, row_number() OVER (ORDER BY observation_id) - 1 AS r, count(*) OVER () AS n FROM far)
+        SELECT observation_id, taxon_group_id FROM ranked WHERE r BETWEEN n - n // 5 - 30 AND n - n // 5 + 29""",
+    "observations_all": f"""
+        WITH page AS (SELECT o.* FROM f_observation o JOIN f_taxon t ON t.taxon_id = o.taxon_id
+                      WHERE contains(lower(t.preferred_popular_name), 'blue')) {_OBSERVATION_ROW}""",
+    "locations_all": """
+        SELECT o.location_id, coalesce(l.latitude, 0) AS latitude, coalesce(l.longitude, 0) AS longitude,
+               count(*) AS observation_count
+        FROM f_observation o JOIN f_location l ON l.location_id = o.location_id
+        WHERE o.taxon_group_id BETWEEN 1 AND 15
+          AND EXISTS (SELECT 1 FROM f_entity_index i WHERE i.observation_id = o.observation_id AND (
+                (i.entity_type_id = 1 AND i.entity_id IN (201, 105)) OR (i.entity_type_id = 2 AND i.entity_id = 3)
+                OR (i.entity_type_id = 6 AND i.entity_id = 3)))
+        GROUP BY o.location_id, l.latitude, l.longitude""",
     "observations_after": """
         SELECT observation_id, taxon_group_id FROM f_observation WHERE observation_id > 700
         ORDER BY observation_id LIMIT 200""",

@@ -110,7 +110,7 @@ _QUERIES["f_geo_or_index"] = _filter_query("f_geo_or", route="index")
 
 @_query
 def locations_top(t: OccurrenceTables) -> DataFrame:
-    return locations.locations(t, REQUESTS["locations"])
+    return locations.requested_locations(t, REQUESTS["locations"])
 
 
 _QUERIES["locations"] = _QUERIES.pop("locations_top")
@@ -118,17 +118,17 @@ _QUERIES["locations"] = _QUERIES.pop("locations_top")
 
 @_query
 def locations_envelope(t: OccurrenceTables) -> DataFrame:
-    return locations.locations(t, REQUESTS["locations_envelope"])
+    return locations.requested_locations(t, REQUESTS["locations_envelope"])
 
 
 @_query
 def location_lines(t: OccurrenceTables) -> DataFrame:
-    return locations.location_lines(locations.locations(t, REQUESTS["locations"]))
+    return locations.location_lines(locations.requested_locations(t, REQUESTS["locations"]))
 
 
 @_query
 def location_document(t: OccurrenceTables) -> DataFrame:
-    return locations.location_document(locations.locations(t, REQUESTS["locations"]))
+    return locations.location_document(t, REQUESTS["locations"])
 
 
 # --- observation list --------------------------------------------------------
@@ -136,19 +136,38 @@ def location_document(t: OccurrenceTables) -> DataFrame:
 
 @_query
 def observations_page(t: OccurrenceTables) -> DataFrame:
-    return observations.observations(t, REQUESTS["observations_page"])
+    return observations.requested_observations(t, REQUESTS["observations_page"])
 
 
 @_query
 def observations_default(t: OccurrenceTables) -> DataFrame:
-    return observations.observations(t, REQUESTS["observations_default"])
+    return observations.requested_observations(t, REQUESTS["observations_default"])
 
 
 @_query
 def observations_deep(t: OccurrenceTables) -> DataFrame:
     """A page far down the unfiltered list, located by id ranges."""
     rows = t.observation.select("observation_id", "taxon_group_id")
-    return observations.window_of(rows, "observation_id", skip=900, take=80, top_k_rows=0)
+    return observations.located_window(rows, "observation_id", skip=900, take=80)
+
+
+@_query
+def observations_scattered(t: OccurrenceTables) -> DataFrame:
+    """A window over both parts of a list whose keys lie far apart."""
+    far = "IF(observation_id % 5 = 0, observation_id + 1000000000000000L, observation_id) AS observation_id"
+    rows = t.observation.selectExpr(far, "taxon_group_id")
+    n = rows.count()
+    return observations.located_window(rows, "observation_id", skip=n - n // 5 - 30, take=60, few=50)
+
+
+@_query
+def observations_all(t: OccurrenceTables) -> DataFrame:
+    return observations.observations(t, REQUESTS["observations_default"])
+
+
+@_query
+def locations_all(t: OccurrenceTables) -> DataFrame:
+    return locations.locations(t, REQUESTS["locations"])
 
 
 @_query
@@ -433,12 +452,12 @@ def sample_locations(t: OccurrenceTables) -> DataFrame:
 
 @_query
 def polygons(t: OccurrenceTables) -> DataFrame:
-    return geometry.location_polygons(t, REQUESTS["polygons"])
+    return geometry.requested_polygons(t, REQUESTS["polygons"])
 
 
 @_query
 def polygons_all(t: OccurrenceTables) -> DataFrame:
-    return geometry.location_polygons(t, REQUESTS["polygons_all"])
+    return geometry.requested_polygons(t, REQUESTS["polygons_all"])
 
 
 @_query
@@ -476,12 +495,12 @@ def geojson_features(t: OccurrenceTables) -> DataFrame:
 
 @_query
 def geojson_locations(t: OccurrenceTables) -> DataFrame:
-    return geometry.location_features(locations.locations(t, REQUESTS["locations"]))
+    return geometry.location_features(locations.requested_locations(t, REQUESTS["locations"]))
 
 
 @_query
 def geojson_polygons(t: OccurrenceTables) -> DataFrame:
-    return geometry.polygon_features(geometry.location_polygons(t, REQUESTS["polygons_all"]))
+    return geometry.polygon_features(geometry.requested_polygons(t, REQUESTS["polygons_all"]))
 
 
 @_query
@@ -548,7 +567,7 @@ def zoom_buckets(t: OccurrenceTables) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations of the chosen taxon groups and areas, by number of observations."""
-    return locations.locations(supplied_tables(spark, sf_dir), REQUESTS["locations"])
+    return locations.requested_locations(supplied_tables(spark, sf_dir), REQUESTS["locations"])
 
 
 __all__ = ["flagship", "queries"]

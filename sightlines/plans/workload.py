@@ -24,12 +24,12 @@ _MUSEUMS = (2, 4, 10)
 
 def _page(page: int = 1, rows: int = 10, **fields: object) -> Request:
     f = ObservationFilter(page_number=page, results_per_page=rows, **fields).validate_page()
-    return lambda t: observations.observations(t, f)
+    return lambda t: observations.requested_observations(t, f)
 
 
 def _locations(**fields: object) -> Request:
     f = ObservationFilter(**fields).validate_locations()
-    return lambda t: locations.locations(t, f)
+    return lambda t: locations.requested_locations(t, f)
 
 
 WORKLOAD: dict[str, Request] = {

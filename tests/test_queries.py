@@ -10,9 +10,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from sightlines.plans import oracle, queries as named
 from tests.conftest import SMALL
 
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLE = named.queries(), oracle.oracle_sql()
 
 
 def _connect(folder):
