@@ -3,6 +3,7 @@
 BENCH_SF_DIR   folder of the supplied tables (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 BENCH_REPEATS  timed runs per request, of which the median counts (default 2)
+BENCH_DIR      folder for the stored tables, removed at the end (default: a temporary one)
 
 ``named.*`` are queries over the raw tables, mapping included. ``store`` maps and
 writes the occurrence tables, ``index_build`` builds and writes the entity index
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import statistics
 import sys
 import tempfile
@@ -78,7 +80,7 @@ def main() -> None:
     for name in NAMED:
         times[f"named.{name}"] = _median(lambda: named[name](spark, sf_dir), repeats)
 
-    root = tempfile.mkdtemp(prefix="sightlines-bench-")
+    root = tempfile.mkdtemp(prefix="sightlines-bench-", dir=os.environ.get("BENCH_DIR"))
     mapped = supplied_tables(spark, sf_dir)
     times["store"] = _once(lambda: [getattr(mapped, n).write.parquet(os.path.join(root, n)) for n in STORED])
     stored = OccurrenceTables.from_parquet(spark, root)
@@ -99,6 +101,7 @@ def main() -> None:
             }
         )
     )
+    shutil.rmtree(root)
     spark.stop()
 
 

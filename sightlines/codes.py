@@ -31,26 +31,6 @@ UNFILLED_TAXON_GROUP = 0
 
 RESTRICTED_FID_PREFIX = "Naturbase VV"
 
-# Category code by category id.
-CATEGORY_CODES = {
-    0: "Unknown",
-    1: "NE",
-    2: "NA",
-    3: "NR",
-    4: "NK",
-    5: "LO",
-    6: "PH",
-    7: "HI",
-    8: "SE",
-    9: "LC",
-    10: "DD",
-    11: "NT",
-    12: "VU",
-    13: "EN",
-    14: "CR",
-    15: "RE",
-}
-
 # Display order of category codes; a code outside the list sorts last.
 CATEGORY_ORDER = (
     "SE", "HI", "PH", "LO", "NK", "NR", "RE", "CR", "EN", "VU", "NT", "DD", "LC", "NA", "NE",
@@ -84,7 +64,5 @@ EXPORT_HISTORY_ROWS = 50
 SLOW_REQUEST_MS = 1_000
 LOGGED_BODY_CHARS = 4_000
 
-# Export job status, as stored.
-JOB_PENDING, JOB_PROCESSING, JOB_COMPLETE, JOB_FAILED, JOB_CANCELLED = (
-    "Pending", "Processing", "Complete", "Failed", "Cancelled",
-)
+# Export job status, as stored, of jobs that have ended.
+JOB_COMPLETE, JOB_FAILED, JOB_CANCELLED = "Complete", "Failed", "Cancelled"

@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 
 from sightlines import codes
 from sightlines.functions.scalars import any_of, entity_id, or_zero, quoted
-from sightlines.operators.filters import (
-    ObservationFilter,
-    apply_filters,
-    by_geography,
-    shared_conditions,
-)
+from sightlines.operators.filters import ObservationFilter, apply_filters, chosen_locations, shared_conditions
+from sightlines.operators.index import location_area_entities, observation_attributes
+from sightlines.operators.locations import count_by_location
 from sightlines.sources.tables import OccurrenceTables
 
 
@@ -157,27 +154,45 @@ def _chosen_areas(tables: OccurrenceTables, zoom_level: int, f: ObservationFilte
 def dynamic_counts(tables: OccurrenceTables, areas: DataFrame, f: ObservationFilter) -> DataFrame:
     """O-55: observations per (entity type, entity id) under the filters.
 
-    Filters the index has columns for are applied to it directly. Only the rest
-    needs the filtered observations, joined by id (O-50).
+    Without geography, filters the index has columns for are applied to it. An area filter, and filters on other
+    columns (O-50), are answered by location instead: an area is a property of the location, so observations are counted
+    per location first and the counts summed over the areas of each. Status and media are judged as the index does (T-04).
     """
+    keys = areas.selectExpr("area_type_id AS entity_type_id", f"{entity_id('fid')} AS entity_id").where(
+        "entity_id IS NOT NULL"
+    ).distinct()
+    if f.needs_observation_rows or f.has_geography:
+        return _counts_by_location(tables, keys, f)
     # Area types lie below the institution code, so this drops whole index partitions.
-    conditions = [f"entity_type_id < {codes.INSTITUTION}", *shared_conditions(f)]
+    conditions = [f"entity_type_id < {codes.INSTITUTION}", *shared_conditions(f), *_judged_by_index(f)]
+    index = tables.enriched_index.where(" AND ".join(conditions))
+    index = index.join(keys, ["entity_type_id", "entity_id"], "left_semi")
+    return index.groupBy("entity_type_id", "entity_id").agg(F.count("*").alias("observation_count"))
+
+
+def _judged_by_index(f: ObservationFilter) -> list[str]:
+    conditions = []
     if f.registration_status_id is not None:
         conditions.append(f"registration_status_id = {int(f.registration_status_id)}")
     if f.with_images is not None:
         conditions.append("has_media_files" if f.with_images else "NOT has_media_files")
-    index = tables.enriched_index.where(" AND ".join(conditions))
-    keys = areas.selectExpr("area_type_id AS entity_type_id", f"{entity_id('fid')} AS entity_id").where(
-        "entity_id IS NOT NULL"
+    return conditions
+
+
+def _counts_by_location(tables: OccurrenceTables, keys: DataFrame, f: ObservationFilter) -> DataFrame:
+    matching = apply_filters(tables.observation, tables, f.anywhere())
+    if judged := _judged_by_index(f):
+        as_indexed = observation_attributes(tables).where(" AND ".join(judged)).select("observation_id")
+        matching = matching.join(as_indexed, "observation_id", "left_semi")
+    entities = location_area_entities(tables).join(keys, ["entity_type_id", "entity_id"], "left_semi").distinct()
+    if f.has_geography:
+        entities = entities.join(chosen_locations(tables, f), "location_id", "left_semi")
+    return (
+        count_by_location(matching)
+        .join(entities, "location_id")
+        .groupBy("entity_type_id", "entity_id")
+        .agg(F.sum("observation_count").alias("observation_count"))
     )
-    index = index.join(keys.distinct(), ["entity_type_id", "entity_id"], "left_semi")
-    if f.needs_observation_rows:
-        matching = apply_filters(tables.observation, tables, f).select("observation_id")
-        # These already lie in the chosen areas.
-        index = index.join(matching, "observation_id", "left_semi")
-    else:
-        index = by_geography(index, tables, f, route="index")
-    return index.groupBy("entity_type_id", "entity_id").agg(F.count("*").alias("observation_count"))
 
 
 def rollup_to_counties(tables: OccurrenceTables, municipality_ids: tuple[str, ...]) -> DataFrame:
@@ -255,9 +270,9 @@ def area_markers(
         .where("observation_count > 0")
     )
     shape = [c for c in ("centroid_x", "centroid_y") if c in tables.area.columns]
-    described = tables.area.select("area_id", "fid", "area_type_id", "parent_fid", "wkt_polygon", *shape)
+    described = tables.area.select("area_id", "fid", "area_type_id", "parent_fid", "document_id", "wkt_polygon", *shape)
     return merged.join(described, "area_id").select(
-        "marker_id", "fid", "name", "area_type_id", "parent_fid", "observation_count", "wkt_polygon", *shape
+        "marker_id", "fid", "name", "area_type_id", "parent_fid", "document_id", "observation_count", "wkt_polygon", *shape
     )
 
 

@@ -145,6 +145,12 @@ class ObservationFilter:
             raise ValueError("precision_from must be less than or equal to precision_to")
         return self
 
+    def validate_counts(self, zoom_level: int) -> ObservationFilter:
+        """O-39b for count requests, which know the zoom levels 1 and 2."""
+        self.validate()
+        _require_range(zoom_level, 1, 2)
+        return self
+
     def validate_page(self) -> ObservationFilter:
         self.validate()
         if (self.page_number is None) != (self.results_per_page is None):

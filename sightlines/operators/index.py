@@ -154,17 +154,18 @@ def index_enriched(tables: OccurrenceTables) -> DataFrame:
     return areas.unionByName(_fill(as_unfilled(index_institutions(tables)), tables))
 
 
-def write_entity_index(index: DataFrame, path: str, mode: str = "error") -> None:
+def write_entity_index(index: DataFrame, path: str, mode: str = "error", files: int | None = None) -> None:
     """O-06: store the index partitioned by entity type.
 
     Range partitioning on (type, entity, observation) gives files of equal size
     even when one entity holds most rows, and narrow min/max statistics on
     ``entity_id``, so that an area filter skips most files. Sampling the ranges
-    repeats the last stage of the build; its shuffles are reused.
+    repeats the last stage of the build; its shuffles are reused. ``files`` is the number of ranges; without it the
+    session's number of shuffle partitions holds, which suits small tables only.
     """
     ordering = ("entity_type_id", "entity_id", "observation_id")
     (
-        index.repartitionByRange(*ordering)
+        index.repartitionByRange(*([files] if files else []), *ordering)
         .sortWithinPartitions(*ordering)
         .write.mode(mode)
         .partitionBy("entity_type_id")

@@ -91,7 +91,7 @@ VIEWS = {
         SELECT 3000 + n_nationkey, concat('Naturbase VV0000', n_nationkey), concat('Reserve ', n_name), 3, 3, NULL,
                TRUE, FALSE, NULL, NULL FROM nation WHERE n_nationkey % 5 = 0
         UNION ALL
-        SELECT 4000 + r_regionkey, CAST(91 + r_regionkey AS VARCHAR), concat('Sea ', r_name), 4, 1, NULL, TRUE,
+        SELECT 4000 + r_regionkey, CAST(91 + r_regionkey AS VARCHAR), concat('Sea ', CASE WHEN r_regionkey = 4 THEN 'AFRICA' ELSE r_name END), 4, 1, NULL, TRUE,
                FALSE, 50, NULL FROM region
         UNION ALL
         SELECT 6000, '21_99', 'Polar islands', 6, 1, NULL, TRUE, FALSE, 5, NULL FROM region WHERE r_regionkey = 0""",
@@ -332,6 +332,18 @@ _SAMPLE_OBSERVATIONS = f"""
 
 _FEATURE_PROPERTIES = "concat('{\"id\":', area_id, ',\"name\":\"', name, '\",\"areaTypeId\":', area_type_id"
 
+def _markers(counted: str) -> str:
+    """One marker per name from (area_id, name, n): the first area with a polygon describes it."""
+    return f"""
+        WITH counted AS ({counted}),
+             merged AS (SELECT c.name, CAST(sum(c.n) AS BIGINT) AS observation_count, min(c.area_id) AS marker_id,
+                               coalesce(min(CASE WHEN a.wkt_polygon IS NOT NULL THEN a.area_id END), min(a.area_id)) AS area_id
+                        FROM counted c JOIN f_area a USING (area_id) GROUP BY c.name)
+        SELECT m.marker_id, a.fid, m.name, a.area_type_id, a.parent_fid, concat('doc-', a.area_id) AS document_id,
+               m.observation_count, a.wkt_polygon
+        FROM merged m JOIN f_area a USING (area_id) WHERE m.observation_count > 0"""
+
+
 QUERIES = {
     "index_areas": "SELECT * FROM f_entity_areas",
     "index_institutions": "SELECT * FROM f_entity_institutions",
@@ -467,23 +479,21 @@ QUERIES = {
         ),
         1, "a.fid = '93'",
     ),
+    # "0201" equals no fid, so all areas are shown; as a number it is the municipality 201, where the counts are taken
     "area_counts_fallback": _area_counts(
-        _index_counts("taxon_group_id IN (1, 2, 3) AND " + _geo("g.entity_type_id = 1 AND g.entity_id = 999")), 2
+        _index_counts("taxon_group_id BETWEEN 1 AND 25 AND " + _geo("g.entity_type_id = 1 AND g.entity_id = 201")), 2
     ),
     "area_counts_months": _area_counts(_index_counts("month(date_time_collected) = 5"), 1),
-    "area_counts_compat": f"""
-        SELECT fid, CAST(observation_count AS BIGINT) AS observation_count FROM f_area a
-        WHERE {_SHOWN_AREAS.format(zoom=1)} AND observation_count > 0""",
-    "area_markers": f"""
-        SELECT area_id AS marker_id, fid, name, area_type_id, parent_fid,
-               CAST(observation_count AS BIGINT) AS observation_count, wkt_polygon FROM f_area a
-        WHERE {_SHOWN_AREAS.format(zoom=1)} AND observation_count > 0""",
-    "area_markers_dynamic": f"""
-        SELECT a.area_id AS marker_id, a.fid, a.name, a.area_type_id, a.parent_fid,
-               CAST(c.n AS BIGINT) AS observation_count, a.wkt_polygon
-        FROM f_area a JOIN ({_index_counts("taxon_group_id BETWEEN 1 AND 10 AND basis_of_record_id IN (1, 2)")}) c
-          ON c.entity_type_id = a.area_type_id AND c.entity_id = TRY_CAST(replace(a.fid, '_', '') AS INT)
-        WHERE {_SHOWN_AREAS.format(zoom=2)}""",
+    "area_markers": _markers(
+        "SELECT area_id, name, CAST(observation_count AS BIGINT) AS n FROM f_area a "
+        f"WHERE {_SHOWN_AREAS.format(zoom=1)}"
+    ),
+    "area_markers_dynamic": _markers(
+        f"""SELECT a.area_id, a.name, coalesce(c.n, 0) AS n FROM f_area a LEFT JOIN
+            ({_index_counts("taxon_group_id BETWEEN 1 AND 10 AND basis_of_record_id IN (1, 2)")}) c
+            ON c.entity_type_id = a.area_type_id AND c.entity_id = TRY_CAST(replace(a.fid, '_', '') AS INT)
+            WHERE {_SHOWN_AREAS.format(zoom=2)}"""
+    ),
     "area_rollup": """
         SELECT parent_fid AS fid, CAST(sum(observation_count) AS BIGINT) AS observation_count FROM f_area
         WHERE is_current AND fid IN ('201', '302', '206', '307')
@@ -720,6 +730,12 @@ def _needed(sql: str, found: dict[str, None]) -> dict[str, None]:
     return found
 
 
+QUERIES["area_counts_compat"] = f"SELECT fid, observation_count FROM ({QUERIES['area_markers']})"
+QUERIES["stored_index"] = QUERIES["index_enriched"]
+QUERIES["stored_lines"] = f"SELECT line FROM ({QUERIES['location_lines']})"
+QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
+
+
 def with_views(sql: str) -> str:
     """The statement with the views it needs as common table expressions."""
     views = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in _needed(sql, {}))

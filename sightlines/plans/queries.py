@@ -6,6 +6,7 @@ text, as the comparison is by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,7 @@ from sightlines.operators import (
 )
 from sightlines.operators.filters import apply_filters, by_envelope
 from sightlines.plans.requests import EXPORT_COLUMNS, EXPORT_NAME, REQUESTS, SEARCH_PREFIX, TAXON_TERM
-from sightlines.sources import OccurrenceTables, supplied_tables
+from sightlines.sources import OccurrenceTables, sinks, supplied_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -76,6 +77,40 @@ def index_backfill(t: OccurrenceTables) -> DataFrame:
     return index.backfill(finished.unionByName(marked), t)
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own that the cluster shares: below the checkpoint folder, else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_query
+def stored_index(t: OccurrenceTables) -> DataFrame:
+    """The index written and read back."""
+    full = index.index_enriched(t)
+    path = _new_folder(full.sparkSession, "entity_index")
+    index.write_entity_index(full, path)
+    return full.sparkSession.read.parquet(path).select(*full.columns)
+
+
+@_query
+def stored_lines(t: OccurrenceTables) -> DataFrame:
+    """Location lines written as text and read back."""
+    lines = locations.location_lines(locations.requested_locations(t, REQUESTS["locations"]))
+    path = _new_folder(lines.sparkSession, "location_lines")
+    sinks.write_lines(lines, path)
+    return lines.sparkSession.read.text(path).selectExpr("value AS line")
+
+
+@_query
+def stored_csv(t: OccurrenceTables) -> DataFrame:
+    """An export written as CSV and read back."""
+    rows = export.export_rows(t, REQUESTS["export_rows"], ("id", "CollectionCode", "TaxonId"))
+    path = _new_folder(rows.sparkSession, "export")
+    sinks.write_csv(rows, path)
+    read = rows.sparkSession.read.option("header", True).option("sep", ";").csv(path)
+    return read.selectExpr("CAST(Id AS BIGINT) AS observation_id", "Samlingskode AS collection_code")
+
+
 @_query
 def zoom_levels(t: OccurrenceTables) -> DataFrame:
     blank = t.area.withColumn("zoom_level", F.when(F.col("area_type_id") > 2, F.col("zoom_level")))

@@ -62,7 +62,7 @@ REQUESTS = {
     "area_counts_geo": ObservationFilter(
         restricted_area_ids=("Naturbase VV00005", "Naturbase VV000010"), ocean_area_ids=("93",), category_ids=(9,)
     ),
-    "area_counts_fallback": ObservationFilter(municipality_ids=("999",), taxon_group_ids=(1, 2, 3)),
+    "area_counts_fallback": ObservationFilter(municipality_ids=("0201",), taxon_group_ids=tuple(range(1, 26))),
     "area_counts_months": ObservationFilter(months=(5,)),
     "area_markers_dynamic": ObservationFilter(taxon_group_ids=tuple(range(1, 11)), basis_of_record_ids=(1, 2)),
     "area_rollup": ObservationFilter(municipality_ids=("201", "302", "206", "307")),

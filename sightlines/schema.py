@@ -54,7 +54,7 @@ OCCURRENCE = {
     "location_area": "location_id bigint, area_id bigint",
     "area": (
         "area_id bigint, fid string, name string, area_type_id int, zoom_level int, parent_fid string, "
-        "is_current boolean, is_deleted boolean, observation_count int, wkt_polygon string, "
+        "is_current boolean, is_deleted boolean, observation_count int, wkt_polygon string, document_id string, "
         "centroid_x double, centroid_y double"
     ),
     "area_type": "area_type_id int, name string, is_deleted boolean",

@@ -13,7 +13,10 @@ SEPARATOR_HINT = "sep=;"
 
 
 def write_csv(rows: DataFrame, path: str, order_by: str = "Id", mode: str = "error") -> None:
-    """O-04, O-64d: a distributed CSV in id order, one header per part file (T-18)."""
+    """O-04, O-64d: a distributed CSV in id order, one header per part file (T-18).
+
+    Finding the ranges runs the plan of ``rows`` once more for a sample of the keys.
+    """
     key = F.col(f"`{order_by}`")
     ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
     (

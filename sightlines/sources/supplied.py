@@ -163,7 +163,8 @@ def _organization_relation(raw: Raw) -> DataFrame:
 _AREA_FIELDS = (
     "CAST({area_id} AS BIGINT) AS area_id, {fid} AS fid, {name} AS name, {kind} AS area_type_id, "
     "{zoom} AS zoom_level, CAST({parent} AS STRING) AS parent_fid, {current} AS is_current, "
-    "{deleted} AS is_deleted, CAST({count} AS INT) AS observation_count, CAST({wkt} AS STRING) AS wkt_polygon"
+    "{deleted} AS is_deleted, CAST({count} AS INT) AS observation_count, CAST({wkt} AS STRING) AS wkt_polygon, "
+    "concat('doc-', CAST({area_id} AS BIGINT)) AS document_id"
 )
 
 
@@ -174,7 +175,7 @@ def _area_struct(area_id: str, fid: str, name: str, kind: int, zoom: int, **know
 
 
 def _area(raw: Raw) -> DataFrame:
-    """A nation is a municipality and at times a reserve; a region a county, a sea and once the polar islands."""
+    """A nation is a municipality and at times a reserve; a region a county, a sea and once the polar islands. Two seas share a name."""
     municipality = _area_struct(
         "1000 + n_nationkey", "CAST(100 * (n_regionkey + 1) + n_nationkey AS STRING)", "n_name", 1, 2,
         parent="n_regionkey + 1", current="n_nationkey <> 24", deleted="n_nationkey = 23", count="n_nationkey * 7",
@@ -188,7 +189,7 @@ def _area(raw: Raw) -> DataFrame:
         "2000 + r_regionkey", "CAST(r_regionkey + 1 AS STRING)", "r_name", 2, 1, count="r_regionkey * 100"
     )
     sea = _area_struct(
-        "4000 + r_regionkey", "CAST(91 + r_regionkey AS STRING)", "concat('Sea ', r_name)", 4, 1, count="50"
+        "4000 + r_regionkey", "CAST(91 + r_regionkey AS STRING)", "concat('Sea ', IF(r_regionkey = 4, 'AFRICA', r_name))", 4, 1, count="50"
     )
     polar = _area_struct("6000", "'21_99'", "'Polar islands'", 6, 1, count="5")
     nations = raw("nation").selectExpr(
