@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat_rotation, decontamination, divergence, html_content, licenses, near_dedup, substring_dedup, toxicity, warc_zip
+from . import (
+    byte_bpe, chat_rotation, decontamination, divergence, html_content, licenses, near_dedup, substring_dedup, toxicity,
+    warc_zip,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +71,11 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_near_dedup, op2_licenses, op3_substring_dedup, op4_warc_zip, op5_toxicity, op6_html_content, op7_byte_bpe, op8_decontamination, op9_chat_rotation, op10_divergence)}
+    every = (
+        op1_near_dedup, op2_licenses, op3_substring_dedup, op4_warc_zip, op5_toxicity, op6_html_content, op7_byte_bpe,
+        op8_decontamination, op9_chat_rotation, op10_divergence,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
