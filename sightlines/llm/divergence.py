@@ -29,6 +29,9 @@ LEAST_WORDS, LEAST_COMMON = 60, 25
 #: Greatest distances of a document that is kept.
 CLASS_DISTANCE, WORD_DISTANCE = 0.28, 0.72
 
+#: Languages up to which their references (a kilobyte or two each) are broadcast; more of them are joined by shuffle.
+BROADCAST_LANGUAGES = 2_000
+
 _WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 _PLACE = {w.encode(): i for i, w in enumerate(_WORDS)}
 _SYMBOLS = b"#*$%&|<>"
@@ -146,6 +149,9 @@ def judged(docs: DataFrame) -> DataFrame:
         F.expr(_shares("classes")).alias("ref_classes"),
         F.expr(_shares("common")).alias("ref_common"),
     )
+    reference = stored(reference, "reference")
+    if reference.count() <= BROADCAST_LANGUAGES:
+        reference = F.broadcast(reference)
     shares = found.withColumns({"p": F.expr(_shares("classes")), "q": F.expr(_shares("common"))})
     joined = shares.join(reference, F.expr("lang <=> ref_lang"), "left")
     n_common = "aggregate(common, 0L, (a, x) -> a + x)"

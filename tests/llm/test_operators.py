@@ -300,7 +300,9 @@ def test_winnowing_keeps_one_of_each_run(values, run):
         assert any(k in kept and values[k] == min(values[i : i + run]) for k in range(i, i + run))
 
 
-def test_quality_rules(docs, rows, empty):
+@pytest.mark.parametrize("languages", [0, 2_000])
+def test_quality_rules(docs, rows, empty, monkeypatch, languages):
+    monkeypatch.setattr(divergence, "BROADCAST_LANGUAGES", languages)
     got = divergence.judged(docs).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert sorted(((g.doc_id, *(g[n] for n in names)) for g in got), key=repr) == sorted(
