@@ -7,8 +7,9 @@ Documents with the same set of shingles form a class; one member stands for it.
 outside the prefixes are skipped when candidates are made and only counted in the signatures (skip merging).
 
 A posting list is not expanded into all pairs: each member first meets the list's smallest one, the links found join
-members to components, and only members of different components meet further, without those that share too few shingles
-with all others to have any link. Candidates with enough matches are confirmed on the full sets.
+members to components, and only members of different components meet further. For that their lists are refined by a
+prefix of their rarest shingles, which linked sets share for certain. Candidates with enough matches are confirmed on
+the full sets.
 """
 
 from __future__ import annotations
@@ -62,15 +63,24 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return appended(docs, ["text"], rows, "n_shingles long, digest binary, signature array<int>")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(class, key) of the prefixes, for pairs that several classes share."""
-    posted = classes.select("class", F.posexplode("signature").alias("place", "value"))
-    posted = posted.select("class", F.xxhash64("place", "value").alias("key"))
+def _prefixes(posted: DataFrame, size: str, prefix: str) -> DataFrame:
+    """(class, key) of each class's rarest keys, of those that several classes have.
+
+    ``size`` is how many keys the class has and ``prefix`` how many of them, rarest first, are to be kept; keys that no
+    other class has come first and give no list.
+    """
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rank = F.expr("row_number() OVER (PARTITION BY class ORDER BY n, key)")
     of_class = F.expr("count(*) OVER (PARTITION BY class)")
     found = posted.join(shared, "key").withColumns({"rank": rank, "shared": of_class})
-    return found.filter(F.col("rank") <= _PREFIX - (COORDINATES - F.col("shared"))).select("class", "key")
+    return found.filter(f"rank <= {prefix} - ({size} - shared)").select("class", "key")
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """(class, key): lists of the coordinate-value pairs in the prefixes."""
+    posted = classes.select("class", F.posexplode("signature").alias("place", "value"))
+    posted = posted.select("class", F.xxhash64("place", "value").alias("key"))
+    return _prefixes(posted, str(COORDINATES), str(_PREFIX))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -108,11 +118,12 @@ def _across(postings: DataFrame, of: DataFrame) -> DataFrame:
     return found.join(several.filter("low < high"), "key")
 
 
-def _linkable(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """(class) of those members of lists that can be linked with another member at all.
+def _refined(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class, key): lists of shingles for the members of signature lists that span several components.
 
-    A set shares ``LEAST_PERCENT`` of its shingles with any set it is linked with, so a member of whose shingles fewer
-    occur in other members is linked with none. In a large family this sets aside the many that differ from all.
+    Linked sets share ``LEAST_PERCENT`` of the shingles of either, so one of those left when that share is taken from the
+    end of each set, rarest first, is common to both. In a large family the members that differ from all others have
+    shingles of their own in that place and leave the lists; no linked pair does.
     """
     members = texts.join(lists.select("class").distinct(), "class", "left_semi")
 
@@ -121,26 +132,26 @@ def _linkable(lists: DataFrame, texts: DataFrame) -> DataFrame:
         sizes = list(map(len, sets))
         return {
             "class": np.repeat(np.array(columns["class"], np.int64), sizes),
-            "shingle": np.concatenate(sets) if sets else [],
-            "n_shingles": np.repeat(sizes, sizes),
+            "key": np.concatenate(sets) if sets else [],
+            "size": np.repeat(sizes, sizes),
         }
 
-    held = exploded(members, rows, "class long, shingle long, n_shingles long")
-    several = held.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    found = held.join(several, "shingle", "left_semi").groupBy("class", "n_shingles").agg(F.count("*").alias("n"))
-    return found.filter(f"100 * n >= {LEAST_PERCENT} * n_shingles").select("class")
+    held = stored(exploded(members, rows, "class long, key long, size int"), "shingles")
+    out = stored(_prefixes(held, "size", f"(size - ({LEAST_PERCENT} * size + 99) DIV 100 + 1)"), "refined")
+    drop_stored(held)
+    return out
 
 
-def _links(postings: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that give the components of all links."""
+def _components(postings: DataFrame, classes: DataFrame, texts: DataFrame, same: DataFrame) -> DataFrame:
+    """(node, component) of the classes that have links, ``same`` (a, b) among them."""
     spark = postings.sparkSession
-    found = spark.range(0).selectExpr("id AS a", "id AS b")
-    of = spark.range(0).selectExpr("id AS node", "id AS component")
+    found, of = same, spark.range(0).selectExpr("id AS node", "id AS component")
+    if not same.isEmpty():
+        of = components(found)
     for turn in range(STAR_ROUNDS + 1):
         lists = _across(postings, of)
         if turn == 1:
-            kept = stored(_linkable(lists, texts), "linkable")
-            postings = postings.join(kept, "class", "left_semi")
+            postings = _refined(lists, texts)
             lists = _across(postings, of)
         if turn < STAR_ROUNDS:
             # all meet a member of the smallest component, in every other round one of the largest
@@ -157,7 +168,7 @@ def _links(postings: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
             continue
         found = found.union(new)
         of = components(found)
-    return found
+    return of
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -170,7 +181,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stored(shingle_sets(docs.select("doc_id", "text")).drop("text"), "sets")
     members = sets.filter("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest")
     first = stored(members.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
-    copies = members.join(first, "digest").filter("doc_id <> class").selectExpr("doc_id AS a", "class AS b")
+    of_class = members.join(first, "digest").groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("b"))
+    of_class = stored(of_class, "members")
+    # rows of one document with different texts make their classes one
+    same = members.join(first, "digest").join(of_class.filter("class < b").select("doc_id", F.col("class").alias("b")), "doc_id")
+    same = stored(same.filter("class <> b").selectExpr("class AS a", "b").distinct(), "same")
     standing = first.select(F.col("class").alias("doc_id"), "digest")
     classes = sets.filter("signature IS NOT NULL").join(standing, ["doc_id", "digest"], "left_semi")
     classes = stored(classes.selectExpr("doc_id AS class", "n_shingles", "signature").distinct(), "classes")
@@ -178,12 +193,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = postings.select(F.col("class").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     texts = stored(texts.selectExpr("doc_id AS class", "text").distinct(), "texts")
-    of = components(copies.union(_links(postings, classes, texts)))
+    of = _components(postings, classes, texts, same)
     drop_stored(texts, postings, classes)
+    of_class = of_class.select("doc_id", F.col("class").alias("node"))
     return (
         sets.select("doc_id", "n_shingles")
-        .join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component_id", F.coalesce("component", "doc_id"))
+        .join(of_class, "doc_id", "left")
+        .join(of, "node", "left")
+        .withColumn("component_id", F.coalesce("component", "node", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.expr("coalesce(doc_id = component_id, true)").alias("kept"))
     )
 
