@@ -226,7 +226,7 @@ def test_plans_use_semi_joins_and_no_python(supplied):
         taxon_group_ids=(1, 2), county_ids=("3",), organization_ids=(2,), behavior_ids=(1,), registration_status_id=1,
         with_images=False, project_name="supp", preferred_popular_name="red",
     )
-    plan = plan_of(L.locations(supplied, f))
+    plan = plan_of(L.requested_locations(supplied, f))
     assert "LeftSemi" in plan and "LeftAnti" in plan
     for unwanted in ("Cartesian", "NestedLoop", "Python", "Window"):
         assert unwanted not in plan
@@ -244,7 +244,7 @@ def test_filters_reach_the_scan(stored):
 
 
 def test_page_ids_are_broadcast_to_the_index(stored):
-    page = observations.observations(stored, ObservationFilter(page_number=1, results_per_page=10))
+    page = observations.requested_observations(stored, ObservationFilter(page_number=1, results_per_page=10))
     plan = plan_of(page)
     assert plan.count("BroadcastHashJoin LeftSemi BuildRight") >= 2
     assert "PartitionFilters: [entity_type_id" in plan
