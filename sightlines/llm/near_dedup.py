@@ -63,23 +63,23 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return appended(docs, ["text"], rows, "n_shingles long, digest binary, signature array<int>")
 
 
-def _prefixes(posted: DataFrame, size: str, prefix: str) -> DataFrame:
-    """(class, key) of each class's rarest keys, of those that several classes have.
+def _prefixes(posted: DataFrame, total: str, prefix: str) -> DataFrame:
+    """(class, key, size) of each class's rarest keys, of those that several classes have.
 
-    ``size`` is how many keys the class has and ``prefix`` how many of them, rarest first, are to be kept; keys that no
-    other class has come first and give no list.
+    ``total`` is how many keys the class has and ``prefix`` how many of them, rarest first, are to be kept; keys that no
+    other class has come first and give no list. ``size`` is that of the class's shingle set.
     """
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rank = F.expr("row_number() OVER (PARTITION BY class ORDER BY n, key)")
     of_class = F.expr("count(*) OVER (PARTITION BY class)")
     found = posted.join(shared, "key").withColumns({"rank": rank, "shared": of_class})
-    return found.filter(f"rank <= {prefix} - ({size} - shared)").select("class", "key")
+    return found.filter(f"rank <= {prefix} - ({total} - shared)").select("class", "key", "size")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(class, key): lists of the coordinate-value pairs in the prefixes."""
-    posted = classes.select("class", F.posexplode("signature").alias("place", "value"))
-    posted = posted.select("class", F.xxhash64("place", "value").alias("key"))
+    """(class, key, size): lists of the coordinate-value pairs in the prefixes."""
+    posted = classes.select("class", "n_shingles", F.posexplode("signature").alias("place", "value"))
+    posted = posted.select("class", F.xxhash64("place", "value").alias("key"), F.col("n_shingles").alias("size"))
     return _prefixes(posted, str(COORDINATES), str(_PREFIX))
 
 
@@ -111,15 +111,20 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
 
 
 def _across(postings: DataFrame, of: DataFrame) -> DataFrame:
-    """(key, class, component) of the lists whose members lie in several components."""
+    """(key, class, size, component) of the lists whose members lie in several components."""
     found = postings.join(of, postings["class"] == of.node, "left")
-    found = found.select("key", "class", F.coalesce("component", "class").alias("component"))
+    found = found.select("key", "class", "size", F.coalesce("component", "class").alias("component"))
     several = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return found.join(several.filter("low < high"), "key")
 
 
+def _comparable(other: str) -> str:
+    """Whether sets of these sizes can be linked."""
+    return f"100 * least(size, {other}) >= {LEAST_PERCENT} * greatest(size, {other})"
+
+
 def _refined(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """(class, key): lists of shingles for the members of signature lists that span several components.
+    """(class, key, size): lists of shingles for the members of signature lists that span several components.
 
     Linked sets share ``LEAST_PERCENT`` of the shingles of either, so one of those left when that share is taken from the
     end of each set, rarest first, is common to both. In a large family the members that differ from all others have
@@ -156,13 +161,14 @@ def _components(postings: DataFrame, classes: DataFrame, texts: DataFrame, same:
         if turn < STAR_ROUNDS:
             # all meet a member of the smallest component, in every other round one of the largest
             centre = lists.groupBy("key").agg(
-                F.expr(f"{('min', 'max')[turn % 2]}(struct(component, class AS other))").alias("centre")
+                F.expr(f"{('min', 'max')[turn % 2]}(struct(component, class AS other, size))").alias("centre")
             )
-            pairs = lists.join(centre, "key").filter("component <> centre.component")
+            pairs = lists.join(centre, "key").filter(f"component <> centre.component AND {_comparable('centre.size')}")
             pairs = pairs.selectExpr("least(class, centre.other) AS a", "greatest(class, centre.other) AS b")
         else:
-            other = lists.selectExpr("key", "class AS b", "component AS other")
-            pairs = lists.join(other, "key").filter("class < b AND component <> other").selectExpr("class AS a", "b")
+            other = lists.selectExpr("key", "class AS b", "component AS other", "size AS size_b")
+            pairs = lists.join(other, "key").filter(f"class < b AND component <> other AND {_comparable('size_b')}")
+            pairs = pairs.selectExpr("class AS a", "b")
         new = stored(_confirmed(pairs.distinct(), classes, texts), "linked")
         if new.isEmpty():
             continue
