@@ -122,6 +122,22 @@ def test_passages_behind_a_common_line(spark):
     assert [(r.doc_id, r.n_repeated) for r in found] == [(7, 70)]
 
 
+@pytest.mark.parametrize("size, earlier", [(51, 20), (104, 34)])
+def test_passages_whose_beginning_stands_further_up(size, earlier):
+    """The other text quotes the beginning of the passage before it; a fifth of the tokens and more occur there first."""
+    r = random.Random(6)
+    passage = cases.prose(r, size)
+    quoted = " ".join(passage.split(" ")[:earlier])
+    left = f"{cases.prose(r, 80)} {passage} {cases.prose(r, 80)}"
+    right = f"{cases.prose(r, 30)} {quoted} {cases.prose(r, 200)} {passage} {cases.prose(r, 30)}"
+    found = substring_dedup.matched(substring_dedup.tokens(left), substring_dedup.tokens(right))
+    tokens = {k for a, b, *_ in found for k in range(a, b + 1)}
+    assert tokens >= set(range(80, 80 + size - 4))
+    near = substring_dedup.tokens(left.replace(passage, cases.changed(r, passage, 1)))
+    found = substring_dedup.matched(near, substring_dedup.tokens(right))
+    assert any(abs(c - 230 - earlier) <= 8 for _, _, c, _, s in found if s >= 0.8)
+
+
 def test_texts_without_repeats(docs, rows, empty):
     left = {r.doc_id: r for r in substring_dedup.deduplicated(docs).collect()}
     assert left[0].text == rows[0][1] and left[0].spans == "x" and 3 not in left
