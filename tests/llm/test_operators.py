@@ -122,6 +122,22 @@ def test_passages_behind_a_common_line(spark):
     assert [(r.doc_id, r.n_repeated) for r in found] == [(7, 70)]
 
 
+def test_equal_passages_behind_lists_of_others(spark):
+    """Lists of the passages begin and end with documents that hold just the line in them, with changing positions."""
+    r = random.Random(7)
+    line = cases.prose(r, 40)
+    alone = lambda: f"{cases.prose(r, 60)} {line} {cases.prose(r, 60)}"
+    texts, wanted = [alone() for _ in range(3)], {}
+    for _ in range(12):
+        before = r.randrange(12)
+        passage = f"{cases.prose(r, before)} {line} {cases.prose(r, 11 - before)}".strip()
+        texts += [f"{cases.prose(r, 60)} {passage} {cases.prose(r, 60)}" for _ in range(2)]
+        wanted[len(texts) - 1] = 51
+    texts += [alone() for _ in range(2)]
+    found = substring_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeated for r in found} == wanted
+
+
 @pytest.mark.parametrize("size, earlier", [(51, 20), (104, 34)])
 def test_passages_whose_beginning_stands_further_up(size, earlier):
     """The other text quotes the beginning of the passage before it; a fifth of the tokens and more occur there first."""
