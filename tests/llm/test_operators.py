@@ -138,6 +138,17 @@ def test_equal_passages_behind_lists_of_others(spark):
     assert {r.doc_id: r.n_repeated for r in found} == wanted
 
 
+def test_near_equal_passages(spark):
+    """Passages of 51 words with one other word in the middle: similarity 42 / 52, found but for one in ten thousand."""
+    r = random.Random(11)
+    texts = []
+    for k in range(200):
+        words = [f"v{k}x{i}" for i in range(51)]
+        texts += [" ".join(words), " ".join([*words[:25], f"other{r.randrange(10**6)}", *words[26:]])]
+    found = substring_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_repeated) for r in found) == [(2 * k + 1, 51) for k in range(200)]
+
+
 @pytest.mark.parametrize("size, earlier", [(51, 20), (104, 34)])
 def test_passages_whose_beginning_stands_further_up(size, earlier):
     """The other text quotes the beginning of the passage before it; a fifth of the tokens and more occur there first."""
