@@ -3,11 +3,14 @@
 A text and each known licence are brought to one canonical form: A-Z lower-cased, typographic marks made plain,
 copyright lines and "all rights reserved" removed, equivalent spellings unified, punctuation and white space made single
 spaces. The digests of the whole text, of its blocks between blank lines and of its lines, each an entire text of its
-own, then meet the digests of the known licences in an equi-join. Only SQL functions are used.
+own, then meet the digests of the known licences in an equi-join. Licences over several lines or blocks are looked for as
+runs of lines, whatever their breaks. Only SQL functions are used.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Licence texts and the sentences by which texts refer to a licence.
@@ -54,6 +57,11 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+#: Further licence texts and their standard notices, one file each, named by SPDX id and a variant after ``--``.
+TEXTS = Path(__file__).with_name("license_texts")
+#: Each built-in text holds one of these, in lower case.
+WORDS = ("licen", "software")
+
 #: Spellings that count as equal, on lower-case text without punctuation.
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"), ("licenced", "licensed"), ("licencing", "licensing"), ("sub license", "sublicense"),
@@ -98,12 +106,17 @@ def canonical_sql(text: str, dialect: str = "spark") -> str:
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(license_id, text) of the built-in licences."""
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    files = [(p.stem.split("--")[0], p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    return spark.createDataFrame([*KNOWN, *files], "license_id string, text string")
+
+
+def _form() -> str:
+    return f"trim(BOTH ' \\n' FROM {canonical_sql('text')})"
 
 
 def digests(texts: DataFrame, key: str) -> DataFrame:
     """(key, whole, digest) of every unit of every text; whole tells the entire text from its blocks and lines."""
-    form = texts.selectExpr(f"`{key}`", f"trim(BOTH ' \\n' FROM {canonical_sql('text')}) AS form")
+    form = texts.selectExpr(f"`{key}`", f"{_form()} AS form")
     parts = r"array_distinct(concat(split(form, '\n\n+'), split(form, '\n')))"
     units = form.filter("form <> ''").selectExpr(
         f"`{key}`",
@@ -115,15 +128,47 @@ def digests(texts: DataFrame, key: str) -> DataFrame:
     )
 
 
-def scanned(docs: DataFrame, licenses: DataFrame) -> DataFrame:
-    """Licences found: doc_id, license_id, n_units (lines and blocks equal to it), whole_text (the text is nothing else).
+def runs(docs: DataFrame, licenses: DataFrame) -> DataFrame:
+    """(doc_id, license_id, whole) of every run of two or more lines that is a licence, blank lines among them or not.
+
+    Runs that are a block of their own or the entire text are left to ``digests``.
+    """
+    flat = r"regexp_replace(form, '\n+', ' ')"
+    known = licenses.selectExpr("license_id", f"{_form()} AS form").selectExpr("license_id", f"{flat} AS known")
+    known = F.broadcast(known.filter("known <> ''").distinct())
+    # a text with the licence's words in it, at whatever place
+    texts = docs.selectExpr("doc_id", f"{_form()} AS form").selectExpr("doc_id", "form", f"concat(' ', {flat}, ' ') AS flat")
+    both = texts.join(known, F.expr("contains(flat, concat(' ', known, ' ')) AND flat <> concat(' ', known, ' ')"))
+    both = both.selectExpr("doc_id", "license_id", "known", r"split(regexp_replace(form, '\n\n+', '\n\n'), '\n') AS lines")
+    starts = "filter(sequence(1, size(lines)), i -> lines[i - 1] <> '' AND startswith(known, concat(lines[i - 1], ' ')))"
+    # lines up to which the run is as long as the licence
+    taken = (
+        "aggregate(slice(lines, i, 2 * length(known)), struct(-1 AS len, 0 AS n), (s, x) -> if(s.len < length(known),"
+        " struct(s.len + if(x = '', 0, 1 + length(x)) AS len, s.n + 1 AS n), s)).n"
+    )
+    units = f"transform({starts}, i -> array_join(slice(lines, i, {taken}), '\\n'))"
+    same = r"filter(array_distinct(units), u -> regexp_replace(u, '\n+', ' ') = known)"
+    blocks = r"split(array_join(lines, '\n'), '\n\n')"
+    found = both.selectExpr("doc_id", "license_id", "known", "lines", f"{units} AS units")
+    return found.selectExpr("doc_id", "license_id", f"explode(array_except({same}, {blocks})) AS unit").selectExpr(
+        "doc_id", "license_id", "false AS whole"
+    )
+
+
+def scanned(docs: DataFrame, licenses: DataFrame, words: tuple[str, ...] = ()) -> DataFrame:
+    """Licences found: doc_id, license_id, n_units (lines, blocks and runs of lines equal to it), whole_text (the text is
+    nothing else).
 
     A line that is a block of its own counts once. Null and empty texts, and texts without letters or digits, give no
     row; repeated rows of one document add up; null ids are a document of their own. Licences with one canonical form
-    and several names are all reported; other columns are ignored.
+    and several names are all reported, and so is one inside another; other columns are ignored. Where each licence holds
+    one of some ``words`` (lower case), runs are looked for in the documents with such a word only.
     """
     known = digests(licenses, "license_id").filter("whole").select("license_id", "digest").distinct()
-    found = digests(docs, "doc_id").join(known, "digest")
+    found = digests(docs, "doc_id").join(known, "digest").select("doc_id", "license_id", "whole")
+    if words:
+        docs = docs.filter(" OR ".join(f"contains(lower(text), '{w}')" for w in words))
+    found = found.union(runs(docs, licenses))
     return found.groupBy("doc_id", "license_id").agg(
         F.count(F.expr("if(whole, NULL, 1)")).alias("n_units"), F.max("whole").alias("whole_text")
     )

@@ -21,7 +21,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    return licenses.scanned(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark), licenses.WORDS)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -379,6 +379,30 @@ def test_license_scan(spark, docs, empty):
     assert licenses.scanned(docs, known).count() == 0 and licenses.scanned(empty, known).count() == 0
 
 
+def test_licenses_of_several_paragraphs(spark):
+    mit, isc = licenses.KNOWN[0][1], licenses.KNOWN[3][1]
+    text = lambda name: (licenses.TEXTS / f"{name}.txt").read_text()
+    bsd, gpl = text("BSD-3-Clause"), text("GPL-3.0-or-later--notice")
+    texts = [
+        f"A tool.\n\n{mit}\n\nMore text.", "/* " + gpl.replace("\n", "\n * ") + " */\nint main() {}", text("GPL-3.0"),
+        f"Read me.\n\n{bsd}\n\nAnd:\n{isc}", text("MPL-2.0"), f"Intro {mit}", mit[:-9], text("Unlicense").replace("\n\n", "\n"),
+        "All of it is\nReleased under the\nMIT License.\nBye.",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = licenses.known_licenses(spark)
+    want = [
+        (0, "MIT", 1, False), (1, "GPL-3.0-or-later", 1, False), (2, "GPL-3.0", 0, True), (2, "GPL-3.0", 1, True),
+        (3, "BSD-3-Clause", 1, False), (3, "ISC", 1, False), (4, "MPL-2.0", 0, True), (7, "Unlicense", 1, True), (8, "MIT", 1, False),
+    ]
+    for words in ((), licenses.WORDS):
+        got = _sorted(licenses.scanned(frame, known, words), "doc_id", "license_id", "n_units", "whole_text")
+        assert {g[:2] for g in got} >= {w[:2] for w in want} and {g[0] for g in got} == {w[0] for w in want}
+        assert all(g in want for g in got if g[0] not in (2, 4)), got
+    rows = [(r.license_id, r.text.lower()) for r in known.collect()]
+    assert all(any(w in t for w in licenses.WORDS) for _, t in rows)
+    assert {"BSD-2-Clause", "GPL-2.0", "LGPL-2.1", "AGPL-3.0-or-later", "CC0-1.0", "Zlib", "BSL-1.0"} <= {i for i, _ in rows}
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Yo <|end|>"), (1, 3, "ann", None), (1, 300, None, "x"),
             (2, 0, "system", "alone"), (None, 0, "ann", "lost"), (3, None, "ann", "early"), (3, 1, "ann", "late"), (3, 1, "ann", "late")]
