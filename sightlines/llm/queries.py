@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    byte_bpe, chat_rotation, decontamination, divergence, html_content, licenses, merkle, near_dedup, substring_dedup,
-    toxicity, warc_zip,
+    byte_bpe, chat_rotation, decontamination, divergence, html_content, licenses, merkle, near_dedup, sentence_piece,
+    source_audit, substring_dedup, toxicity, warc_zip,
 )
 
 
@@ -69,6 +69,24 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judged(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language; nulls are empty, an empty table gives no rows."""
+    return source_audit.audited(_table(spark, sf_dir, "documents"))
+
+
+def op12_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document; null and empty texts have the end id alone."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    tokens = sentence_piece.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return sentence_piece.decoded(tokens.drop("text"), path).select(
+        "doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.expr("agrees AND decodes").alias("agrees"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document; the proofs are held against tampered copies of a seventh of the documents.
 
@@ -91,7 +109,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
     every = (
         op1_near_dedup, op2_licenses, op3_substring_dedup, op4_warc_zip, op5_toxicity, op6_html_content, op7_byte_bpe,
-        op8_decontamination, op9_chat_rotation, op10_divergence, op13_merkle_manifest,
+        op8_decontamination, op9_chat_rotation, op10_divergence, op11_source_audit, op12_sentence_piece,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in every}
 
@@ -101,5 +120,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_licenses": licenses.oracle_sql(),
         "op9_chat_rotation": chat_rotation.oracle_sql(),
+        "op11_source_audit": source_audit.oracle_sql(),
         "op13_merkle_manifest": merkle.oracle_sql(),
     }

@@ -89,7 +89,7 @@ def test_tokens(stages):
 
 def test_queries_are_registered():
     assert {*queries.queries(), "pipeline"} <= set(driver.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(driver.oracle_sql())
 
 
@@ -109,6 +109,7 @@ def test_queries_give_the_agreed_columns(spark, name):
         "op4": "page_id payload_bytes payload_digest record_type refers_to", "op5": "doc_id held_out score predicted",
         "op6": "page_id url text n_chars", "op7": "doc_id n_tokens ids_sha256 decoded_sha256",
         "op8": "doc_id n_words n_hit n_items items_sha256 contaminated",
+        "op12": "doc_id n_tokens ids_sha256 decoded_sha256",
         "op10": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     }
     df = queries.queries()[name](spark, SMALL)
