@@ -3,8 +3,9 @@
 A text is normalised as the model says, split into characters, and every pair of neighbours that is a piece waits in an
 agenda. The pair with the best score, the leftmost of equals, is merged, and its new neighbours join the agenda; pairs
 whose parts have meanwhile changed are passed over. Characters that are no piece fall back to bytes. Where no piece
-of the vocabulary goes on behind its word, words are independent: a text is encoded word by word, and a task remembers
-the ids of common words. Each batch can be held against the sentencepiece library.
+of the vocabulary goes on behind its word, words are independent: the new words of a batch are merged together, one row
+of an array being the agenda of one word, and long words by an agenda that is a heap. Every word that is encoded is held
+against the sentencepiece library, a batch at a time.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -22,10 +25,12 @@ from pyspark.sql.types import StructType
 
 from .common import SLICE_ROWS
 
-#: Words a task remembers, at most; further words are encoded each time.
-REMEMBERED = 50_000
-#: Words of more characters are never remembered.
-REMEMBERED_CHARACTERS = 40
+#: Words a task remembers from one batch to the next, at most; beyond, it starts anew.
+REMEMBERED = 200_000
+#: Words of up to so many characters are merged together; longer ones by themselves.
+WIDTHS = (8, 16, 40)
+
+_NONE = np.iinfo(np.int64).max
 
 _SPACE = "▁"
 
@@ -62,13 +67,89 @@ class Pieces:
                 self.rank[text] = -self.library.get_score(i)
                 self.surface.append(text.replace(_SPACE, " ").encode())
         self.starts = {i for text, i in self.ids.items() if text.startswith(_SPACE)}
-        self.unknown, self.end = self.library.unk_id(), self.library.eos_id()
+        self.end = np.array([self.library.eos_id()], "<i4").tobytes()
         if any(self.library.is_unused(i) for i in range(size)) or min(self.bytes) < 0:
             raise ValueError("a vocabulary with unused pieces or without byte pieces")
         # a word ends where a space mark follows another character, unless a piece holds both
         whole = any(re.search(f"[^{_SPACE}]{_SPACE}", text) for text in self.ids)
         self.words = re.compile(".+" if whole else f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+", re.DOTALL)
-        self._known: dict[str, list[int]] = {}
+        # words can be given to the library as texts where normalising only marks spaces
+        self.marked = self.library.normalize(" a  b") == f"{_SPACE}{_SPACE}a{_SPACE}{_SPACE}b"
+        self.known: dict[str, bytes] = {}
+        self.wrong: set[str] = set()
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """Arrays for the joint agendas: characters to symbols, pairs of symbols to places in the score order."""
+        # a character that is no piece is a symbol below zero and in no pair
+        self.characters = -1 - np.arange(0x110000, dtype=np.int64)
+        for text, i in self.ids.items():
+            if len(text) == 1:
+                self.characters[ord(text)] = i
+        place = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}
+        pairs = []
+        for text, i in self.ids.items():
+            for k in range(1, len(text)):
+                left, right = self.ids.get(text[:k]), self.ids.get(text[k:])
+                if left is not None and right is not None:
+                    pairs.append((left << 32 | right, place[self.rank[text]] << 32 | i))
+        pairs.sort()
+        self.pairs, self.joined = np.array([*pairs, (_NONE, _NONE)], np.int64).T
+
+    def _waiting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place in the score order and merged piece, in one number, of pairs of symbols; ``_NONE`` for other pairs."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.pairs, keys)
+        return np.where((self.pairs[at] == keys) & (left >= 0) & (right >= 0), self.joined[at], _NONE)
+
+    def merged_together(self, words: list[str], width: int) -> list[bytes]:
+        """Ids (little-endian 32-bit integers) of normalised words of at most ``width`` characters."""
+        n = len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        # the last column stands for the place before the first and after the last symbol
+        symbols = np.full((n, width + 1), -1, np.int64)
+        symbols[:, :width][np.arange(width) < sizes[:, None]] = self.characters[codes]
+        alive = np.arange(width + 1) < sizes[:, None]
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        after[:, width], before[:, 0] = width, width
+        agenda = np.full((n, width + 1), _NONE)
+        agenda[:, : width - 1] = self._waiting(symbols[:, : width - 1], symbols[:, 1:width])
+        agenda[:, :-1][~alive[:, 1:]] = _NONE
+        rows = np.arange(n)
+        while len(rows):
+            at = agenda[rows].argmin(axis=1)
+            best = agenda[rows, at]
+            left = best < _NONE
+            rows, at, best = rows[left], at[left], best[left]
+            gone = after[rows, at]
+            follows, precedes = after[rows, gone], before[rows, at]
+            symbols[rows, at] = best & 0xFFFFFFFF
+            symbols[rows, gone] = -1
+            alive[rows, gone] = False
+            agenda[rows, gone] = _NONE
+            after[rows, at], before[rows, follows] = follows, at
+            for first, second in ((at, follows), (precedes, at)):
+                agenda[rows, first] = np.where(
+                    alive[rows, first] & alive[rows, second],
+                    self._waiting(symbols[rows, first], symbols[rows, second]), _NONE,
+                )
+        ids = symbols[alive]
+        ends = np.cumsum(alive.sum(axis=1)) * 4
+        odd = np.logical_or.reduceat(ids < 0, np.r_[0, ends[:-1] // 4]) if n else []
+        data, out, start = ids.astype("<i4").tobytes(), [], 0
+        for end, fallback in zip(ends.tolist(), odd):
+            out.append(self._expanded(ids[start // 4 : end // 4]) if fallback else data[start:end])
+            start = end
+        return out
+
+    def _expanded(self, symbols: np.ndarray) -> bytes:
+        """Ids of symbols, characters that are no piece as bytes."""
+        ids: list[int] = []
+        for symbol in symbols.tolist():
+            ids.extend([symbol] if symbol >= 0 else map(self.bytes.__getitem__, chr(-1 - symbol).encode()))
+        return np.array(ids, "<i4").tobytes()
 
     def merged(self, word: str) -> list[int]:
         """Ids of a normalised string of any length, by the agenda."""
@@ -104,32 +185,52 @@ class Pieces:
                 ids.append(known)
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text and the end id; null is an empty text."""
-        ids: list[int] = []
-        known = self._known
-        for word in self.words.findall(self.library.normalize(text or "")):
-            found = known.get(word)
-            if found is None:
-                found = self.merged(word)
-                if len(known) < REMEMBERED and len(word) <= REMEMBERED_CHARACTERS:
-                    known[word] = found
-            ids += found
-        ids.append(self.end)
-        return ids
+    def learn(self, words: set[str]) -> None:
+        """Encodes words that are not known yet and holds them against the library."""
+        low = 0
+        new: dict[str, bytes] = {}
+        for width in WIDTHS:
+            these = [w for w in words if low < len(w) <= width]
+            new |= zip(these, self.merged_together(these, width))
+            low = width
+        new |= ((w, np.array(self.merged(w), "<i4").tobytes()) for w in words if len(w) > low)
+        self.known |= new
+        new.pop(_SPACE, None)  # the one word without a text of its own
+        if self.marked:
+            texts = [w.removeprefix(_SPACE).replace(_SPACE, " ") for w in new]
+            found = self.library.encode(texts, num_threads=1)
+            same = np.fromiter(chain.from_iterable(found), "<i4").tobytes() == b"".join(new.values())
+            if not same or [4 * n for n in map(len, found)] != list(map(len, new.values())):
+                self.wrong |= {w for w, ids in zip(new, found) if np.array(ids, "<i4").tobytes() != new[w]}
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
+        """Ids of whole texts, the end id last, and whether the library gives the same; null is an empty text."""
+        parted = [self.words.findall(self.library.normalize(text or "")) for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        self.learn(set().union(*parted).difference(self.known))
+        ids = [b"".join(map(self.known.__getitem__, words)) + self.end for words in parted]
+        if self.marked:
+            return ids, [not self.wrong or self.wrong.isdisjoint(words) for words in parted]
+        found = self.library.encode([text or "" for text in texts], add_eos=True, num_threads=1)
+        return ids, [np.array(a, "<i4").tobytes() == b for a, b in zip(found, ids)]
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: without control ids and the space that normalising put first."""
-        parts, first = [[]], None
-        for i in ids:
-            surface = self.surface[i]
-            if not surface:  # bytes on both sides of a control id are no character
-                parts.append([])
-                continue
-            if first is None:
-                first = i
-                surface = surface[i in self.starts :]
+        surfaces = list(map(self.surface.__getitem__, ids))
+        first = next((k for k, surface in enumerate(surfaces) if surface), len(surfaces))
+        if first < len(surfaces) and ids[first] in self.starts:
+            surfaces[first] = surfaces[first][1:]
+        while surfaces and not surfaces[-1]:
+            surfaces.pop()
+        if b"" not in surfaces[first + 1 :]:
+            return b"".join(surfaces).decode("utf-8", "byte_by_byte")
+        # bytes on both sides of a control id are no character
+        parts: list[list[bytes]] = [[]]
+        for surface in surfaces:
             parts[-1].append(surface)
+            if not surface:
+                parts.append([])
         return "".join(b"".join(part).decode("utf-8", "byte_by_byte") for part in parts)
 
 
@@ -148,7 +249,7 @@ def _per_task(frame: DataFrame, needed: str, made, ddl: str) -> DataFrame:
                 pieces = pieces or Pieces(path)
                 part = batch.slice(start, SLICE_ROWS)
                 found = rows(pieces, part.column(needed).to_pylist())
-                arrays = [pa.array(found[f.name], f.type) for f in arrow]
+                arrays = [pa.array(found[f.name], f.type) if isinstance(found[f.name], list) else found[f.name] for f in arrow]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *arrow.names])
 
     return frame.mapInArrow(run, StructType([*frame.schema.fields, *new.fields]))
@@ -157,15 +258,17 @@ def _per_task(frame: DataFrame, needed: str, made, ddl: str) -> DataFrame:
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """The frame with ``ids`` of every whole text, the end id last, ``n_tokens`` of them, and ``agrees``.
 
-    ``agrees`` says whether the sentencepiece library gives the same ids; batches are held against it whole. Null and
-    empty texts have the end id alone; each row, repeated ones too, keeps its place; other columns pass through, but
+    ``agrees`` says whether the sentencepiece library gives the same ids for all words (for whole texts, where a model
+    does more to a text than mark its spaces). Null and empty texts have the end id alone; each row, repeated ones too, keeps its place; other columns pass through, but
     for old ones named like the new. The model must lie at ``path`` on every executor.
     """
 
     def rows(pieces: Pieces, texts: list[str | None]) -> dict:
-        ids = [pieces.encode(text) for text in texts]
-        library = pieces.library.encode([text or "" for text in texts], add_eos=True, num_threads=1)
-        return {"ids": ids, "n_tokens": list(map(len, ids)), "agrees": [a == b for a, b in zip(ids, library)]}
+        ids, agrees = pieces.encode(texts)
+        counts = [len(x) // 4 for x in ids]
+        values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), values)
+        return {"ids": lists, "n_tokens": counts, "agrees": agrees}
 
     return _per_task(docs, "text", (path, rows), "ids array<int>, n_tokens long, agrees boolean")
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -131,7 +132,9 @@ def test_agenda_and_decoder_equal_the_library(monkeypatch):
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randrange(50)))
         ids = pieces.library.encode(text, add_eos=True)
-        assert pieces.encode(text) == ids and pieces.decode(ids) == pieces.library.decode(ids)
+        found, agrees = pieces.encode([text])
+        assert np.frombuffer(found[0], "<i4").tolist() == ids and agrees == [True]
+        assert pieces.merged(pieces.library.normalize(text)) == ids[:-1] and pieces.decode(ids) == pieces.library.decode(ids)
         ids = [r.choice([r.randrange(32000), r.randrange(270), 28705]) for _ in range(r.randrange(9))]
         assert pieces.decode(ids) == pieces.library.decode(ids)
 
