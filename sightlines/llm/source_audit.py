@@ -1,15 +1,16 @@
 """How sources of a language differ: kept terms by iceberg prefix refinement, then exact divergences of their shares.
 
-Terms end with a zero byte, which no term holds. Prefixes of 4, 8, 16, ... bytes are counted by distinct documents;
-only terms below a kept prefix go on to the next length, until all kept prefixes are complete terms. A row of postings
-knows how many bytes it shares with the term before it in its sorted document, so that the documents of a prefix are
-the rows that share less than the prefix: no distinct is needed.
+Terms end with a zero byte, which no term holds. Prefixes of 6, 12, 24, ... bytes are counted by distinct documents;
+only terms below a kept prefix go on to the next length, until all kept prefixes are complete terms. In a sorted
+document a term opens those prefixes that it doesn't share with the term before it, so the documents of a prefix are
+the times that a term opened it: no distinct is needed, and rows of one source can be summed in every task.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,15 @@ from .ranks import ranked
 #: Documents of a language that a kept term stands in, at least.
 LEAST_DOCUMENTS = 3
 #: Length in bytes of the first prefixes; each further level doubles it.
-FIRST_LENGTH = 4
+FIRST_LENGTH = 6
+#: Terms of documents that a task gathers before it gives their sums.
+GATHERED = 1_000_000
 #: Ranks of terms that are given for a source.
 MOST_TERMS = 200
 #: Shares are counted in units of 1 / SCALE; ADDED is added to every count.
 SCALE, ADDED = 1_000_000_000, 1
 #: Bytes of kept prefixes up to which they are broadcast; more of them are joined by shuffle.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 48_000_000
 #: Sources and kept terms of one tile of the comparison.
 TILE_SOURCES, TILE_TERMS = 64, 8_192
 
@@ -36,10 +39,9 @@ _LETTERS = bytes(
 )  # ASCII letters in lower case, all bytes of other characters; the rest parts terms
 
 
-def term_counts(text: str | None) -> list[tuple[bytes, int]]:
-    """Terms of a text with their occurrences, ascending by bytes, each with its end byte."""
-    found = Counter((text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split())
-    return sorted((term + b"\0", n) for term, n in found.items())
+def term_counts(text: str | None) -> Counter:
+    """Terms of a text, as bytes, with their occurrences."""
+    return Counter((text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
 def _shared(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -58,35 +60,104 @@ def _shared(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.n
     return out
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """One row per document row and distinct term: lang, source, term (binary), n, shared.
-
-    Null text, lang and source are empty. Each row is a document of its own, repeated rows too.
+class _Numbers(dict):
+    """Terms of a language and source with their row."""
+
+    def __init__(self, next_row: Iterator[int]):
+        self.next_row = next_row
+
+    def __missing__(self, term: bytes) -> int:
+        row = self[term] = next(self.next_row)
+        return row
+
+
+class _Gathered:
+    """Terms of documents, summed by language, source and term."""
+
+    def __init__(self, first_length: int):
+        self.first_length = first_length
+        self.rows: dict[tuple[str, str], _Numbers] = {}
+        self.next_row = count()
+        self.gathered = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, groups: list[tuple[str, str]], texts: list[str]) -> None:
+        terms: list[bytes] = []
+        at: list[int] = []
+        n: list[int] = []
+        starts = []
+        for group, text in zip(groups, texts):
+            found = term_counts(text)
+            if (rows := self.rows.get(group)) is None:
+                rows = self.rows[group] = _Numbers(self.next_row)
+            if found:
+                starts.append(len(terms))
+                own = sorted(found)
+                terms += own
+                at += map(rows.__getitem__, own)
+                n += map(found.__getitem__, own)
+        if not terms:
+            return
+        first = np.zeros(len(terms), bool)
+        first[starts] = True
+        sizes = np.fromiter(map(len, terms), np.int64, len(terms)) + 1
+        data = np.frombuffer(b"\0".join(terms) + b"\0", np.uint8)
+        shared = _shared(data, np.cumsum(sizes) - sizes, sizes, first)
+        self.parts.append((np.array(at, np.int64), np.array(n, np.int64), shared))
+        self.gathered += len(terms)
+
+    def sums(self) -> pa.RecordBatch:
+        """What was gathered; rows are in the order in which their terms came."""
+        at, n, shared = (np.concatenate(column) for column in zip(*self.parts))
+        order: list[int] = []
+        terms: list[bytes] = []
+        for rows in self.rows.values():
+            order += rows.values()
+            terms += [term + b"\0" for term in rows]
+        group = np.repeat(np.arange(len(self.rows)), list(map(len, self.rows.values())))
+        size = len(terms)
+        back = np.empty(size, np.int64)
+        back[order] = np.arange(size)
+        at = back[at]
+        total = np.zeros(size, np.int64)
+        np.add.at(total, at, n)
+        sizes = np.fromiter(map(len, terms), np.int64, size)
+        length, opened, has = self.first_length, [], []
+        above = np.ones(size, bool)
+        while above.any():
+            opened.append(np.bincount(at[shared < length], minlength=size))
+            has.append(above)
+            above = sizes > length
+            length *= 2
+        has = np.stack(has, axis=1)
+        values = pa.array(np.stack(opened, axis=1)[has], pa.int64())
+        offsets = pa.array(np.r_[0, np.cumsum(has.sum(axis=1))], pa.int32())
+        names = [pa.array([g[k] for g in self.rows], pa.string()).take(pa.array(group)) for k in (0, 1)]
+        columns = [*names, pa.array(terms, pa.binary()), pa.array(total), pa.ListArray.from_arrays(offsets, values)]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "opened"])
+
+
+def postings(docs: DataFrame, first_length: int = FIRST_LENGTH, most: int = GATHERED) -> DataFrame:
+    """lang, source, term (binary), n (occurrences), opened: documents in which it opens its prefix of each length.
+
+    There are as many lengths as the term needs. Rows are sums over documents of one task; a source has several of a
+    term. Null text, lang and source are empty. Each row is a document of its own, repeated rows too.
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = _Gathered(first_length)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                found = [term_counts(text) for text in part.column("text").to_pylist()]
-                lengths = np.fromiter(map(len, found), np.int64, len(found))
-                terms = [t for doc in found for t, _ in doc]
-                first = np.zeros(len(terms), bool)
-                first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-                sizes = np.fromiter(map(len, terms), np.int64, len(terms))
-                starts = np.cumsum(sizes) - sizes
-                shared = _shared(np.frombuffer(b"".join(terms), np.uint8), starts, sizes, first)
-                owner = pa.array(np.repeat(np.arange(len(found)), lengths))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("lang").take(owner), part.column("source").take(owner), pa.array(terms, pa.binary()),
-                        pa.array([n for doc in found for _, n in doc], pa.int64()), pa.array(shared, pa.int32()),
-                    ],
-                    names=["lang", "source", "term", "n", "shared"],
-                )
-
-    return rows.mapInArrow(run, "lang string, source string, term binary, n long, shared int")
+                lang, source, text = (batch.column(c).slice(at, SLICE_ROWS).to_pylist() for c in ("lang", "source", "text"))
+                gathered.add(list(zip(lang, source)), text)
+                if gathered.gathered >= most:
+                    yield gathered.sums()
+                    gathered = _Gathered(first_length)
+        if gathered.gathered:
+            yield gathered.sums()
+
+    return rows.mapInArrow(run, "lang string, source string, term binary, n long, opened array<long>")
 
 
 def _bytes_of(frame: DataFrame, *columns: str) -> int:
@@ -101,24 +172,24 @@ def _below(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(kept, ["lang", "prefix"], "left_semi")
 
 
-def kept_terms(posted: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def kept_terms(posted: DataFrame, least: int = LEAST_DOCUMENTS, first_length: int = FIRST_LENGTH) -> DataFrame:
     """(lang, term): terms that stand in so many documents of a language, by refinement of prefixes. Stored."""
-    length, above, done = FIRST_LENGTH, None, []
+    length, above, done, level_of = first_length, None, [], 0
     while True:
-        rows = posted.select("lang", "term", "shared")
+        rows = posted.select("lang", "term", F.expr(f"get(opened, {level_of})").alias("opened"))
         if above is not None:
             # a term that was whole at the level above is decided; the others lie below a prefix of that level
             rows = rows.filter(F.octet_length("term") > length // 2)
             rows = _below(rows.withColumn("prefix", F.expr(f"substring(term, 1, {length // 2})")), above)
-        rows = rows.select("lang", F.expr(f"substring(term, 1, {length})").alias("prefix"), "shared")
-        counted = rows.groupBy("lang", "prefix").agg(F.count_if(F.col("shared") < length).alias("documents"))
+        rows = rows.select("lang", F.expr(f"substring(term, 1, {length})").alias("prefix"), "opened")
+        counted = rows.groupBy("lang", "prefix").agg(F.sum("opened").alias("documents"))
         level = stored(counted.filter(F.col("documents") >= least).select("lang", "prefix"), "prefixes")
         whole = F.expr("substring(prefix, -1, 1) = X'00'")
         done.append(level.filter(whole))
         above = level.filter(~whole)
         if above.isEmpty():
             break
-        length *= 2
+        length, level_of = length * 2, level_of + 1
     out = done[0]
     for level in done[1:]:
         out = out.union(level)
@@ -224,8 +295,8 @@ def audited(docs: DataFrame, least: int = LEAST_DOCUMENTS, most: int = MOST_TERM
     then item by bytes. Null text, lang and source are empty; a source without terms has the shares of zero counts; an
     empty table gives no rows; only the three named columns are read.
     """
-    posted = stored(postings(docs), "postings")
-    kept = kept_terms(posted, least)
+    posted = stored(postings(docs, FIRST_LENGTH, GATHERED), "postings")
+    kept = kept_terms(posted, least, FIRST_LENGTH)
     totals = term_totals(posted, kept)
     drop_stored(posted, kept)
 

@@ -80,12 +80,14 @@ def test_source_audit(spark, docs, rows, monkeypatch, odd):
         monkeypatch.setattr(source_audit, "TILE_SOURCES", 2)
         monkeypatch.setattr(source_audit, "TILE_TERMS", 7)
         monkeypatch.setattr(source_audit, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(source_audit, "GATHERED", 50)
+        monkeypatch.setattr(source_audit, "FIRST_LENGTH", 1)
         monkeypatch.setattr(ranks, "LEAST_ROWS", 5)
     found = source_audit.audited(docs)
     assert sorted(map(tuple, found.collect())) == sorted(_audit(rows))
 
 
-def test_prefixes_are_refined_to_kept_terms(spark, docs, rows):
+def test_prefixes_are_refined_to_kept_terms(docs, rows):
     posted = source_audit.postings(docs)
     expected = defaultdict(Counter)
     for _, text, lang, *_ in rows:
