@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -187,13 +188,15 @@ class Pieces:
 
     def learn(self, words: set[str]) -> None:
         """Encodes words that are not known yet and holds them against the library."""
-        low = 0
+        ordered = sorted(words, key=len)
+        sizes = list(map(len, ordered))
         new: dict[str, bytes] = {}
+        low = 0
         for width in WIDTHS:
-            these = [w for w in words if low < len(w) <= width]
-            new |= zip(these, self.merged_together(these, width))
-            low = width
-        new |= ((w, np.array(self.merged(w), "<i4").tobytes()) for w in words if len(w) > low)
+            high = bisect_right(sizes, width)
+            new |= zip(ordered[low:high], self.merged_together(ordered[low:high], width))
+            low = high
+        new |= ((w, np.array(self.merged(w), "<i4").tobytes()) for w in ordered[low:])
         self.known |= new
         new.pop(_SPACE, None)  # the one word without a text of its own
         if self.marked:

@@ -30,7 +30,7 @@ MOST_TERMS = 200
 #: Shares are counted in units of 1 / SCALE; ADDED is added to every count.
 SCALE, ADDED = 1_000_000_000, 1
 #: Bytes of kept prefixes up to which they are broadcast; more of them are joined by shuffle.
-BROADCAST_BYTES = 48_000_000
+BROADCAST_BYTES = 16_000_000
 #: Sources and kept terms of one tile of the comparison.
 TILE_SOURCES, TILE_TERMS = 64, 8_192
 
@@ -61,7 +61,7 @@ def _shared(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.n
 
 
 class _Numbers(dict):
-    """Terms of a language and source with their row."""
+    """Terms of a language with their row."""
 
     def __init__(self, next_row: Iterator[int]):
         self.next_row = next_row
@@ -72,30 +72,32 @@ class _Numbers(dict):
 
 
 class _Gathered:
-    """Terms of documents, summed by language, source and term."""
+    """Terms of documents, summed by language and term, and by source inside."""
 
     def __init__(self, first_length: int):
         self.first_length = first_length
-        self.rows: dict[tuple[str, str], _Numbers] = {}
+        self.rows: dict[str, _Numbers] = {}
+        self.sources: dict[str, int] = {}
         self.next_row = count()
         self.gathered = 0
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, groups: list[tuple[str, str]], texts: list[str]) -> None:
+    def add(self, langs: list[str], sources: list[str], texts: list[str]) -> None:
         terms: list[bytes] = []
         at: list[int] = []
         n: list[int] = []
-        starts = []
-        for group, text in zip(groups, texts):
-            found = term_counts(text)
-            if (rows := self.rows.get(group)) is None:
-                rows = self.rows[group] = _Numbers(self.next_row)
-            if found:
-                starts.append(len(terms))
-                own = sorted(found)
-                terms += own
-                at += map(rows.__getitem__, own)
-                n += map(found.__getitem__, own)
+        starts, origin = [], []
+        for lang, source, text in zip(langs, sources, texts):
+            if not (found := term_counts(text)):
+                continue
+            if (rows := self.rows.get(lang)) is None:
+                rows = self.rows[lang] = _Numbers(self.next_row)
+            starts.append(len(terms))
+            origin.append(self.sources.setdefault(source, len(self.sources)))
+            own = sorted(found)
+            terms += own
+            at += map(rows.__getitem__, own)
+            n += map(found.__getitem__, own)
         if not terms:
             return
         first = np.zeros(len(terms), bool)
@@ -103,24 +105,31 @@ class _Gathered:
         sizes = np.fromiter(map(len, terms), np.int64, len(terms)) + 1
         data = np.frombuffer(b"\0".join(terms) + b"\0", np.uint8)
         shared = _shared(data, np.cumsum(sizes) - sizes, sizes, first)
-        self.parts.append((np.array(at, np.int64), np.array(n, np.int64), shared))
+        origins = np.repeat(np.array(origin), np.diff([*starts, len(terms)]))
+        self.parts.append((np.array(at, np.int64), np.array(n, np.int64), shared, origins))
         self.gathered += len(terms)
 
     def sums(self) -> pa.RecordBatch:
-        """What was gathered; rows are in the order in which their terms came."""
-        at, n, shared = (np.concatenate(column) for column in zip(*self.parts))
+        """What was gathered, a row for each language and term."""
+        at, n, shared, origins = (np.concatenate(column) for column in zip(*self.parts))
         order: list[int] = []
         terms: list[bytes] = []
         for rows in self.rows.values():
             order += rows.values()
             terms += [term + b"\0" for term in rows]
-        group = np.repeat(np.arange(len(self.rows)), list(map(len, self.rows.values())))
-        size = len(terms)
+        size, width = len(terms), len(self.sources)
         back = np.empty(size, np.int64)
         back[order] = np.arange(size)
         at = back[at]
-        total = np.zeros(size, np.int64)
-        np.add.at(total, at, n)
+        lang = np.repeat(np.arange(len(self.rows)), list(map(len, self.rows.values())))
+
+        pairs, place = np.unique(at * width + origins, return_inverse=True)
+        total = np.zeros(len(pairs), np.int64)
+        np.add.at(total, place, n)
+        source = pa.array(list(self.sources), pa.string()).take(pa.array(pairs % width))
+        found = pa.StructArray.from_arrays([source, pa.array(total)], ["source", "n"])
+        found = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(size + 1) * width), pa.int32()), found)
+
         sizes = np.fromiter(map(len, terms), np.int64, size)
         length, opened, has = self.first_length, [], []
         above = np.ones(size, bool)
@@ -131,17 +140,18 @@ class _Gathered:
             length *= 2
         has = np.stack(has, axis=1)
         values = pa.array(np.stack(opened, axis=1)[has], pa.int64())
-        offsets = pa.array(np.r_[0, np.cumsum(has.sum(axis=1))], pa.int32())
-        names = [pa.array([g[k] for g in self.rows], pa.string()).take(pa.array(group)) for k in (0, 1)]
-        columns = [*names, pa.array(terms, pa.binary()), pa.array(total), pa.ListArray.from_arrays(offsets, values)]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "opened"])
+        opened = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has.sum(axis=1))], pa.int32()), values)
+        langs = pa.array(list(self.rows), pa.string()).take(pa.array(lang))
+        columns = [langs, pa.array(terms, pa.binary()), opened, found]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "opened", "found"])
 
 
 def postings(docs: DataFrame, first_length: int = FIRST_LENGTH, most: int = GATHERED) -> DataFrame:
-    """lang, source, term (binary), n (occurrences), opened: documents in which it opens its prefix of each length.
+    """lang, term (binary), opened: documents in which it opens its prefix of each length, found: (source, n).
 
-    There are as many lengths as the term needs. Rows are sums over documents of one task; a source has several of a
-    term. Null text, lang and source are empty. Each row is a document of its own, repeated rows too.
+    There are as many lengths as the term needs; n counts occurrences. A row sums documents of one task, ``most`` or more
+    of their terms at a time, so that even a term of every document has few rows. Null text, lang and source are empty.
+    Each row of the frame is a document of its own, repeated rows too.
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
@@ -149,15 +159,15 @@ def postings(docs: DataFrame, first_length: int = FIRST_LENGTH, most: int = GATH
         gathered = _Gathered(first_length)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                lang, source, text = (batch.column(c).slice(at, SLICE_ROWS).to_pylist() for c in ("lang", "source", "text"))
-                gathered.add(list(zip(lang, source)), text)
+                gathered.add(*(batch.column(c).slice(at, SLICE_ROWS).to_pylist() for c in ("lang", "source", "text")))
                 if gathered.gathered >= most:
                     yield gathered.sums()
                     gathered = _Gathered(first_length)
         if gathered.gathered:
             yield gathered.sums()
 
-    return rows.mapInArrow(run, "lang string, source string, term binary, n long, opened array<long>")
+    ddl = "lang string, term binary, opened array<long>, found array<struct<source:string,n:long>>"
+    return rows.mapInArrow(run, ddl)
 
 
 def _bytes_of(frame: DataFrame, *columns: str) -> int:
@@ -198,15 +208,11 @@ def kept_terms(posted: DataFrame, least: int = LEAST_DOCUMENTS, first_length: in
 
 def term_totals(posted: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, count) of kept terms, where they occur. Stored."""
-    rows = posted.select("lang", "source", F.col("term").alias("prefix"), "n")
-    total = lambda frame: frame.groupBy("lang", "source", "prefix").agg(F.sum("n").alias("count"))
-    kept = kept.withColumnRenamed("term", "prefix")
-    if _bytes_of(kept, "lang", "prefix") <= BROADCAST_BYTES:
-        found = total(rows.join(F.broadcast(kept), ["lang", "prefix"], "left_semi"))
-    else:
-        # summed first, so that a term has a row per source when it meets its kept one
-        found = total(rows).join(kept, ["lang", "prefix"], "left_semi")
-    return stored(found.select("lang", "source", F.col("prefix").alias("term"), "count"), "totals")
+    rows = posted.select("lang", F.col("term").alias("prefix"), "found")
+    rows = _below(rows, kept.withColumnRenamed("term", "prefix"))
+    rows = rows.select("lang", F.col("prefix").alias("term"), F.explode("found").alias("one"))
+    found = rows.groupBy("lang", F.col("one.source").alias("source"), "term").agg(F.sum("one.n").alias("count"))
+    return stored(found.select("lang", "source", "term", "count"), "totals")
 
 
 def _share(count: str, total: str, kept: str) -> str:
