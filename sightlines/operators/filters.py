@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from sightlines import codes
-from sightlines.functions.scalars import contains_text, parse_entity_ids
+from sightlines.functions.scalars import parse_entity_ids
+from sightlines.operators.text_index import with_text
 from sightlines.sources.tables import OccurrenceTables
 
 
@@ -288,7 +289,7 @@ def by_project(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter) ->
         relation = tables.organization_relation.where(f"organization_id = {int(f.project_organization_id)}")
         return _having(df, relation)
     if _given(f.project_name):
-        named = tables.organization.where(contains_text("name", f.project_name.strip()))
+        named = with_text(tables.organization, tables, "organization", "name", f.project_name.strip())
         return _having(
             df, tables.organization_relation.join(named.select("organization_id"), "organization_id", "left_semi")
         )
@@ -298,18 +299,15 @@ def by_project(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter) ->
 def by_text(df: DataFrame, tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
     """O-36: name filters on the taxon and on the matched name; not trimmed."""
     if f.preferred_popular_name:
-        taxa = tables.taxon.where(contains_text("preferred_popular_name", f.preferred_popular_name))
+        taxa = with_text(tables.taxon, tables, "taxon", "preferred_popular_name", f.preferred_popular_name)
         df = df.join(taxa.select("taxon_id"), "taxon_id", "left_semi")
-    name_conditions = []
-    if f.scientific_name:
-        name_conditions.append(contains_text("scientific_name", f.scientific_name))
-    if f.author:
-        name_conditions.append(contains_text("scientific_name_authorship", f.author))
-    if name_conditions:
-        names = tables.taxon_name.where(_all(name_conditions)).selectExpr(
-            "taxon_name_id AS matched_scientific_name_id"
-        )
-        df = df.join(names, "matched_scientific_name_id", "left_semi")
+    names = tables.taxon_name
+    for column, term in (("scientific_name", f.scientific_name), ("scientific_name_authorship", f.author)):
+        if term:
+            names = with_text(names, tables, "taxon_name", column, term)
+    if f.scientific_name or f.author:
+        matched = names.selectExpr("taxon_name_id AS matched_scientific_name_id")
+        df = df.join(matched, "matched_scientific_name_id", "left_semi")
     return df
 
 
@@ -344,13 +342,12 @@ def apply_filters(
     if mode not in ("search", "export"):
         raise ValueError(f"unknown filter mode {mode!r}")
     f.validate()
-    conditions = shared_conditions(f)
+    df = observations.where(_all(shared_conditions(f)))
     if mode == "search":
-        if _given(f.collection_code):
-            conditions.append(contains_text("collection_code", f.collection_code.strip()))
-        if _given(f.catalog_number):
-            conditions.append(contains_text("catalog_number", f.catalog_number.strip()))
-    df = by_text(observations.where(_all(conditions)), tables, f)
+        for column, term in (("collection_code", f.collection_code), ("catalog_number", f.catalog_number)):
+            if _given(term):
+                df = with_text(df, tables, "observation", column, term.strip())
+    df = by_text(df, tables, f)
     if mode == "export":
         return _export_filters(df, tables, f, route)
     df = by_geography(df, tables, f, route)

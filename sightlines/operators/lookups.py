@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightlines import codes
-from sightlines.functions.scalars import category_rank, contains_text
+from sightlines.functions.scalars import category_rank
+from sightlines.operators.text_index import with_text
 from sightlines.sources.tables import OccurrenceTables
 
 
@@ -113,10 +114,10 @@ def organization_search(
     """O-64j: organisations whose name contains a text, by name; a blank text finds none."""
     if not 1 <= max_count <= codes.MAX_ORGANIZATIONS:
         raise ValueError(f"max_count must be between 1 and {codes.MAX_ORGANIZATIONS}")
-    condition = contains_text("name", name.strip()) if name.strip() else "FALSE"
+    kept = _kept(tables.organization)
+    found = with_text(kept, tables, "organization", "name", name.strip()) if name.strip() else kept.where("FALSE")
     return (
-        _kept(tables.organization)
-        .where(condition)
+        found
         .orderBy(_sort_name("name", collation), "organization_id")
         .limit(max_count)
         .select("organization_id", "name")

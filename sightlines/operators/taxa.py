@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightlines import codes
 from sightlines.functions.scalars import contains_text, quoted
+from sightlines.operators.text_index import with_text
 from sightlines.sources.tables import OccurrenceTables
 
 EXACT, PREFIX, INSIDE = 1, 2, 3
@@ -16,11 +17,13 @@ def active_taxa(tables: OccurrenceTables) -> DataFrame:
     return tables.taxon.where("NOT is_deleted AND (cumulative_observation_count > 0 OR exists_in_country)")
 
 
-def _names(tables: OccurrenceTables) -> DataFrame:
-    """Undeleted scientific and popular names: (taxon_id, name)."""
-    scientific = tables.taxon_name.where("NOT is_deleted").selectExpr("taxon_id", "scientific_name AS name")
-    popular = tables.taxon_popular_name.where("NOT is_deleted").select("taxon_id", "name")
-    return scientific.unionByName(popular)
+def _names(tables: OccurrenceTables, term: str | None = None) -> DataFrame:
+    """Undeleted scientific and popular names, of which all contain the term: (taxon_id, name)."""
+    scientific, popular = (t.where("NOT is_deleted") for t in (tables.taxon_name, tables.taxon_popular_name))
+    if term:
+        scientific = with_text(scientific, tables, "taxon_name", "scientific_name", term)
+        popular = with_text(popular, tables, "taxon_popular_name", "name", term)
+    return scientific.selectExpr("taxon_id", "scientific_name AS name").unionByName(popular.select("taxon_id", "name"))
 
 
 def _tests(name: str, term: str) -> tuple[str, str, str]:
@@ -37,12 +40,7 @@ def match_level(name: str, term: str) -> str:
 def matching_taxa(tables: OccurrenceTables, name: str) -> DataFrame:
     """Active taxa with a matching name and their best level, in one pass over the names."""
     term = name.strip().lower()
-    hits = (
-        _names(tables)
-        .where(contains_text("name", term))
-        .groupBy("taxon_id")
-        .agg(F.expr(f"min({match_level('name', term)}) AS level"))
-    )
+    hits = _names(tables, term).groupBy("taxon_id").agg(F.expr(f"min({match_level('name', term)}) AS level"))
     return active_taxa(tables).join(hits, "taxon_id")
 
 

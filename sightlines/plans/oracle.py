@@ -733,6 +733,17 @@ def _needed(sql: str, found: dict[str, None]) -> dict[str, None]:
 QUERIES["area_counts_compat"] = f"SELECT fid, observation_count FROM ({QUERIES['area_markers']})"
 QUERIES["stored_index"] = QUERIES["index_enriched"]
 QUERIES["stored_lines"] = f"SELECT line FROM ({QUERIES['location_lines']})"
+QUERIES["text_catalog"] = QUERIES["f_catalog"]
+QUERIES["text_literal"] = QUERIES["f_like_literal"]
+QUERIES["text_collection"] = QUERIES["f_collection"]
+QUERIES["text_short"] = _filtered("contains(lower(o.collection_code), '-h')")
+QUERIES["text_project"] = QUERIES["f_project_name"]
+QUERIES["text_names"] = QUERIES["f_text"]
+QUERIES["text_taxa"] = QUERIES["taxon_search"]
+QUERIES["text_organizations"] = QUERIES["org_search"]
+QUERIES["text_postings"] = """
+    SELECT DISTINCT substr(concat(lower(preferred_popular_name), '$$'), i, 3) AS piece, taxon_id
+    FROM (SELECT *, unnest(range(1, length(preferred_popular_name) + 1)) AS i FROM f_taxon)"""
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

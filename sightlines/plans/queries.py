@@ -26,6 +26,7 @@ from sightlines.operators import (
     sampling,
     species,
     taxa,
+    text_index,
 )
 from sightlines.operators.filters import apply_filters, by_envelope
 from sightlines.plans.requests import EXPORT_COLUMNS, EXPORT_NAME, REQUESTS, SEARCH_PREFIX, TAXON_TERM
@@ -140,6 +141,59 @@ for _name in REQUESTS:
 _QUERIES["f_geo_or_index"] = _filter_query("f_geo_or", route="index")
 
 
+# --- contains-search through the trigram index ---------------------------------
+
+
+def _text_indexed(t: OccurrenceTables, *fields: tuple[str, str]) -> OccurrenceTables:
+    """The tables with a stored text index of some columns."""
+    path = _new_folder(t.spark, "text_index")
+    text_index.write_text_index(text_index.text_rows(t, fields), path)
+    return t.with_text_index(path)
+
+
+def _text_query(request: str, *fields: tuple[str, str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _text_indexed(supplied_tables(spark, sf_dir), *fields)
+        return apply_filters(t.observation, t, REQUESTS[request]).select(*_FILTERED)
+
+    return run
+
+
+_NAME_FIELDS = (
+    ("taxon", "preferred_popular_name"), ("taxon_name", "scientific_name"), ("taxon_name", "scientific_name_authorship"),
+)
+for _name, _request, _fields in (
+    ("text_catalog", "f_catalog", (("observation", "catalog_number"),)),
+    ("text_literal", "f_like_literal", (("observation", "catalog_number"),)),
+    ("text_collection", "f_collection", (("observation", "collection_code"),)),
+    ("text_short", "text_short", (("observation", "collection_code"),)),
+    ("text_project", "f_project_name", (("organization", "name"),)),
+    ("text_names", "f_text", _NAME_FIELDS),
+):
+    _QUERIES[_name] = _text_query(_request, *_fields)
+
+
+@_query
+def text_taxa(t: OccurrenceTables) -> DataFrame:
+    t = _text_indexed(t, ("taxon_name", "scientific_name"), ("taxon_popular_name", "name"))
+    return taxa.taxon_search(t, TAXON_TERM, 40)
+
+
+@_query
+def text_organizations(t: OccurrenceTables) -> DataFrame:
+    return lookups.organization_search(_text_indexed(t, ("organization", "name")), SEARCH_PREFIX, 30)
+
+
+@_query
+def text_postings(t: OccurrenceTables) -> DataFrame:
+    """The ids of every piece of the popular names."""
+    found = text_index.postings(text_index.text_rows(t, (("taxon", "preferred_popular_name"),)))
+    ids = found.select("piece", "chunk", F.explode("offsets").alias("offset"))
+    return ids.selectExpr(
+        "replace(piece, chr(0), '$') AS piece", f"shiftleft(chunk, {text_index.CHUNK_BITS}) | CAST(offset AS BIGINT) AS taxon_id"
+    )
+
+
 # --- locations ---------------------------------------------------------------
 
 

@@ -30,6 +30,7 @@ REQUESTS = {
     "f_collection": ObservationFilter(collection_code="2-high"),
     "f_catalog": ObservationFilter(catalog_number=" cat_12"),
     "f_like_literal": ObservationFilter(catalog_number="T_1"),
+    "text_short": ObservationFilter(collection_code=" -H "),
     "f_text": ObservationFilter(preferred_popular_name="RED", scientific_name="ring", author="Eco"),
     "f_envelope": ObservationFilter(envelope=Envelope(-500.7, 6_500_000.2, 40_000.9, 6_500_700.5)),
     "f_combined_search": ObservationFilter(

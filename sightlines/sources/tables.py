@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Mapping
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sightlines import schema
 
+if TYPE_CHECKING:
+    from sightlines.operators.text_index import TextIndex
+
 
 class OccurrenceTables:
     """One DataFrame per occurrence table, opened on first use (O-01).
@@ -17,8 +21,11 @@ class OccurrenceTables:
     the observation, location and organisation tables as part of each plan.
     """
 
-    def __init__(self, spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]]):
+    def __init__(
+        self, spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]], text_index: TextIndex | None = None
+    ):
         self.spark = spark
+        self.text_index = text_index
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
 
@@ -38,7 +45,7 @@ class OccurrenceTables:
 
     def with_table(self, name: str, df: DataFrame) -> OccurrenceTables:
         """A copy in which ``name`` is ``df``."""
-        return OccurrenceTables(self.spark, {**self._loaders, name: lambda: df})
+        return OccurrenceTables(self.spark, {**self._loaders, name: lambda: df}, self.text_index)
 
     def with_stored_index(self, path: str) -> OccurrenceTables:
         """A copy that reads the entity index from ``path`` instead of deriving it."""
@@ -46,6 +53,12 @@ class OccurrenceTables:
             "entity_index", self.spark.read.schema(schema.OCCURRENCE["entity_index"]).parquet(path)
         )
 
+    def with_text_index(self, path: str) -> OccurrenceTables:
+        """A copy whose contains-searches go through the trigram index at ``path``."""
+        from sightlines.operators.text_index import TextIndex
+
+        return OccurrenceTables(self.spark, self._loaders, TextIndex(self.spark, path))
+
     @property
     def has_stored_index(self) -> bool:
         return "entity_index" in self._loaders
