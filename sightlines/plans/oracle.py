@@ -744,6 +744,13 @@ QUERIES["text_organizations"] = QUERIES["org_search"]
 QUERIES["text_postings"] = """
     SELECT DISTINCT substr(concat(lower(preferred_popular_name), '$$'), i, 3) AS piece, taxon_id
     FROM (SELECT *, unnest(range(1, length(preferred_popular_name) + 1)) AS i FROM f_taxon)"""
+QUERIES["bitmap_geo_or"] = QUERIES["f_geo_or"]
+QUERIES["bitmap_combined_search"] = QUERIES["f_combined_search"]
+QUERIES["bitmap_combined_export"] = QUERIES["f_combined_export"]
+QUERIES["bitmap_export_count"] = f"SELECT count(*) AS n FROM ({QUERIES['f_combined_export']})"
+QUERIES["bitmap_ids"] = f"SELECT observation_id FROM ({QUERIES['f_status_2']})"
+QUERIES["bitmap_area_counts"] = QUERIES["area_counts_dynamic"]
+QUERIES["bitmap_area_counts_geo"] = QUERIES["area_counts_geo"]
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

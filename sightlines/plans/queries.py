@@ -16,6 +16,7 @@ from sightlines import codes
 from sightlines.functions.scalars import abbreviated, export_slug, zoom_bucket
 from sightlines.operators import (
     areas,
+    bitmaps,
     export,
     geometry,
     index,
@@ -194,6 +195,54 @@ def text_postings(t: OccurrenceTables) -> DataFrame:
     )
 
 
+# --- facet bitmaps -------------------------------------------------------------
+
+
+def _bitmapped(t: OccurrenceTables) -> OccurrenceTables:
+    path = _new_folder(t.spark, "bitmaps")
+    bitmaps.write_bitmaps(bitmaps.facet_bitmaps(t), path)
+    return t.with_bitmaps(path)
+
+
+@_query
+def bitmap_geo_or(t: OccurrenceTables) -> DataFrame:
+    t = _bitmapped(t)
+    return bitmaps.apply_bitmaps(t.observation, t, REQUESTS["f_geo_or"]).select(*_FILTERED)
+
+
+@_query
+def bitmap_combined_search(t: OccurrenceTables) -> DataFrame:
+    """Bitmaps for what they answer, the text filter on the rows that are left."""
+    t = _bitmapped(t)
+    return bitmaps.apply_bitmaps(t.observation, t, REQUESTS["f_combined_search"]).select(*_FILTERED)
+
+
+@_query
+def bitmap_combined_export(t: OccurrenceTables) -> DataFrame:
+    t = _bitmapped(t)
+    return bitmaps.apply_bitmaps(t.observation, t, REQUESTS["f_combined_export"], mode="export").select(*_FILTERED)
+
+
+@_query
+def bitmap_export_count(t: OccurrenceTables) -> DataFrame:
+    return _bitmapped(t).bitmaps.count(REQUESTS["f_combined_export"], mode="export")
+
+
+@_query
+def bitmap_ids(t: OccurrenceTables) -> DataFrame:
+    return _bitmapped(t).bitmaps.ids(REQUESTS["f_status_2"])
+
+
+@_query
+def bitmap_area_counts(t: OccurrenceTables) -> DataFrame:
+    return areas.area_counts(_bitmapped(t), 2, REQUESTS["area_counts_dynamic"])
+
+
+@_query
+def bitmap_area_counts_geo(t: OccurrenceTables) -> DataFrame:
+    return areas.area_counts(_bitmapped(t), 1, REQUESTS["area_counts_geo"])
+
+
 # --- locations ---------------------------------------------------------------
 
 

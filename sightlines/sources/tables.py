@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sightlines import schema
 
 if TYPE_CHECKING:
+    from sightlines.operators.bitmaps import Bitmaps
     from sightlines.operators.text_index import TextIndex
 
 
@@ -22,10 +23,10 @@ class OccurrenceTables:
     """
 
     def __init__(
-        self, spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]], text_index: TextIndex | None = None
+        self, spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]], stores: Mapping[str, object] | None = None
     ):
         self.spark = spark
-        self.text_index = text_index
+        self._stores = dict(stores or {})
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
 
@@ -45,7 +46,7 @@ class OccurrenceTables:
 
     def with_table(self, name: str, df: DataFrame) -> OccurrenceTables:
         """A copy in which ``name`` is ``df``."""
-        return OccurrenceTables(self.spark, {**self._loaders, name: lambda: df}, self.text_index)
+        return OccurrenceTables(self.spark, {**self._loaders, name: lambda: df}, self._stores)
 
     def with_stored_index(self, path: str) -> OccurrenceTables:
         """A copy that reads the entity index from ``path`` instead of deriving it."""
@@ -57,7 +58,24 @@ class OccurrenceTables:
         """A copy whose contains-searches go through the trigram index at ``path``."""
         from sightlines.operators.text_index import TextIndex
 
-        return OccurrenceTables(self.spark, self._loaders, TextIndex(self.spark, path))
+        return self._with_store("text_index", TextIndex(self.spark, path))
+
+    def with_bitmaps(self, path: str) -> OccurrenceTables:
+        """A copy that answers filters and counts from the facet bitmaps at ``path`` where these can."""
+        from sightlines.operators.bitmaps import Bitmaps
+
+        return self._with_store("bitmaps", Bitmaps(self.spark, path))
+
+    def _with_store(self, name: str, store: object) -> OccurrenceTables:
+        return OccurrenceTables(self.spark, self._loaders, {**self._stores, name: store})
+
+    @property
+    def text_index(self) -> TextIndex | None:
+        return self._stores.get("text_index")
+
+    @property
+    def bitmaps(self) -> Bitmaps | None:
+        return self._stores.get("bitmaps")
 
     @property
     def has_stored_index(self) -> bool:
