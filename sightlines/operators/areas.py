@@ -161,6 +161,8 @@ def dynamic_counts(tables: OccurrenceTables, areas: DataFrame, f: ObservationFil
     keys = areas.selectExpr("area_type_id AS entity_type_id", f"{entity_id('fid')} AS entity_id").where(
         "entity_id IS NOT NULL"
     ).distinct()
+    if tables.cube is not None and tables.cube.answers(f):
+        return tables.cube.entity_counts(f, keys)
     if tables.bitmaps is not None and tables.bitmaps.answers(f):
         return tables.bitmaps.entity_counts(f, keys)
     if f.needs_observation_rows or f.has_geography:

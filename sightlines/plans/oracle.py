@@ -751,6 +751,26 @@ QUERIES["bitmap_export_count"] = f"SELECT count(*) AS n FROM ({QUERIES['f_combin
 QUERIES["bitmap_ids"] = f"SELECT observation_id FROM ({QUERIES['f_status_2']})"
 QUERIES["bitmap_area_counts"] = QUERIES["area_counts_dynamic"]
 QUERIES["bitmap_area_counts_geo"] = QUERIES["area_counts_geo"]
+QUERIES["cube_area_counts"] = QUERIES["area_counts_dynamic"]
+QUERIES["cube_area_markers"] = QUERIES["area_markers_dynamic"]
+QUERIES["cube_area_months"] = QUERIES["area_counts_months"]
+_YEAR_MONTH = """100 * (2 * year(date_time_collected) + CASE WHEN date_time_collected
+    > make_timestamp(year(date_time_collected), 12, 31, 23, 59, 59.0) THEN 1 ELSE 0 END) + month(date_time_collected)"""
+QUERIES["cube_cells"] = " UNION ALL ".join(
+    f"""SELECT {number} AS cuboid, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT count(*) AS n FROM f_enriched_index GROUP BY entity_type_id, entity_id{''.join(", " + d for d in dimensions)})"""
+    for number, dimensions in enumerate(
+        (
+            ("taxon_group_id", "category_id", "basis_of_record_id", "registration_status_id", "has_media_files", _YEAR_MONTH),
+            ("taxon_group_id",), ("category_id",), ("basis_of_record_id",), ("registration_status_id", "has_media_files"),
+            (_YEAR_MONTH,), ("taxon_group_id", "category_id"), ("taxon_group_id", "basis_of_record_id"),
+            ("taxon_group_id", _YEAR_MONTH), ("taxon_group_id", "category_id", "registration_status_id", "has_media_files"),
+        )
+    )
+)
+QUERIES["cube_merged"] = """
+    SELECT entity_type_id, entity_id, taxon_group_id, category_id, count(*) AS n FROM f_enriched_index
+    WHERE observation_id % 7 <> 0 GROUP BY ALL"""
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

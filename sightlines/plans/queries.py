@@ -17,6 +17,7 @@ from sightlines.functions.scalars import abbreviated, export_slug, zoom_bucket
 from sightlines.operators import (
     areas,
     bitmaps,
+    cube,
     export,
     geometry,
     index,
@@ -243,6 +244,50 @@ def bitmap_area_counts_geo(t: OccurrenceTables) -> DataFrame:
     return areas.area_counts(_bitmapped(t), 1, REQUESTS["area_counts_geo"])
 
 
+# --- data cube -----------------------------------------------------------------
+
+
+def _cubed(t: OccurrenceTables) -> OccurrenceTables:
+    path = _new_folder(t.spark, "cube")
+    cube.write_cube(cube.base_cells(t.enriched_index), path)
+    return t.with_cube(path)
+
+
+@_query
+def cube_area_counts(t: OccurrenceTables) -> DataFrame:
+    return areas.area_counts(_cubed(t), 2, REQUESTS["area_counts_dynamic"])
+
+
+@_query
+def cube_area_markers(t: OccurrenceTables) -> DataFrame:
+    return areas.area_markers(_cubed(t), 2, REQUESTS["area_markers_dynamic"])
+
+
+@_query
+def cube_area_months(t: OccurrenceTables) -> DataFrame:
+    return areas.counts_response(_cubed(t), 1, REQUESTS["area_counts_months"])
+
+
+@_query
+def cube_cells(t: OccurrenceTables) -> DataFrame:
+    """All cuboids by their number of cells and of observations."""
+    cells = cube.cuboid_cells(cube.base_cells(t.enriched_index))
+    return cells.groupBy("cuboid").agg(F.count("*").alias("cells"), F.sum("n").alias("n"))
+
+
+@_query
+def cube_merged(t: OccurrenceTables) -> DataFrame:
+    """Counts by group and category after a third of the observations came and a seventh went."""
+    rows = t.enriched_index
+    came, went = "observation_id % 3 = 0", "observation_id % 7 = 0"
+    base = cube.base_cells(rows.where(f"NOT ({came})"))
+    merged = cube.merged_cells(base, cube.base_cells(rows.where(came)), cube.base_cells(rows.where(went)))
+    return (
+        cube.cuboid_cells(merged).where(f"cuboid = {cube.CUBOIDS.index(('taxon_group_id', 'category_id'))}")
+        .select("entity_type_id", "entity_id", "taxon_group_id", "category_id", "n")
+    )
+
+
 # --- locations ---------------------------------------------------------------
 
 

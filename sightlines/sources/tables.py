@@ -12,6 +12,7 @@ from sightlines import schema
 
 if TYPE_CHECKING:
     from sightlines.operators.bitmaps import Bitmaps
+    from sightlines.operators.cube import Cube
     from sightlines.operators.text_index import TextIndex
 
 
@@ -66,6 +67,12 @@ class OccurrenceTables:
 
         return self._with_store("bitmaps", Bitmaps(self.spark, path))
 
+    def with_cube(self, path: str) -> OccurrenceTables:
+        """A copy that takes area counts from the stored cube at ``path`` where it can."""
+        from sightlines.operators.cube import Cube
+
+        return self._with_store("cube", Cube(self.spark, path))
+
     def _with_store(self, name: str, store: object) -> OccurrenceTables:
         return OccurrenceTables(self.spark, self._loaders, {**self._stores, name: store})
 
@@ -73,6 +80,10 @@ class OccurrenceTables:
     def text_index(self) -> TextIndex | None:
         return self._stores.get("text_index")
 
+    @property
+    def cube(self) -> Cube | None:
+        return self._stores.get("cube")
+
     @property
     def bitmaps(self) -> Bitmaps | None:
         return self._stores.get("bitmaps")
