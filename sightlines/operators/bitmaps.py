@@ -8,9 +8,10 @@ buckets. What is left is counted, turned into ids, met with other bitmaps, or as
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightlines import codes
@@ -19,9 +20,12 @@ from sightlines.operators.filters import ObservationFilter, apply_filters
 from sightlines.operators.index import observation_attributes
 from sightlines.sources.tables import OccurrenceTables
 
-SCHEMA = "value bigint, bucket bigint, bitmap binary, facet string"
-# Facets beside "entity_<type>". A year counts double, and one more in its last second, which a period's end leaves out.
+SCHEMA = "value bigint, bucket bigint, n bigint, bitmap binary, facet string"
+# Buckets that are counted together first when a page is looked for.
+BUCKETS_TOGETHER = 1_024
+# Facets beside "entity_<type>"; "all" has one value, which all observations have. A year counts double, and one more in its last second, which a period's end leaves out.
 _ATTRIBUTES = {
+    "all": "0",
     "taxon_group": "taxon_group_id",
     "category": "category_id",
     "basis": "basis_of_record_id",
@@ -55,10 +59,15 @@ def facet_values(tables: OccurrenceTables) -> DataFrame:
 
 
 def facet_bitmaps(tables: OccurrenceTables) -> DataFrame:
-    """(value, bucket, bitmap, facet) of all facets; an observation that stands twice below a value is one bit."""
+    """(value, bucket, n, bitmap, facet) of all facets; an observation that stands twice below a value is one bit."""
     bucket = F.bitmap_bucket_number("observation_id").alias("bucket")
     bitmap = F.bitmap_construct_agg(F.bitmap_bit_position("observation_id")).alias("bitmap")
-    return facet_values(tables).groupBy("value", bucket, "facet").agg(bitmap)
+    return _counted(facet_values(tables).groupBy("value", bucket, "facet").agg(bitmap))
+
+
+def _counted(bitmaps: DataFrame) -> DataFrame:
+    """Bitmaps with the directory column ``n``, their number of observations."""
+    return bitmaps.select("value", "bucket", F.bitmap_count("bitmap").alias("n"), "bitmap", "facet")
 
 
 def merged_bitmaps(*parts: DataFrame) -> DataFrame:
@@ -66,9 +75,7 @@ def merged_bitmaps(*parts: DataFrame) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy("value", "bucket", "facet").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).select(
-        "value", "bucket", "bitmap", "facet"
-    )
+    return _counted(every.groupBy("value", "bucket", "facet").agg(F.bitmap_or_agg("bitmap").alias("bitmap")))
 
 
 def write_bitmaps(bitmaps: DataFrame, path: str, mode: str = "error", files: int | None = None) -> None:
@@ -92,6 +99,11 @@ def _within(facet: str, values: list[int] | tuple[int, ...]) -> str:
     return f"(facet = '{facet}' AND value IN ({listed}))" if values else "FALSE"
 
 
+def _single(part: str) -> bool:
+    """Whether a condition names one value of one facet."""
+    return re.fullmatch(r"\(facet = '\w+' AND value IN \(-?\d+\)\)", part) is not None
+
+
 def _geography(f: ObservationFilter, polar: bool) -> list[str]:
     counties = parse_entity_ids(f.county_ids)
     wanted = [
@@ -161,15 +173,18 @@ class Bitmaps:
 
     def answers(self, f: ObservationFilter) -> bool:
         """Whether bitmaps alone decide a request."""
-        return rest_of(f).matches_all and f.envelope is None and bool(parts_of(f, "counts"))
+        return rest_of(f).matches_all and f.envelope is None
 
-    def chosen(self, f: ObservationFilter, mode: str = "search") -> DataFrame:
-        """(bucket, bitmap) of the observations that meet all parts of a request, of which there must be one."""
-        parts = parts_of(f, mode)
-        if not parts:
-            raise ValueError("the request has no part that bitmaps answer")
+    def chosen(
+        self, f: ObservationFilter, mode: str = "search", between: tuple[int, int] | None = None
+    ) -> DataFrame:
+        """(bucket, bitmap) of the observations that meet all parts of a request, of some buckets or of all."""
+        parts = parts_of(f, mode) or [_within("all", [0])]
         number = "CASE " + " ".join(f"WHEN {part} THEN {i}" for i, part in enumerate(parts)) + " END"
-        kept = self.rows.where(" OR ".join(f"({part})" for part in parts)).selectExpr("bucket", f"{number} AS part", "bitmap")
+        kept = self.rows.where(" OR ".join(f"({part})" for part in parts))
+        if between is not None:
+            kept = kept.where(F.col("bucket").between(*between))
+        kept = kept.selectExpr("bucket", f"{number} AS part", "bitmap")
         any_of = kept.groupBy("bucket", "part").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
         if len(parts) == 1:
             return any_of.select("bucket", "bitmap")
@@ -180,15 +195,44 @@ class Bitmaps:
         """One row: how many observations a request matches (O-60)."""
         return self.chosen(f, mode).agg(F.expr("coalesce(sum(bitmap_count(bitmap)), 0L) AS n"))
 
-    def ids(self, f: ObservationFilter, mode: str = "search") -> DataFrame:
+    def ids(self, f: ObservationFilter, mode: str = "search", between: tuple[int, int] | None = None) -> DataFrame:
         """Ids of the matching observations; a bitmap is taken apart eight bytes at a time."""
-        words = self.chosen(f, mode).selectExpr("bucket", "bitmap", "explode(sequence(0, 511)) AS w")
+        words = self.chosen(f, mode, between).selectExpr("bucket", "bitmap", "explode(sequence(0, 511)) AS w")
         words = words.selectExpr("bucket", "w", f"{_reversed('substring(bitmap, 8 * w + 1, 8)')} AS word")
         bits = words.where("word <> 0").selectExpr(
             "bucket", "explode(filter(transform(sequence(0, 63), i -> IF(getbit(word, i) = 1, 64 * w + i, -1)), p -> p >= 0)) AS p"
         )
         return bits.selectExpr("IF(bucket > 0, (bucket - 1) * 32768 + p + 1, bucket * 32768 - p) AS observation_id")
 
+    def bucket_counts(self, f: ObservationFilter, mode: str = "search") -> DataFrame:
+        """(bucket, n): matching observations by bucket, empty ones left out.
+
+        A request for one value has them in the directory, so that no bitmap is read; others need their bitmaps.
+        """
+        parts = parts_of(f, mode) or [_within("all", [0])]
+        if len(parts) == 1 and _single(parts[0]):
+            return self.rows.where(parts[0]).select("bucket", "n")
+        return self.chosen(f, mode).select("bucket", F.bitmap_count("bitmap").alias("n")).where("n > 0")
+
+    def window(self, f: ObservationFilter, skip: int, take: int, mode: str = "search") -> DataFrame:
+        """Ids of the matching rows ``skip`` .. ``skip + take`` in id order, for pages of any depth. Runs one job.
+
+        Prefix sums of the counts, first over many buckets together and then inside those that hold an end, find the
+        buckets of the window; their bitmaps are read and nothing else. A bucket at each end and ``take`` ids are sorted.
+        """
+        counts = self.bucket_counts(f, mode).withColumn("together", F.expr(f"floor(bucket / {BUCKETS_TOGETHER})"))
+        sums = counts.groupBy("together").agg(F.sum("n").alias("sum"))
+        before = F.coalesce(F.sum("sum").over(Window.orderBy("together").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.select("together", before.alias("start"), "sum").where(f"start < {skip + take} AND start + sum > {skip}")
+        inside = Window.partitionBy("together").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.join(sums, "together").withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        placed = placed.where(f"start < {skip + take} AND start + n > {skip}")
+        low, high, start = placed.agg(F.min("bucket"), F.max("bucket"), F.min("start")).first()
+        if low is None or take <= 0:
+            return self.ids(f, mode, (0, -1))
+        found = self.ids(f, mode, (low, high)).orderBy("observation_id")
+        return found.offset(skip - start).limit(take)
+
     def entity_counts(self, f: ObservationFilter, keys: DataFrame) -> DataFrame:
         """O-55: matching observations of each wanted (entity_type_id, entity_id), zero ones left out."""
         chosen = self.chosen(f, "counts").withColumnRenamed("bitmap", "chosen")

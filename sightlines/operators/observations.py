@@ -13,10 +13,13 @@ from sightlines.operators.filters import (
     geography_condition,
     institution_condition,
 )
+from sightlines.sources.shared import stored
 from sightlines.sources.tables import OccurrenceTables
 
 # Cells that a search for a key counts per round, and rows among which the key is then picked.
 KEY_CELLS, FEW_ROWS = 1_024, 10_000
+# Windows that end within so many rows are a top-k.
+TOP_ROWS = 4_096
 
 _PAGE_COLUMNS = (
     "observation_id", "taxon_id", "location_id", "taxon_group_id", "category_id", "date_time_collected",
@@ -106,13 +109,20 @@ def _entities(f: ObservationFilter) -> int:
 def page_ids(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
     """Ids of the look-ahead window of a request (at most 40 000: four pages of 10 000 rows).
 
-    The first window is a top-k; further ones are located by key, which runs jobs. Where the index lists an id once for
-    each chosen entity, as many rows as the window has ids and entities hold the window: a top-k goes before the distinct.
+    With bitmaps that answer the request, their directory finds the window (one job). Else a window near the beginning
+    is a top-k, and one further down is located by key, which runs jobs over the matching ids, stored once. Where the index
+    lists an id once for each chosen entity, as many rows as the window has ids and entities hold the window: a top-k
+    goes before the distinct.
     """
     f.validate_page()
     skip, take = page_bounds(f)
+    if tables.bitmaps is not None and tables.bitmaps.answers(f):
+        return tables.bitmaps.window(f, skip, take)
+    if skip and skip + take <= TOP_ROWS:
+        ids = first_rows(matching_ids(tables, f), "observation_id", skip + take)
+        return ids.offset(skip)
     if skip:
-        return located_window(matching_ids(tables, f), "observation_id", skip, take)
+        return located_window(stored(matching_ids(tables, f), "matching_ids"), "observation_id", skip, take)
     if _named_by_index(tables, f) and not f.organization_ids:
         listed = tables.entity_index.where(geography_condition(f)).select("observation_id")
         return first_rows(first_rows(listed, "observation_id", take * _entities(f)).distinct(), "observation_id", take)

@@ -771,6 +771,18 @@ QUERIES["cube_cells"] = " UNION ALL ".join(
 QUERIES["cube_merged"] = """
     SELECT entity_type_id, entity_id, taxon_group_id, category_id, count(*) AS n FROM f_enriched_index
     WHERE observation_id % 7 <> 0 GROUP BY ALL"""
+_PAGE = "SELECT o.observation_id FROM f_observation o WHERE {} ORDER BY o.observation_id LIMIT {} OFFSET {}"
+_ANY_AREA = _exists(
+    "f_entity_index",
+    "(x.entity_type_id IN (2, 6) AND x.entity_id IN (1, 2)) OR (x.entity_type_id = 4 AND x.entity_id = 93)",
+)
+QUERIES["pages_any_area"] = _PAGE.format(_ANY_AREA, 20, 145)
+QUERIES["pages_one_area"] = _PAGE.format(_exists("f_entity_index", "x.entity_type_id = 1 AND x.entity_id = 201"), 8, 16)
+QUERIES["pages_unfiltered"] = _PAGE.format("TRUE", 40, 990)
+QUERIES["pages_parts"] = _PAGE.format("o.category_id = 9 AND NOT " + _exists("f_media_file", "TRUE"), 8, 98)
+QUERIES["pages_behind"] = _PAGE.format("FALSE", 1, 0)
+QUERIES["pages_rows"] = f"""
+    WITH page AS (SELECT * FROM f_observation WHERE observation_id IN ({QUERIES["pages_any_area"]})) {_OBSERVATION_ROW}"""
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

@@ -6,7 +6,6 @@ text, as the comparison is by value.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +32,7 @@ from sightlines.operators import (
 from sightlines.operators.filters import apply_filters, by_envelope
 from sightlines.plans.requests import EXPORT_COLUMNS, EXPORT_NAME, REQUESTS, SEARCH_PREFIX, TAXON_TERM
 from sightlines.sources import OccurrenceTables, sinks, supplied_tables
+from sightlines.sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -80,17 +80,11 @@ def index_backfill(t: OccurrenceTables) -> DataFrame:
     return index.backfill(finished.unionByName(marked), t)
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own that the cluster shares: below the checkpoint folder, else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @_query
 def stored_index(t: OccurrenceTables) -> DataFrame:
     """The index written and read back."""
     full = index.index_enriched(t)
-    path = _new_folder(full.sparkSession, "entity_index")
+    path = new_folder(full.sparkSession, "entity_index")
     index.write_entity_index(full, path)
     return full.sparkSession.read.parquet(path).select(*full.columns)
 
@@ -99,7 +93,7 @@ def stored_index(t: OccurrenceTables) -> DataFrame:
 def stored_lines(t: OccurrenceTables) -> DataFrame:
     """Location lines written as text and read back."""
     lines = locations.location_lines(locations.requested_locations(t, REQUESTS["locations"]))
-    path = _new_folder(lines.sparkSession, "location_lines")
+    path = new_folder(lines.sparkSession, "location_lines")
     sinks.write_lines(lines, path)
     return lines.sparkSession.read.text(path).selectExpr("value AS line")
 
@@ -108,7 +102,7 @@ def stored_lines(t: OccurrenceTables) -> DataFrame:
 def stored_csv(t: OccurrenceTables) -> DataFrame:
     """An export written as CSV and read back."""
     rows = export.export_rows(t, REQUESTS["export_rows"], ("id", "CollectionCode", "TaxonId"))
-    path = _new_folder(rows.sparkSession, "export")
+    path = new_folder(rows.sparkSession, "export")
     sinks.write_csv(rows, path)
     read = rows.sparkSession.read.option("header", True).option("sep", ";").csv(path)
     return read.selectExpr("CAST(Id AS BIGINT) AS observation_id", "Samlingskode AS collection_code")
@@ -148,7 +142,7 @@ _QUERIES["f_geo_or_index"] = _filter_query("f_geo_or", route="index")
 
 def _text_indexed(t: OccurrenceTables, *fields: tuple[str, str]) -> OccurrenceTables:
     """The tables with a stored text index of some columns."""
-    path = _new_folder(t.spark, "text_index")
+    path = new_folder(t.spark, "text_index")
     text_index.write_text_index(text_index.text_rows(t, fields), path)
     return t.with_text_index(path)
 
@@ -200,7 +194,7 @@ def text_postings(t: OccurrenceTables) -> DataFrame:
 
 
 def _bitmapped(t: OccurrenceTables) -> OccurrenceTables:
-    path = _new_folder(t.spark, "bitmaps")
+    path = new_folder(t.spark, "bitmaps")
     bitmaps.write_bitmaps(bitmaps.facet_bitmaps(t), path)
     return t.with_bitmaps(path)
 
@@ -248,7 +242,7 @@ def bitmap_area_counts_geo(t: OccurrenceTables) -> DataFrame:
 
 
 def _cubed(t: OccurrenceTables) -> OccurrenceTables:
-    path = _new_folder(t.spark, "cube")
+    path = new_folder(t.spark, "cube")
     cube.write_cube(cube.base_cells(t.enriched_index), path)
     return t.with_cube(path)
 
@@ -359,6 +353,23 @@ def observations_after(t: OccurrenceTables) -> DataFrame:
     return observations.rows_after(rows, "observation_id", last=700, take=200)
 
 
+def _paged(request: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _bitmapped(supplied_tables(spark, sf_dir))
+        return observations.page_ids(t, REQUESTS[request])
+
+    return run
+
+
+for _name in ("pages_any_area", "pages_one_area", "pages_unfiltered", "pages_parts", "pages_behind"):
+    _QUERIES[_name] = _paged(_name)
+
+
+@_query
+def pages_rows(t: OccurrenceTables) -> DataFrame:
+    return observations.requested_observations(_bitmapped(t), REQUESTS["pages_any_area"])
+
+
 @_query
 def page_meta(t: OccurrenceTables) -> DataFrame:
     f = REQUESTS["page_meta"]

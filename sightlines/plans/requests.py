@@ -53,6 +53,11 @@ REQUESTS = {
         county_ids=("1", "2"), category_ids=(9, 11), page_number=3, results_per_page=50
     ),
     "observations_default": ObservationFilter(preferred_popular_name="blue"),
+    "pages_any_area": ObservationFilter(county_ids=("1", "2"), ocean_area_ids=("93",), page_number=30, results_per_page=5),
+    "pages_one_area": ObservationFilter(municipality_ids=("201",), page_number=9, results_per_page=2),
+    "pages_unfiltered": ObservationFilter(page_number=100, results_per_page=10),
+    "pages_parts": ObservationFilter(category_ids=(9,), with_images=False, page_number=50, results_per_page=2),
+    "pages_behind": ObservationFilter(category_ids=(9,), page_number=4_000_000, results_per_page=100),
     "page_meta": ObservationFilter(county_ids=("1", "2"), page_number=2, results_per_page=25),
     "area_counts_pre": ObservationFilter(county_ids=("3",)),
     "area_counts_dynamic": ObservationFilter(

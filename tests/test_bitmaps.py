@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from sightlines.operators import areas
+from sightlines.operators import areas, observations
 from sightlines.operators import bitmaps as B
 from sightlines.operators.filters import ObservationFilter, apply_filters
 from tests.conftest import area, location, observation, plan_of, values
@@ -81,8 +81,7 @@ def test_other_filters_stay(tables, mapped):
     f = ObservationFilter(taxon_group_ids=[1, 2], precision_to=25, collection_code="x")
     assert not mapped.bitmaps.answers(f) and mapped.bitmaps.answers(f.but(precision_to=None, collection_code=None))
     assert B.rest_of(f) == ObservationFilter(precision_to=25, collection_code="x")
-    with pytest.raises(ValueError):
-        mapped.bitmaps.chosen(ObservationFilter())
+    assert values(mapped.bitmaps.count(ObservationFilter()), "n") == [len(IDS)]
 
 
 def test_new_observations_are_merged(tables):
@@ -100,3 +99,25 @@ def test_no_id_is_shuffled(mapped):
         shuffled = re.findall(r"hashpartitioning\(([^)]*)", plan)
         assert shuffled and not any("observation_id" in keys for keys in shuffled)
     assert "PartitionFilters" in plan_of(mapped.bitmaps.count(f)) and "value" in plan_of(mapped.bitmaps.count(f))
+
+
+@pytest.mark.parametrize("fields", [{}, {"county_ids": ["2"]}, {"county_ids": ["2"], "category_ids": [9, 11]}, {"behavior_ids": [9]}])
+@pytest.mark.parametrize("together", [1, 2, 1_024])
+def test_windows(tables, mapped, monkeypatch, fields, together):
+    monkeypatch.setattr(B, "BUCKETS_TOGETHER", together)
+    f = ObservationFilter(**fields)
+    every = sorted(values(apply_filters(tables.observation, tables, f), "observation_id"))
+    for skip, take in ((0, 3), (2, 5), (5, 1), (9, 40), (len(every), 2), (10**9, 7), (1, 0)):
+        assert values(mapped.bitmaps.window(f, skip, take), "observation_id") == every[skip : skip + take]
+
+
+def test_one_value_is_located_without_bitmaps(mapped):
+    plan = plan_of(mapped.bitmaps.bucket_counts(ObservationFilter(municipality_ids=["201"])))
+    assert "bitmap" not in plan.replace("bitmaps", "") and "PartitionFilters" in plan
+
+
+def test_pages_through_bitmaps(tables, mapped):
+    for number in (1, 3, 8):
+        f = ObservationFilter(category_ids=[9, 11], page_number=number, results_per_page=3)
+        assert observations.page_ids(mapped, f).collect() == observations.page_ids(tables, f).collect()
+        assert observations.requested_observations(mapped, f).collect() == observations.requested_observations(tables, f).collect()
