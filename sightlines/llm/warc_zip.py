@@ -40,26 +40,26 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    """The same id for a page in every run, so that tasks can be repeated."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{_TARGET}{page_id}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """The same id for a page and its payload in every run, so that tasks can be repeated."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{_TARGET}{page_id}/{digest}')}>"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """A WARC/1.1 record: a response with its payload, or a revisit without."""
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Target-URI", _one_line(url)),
         ("WARC-Date", date),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("X-Page-Id", str(page_id)),
+        ("X-Page-Id", None if page_id is None else str(page_id)),
     ]
     reply = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if refers_to is not None:
         head += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", record_id(refers_to)),
+            ("WARC-Refers-To", record_id(refers_to, digest)),
             ("X-Refers-To-Page-Id", str(refers_to)),
         ]
     body = reply + payload if refers_to is None else reply
@@ -102,7 +102,7 @@ class Package:
         self.member = self.zip.open(ARCHIVE, "w", force_zip64=True)
         self.at, self.lines = 0, []
 
-    def add(self, page_id: int, data: bytes) -> None:
+    def add(self, page_id: int | None, data: bytes) -> None:
         member = gzip.compress(data, 5, mtime=0)
         self.member.write(member)
         self.lines.append(json.dumps({"page_id": page_id, "offset": self.at, "length": len(member)}))
@@ -209,26 +209,25 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_originals(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): of equal payloads the one with the largest page_id is the original."""
+    """(page_id, url, html, digest, refers_to): of equal payloads the one with the largest page_id is the original.
 
-    def rows(columns: dict) -> dict:
-        payloads = [(h or "").encode("utf-8", "surrogatepass") for h in columns["html"]]
-        return {
-            "page_id": columns["page_id"], "digest": [payload_digest(p) for p in payloads], "n": list(map(len, payloads)),
-        }
-
-    made = exploded(pages.select("page_id", "html"), rows, "page_id long, digest string, n long")
-    made = stored(made.filter("page_id IS NOT NULL").distinct(), "payloads")
-    largest = made.groupBy("digest", "n").agg(F.max("page_id").alias("original"), F.count("*").alias("copies"))
-    revisits = made.join(largest.filter("copies > 1"), ["digest", "n"]).filter("page_id < original")
-    revisits = revisits.select("page_id", "digest", F.col("original").alias("refers_to"))
-    return pages.select("page_id", "url", "html").filter("page_id IS NOT NULL").join(revisits, "page_id", "left")
+    A page_id may stand on several rows, with the same payload or another. A null page_id is below all others; where
+    a payload has no other, each of its rows is an original. ``digest`` is the SHA-1 as hexadecimal text.
+    """
+    digest = F.sha1(F.coalesce("html", F.lit(""))).alias("digest")
+    hashed = pages.select("page_id", "url", "html", digest)
+    made = stored(hashed.select("page_id", "digest").distinct(), "payloads")
+    largest = made.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
+    revisits = made.join(largest.filter("copies > 1"), "digest").filter("coalesce(page_id < refers_to, refers_to IS NOT NULL)")
+    revisits = revisits.select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), "refers_to")
+    same = F.expr("page_id <=> own_id AND digest = own_digest")
+    return hashed.join(revisits, same, "left").drop("own_id", "own_digest")
 
 
 def written(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes packages into a shared folder: (path, n_records), one row per package.
 
-    Null html is an empty payload; rows without page_id are left out. A repeated task writes files of its own, and only
+    Null html is an empty payload; a row without page_id gets a record as well. A repeated task writes files of its own, and only
     those it names in its result count. ``folder`` is a path or URI that all executors share.
     """
 
@@ -252,7 +251,7 @@ def written(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -
                         stream = system.open_output_stream(f"{inner}/{name}")
                         package = Package(stream)
                     payload = (row["html"] or "").encode("utf-8", "surrogatepass")
-                    digest = row["digest"] or payload_digest(payload)
+                    digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
                     package.add(
                         row["page_id"], record(row["page_id"], row["url"], payload, digest, row["refers_to"], date)
                     )
@@ -315,7 +314,7 @@ def read(entries: DataFrame) -> DataFrame:
                 held, held_at = source.read_at(max(length, READ_BYTES), offset), offset
             headers, block = parsed(gzip.decompress(held[offset - held_at : offset - held_at + length]))
             response = headers["warc-type"] == "response"
-            out["page_id"].append(int(headers["x-page-id"]))
+            out["page_id"].append(int(headers["x-page-id"]) if "x-page-id" in headers else None)
             out["record_type"].append(headers["warc-type"])
             out["record_id"].append(headers["warc-record-id"])
             out["url"].append(headers.get("warc-target-uri"))

@@ -181,18 +181,29 @@ def test_warc_packages(spark, tmp_path, monkeypatch):
     got = {r.page_id: tuple(r)[1:] for r in warc_zip.round_trip(pages).collect()}
     sha = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
     original = {h or "": i for i, h in enumerate(html)}
-    assert got == {
+    assert got == {None: (1, sha("z"), "response", None)} | {
         i: (len((h or "").encode()), sha(h), *(("response", None) if original[h or ""] == i else ("revisit", original[h or ""])))
         for i, h in enumerate(html)
     }
     assert warc_zip.round_trip(pages.limit(0)).count() == 0
     monkeypatch.setattr(warc_zip, "PACKAGE_BYTES", 1)
     packages = warc_zip.written(pages.coalesce(1), str(tmp_path / "w")).collect()
-    assert len(packages) == 7
+    assert len(packages) == 8
     names = {n for p in packages for n in zipfile.ZipFile(p.path).namelist()}
     assert names == {warc_zip.ARCHIVE, warc_zip.INDEX}
 
 
+def test_warc_rows_of_one_page(spark):
+    """Repeated ids with other and with equal payloads, null ids, clashing columns."""
+    rows = [(1, "aaa"), (1, "bbb"), (2, "aaa"), (2, "aaa"), (3, "ccc"), (None, "aaa"), (None, "ddd"), (None, "ddd"), (3, None)]
+    pages = spark.createDataFrame([(i, "u", h, "x", "y") for i, h in rows], "page_id long, url string, html string, digest string, own_id string")
+    sha = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    expected = [(i, len(h or ""), sha(h or ""), "response", None) for i, h in rows]
+    for k in (0, 5):
+        expected[k] = (*expected[k][:3], "revisit", 2)
+    assert sorted(map(tuple, warc_zip.round_trip(pages).collect()), key=repr) == sorted(expected, key=repr)
+
+
 class _Bytes(io.BytesIO):
     def size(self):
         return len(self.getvalue())
