@@ -238,7 +238,10 @@ class Pieces:
 
 
 def _per_task(frame: DataFrame, needed: str, made, ddl: str) -> DataFrame:
-    """The frame with new columns that ``made(path-bound state, values)`` gives; the state lives for one task."""
+    """The frame with new columns that ``made``, a path and a function of its pieces and a column, gives.
+
+    The pieces and all they remember live for one task.
+    """
     new = StructType.fromDDL(ddl)
     taken = {f.name.lower() for f in new}
     frame = frame.select(*[f"`{n}`" for n in frame.columns if n.lower() not in taken])
@@ -251,7 +254,7 @@ def _per_task(frame: DataFrame, needed: str, made, ddl: str) -> DataFrame:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 pieces = pieces or Pieces(path)
                 part = batch.slice(start, SLICE_ROWS)
-                found = rows(pieces, part.column(needed).to_pylist())
+                found = rows(pieces, part.column(needed))
                 arrays = [pa.array(found[f.name], f.type) if isinstance(found[f.name], list) else found[f.name] for f in arrow]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *arrow.names])
 
@@ -266,8 +269,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     for old ones named like the new. The model must lie at ``path`` on every executor.
     """
 
-    def rows(pieces: Pieces, texts: list[str | None]) -> dict:
-        ids, agrees = pieces.encode(texts)
+    def rows(pieces: Pieces, texts: pa.Array) -> dict:
+        ids, agrees = pieces.encode(texts.to_pylist())
         counts = [len(x) // 4 for x in ids]
         values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), values)
@@ -282,9 +285,13 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     Null ids give an empty text; ids that are no piece raise an error.
     """
 
-    def rows(pieces: Pieces, ids: list[list[int] | None]) -> dict:
-        texts = [pieces.decode(x or []) for x in ids]
-        library = [pieces.library.decode(x) if x else "" for x in ids]
+    def rows(pieces: Pieces, ids: pa.ListArray) -> dict:
+        ids = ids.fill_null([])
+        ends = np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
+        flat = ids.flatten().to_numpy()
+        lists = [flat[start:end].tolist() for start, end in zip(ends, ends[1:])]
+        texts = [pieces.decode(x) for x in lists]
+        library = [pieces.library.decode(x) if x else "" for x in lists]
         return {"decoded": texts, "decodes": [a == b for a, b in zip(texts, library)]}
 
     return _per_task(tokens, "ids", (path, rows), "decoded string, decodes boolean")
