@@ -31,6 +31,9 @@ REMEMBERED = 200_000
 #: Words of up to so many characters are merged together; longer ones by themselves.
 WIDTHS = (8, 16, 40)
 
+#: Characters (the space mark and the first code points) whose pairs are tabulated.
+FREQUENT = 400
+
 _NONE = np.iinfo(np.int64).max
 
 _SPACE = "▁"
@@ -96,6 +99,22 @@ class Pieces:
                     pairs.append((left << 32 | right, place[self.rank[text]] << 32 | i))
         pairs.sort()
         self.pairs, self.joined = np.array([*pairs, (_NONE, _NONE)], np.int64).T
+        # pairs of frequent characters have a table of their own; all others have its last row and column
+        self.frequent = np.full(0x110000, FREQUENT, np.int16)
+        codes = np.r_[ord(_SPACE), np.arange(FREQUENT - 1)]
+        self.frequent[codes] = np.arange(FREQUENT)
+        symbols = np.r_[self.characters[codes], -1]
+        self.table = self._waiting(symbols[:, None], symbols[None, :])
+
+    def _waiting_characters(self, codes: np.ndarray) -> np.ndarray:
+        """The same for each character and its follower, from rows of code points."""
+        places = self.frequent[codes]
+        out = self.table[places[:, :-1], places[:, 1:]]
+        rare = (places[:, :-1] == FREQUENT) | (places[:, 1:] == FREQUENT)
+        if rare.any():
+            symbols = self.characters[codes]
+            out[rare] = self._waiting(symbols[:, :-1][rare], symbols[:, 1:][rare])
+        return out
 
     def _waiting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place in the score order and merged piece, in one number, of pairs of symbols; ``_NONE`` for other pairs."""
@@ -109,18 +128,19 @@ class Pieces:
         sizes = np.fromiter(map(len, words), np.int64, n)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         # the last column stands for the place before the first and after the last symbol
-        symbols = np.full((n, width + 1), -1, np.int64)
-        symbols[:, :width][np.arange(width) < sizes[:, None]] = self.characters[codes]
         alive = np.arange(width + 1) < sizes[:, None]
+        padded = np.zeros((n, width + 1), np.uint32)
+        padded[alive] = codes
+        symbols = self.characters[padded]
         after = np.tile(np.arange(1, width + 2), (n, 1))
         before = np.tile(np.arange(-1, width), (n, 1))
         after[:, width], before[:, 0] = width, width
         agenda = np.full((n, width + 1), _NONE)
-        agenda[:, : width - 1] = self._waiting(symbols[:, : width - 1], symbols[:, 1:width])
+        agenda[:, :-1] = self._waiting_characters(padded)
         agenda[:, :-1][~alive[:, 1:]] = _NONE
         rows = np.arange(n)
         while len(rows):
-            at = agenda[rows].argmin(axis=1)
+            at = (agenda if len(rows) == n else agenda[rows]).argmin(axis=1)
             best = agenda[rows, at]
             left = best < _NONE
             rows, at, best = rows[left], at[left], best[left]
