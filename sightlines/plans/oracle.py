@@ -783,6 +783,8 @@ QUERIES["pages_parts"] = _PAGE.format("o.category_id = 9 AND NOT " + _exists("f_
 QUERIES["pages_behind"] = _PAGE.format("FALSE", 1, 0)
 QUERIES["pages_rows"] = f"""
     WITH page AS (SELECT * FROM f_observation WHERE observation_id IN ({QUERIES["pages_any_area"]})) {_OBSERVATION_ROW}"""
+QUERIES["backfill_resumed"] = QUERIES["index_enriched"]
+QUERIES["index_changed"] = QUERIES["index_enriched"]
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

@@ -28,6 +28,7 @@ from sightlines.operators import (
     species,
     taxa,
     text_index,
+    upkeep,
 )
 from sightlines.operators.filters import apply_filters, by_envelope
 from sightlines.plans.requests import EXPORT_COLUMNS, EXPORT_NAME, REQUESTS, SEARCH_PREFIX, TAXON_TERM
@@ -80,6 +81,35 @@ def index_backfill(t: OccurrenceTables) -> DataFrame:
     return index.backfill(finished.unionByName(marked), t)
 
 
+@_query
+def backfill_resumed(t: OccurrenceTables) -> DataFrame:
+    """A backfill in batches that ends after its first job and is taken up again."""
+    marked = index.as_unfilled(index.index_all(t))
+    path = new_folder(t.spark, "backfill")
+    highest = t.observation.agg(F.max("observation_id")).first()[0] or 0
+    batch_ids = highest // 3 + 1
+    upkeep.backfill_batches(marked, t, path, batch_ids, together=2, jobs=1)
+    upkeep.backfill_batches(marked, t, path, batch_ids, together=2)
+    return upkeep.batched_index(t.spark, path)
+
+
+@_query
+def index_changed(t: OccurrenceTables) -> DataFrame:
+    """An older index brought up to date: observations came, moved to another location and went."""
+    came, moved = "observation_id % 10 = 3", "observation_id % 9 = 1"
+    rows = t.observation
+    older = rows.where(f"NOT ({came})").withColumn(
+        "location_id", F.expr(f"IF({moved}, location_id + 1, location_id)")
+    )
+    gone = rows.where("observation_id % 8 = 5").withColumn("observation_id", F.expr("observation_id + 1000000000000L"))
+    path = new_folder(t.spark, "changed")
+    batch_ids = 5_000
+    upkeep.write_batched_index(index.index_enriched(t.with_table("observation", older.unionByName(gone))), path, batch_ids)
+    changed = rows.where(f"({came}) OR ({moved})").select("observation_id").unionByName(gone.select("observation_id"))
+    upkeep.merge_changes(changed, t, path, batch_ids)
+    return upkeep.batched_index(t.spark, path)
+
+
 @_query
 def stored_index(t: OccurrenceTables) -> DataFrame:
     """The index written and read back."""
