@@ -319,10 +319,19 @@ def envelope_condition(envelope: Envelope) -> str:
     )
 
 
+def inside_envelope(location: DataFrame, envelope: Envelope) -> DataFrame:
+    """Locations inside; where they are stored in Z-order, the envelope's key ranges go to the scan first."""
+    from sightlines.operators import zorder
+
+    if zorder.KEY in location.columns:
+        location = location.where(zorder.range_condition(envelope))
+    return location.where(envelope_condition(envelope))
+
+
 def by_envelope(df: DataFrame, tables: OccurrenceTables, envelope: Envelope | None) -> DataFrame:
     if envelope is None:
         return df
-    inside = tables.location.where(envelope_condition(envelope)).select("location_id")
+    inside = inside_envelope(tables.location, envelope).select("location_id")
     return df.join(inside, "location_id", "left_semi")
 
 

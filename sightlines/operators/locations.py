@@ -11,7 +11,7 @@ from sightlines.operators.filters import (
     ObservationFilter,
     apply_filters,
     chosen_locations,
-    envelope_condition,
+    inside_envelope,
 )
 from sightlines.sources.tables import OccurrenceTables
 
@@ -35,7 +35,7 @@ def chosen_places(tables: OccurrenceTables, f: ObservationFilter) -> DataFrame:
     observation but where it lies, so they are answered here and not per observation."""
     places = tables.location
     if f.envelope is not None:
-        places = places.where(envelope_condition(f.envelope))
+        places = inside_envelope(places, f.envelope)
     if f.has_geography:
         places = places.join(chosen_locations(tables, f), "location_id", "left_semi")
     return places

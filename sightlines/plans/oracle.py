@@ -785,6 +785,9 @@ QUERIES["pages_rows"] = f"""
     WITH page AS (SELECT * FROM f_observation WHERE observation_id IN ({QUERIES["pages_any_area"]})) {_OBSERVATION_ROW}"""
 QUERIES["backfill_resumed"] = QUERIES["index_enriched"]
 QUERIES["index_changed"] = QUERIES["index_enriched"]
+QUERIES["z_locations_envelope"] = QUERIES["locations_envelope"]
+QUERIES["z_polygons"] = QUERIES["polygons"]
+QUERIES["z_envelope"] = QUERIES["f_envelope"]
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

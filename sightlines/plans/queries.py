@@ -29,6 +29,7 @@ from sightlines.operators import (
     taxa,
     text_index,
     upkeep,
+    zorder,
 )
 from sightlines.operators.filters import apply_filters, by_envelope
 from sightlines.plans.requests import EXPORT_COLUMNS, EXPORT_NAME, REQUESTS, SEARCH_PREFIX, TAXON_TERM
@@ -328,6 +329,28 @@ def locations_envelope(t: OccurrenceTables) -> DataFrame:
     return locations.requested_locations(t, REQUESTS["locations_envelope"])
 
 
+def _z_ordered(t: OccurrenceTables) -> OccurrenceTables:
+    path = new_folder(t.spark, "locations")
+    zorder.write_z_ordered(t.location, path)
+    return t.with_z_ordered_locations(path)
+
+
+@_query
+def z_locations_envelope(t: OccurrenceTables) -> DataFrame:
+    return locations.requested_locations(_z_ordered(t), REQUESTS["locations_envelope"])
+
+
+@_query
+def z_polygons(t: OccurrenceTables) -> DataFrame:
+    return geometry.requested_polygons(_z_ordered(t), REQUESTS["polygons"])
+
+
+@_query
+def z_envelope(t: OccurrenceTables) -> DataFrame:
+    t, f = _z_ordered(t), REQUESTS["f_envelope"]
+    return by_envelope(t.observation, t, f.envelope).select(*_FILTERED)
+
+
 @_query
 def location_lines(t: OccurrenceTables) -> DataFrame:
     return locations.location_lines(locations.requested_locations(t, REQUESTS["locations"]))

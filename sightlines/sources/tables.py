@@ -61,6 +61,11 @@ class OccurrenceTables:
 
         return self._with_store("text_index", TextIndex(self.spark, path))
 
+    def with_z_ordered_locations(self, path: str) -> OccurrenceTables:
+        """A copy that reads its locations from ``path``, where they are stored in Z-order."""
+        read = self.spark.read.schema(schema.OCCURRENCE["location"] + ", zkey bigint").parquet(path)
+        return self.with_table("location", read)
+
     def with_bitmaps(self, path: str) -> OccurrenceTables:
         """A copy that answers filters and counts from the facet bitmaps at ``path`` where these can."""
         from sightlines.operators.bitmaps import Bitmaps
