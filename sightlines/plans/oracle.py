@@ -788,6 +788,35 @@ QUERIES["index_changed"] = QUERIES["index_enriched"]
 QUERIES["z_locations_envelope"] = QUERIES["locations_envelope"]
 QUERIES["z_polygons"] = QUERIES["polygons"]
 QUERIES["z_envelope"] = QUERIES["f_envelope"]
+_PLACES = """
+    places AS (
+        SELECT 'all' AS node, NULL AS parent
+        UNION ALL SELECT concat('c', fid), 'all' FROM f_area WHERE is_current AND area_type_id = 2
+        UNION ALL SELECT concat('m', fid), concat('c', parent_fid) FROM f_area WHERE is_current AND area_type_id = 1
+        UNION ALL SELECT concat('l', la.location_id), concat('m', a.fid) FROM f_location_area la
+        JOIN f_area a ON a.area_id = la.area_id WHERE a.is_current AND a.area_type_id = 1),
+    paths AS (
+        SELECT node, [node] AS path FROM places p WHERE NOT EXISTS (SELECT 1 FROM places q WHERE q.node = p.parent)
+        UNION ALL SELECT p.node, list_append(paths.path, p.node) FROM places p JOIN paths ON p.parent = paths.node)"""
+QUERIES["tree_closure"] = """
+    WITH RECURSIVE nodes AS (SELECT fid AS node, parent_fid AS parent FROM f_area WHERE is_current AND area_type_id IN (1, 2)),
+    pairs AS (
+        SELECT node AS ancestor, node AS descendant, CAST(0 AS BIGINT) AS distance FROM nodes
+        UNION ALL
+        SELECT u.node, p.descendant, p.distance + 1 FROM pairs p JOIN nodes n ON n.node = p.ancestor
+        JOIN nodes u ON u.node = n.parent)
+    SELECT * FROM pairs"""
+QUERIES["tree_labels"] = f"""
+    WITH RECURSIVE {_PLACES},
+    sizes AS (SELECT unnest(path) AS node, 1 AS one FROM paths),
+    totals AS (SELECT node, count(*) AS size FROM sizes GROUP BY node),
+    placed AS (SELECT node, row_number() OVER (ORDER BY path) - 1 AS first FROM paths)
+    SELECT node, first, first + size - 1 AS last FROM placed JOIN totals USING (node)"""
+QUERIES["tree_rollup"] = f"""
+    WITH RECURSIVE {_PLACES},
+    counted AS (SELECT concat('l', location_id) AS node, count(*) AS n FROM f_observation WHERE location_id IS NOT NULL GROUP BY 1),
+    below AS (SELECT unnest(path) AS node, n FROM paths JOIN counted USING (node))
+    SELECT node, CAST(sum(n) AS BIGINT) AS n FROM below GROUP BY node"""
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

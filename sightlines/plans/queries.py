@@ -28,6 +28,7 @@ from sightlines.operators import (
     species,
     taxa,
     text_index,
+    trees,
     upkeep,
     zorder,
 )
@@ -518,6 +519,43 @@ def hierarchy_prefix(t: OccurrenceTables) -> DataFrame:
     return areas.prefix_groups(t.area)
 
 
+def _area_nodes(t: OccurrenceTables) -> DataFrame:
+    """Counties and municipalities by fid."""
+    kinds = F.col("area_type_id").isin(codes.COUNTY, codes.MUNICIPALITY)
+    return t.area.where(kinds & F.col("is_current")).selectExpr("fid AS node", "parent_fid AS parent")
+
+
+def _place_nodes(t: OccurrenceTables) -> DataFrame:
+    """Four levels: everything, counties, municipalities, the locations in them."""
+    top = t.spark.range(1).selectExpr("'all' AS node", "CAST(NULL AS STRING) AS parent")
+    kept = t.area.where("is_current")
+    counties = kept.where(f"area_type_id = {codes.COUNTY}").selectExpr("concat('c', fid) AS node", "'all' AS parent")
+    within = kept.where(f"area_type_id = {codes.MUNICIPALITY}")
+    towns = within.selectExpr("concat('m', fid) AS node", "concat('c', parent_fid) AS parent")
+    places = t.location_area.join(within.select("area_id", "fid"), "area_id").selectExpr(
+        "concat('l', location_id) AS node", "concat('m', fid) AS parent"
+    )
+    return top.union(counties).union(towns).union(places)
+
+
+@_query
+def tree_closure(t: OccurrenceTables) -> DataFrame:
+    return trees.closure(_area_nodes(t))
+
+
+@_query
+def tree_labels(t: OccurrenceTables) -> DataFrame:
+    nodes = _place_nodes(t)
+    return trees.labels(nodes, trees.closure(nodes))
+
+
+@_query
+def tree_rollup(t: OccurrenceTables) -> DataFrame:
+    """Observations of every place on all levels."""
+    counts = t.observation.groupBy(F.expr("concat('l', location_id)").alias("node")).agg(F.count("*").alias("n"))
+    return trees.rolled_up(trees.closure(_place_nodes(t)), counts.where("node IS NOT NULL"))
+
+
 @_query
 def area_collapse(t: OccurrenceTables) -> DataFrame:
     f = REQUESTS["area_collapse"]
