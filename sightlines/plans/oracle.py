@@ -817,6 +817,14 @@ QUERIES["tree_rollup"] = f"""
     counted AS (SELECT concat('l', location_id) AS node, count(*) AS n FROM f_observation WHERE location_id IS NOT NULL GROUP BY 1),
     below AS (SELECT unnest(path) AS node, n FROM paths JOIN counted USING (node))
     SELECT node, CAST(sum(n) AS BIGINT) AS n FROM below GROUP BY node"""
+QUERIES["digest_changes"] = f"""
+    WITH RECURSIVE {_PLACES},
+    below AS (
+        SELECT unnest(path) AS node, observation_id % 997 = 5 OR observation_id % 499 = 7 AS differs,
+               observation_id % 499 <> 7 AS stays
+        FROM paths JOIN f_observation o ON paths.node = concat('l', o.location_id))
+    SELECT node, CASE WHEN bool_or(stays) THEN 'changed' ELSE 'removed' END AS change
+    FROM below GROUP BY node HAVING bool_or(differs)"""
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

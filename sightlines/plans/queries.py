@@ -17,6 +17,7 @@ from sightlines.operators import (
     areas,
     bitmaps,
     cube,
+    digests,
     export,
     geometry,
     index,
@@ -35,7 +36,7 @@ from sightlines.operators import (
 from sightlines.operators.filters import apply_filters, by_envelope
 from sightlines.plans.requests import EXPORT_COLUMNS, EXPORT_NAME, REQUESTS, SEARCH_PREFIX, TAXON_TERM
 from sightlines.sources import OccurrenceTables, sinks, supplied_tables
-from sightlines.sources.shared import new_folder
+from sightlines.sources.shared import new_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -556,6 +557,22 @@ def tree_rollup(t: OccurrenceTables) -> DataFrame:
     return trees.rolled_up(trees.closure(_place_nodes(t)), counts.where("node IS NOT NULL"))
 
 
+@_query
+def digest_changes(t: OccurrenceTables) -> DataFrame:
+    """Where observations changed: some moved to another group, some came and some went; level by level from the top."""
+    nodes = _place_nodes(t)
+    pairs = stored(trees.closure(nodes), "pairs")
+    rows = t.observation.select("observation_id", "taxon_group_id", "category_id", F.expr("concat('l', location_id)").alias("place"))
+    moved = F.expr("IF(observation_id % 997 = 5, taxon_group_id + 1, taxon_group_id)")
+    after = rows.where("observation_id % 499 <> 7").withColumn("taxon_group_id", moved)
+    columns = ["observation_id", "taxon_group_id", "category_id"]
+    old, new = (
+        stored(digests.along_tree(pairs, digests.digested(r.where("place IS NOT NULL"), "place", columns)), "digests")
+        for r in (rows, after)
+    )
+    return digests.changed_below(old, new, nodes, "all")
+
+
 @_query
 def area_collapse(t: OccurrenceTables) -> DataFrame:
     f = REQUESTS["area_collapse"]
