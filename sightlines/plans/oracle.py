@@ -825,6 +825,27 @@ QUERIES["digest_changes"] = f"""
         FROM paths JOIN f_observation o ON paths.node = concat('l', o.location_id))
     SELECT node, CASE WHEN bool_or(stays) THEN 'changed' ELSE 'removed' END AS change
     FROM below GROUP BY node HAVING bool_or(differs)"""
+QUERIES["request_verdicts"] = """
+    WITH asked AS (
+        SELECT request_id, request_id % 4 AS kind, elapsed_ms % 1200 AS items, elapsed_ms % 7 - 1 AS pf,
+               request_id % 5 AS pt, CASE WHEN request_id % 3 = 0 THEN NULL ELSE elapsed_ms % 9 - 1 END AS page,
+               CASE WHEN request_id % 11 = 0 THEN NULL ELSE elapsed_ms % 12000 END AS per_page, elapsed_ms % 4 AS zoom,
+               elapsed_ms * 13 % 110000 AS most, elapsed_ms % 10 AS x,
+               CASE WHEN request_id % 2 = 0 THEN NULL ELSE elapsed_ms % 3 END AS y
+        FROM f_request_log),
+    broken AS (
+        SELECT request_id, concat_ws(',',
+            CASE WHEN kind = 3 AND (x >= 5 OR y <= 0) THEN 'envelope' END,
+            CASE WHEN items > 500 THEN 'list_items' END,
+            CASE WHEN kind = 3 AND (most < 1 OR most > 100000) THEN 'max_results' END,
+            CASE WHEN kind = 1 AND page <= 0 THEN 'page_number' END,
+            CASE WHEN kind = 1 AND (page IS NULL AND per_page IS NOT NULL OR page IS NOT NULL AND per_page IS NULL)
+                 THEN 'page_together' END,
+            CASE WHEN pf > 0 AND pt > 0 AND pf > pt THEN 'precision_order' END,
+            CASE WHEN kind = 1 AND (per_page < 1 OR per_page > 10000) THEN 'results_per_page' END,
+            CASE WHEN kind = 2 AND zoom NOT IN (1, 2) THEN 'zoom_level' END) AS rules
+        FROM asked)
+    SELECT request_id, rules = '' AS accepted, rules FROM broken"""
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

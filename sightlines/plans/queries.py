@@ -31,6 +31,7 @@ from sightlines.operators import (
     text_index,
     trees,
     upkeep,
+    verdicts,
     zorder,
 )
 from sightlines.operators.filters import apply_filters, by_envelope
@@ -573,6 +574,23 @@ def digest_changes(t: OccurrenceTables) -> DataFrame:
     return digests.changed_below(old, new, nodes, "all")
 
 
+@_query
+def request_verdicts(t: OccurrenceTables) -> DataFrame:
+    """Requests made of the log's rows, judged rule by rule."""
+    rows = t.request_log.selectExpr(
+        "request_id",
+        "element_at(array('search', 'page', 'counts', 'locations'), CAST(request_id % 4 AS INT) + 1) AS kind",
+        "CAST(elapsed_ms % 1200 AS INT) AS list_items", "CAST(elapsed_ms % 7 - 1 AS INT) AS precision_from",
+        "CAST(request_id % 5 AS INT) AS precision_to",
+        "IF(request_id % 3 = 0, NULL, CAST(elapsed_ms % 9 - 1 AS INT)) AS page_number",
+        "IF(request_id % 11 = 0, NULL, CAST(elapsed_ms % 12000 AS INT)) AS results_per_page",
+        "CAST(elapsed_ms % 4 AS INT) AS zoom_level", "CAST(elapsed_ms * 13 % 110000 AS INT) AS max_results",
+        "CAST(elapsed_ms % 10 AS DOUBLE) AS min_x", "0.0D AS min_y", "5.0D AS max_x",
+        "IF(request_id % 2 = 0, NULL, CAST(elapsed_ms % 3 AS DOUBLE)) AS max_y",
+    )
+    return verdicts.verdicts(rows)
+
+
 @_query
 def area_collapse(t: OccurrenceTables) -> DataFrame:
     f = REQUESTS["area_collapse"]
