@@ -846,6 +846,18 @@ QUERIES["request_verdicts"] = """
             CASE WHEN kind = 2 AND zoom NOT IN (1, 2) THEN 'zoom_level' END) AS rules
         FROM asked)
     SELECT request_id, rules = '' AS accepted, rules FROM broken"""
+QUERIES["latency_quantiles"] = """
+    WITH celled AS (
+        SELECT date_trunc('hour', occurred_at) AS started_at, endpoint,
+               CASE WHEN elapsed_ms < 8 THEN greatest(elapsed_ms, 0)
+                    ELSE (elapsed_ms >> (length(bin(elapsed_ms)) - 4)) << (length(bin(elapsed_ms)) - 4) END AS least
+        FROM f_request_log WHERE occurred_at IS NOT NULL AND elapsed_ms IS NOT NULL),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY started_at, endpoint ORDER BY least) AS place,
+               count(*) OVER (PARTITION BY started_at, endpoint) AS total FROM celled)
+    SELECT started_at, endpoint, count(*) AS n, min(least) FILTER (100 * place >= 50 * total) AS p50,
+           min(least) FILTER (100 * place >= 90 * total) AS p90, min(least) FILTER (100 * place >= 99 * total) AS p99
+    FROM placed GROUP BY started_at, endpoint"""
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 
