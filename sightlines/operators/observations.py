@@ -149,25 +149,29 @@ def observation_rows(page: DataFrame, tables: OccurrenceTables) -> DataFrame:
     return _observation_rows(page, tables, page.select("observation_id"))
 
 
-def _observation_rows(page: DataFrame, tables: OccurrenceTables, ids: DataFrame) -> DataFrame:
-    """``ids`` are those of the page; with a broadcast hint only if they come from ``page_ids``. The index is read once
-    for both the institution and the municipality. Each takes the smallest entity id (T-08).
-    """
-    entries = (
-        tables.entity_index.where(f"entity_type_id IN ({codes.INSTITUTION}, {codes.MUNICIPALITY})")
-        .select("observation_id", "entity_type_id", "entity_id")
-        .join(ids, "observation_id", "left_semi")
-        .join(
-            tables.organization.selectExpr("organization_id AS entity_id", "name AS org_name"), "entity_id", "left"
-        )
+def covering_pairs(tables: OccurrenceTables, ids: DataFrame | None = None) -> DataFrame:
+    """(observation_id, institution, municipality_id) of observations in the index, of ``ids`` or of all."""
+    entries = tables.entity_index.where(f"entity_type_id IN ({codes.INSTITUTION}, {codes.MUNICIPALITY})").select(
+        "observation_id", "entity_type_id", "entity_id"
     )
+    if ids is not None:
+        entries = entries.join(ids, "observation_id", "left_semi")
+    names = tables.organization.selectExpr("organization_id AS entity_id", "name AS org_name")
+    entries = entries.join(names, "entity_id", "left")
     named_institution = f"entity_type_id = {codes.INSTITUTION} AND org_name IS NOT NULL"
-    lookups = entries.groupBy("observation_id").agg(
+    return entries.groupBy("observation_id").agg(
         F.expr(f"min_by(org_name, IF({named_institution}, entity_id, NULL)) AS institution"),
         F.expr(
             f"CAST(min(IF(entity_type_id = {codes.MUNICIPALITY}, entity_id, NULL)) AS STRING) AS municipality_id"
         ),
     )
+
+
+def _observation_rows(page: DataFrame, tables: OccurrenceTables, ids: DataFrame) -> DataFrame:
+    """``ids`` are those of the page; with a broadcast hint only if they come from ``page_ids``. The index is read once
+    for both the institution and the municipality. Each takes the smallest entity id (T-08).
+    """
+    lookups = tables.covering if tables.covering is not None else covering_pairs(tables, ids)
     taxa = tables.taxon.select(
         "taxon_id", "preferred_popular_name", "valid_scientific_name", "valid_scientific_name_authorship"
     )

@@ -858,6 +858,7 @@ QUERIES["latency_quantiles"] = """
     SELECT started_at, endpoint, count(*) AS n, min(least) FILTER (100 * place >= 50 * total) AS p50,
            min(least) FILTER (100 * place >= 90 * total) AS p90, min(least) FILTER (100 * place >= 99 * total) AS p99
     FROM placed GROUP BY started_at, endpoint"""
+QUERIES["observations_colocated"] = QUERIES["observations_all"]
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

@@ -22,6 +22,7 @@ from sightlines.operators import (
     geometry,
     index,
     latency,
+    layouts,
     locations,
     logs,
     lookups,
@@ -399,6 +400,14 @@ def observations_all(t: OccurrenceTables) -> DataFrame:
     return observations.observations(t, REQUESTS["observations_default"])
 
 
+@_query
+def observations_colocated(t: OccurrenceTables) -> DataFrame:
+    """All matching observations with their list columns, from tables in equal buckets."""
+    path = new_folder(t.spark, "layout")
+    layout = layouts.write_layout(t, path.rsplit("/", 1)[-1].replace("-", "_"), path, buckets=8)
+    return observations.observations(t.with_layout(layout), REQUESTS["observations_default"])
+
+
 @_query
 def locations_all(t: OccurrenceTables) -> DataFrame:
     return locations.locations(t, REQUESTS["locations"])

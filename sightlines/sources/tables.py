@@ -13,6 +13,7 @@ from sightlines import schema
 if TYPE_CHECKING:
     from sightlines.operators.bitmaps import Bitmaps
     from sightlines.operators.cube import Cube
+    from sightlines.operators.layouts import Layout
     from sightlines.operators.text_index import TextIndex
 
 
@@ -66,6 +67,15 @@ class OccurrenceTables:
         read = self.spark.read.schema(schema.OCCURRENCE["location"] + ", zkey bigint").parquet(path)
         return self.with_table("location", read)
 
+    def with_layout(self, layout: Layout) -> OccurrenceTables:
+        """A copy that reads observations and the institution and municipality of each from tables in equal buckets."""
+        return self.with_table("observation", layout.observation)._with_store("covering", layout.covering)
+
+    @property
+    def covering(self) -> DataFrame | None:
+        """(observation_id, institution, municipality_id), where stored."""
+        return self._stores.get("covering")
+
     def with_bitmaps(self, path: str) -> OccurrenceTables:
         """A copy that answers filters and counts from the facet bitmaps at ``path`` where these can."""
         from sightlines.operators.bitmaps import Bitmaps
