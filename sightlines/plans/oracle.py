@@ -859,6 +859,29 @@ QUERIES["latency_quantiles"] = """
            min(least) FILTER (100 * place >= 90 * total) AS p90, min(least) FILTER (100 * place >= 99 * total) AS p99
     FROM placed GROUP BY started_at, endpoint"""
 QUERIES["observations_colocated"] = QUERIES["observations_all"]
+QUERIES["viewport_spread"] = """
+    WITH views AS (
+        SELECT viewport_id, min_x - 1.5e0 AS min_x, viewport_id - 2.0e0 AS min_y, max_x + viewport_id AS max_x,
+               viewport_id * 2 + 2.5e0 AS max_y FROM f_viewport),
+    met AS (
+        SELECT v.*, a.area_id, n.n_nationkey AS w,
+               min_x <= w AND max_x >= w + 3 AND min_y <= 0 AND max_y >= 5 AS fully_visible,
+               greatest(w, min_x) AS x1, least(w + 3, max_x) AS x2, greatest(0, min_y) AS y1, least(5, max_y) AS y2
+        FROM f_area a JOIN nation n ON a.area_id = 1000 + n.n_nationkey
+        JOIN views v ON n.n_nationkey <= v.max_x AND n.n_nationkey + 3 >= v.min_x AND v.max_y >= 0 AND v.min_y <= 5
+        WHERE a.is_current)
+    SELECT viewport_id, area_id, fully_visible,
+           CASE WHEN fully_visible OR x1 >= x2 OR y1 >= y2 THEN w + 1.5e0 ELSE (x1 + x2) / 2 END AS marker_x,
+           CASE WHEN fully_visible OR x1 >= x2 OR y1 >= y2 THEN 2.5e0 ELSE (y1 + y2) / 2 END AS marker_y
+    FROM met"""
+QUERIES["area_slot_members"] = """
+    SELECT s.slot, t.name AS type_name,
+           CAST(row_number() OVER (PARTITION BY s.slot ORDER BY a.name, a.area_id) - 1 AS INT) AS place,
+           a.area_id, a.fid, a.name, a.observation_count
+    FROM (VALUES ('counties', 2), ('municipalities', 1), ('restricted_areas', 3), ('ocean_areas', 4), ('polar_islands', 6))
+         s(slot, kind)
+    JOIN f_area_type t ON t.area_type_id = s.kind
+    JOIN f_area a ON a.area_type_id = s.kind AND a.is_current AND NOT a.is_deleted"""
 QUERIES["stored_csv"] = f"SELECT observation_id, collection_code FROM ({_EXPORT_ROWS})"
 
 

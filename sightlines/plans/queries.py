@@ -825,6 +825,30 @@ def viewport_markers(t: OccurrenceTables) -> DataFrame:
     )
 
 
+@_query
+def viewport_spread(t: OccurrenceTables) -> DataFrame:
+    """Viewports of other heights and widths: some cover whole areas, some cut them above, below or at a side."""
+    views = t.viewport.selectExpr(
+        "viewport_id", "min_x - 1.5D AS min_x", "viewport_id - 2.0D AS min_y", "max_x + viewport_id AS max_x",
+        "viewport_id * 2 + 2.5D AS max_y",
+    )
+    return geometry.viewport_markers(_marked_areas(t), views).select(
+        "viewport_id", "area_id", "fully_visible", "marker_x", "marker_y"
+    )
+
+
+@_query
+def area_slot_members(t: OccurrenceTables) -> DataFrame:
+    """The members of the five slots with their places in the lists."""
+    slots = lookups.area_slots(t)
+    every = F.array(*[
+        F.struct(F.lit(s).alias("slot"), F.col(f"{s}.type_name").alias("type_name"), F.col(f"{s}.areas").alias("areas"))
+        for s in lookups.AREA_SLOTS
+    ])
+    rows = slots.select(F.inline(every)).selectExpr("slot", "type_name", "posexplode(areas) AS (place, member)")
+    return rows.selectExpr("slot", "type_name", "place", "member.area_id", "member.fid", "member.name", "member.observation_count")
+
+
 @_query
 def geojson_features(t: OccurrenceTables) -> DataFrame:
     return geometry.area_features(_marked_areas(t), t.viewport)
