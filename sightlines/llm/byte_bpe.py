@@ -16,16 +16,16 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import appended
+from .common import appended, task_cache
 
 #: Bytes up to which a piece is encoded by plain merging; longer ones are halved.
 LEAF_BYTES = 24
-#: Pieces and token pairs a worker remembers, at most.
+#: Pieces and token pairs a task remembers, at most.
 REMEMBERED = 300_000
 
 
 class ByteBpe:
-    """Encoder and decoder for one file of ranks; built once in each Python worker."""
+    """Encoder and decoder for one file of ranks; built once in each task."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
@@ -132,11 +132,11 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_BUILT: dict[tuple[str, str], ByteBpe] = {}
+_BUILT: dict[tuple[str, str], ByteBpe] = task_cache({})
 
 
 def built(path: str, pattern: str) -> ByteBpe:
-    """The encoder of this worker."""
+    """The encoder of this task."""
     if (path, pattern) not in _BUILT:
         _BUILT[path, pattern] = ByteBpe(path, pattern)
     return _BUILT[path, pattern]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Words a worker remembers the hashes of, at most; further words are hashed each time.
+#: Words a worker remembers the hashes of within a task, at most; further words are hashed each time.
 REMEMBERED_WORDS = 400_000
 #: Rows of a batch that are worked on at a time.
 SLICE_ROWS = 256
@@ -60,7 +60,22 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
+_CACHES: list[dict] = []
+
+
+def task_cache(cache: dict) -> dict:
+    """Registers what a Python worker remembers within a task; Spark uses workers again, so ``forget`` empties it after each."""
+    _CACHES.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """Empties the caches of this worker."""
+    for cache in _CACHES:
+        cache.clear()
+
+
+_HASHES = task_cache(WordHashes())
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
@@ -117,12 +132,15 @@ def appended(frame: DataFrame, needed: list[str], rows: Callable[[dict[str, list
     arrow = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                made = rows({n: part.column(n).to_pylist() for n in needed})
-                arrays = [pa.array(made[f.name], f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *arrow.names])
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(start, SLICE_ROWS)
+                    made = rows({n: part.column(n).to_pylist() for n in needed})
+                    arrays = [pa.array(made[f.name], f.type) for f in arrow]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *arrow.names])
+        finally:
+            forget()
 
     return frame.mapInArrow(run, StructType([*frame.schema.fields, *new.fields]))
 
@@ -133,9 +151,12 @@ def exploded(frame: DataFrame, rows: Callable[[dict[str, list]], dict[str, objec
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                made = rows(batch.slice(start, SLICE_ROWS).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE_ROWS):
+                    made = rows(batch.slice(start, SLICE_ROWS).to_pydict())
+                    yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            forget()
 
     return frame.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import REMEMBERED_WORDS, appended, exploded, kept_apart
+from .common import REMEMBERED_WORDS, appended, exploded, kept_apart, task_cache
 
 #: Places of the hashed terms, as a power of two, and entries of a term's vector.
 HASH_BITS, RANK = 18, 4
@@ -34,26 +34,26 @@ _STRIPPED = b".,;:!?\"'()[]|*#$%&<>-"
 
 
 class _Terms(dict):
-    """Places of a word's terms, remembered up to a bound."""
+    """Places of a word's terms as 32-bit integers in one byte string, remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> list[int]:
+    def __missing__(self, word: bytes) -> bytes:
         mask = (1 << HASH_BITS) - 1
         text = word.decode("utf-8", "replace").lower()
         terms = [text] + [f"{text[:n]}~" for n in BEGINNINGS if len(text) >= n]
-        places = [xxhash.xxh3_64_intdigest(t) & mask for t in terms]
+        places = np.array([xxhash.xxh3_64_intdigest(t) & mask for t in terms], np.int32).tobytes()
         if len(self) < REMEMBERED_WORDS:
             self[word] = places
         return places
 
 
-_TERMS = _Terms()
+_TERMS = task_cache(_Terms())
 
 
 def terms(text: str | None) -> np.ndarray:
     """Places of a text's distinct terms, sorted; none for null."""
     words = {w.strip(_STRIPPED) for w in set(text.encode("utf-8", "surrogatepass").lower().split())} if text else set()
     words.discard(b"")
-    return np.array(sorted({p for w in words for p in _TERMS[w]}), np.int32)
+    return np.unique(np.frombuffer(b"".join(map(_TERMS.__getitem__, words)), np.int32))
 
 
 @dataclass
