@@ -8,8 +8,10 @@ outside the prefixes are skipped when candidates are made and only counted in th
 
 A posting list is not expanded into all pairs: each member first meets the list's smallest one, the links found join
 members to components, and only members of different components meet further. For that their lists are refined by a
-prefix of their rarest shingles, which linked sets share for certain. Candidates with enough matches are confirmed on
-the full sets.
+prefix of their rarest shingles, which linked sets share for certain. How long it is depends on both sizes, so each set
+is posted under its own band of sizes and that of the partners it waits for. The member with the fewest shingles of its
+own, as the original of a family has, meets its lists first. Candidates with enough matches are confirmed on the full
+sets.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ LEAST_PERCENT = 85
 #: mean 40.8 and deviation 2.5; fewer than 25 have a probability of 4e-9.
 COORDINATES, LEAST_MATCHES = 48, 25
 #: Rounds in which lists meet one member of theirs; after them all members of different components meet.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 
 _PREFIX = COORDINATES - LEAST_MATCHES + 1
+#: Side of the rows in a list whose members all may meet.
+_ALL_MEET = 2
 #: A set of fewer shingles can't reach the similarity with another set.
 _LEAST_SHINGLES = 100 // (100 - LEAST_PERCENT)
 _SEEDS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
@@ -63,24 +67,25 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return appended(docs, ["text"], rows, "n_shingles long, digest binary, signature array<int>")
 
 
-def _prefixes(posted: DataFrame, total: str, prefix: str) -> DataFrame:
-    """(class, key, size) of each class's rarest keys, of those that several classes have.
+def _ranked(posted: DataFrame, total: str) -> DataFrame:
+    """(class, key, size, place, own): the keys that several classes have, with their place in the class's, rarest first.
 
-    ``total`` is how many keys the class has and ``prefix`` how many of them, rarest first, are to be kept; keys that no
-    other class has come first and give no list. ``size`` is that of the class's shingle set.
+    ``total`` is how many keys the class has; the ``own`` ones that no other class has come first and give no list.
+    ``size`` is that of the class's shingle set.
     """
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rank = F.expr("row_number() OVER (PARTITION BY class ORDER BY n, key)")
     of_class = F.expr("count(*) OVER (PARTITION BY class)")
     found = posted.join(shared, "key").withColumns({"rank": rank, "shared": of_class})
-    return found.filter(f"rank <= {prefix} - ({total} - shared)").select("class", "key", "size")
+    return found.selectExpr("class", "key", "size", f"rank + {total} - shared AS place", f"{total} - shared AS own")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(class, key, size): lists of the coordinate-value pairs in the prefixes."""
+    """(class, key, size, own, side): lists of the coordinate-value pairs in the prefixes."""
     posted = classes.select("class", "n_shingles", F.posexplode("signature").alias("place", "value"))
     posted = posted.select("class", F.xxhash64("place", "value").alias("key"), F.col("n_shingles").alias("size"))
-    return _prefixes(posted, str(COORDINATES), str(_PREFIX))
+    kept = _ranked(posted, str(COORDINATES)).filter(f"place <= {_PREFIX}")
+    return kept.selectExpr("class", "key", "size", "own", f"{_ALL_MEET} AS side")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -111,24 +116,33 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
 
 
 def _across(postings: DataFrame, of: DataFrame) -> DataFrame:
-    """(key, class, size, component) of the lists whose members lie in several components."""
+    """(key, class, size, own, side, component) of the lists whose members lie in several components."""
     found = postings.join(of, postings["class"] == of.node, "left")
-    found = found.select("key", "class", "size", F.coalesce("component", "class").alias("component"))
+    found = found.select("key", "class", "size", "own", "side", F.coalesce("component", "class").alias("component"))
     several = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return found.join(several.filter("low < high"), "key")
 
 
-def _comparable(other: str) -> str:
-    """Whether sets of these sizes can be linked."""
-    return f"100 * least(size, {other}) >= {LEAST_PERCENT} * greatest(size, {other})"
+def _comparable(size: str, side: str) -> str:
+    """Whether a row of a list and another one of this size and side can be linked and meet there."""
+    sizes = f"100 * least(size, {size}) >= {LEAST_PERCENT} * greatest(size, {size})"
+    return f"(side = {_ALL_MEET} OR side <> {side}) AND {sizes}"
+
+
+def _band(size: str) -> str:
+    """The band of a set size: sizes below 64 have their own, later ones share their leading six bits."""
+    bits = f"(length(bin({size})) - 6)"
+    return f"if({size} < 64, {size}, {bits} * 32 + shiftright({size}, {bits}))"
 
 
 def _refined(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """(class, key, size): lists of shingles for the members of signature lists that span several components.
+    """(class, key, size, own, side): lists of shingles for the members of signature lists that span several components.
 
-    Linked sets share ``LEAST_PERCENT`` of the shingles of either, so one of those left when that share is taken from the
-    end of each set, rarest first, is common to both. In a large family the members that differ from all others have
-    shingles of their own in that place and leave the lists; no linked pair does.
+    Linked sets of n and m shingles share at least ``s = LEAST_PERCENT * (n + m) / (100 + LEAST_PERCENT)``, so, with
+    shingles ordered rarest first, one of the first ``n - s + 1`` of one is among the first ``m - s + 1`` of the other.
+    A shingle is therefore posted for those bands of partner sizes (see ``_band``) for which it stands early enough, under
+    both bands. In a large family the members that differ from all others in too many places have shingles of their own
+    there and leave the lists; no linked pair does. In a list of two bands, the two sides meet each other only.
     """
     members = texts.join(lists.select("class").distinct(), "class", "left_semi")
 
@@ -142,7 +156,25 @@ def _refined(lists: DataFrame, texts: DataFrame) -> DataFrame:
         }
 
     held = stored(exploded(members, rows, "class long, key long, size int"), "shingles")
-    out = stored(_prefixes(held, "size", f"(size - ({LEAST_PERCENT} * size + 99) DIV 100 + 1)"), "refined")
+    both = 100 + LEAST_PERCENT
+    # the largest partner for which a shingle in this place is still in the prefix
+    largest = f"int((100L * size - {both}L * (place - 1)) DIV {LEAST_PERCENT})"
+    least = f"int(({LEAST_PERCENT}L * size + 99) DIV 100)"
+    ranked = _ranked(held, "size").selectExpr("*", f"{largest} AS largest", f"{least} AS least", f"{_band('size')} AS band")
+    waiting = ranked.filter(f"largest > 0 AND {_band('largest')} >= {_band('least')}")
+    posted = waiting.selectExpr(
+        "class", "key", "size", "own", "band", f"explode(sequence({_band('least')}, {_band('largest')})) AS of_band"
+    )
+    out = stored(
+        posted.selectExpr(
+            "class",
+            "xxhash64(key, least(band, of_band), greatest(band, of_band)) AS key",
+            "size",
+            "own",
+            f"CASE WHEN band < of_band THEN 0 WHEN band > of_band THEN 1 ELSE {_ALL_MEET} END AS side",
+        ),
+        "refined",
+    )
     drop_stored(held)
     return out
 
@@ -159,15 +191,17 @@ def _components(postings: DataFrame, classes: DataFrame, texts: DataFrame, same:
             postings = _refined(lists, texts)
             lists = _across(postings, of)
         if turn < STAR_ROUNDS:
-            # all meet a member of the smallest component, in every other round one of the largest
-            centre = lists.groupBy("key").agg(
-                F.expr(f"{('min', 'max')[turn % 2]}(struct(component, class AS other, size))").alias("centre")
-            )
-            pairs = lists.join(centre, "key").filter(f"component <> centre.component AND {_comparable('centre.size')}")
+            # all meet a member of the smallest component, or the one with the fewest keys of its own, or of the largest
+            row = "component, class AS other, size, side"
+            best = (f"min(struct({row}))", f"min(struct(own, {row}))", f"max(struct({row}))")[turn % 3]
+            centre = lists.groupBy("key").agg(F.expr(best).alias("centre"))
+            meets = _comparable("centre.size", "centre.side")
+            pairs = lists.join(centre, "key").filter(f"component <> centre.component AND {meets}")
             pairs = pairs.selectExpr("least(class, centre.other) AS a", "greatest(class, centre.other) AS b")
         else:
-            other = lists.selectExpr("key", "class AS b", "component AS other", "size AS size_b")
-            pairs = lists.join(other, "key").filter(f"class < b AND component <> other AND {_comparable('size_b')}")
+            other = lists.selectExpr("key", "class AS b", "component AS other", "size AS size_b", "side AS side_b")
+            meets = _comparable("size_b", "side_b")
+            pairs = lists.join(other, "key").filter(f"class < b AND component <> other AND {meets}")
             pairs = pairs.selectExpr("class AS a", "b")
         new = stored(_confirmed(pairs.distinct(), classes, texts), "linked")
         if new.isEmpty():

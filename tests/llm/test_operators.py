@@ -74,6 +74,28 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch, rounds):
     assert {r[0]: (r[1], r[2]) for r in found.collect()} == cases.components(rows)
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_near_duplicates_of_a_family_of_many_sizes(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)
+    r = random.Random(11)
+    text, rows = cases.prose(r, 220).split(), []
+    for i in range(400):
+        words = (rows[r.randrange(len(rows))][1].split() if i % 3 == 0 and rows else text).copy()
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(2)] = [f"w{r.randrange(40)}"] * r.randrange(3)
+        cut = r.choice([0, 0, 5, 12, 25, 33])
+        rows.append((i, " ".join(words[: len(words) - cut])))
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == cases.components(rows)
+
+
+def test_size_bands(spark):
+    sizes = spark.range(1, 3000).selectExpr("id AS size").selectExpr("size", f"{near_dedup._band('size')} AS band")
+    bands = [band for _, band in sorted(map(tuple, sizes.collect()))]
+    assert bands[:64] == list(range(1, 65)) and {b - a for a, b in zip(bands, bands[1:])} == {0, 1}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.deduplicated(empty).count() == 0
 
