@@ -69,7 +69,7 @@ def locations(
     return ranked if max_results is None else ranked.limit(max_results)
 
 
-_LINE = (
+LOCATION_LINE = (
     f"concat('[', location_id, ',', {number_text('longitude')}, ',', {number_text('latitude')}, ',', "
     "observation_count, ']')"
 )
@@ -77,14 +77,14 @@ _LINE = (
 
 def location_lines(located: DataFrame) -> DataFrame:
     """O-05, one JSON array ``[id,lon,lat,count]`` per row."""
-    return located.selectExpr("location_id", f"{_LINE} AS line")
+    return located.selectExpr("location_id", f"{LOCATION_LINE} AS line")
 
 
 def location_document(tables: OccurrenceTables, f: ObservationFilter = ObservationFilter()) -> DataFrame:
-    """O-05 as one document with the request's EPSG code, for the rows of a request, which are at most 100 000; all
-    locations are written as lines."""
+    """O-05 as one document with the request's EPSG code, for the rows of a request, which are at most 100 000;
+    ``sinks.write_location_document`` writes any number of them as one file."""
     located = requested_locations(tables, f)
-    lines = f"sort_array(collect_list(struct(-observation_count AS rank, location_id, {_LINE} AS line)))"
+    lines = f"sort_array(collect_list(struct(-observation_count AS rank, location_id, {LOCATION_LINE} AS line)))"
     return located.agg(
         F.expr(f"""concat('{{"epsg":{int(f.epsg)},"locations":[', array_join({lines}.line, ','), ']}}')""").alias(
             "document"

@@ -420,6 +420,11 @@ QUERIES = {
     "location_lines": f"""
         SELECT location_id, concat('[', location_id, ',', {_number('longitude')}, ',', {_number('latitude')}, ',',
                observation_count, ']') AS line FROM f_located""",
+    "location_file": f"""
+        SELECT '{{"epsg":25833,"locations":[' AS line UNION ALL SELECT ']}}' UNION ALL
+        SELECT concat(CASE WHEN row_number() OVER (ORDER BY observation_count DESC, location_id) > 1 THEN ',' ELSE '' END,
+                      '[', location_id, ',', {_number('longitude')}, ',', {_number('latitude')}, ',', observation_count,
+                      ']') FROM f_located""",
     "location_document": f"""
         SELECT concat('{{"epsg":25833,"locations":[', string_agg(
             concat('[', location_id, ',', {_number('longitude')}, ',', {_number('latitude')}, ',', observation_count,

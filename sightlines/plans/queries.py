@@ -134,6 +134,16 @@ def stored_lines(t: OccurrenceTables) -> DataFrame:
     return lines.sparkSession.read.text(path).selectExpr("value AS line")
 
 
+@_query
+def location_file(t: OccurrenceTables) -> DataFrame:
+    """The location document written as one file by many tasks and read back, line by line."""
+    f = REQUESTS["locations"]
+    located = locations.requested_locations(t, f)
+    path = new_folder(located.sparkSession, "location_document")
+    sinks.write_location_document(located, path, f.epsg)
+    return located.sparkSession.read.text(path).selectExpr("value AS line")
+
+
 @_query
 def stored_csv(t: OccurrenceTables) -> DataFrame:
     """An export written as CSV and read back."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import glob
+import json
 import os
 from datetime import datetime
 
@@ -11,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightlines.functions.scalars import abbreviated, export_slug, number_text, zoom_bucket
-from sightlines.operators import export
+from sightlines.operators import export, locations
 from sightlines.operators.filters import ObservationFilter
+from sightlines.sources import sinks
 from sightlines.sources.sinks import write_csv, write_csv_document, write_lines
 from tests.conftest import observation, plan_of, values
 
@@ -99,6 +101,36 @@ def test_lines_sink(spark, tmp_path):
     assert sorted(values(spark.read.text(str(tmp_path / "l")), "value")) == ["[0]", "[1]", "[2]"]
 
 
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_one_file_by_many_tasks(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(sinks, "BLOCK_BYTES", block)
+    path = str(tmp_path / "d")
+    lines = spark.range(60, -1, -1, 4).selectExpr("id AS key", "nullif(repeat('æ', int(id % 5)), '') AS value")
+    sinks.write_document(lines, path, ["key"], "head\n", "foot")
+    (part,) = glob.glob(os.path.join(path, "part-*"))
+    expected = "head\n" + "".join("æ" * (i % 5) + "\n" for i in range(61)) + "foot"
+    assert open(part, encoding="utf-8").read() == expected
+    assert os.listdir(tmp_path) == ["d"]  # nothing is left beside it
+    with pytest.raises(FileExistsError):
+        sinks.write_document(lines, path, ["key"])
+    sinks.write_document(lines.limit(0), path, ["key"], "a", "b", mode="overwrite")
+    assert "".join(values(spark.read.text(path), "value")) == "ab"
+
+
+def test_location_document_as_a_file(spark, tables, supplied, tmp_path):
+    for name, t in (("few", tables), ("many", supplied)):
+        located = locations.locations(t)
+        sinks.write_location_document(located, str(tmp_path / name), 4326)
+        (part,) = glob.glob(os.path.join(tmp_path / name, "part-*"))
+        got = json.load(open(part))
+        order = located.orderBy(F.desc("observation_count"), "location_id").collect()
+        assert got["epsg"] == 4326
+        assert [tuple(x) for x in got["locations"]] == [(r[0], r[2], r[1], r[3]) for r in order]
+    sinks.write_location_document(located.limit(0), str(tmp_path / "none"), 4326)
+    (part,) = glob.glob(os.path.join(tmp_path / "none", "part-*"))
+    assert json.load(open(part)) == {"epsg": 4326, "locations": []}
+
+
 def test_summary_and_limits(tables):
     row = export.export_summary(tables, ObservationFilter(), ["Id", "TaxonId"], "a b", soft_limit=2, hard_limit=3).first()
     assert tuple(row) == (3, int(3 * (500 * (2 / 49) + 3)), True, False, "a-b")
