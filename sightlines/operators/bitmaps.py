@@ -18,9 +18,12 @@ from sightlines import codes
 from sightlines.functions.scalars import parse_entity_ids
 from sightlines.operators.filters import ObservationFilter, apply_filters
 from sightlines.operators.index import observation_attributes
+from sightlines.sources.shared import shuffle_partitions
 from sightlines.sources.tables import OccurrenceTables
 
 SCHEMA = "value bigint, bucket bigint, n bigint, bitmap binary, facet string"
+# The order in which bitmaps are stored.
+_ORDER = ("facet", "value", "bucket")
 # Buckets that are counted together first when a page is looked for.
 BUCKETS_TOGETHER = 1_024
 # Facets beside "entity_<type>"; "all" has one value, which all observations have. A year counts double, and one more in its last second, which a period's end leaves out.
@@ -58,11 +61,17 @@ def facet_values(tables: OccurrenceTables) -> DataFrame:
     return every.where("value IS NOT NULL AND observation_id IS NOT NULL")
 
 
-def facet_bitmaps(tables: OccurrenceTables) -> DataFrame:
-    """(value, bucket, n, bitmap, facet) of all facets; an observation that stands twice below a value is one bit."""
-    bucket = F.bitmap_bucket_number("observation_id").alias("bucket")
-    bitmap = F.bitmap_construct_agg(F.bitmap_bit_position("observation_id")).alias("bitmap")
-    return _counted(facet_values(tables).groupBy("value", bucket, "facet").agg(bitmap))
+def facet_bitmaps(tables: OccurrenceTables, files: int | None = None) -> DataFrame:
+    """(value, bucket, n, bitmap, facet) of all facets; an observation that stands twice below a value is one bit.
+
+    Ids are dealt by ranges of (facet, value, bucket) before their bitmaps are built, so that 4 KB move for no partial
+    bitmap, and every partition is in the order in which bitmaps are stored. ``files`` is the number of ranges, by default that
+    of shuffle partitions; given as a number, they are not put together by their compressed size.
+    """
+    bucket, position = F.bitmap_bucket_number("observation_id"), F.bitmap_bit_position("observation_id")
+    keyed = facet_values(tables).select("facet", "value", bucket.alias("bucket"), position.cast("int").alias("position"))
+    dealt = keyed.repartitionByRange(files or shuffle_partitions(tables.spark), *_ORDER)
+    return _counted(dealt.groupBy(*_ORDER).agg(F.bitmap_construct_agg(F.col("position").cast("bigint")).alias("bitmap")))
 
 
 def _counted(bitmaps: DataFrame) -> DataFrame:
@@ -78,14 +87,14 @@ def merged_bitmaps(*parts: DataFrame) -> DataFrame:
     return _counted(every.groupBy("value", "bucket", "facet").agg(F.bitmap_or_agg("bitmap").alias("bitmap")))
 
 
-def write_bitmaps(bitmaps: DataFrame, path: str, mode: str = "error", files: int | None = None) -> None:
-    """Store bitmaps partitioned by facet and sorted by value, so that a filter reads the rows of its values."""
-    ordering = ("facet", "value", "bucket")
-    (
-        bitmaps.repartitionByRange(*([files] if files else []), *ordering)
-        .sortWithinPartitions(*ordering)
-        .write.mode(mode).partitionBy("facet").parquet(path)
-    )
+def write_bitmaps(bitmaps: DataFrame, path: str, mode: str = "error", files: int | None = None, dealt: bool = False) -> None:
+    """Store bitmaps partitioned by facet and sorted by value, so that a filter reads the rows of its values.
+
+    ``dealt`` says that they come straight from ``facet_bitmaps``: they are in ranges then, and neither moved nor sorted.
+    """
+    if not dealt:
+        bitmaps = bitmaps.repartitionByRange(*([files] if files else []), *_ORDER)
+    bitmaps.sortWithinPartitions(*_ORDER).write.mode(mode).partitionBy("facet").parquet(path)
 
 
 def has_bit(bitmap: str, position: str) -> str:

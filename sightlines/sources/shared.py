@@ -18,3 +18,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = new_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for shuffles whose small rows become large ones behind them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

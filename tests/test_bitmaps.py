@@ -92,6 +92,19 @@ def test_new_observations_are_merged(tables):
     assert sorted(map(key, B.merged_bitmaps(*halves).collect())) == sorted(map(key, whole.collect()))
 
 
+def test_ids_move_and_bitmaps_stay(tables, tmp_path):
+    """Partial bitmaps of 4 KB are not shuffled, nor are whole ones moved or sorted to be stored."""
+    plan = plan_of(B.facet_bitmaps(tables, files=3).sortWithinPartitions("facet", "value", "bucket"))
+    above = plan[: plan.index("partial_bitmap_construct_agg")]
+    assert "Exchange" not in above and "Sort [" not in above
+    for name, dealt in (("moved", False), ("dealt", True)):
+        B.write_bitmaps(B.facet_bitmaps(tables, files=3), str(tmp_path / name), files=3, dealt=dealt)
+    moved, dealt = (
+        sorted(map(tuple, tables.with_bitmaps(str(tmp_path / name)).bitmaps.rows.collect()), key=repr) for name in ("moved", "dealt")
+    )
+    assert moved == dealt and moved
+
+
 def test_no_id_is_shuffled(mapped):
     f = ObservationFilter(county_ids=["2"], ocean_area_ids=["94"], category_ids=[9], organization_ids=[5])
     for frame in (mapped.bitmaps.count(f), areas.area_counts(mapped, 1, f), B.apply_bitmaps(mapped.observation, mapped, f)):
