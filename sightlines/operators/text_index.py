@@ -77,8 +77,11 @@ def text_rows(tables: object, fields: tuple[tuple[str, str], ...] = tuple(FIELDS
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """(field, piece, chunk, size, offsets): ids that hold a piece, by chunk, ascending and distinct."""
-    cut = rows.select("field", F.explode(F.expr(_pieces("text"))).alias("piece"), "id")
+    """(field, piece, chunk, size, offsets): ids that hold a piece, by chunk, ascending and distinct.
+
+    Texts are dealt out before they are cut: a small file of names is a task or two, and its pieces are many.
+    """
+    cut = rows.repartition("id").select("field", F.explode(F.expr(_pieces("text"))).alias("piece"), "id")
     offset = f"CAST(id & {(1 << CHUNK_BITS) - 1} AS SMALLINT)"
     chunked = cut.selectExpr("field", "piece", f"shiftright(id, {CHUNK_BITS}) AS chunk", f"{offset} AS offset")
     gathered = chunked.groupBy("field", "piece", "chunk").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))

@@ -113,3 +113,9 @@ def test_every_filter_goes_through_the_index(make, tmp_path):
     for term in ("vulp", "VULPES ALBA", "a", "  "):
         assert taxa.taxon_search(indexed, term).collect() == taxa.taxon_search(tables, term).collect()
     assert indexed.with_table("taxon", tables.taxon).text_index is indexed.text_index
+
+
+def test_texts_are_dealt_out_before_they_are_cut(spark):
+    rows = spark.createDataFrame([("f", 1, "abc")], "field string, id bigint, text string").coalesce(1)
+    plan = plan_of(X.postings(rows))
+    assert "Exchange" in plan[plan.rindex("Generate") :]
