@@ -1,9 +1,9 @@
 """Stored counts per area for any index filter: a data cube with partial cuboids (O-55, O-59).
 
-The base cuboid counts observations by entity and all dimensions. Coarser cuboids come from it in one pass of grouping
-sets, never from the observations again. A request names the dimensions it filters; it is answered from the smallest stored
-cuboid that has them, by adding up cells. Cells are additive: those of new observations are added, those of removed ones
-taken off, and nothing is counted anew.
+The base cuboid counts observations by entity and all dimensions. Coarser cuboids come from it in one pass, never from the
+observations again. A request names the dimensions it filters; it is answered from the smallest stored cuboid that has
+them, by adding up cells. Cells are additive: those of new observations are added, those of removed ones taken off, and
+nothing is counted anew.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sightlines import codes
 from sightlines.operators.filters import ObservationFilter
+from sightlines.sources.shared import shuffle_partitions
 from sightlines.sources.tables import OccurrenceTables
 
 ENTITY = ("entity_type_id", "entity_id")
@@ -61,18 +62,23 @@ def merged_cells(cells: DataFrame, added: DataFrame | None = None, removed: Data
     return every.groupBy(*ENTITY, *_ALL).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def cuboid_cells(base: DataFrame, cuboids: tuple[tuple[str, ...], ...] = CUBOIDS) -> DataFrame:
-    """Cells of all cuboids from base cells, with the number of the cuboid; dimensions it lacks are null."""
-    numbers = {_lacking(c): i for i, c in enumerate(cuboids)}
-    sets = [[F.col(n) for n in (*ENTITY, *cuboid)] for cuboid in cuboids]
-    cells = base.groupingSets(sets, *ENTITY, *_ALL).agg(F.sum("n").alias("n"), F.grouping_id().alias("lacking"))
-    number = "CASE lacking " + " ".join(f"WHEN {k} THEN {i}" for k, i in numbers.items()) + " END"
-    return cells.selectExpr(*ENTITY, *_ALL, "n", f"{number} AS cuboid")
+def cuboid_cells(base: DataFrame, cuboids: tuple[tuple[str, ...], ...] = CUBOIDS, files: int | None = None) -> DataFrame:
+    """Cells of all cuboids from base cells, with the number of the cuboid; dimensions it lacks are null.
 
-
-def _lacking(cuboid: tuple[str, ...]) -> int:
-    """The grouping id: a bit for every dimension that is summed away."""
-    return sum(1 << i for i, name in enumerate(reversed(_ALL)) if name not in cuboid)
+    Every cuboid has the entity, so base cells are dealt by ranges of entities and added up where they are: no cell moves
+    once for each cuboid. An entity has no more base cells than its dimensions have combinations, however many observations
+    it has. ``files`` is the number of ranges, by default that of shuffle partitions.
+    """
+    kinds = {name: base.schema[name].dataType.simpleString() for name in _ALL}
+    dealt = base.repartitionByRange(files or shuffle_partitions(base.sparkSession), *ENTITY)
+    rows = ", ".join(
+        "struct(" + ", ".join(f"{name if name in cuboid else f'CAST(NULL AS {kind})'} AS {name}" for name, kind in kinds.items())
+        + f", {number} AS cuboid)"
+        for number, cuboid in enumerate(cuboids)
+    )
+    each = dealt.selectExpr(*ENTITY, "n", f"inline(array({rows}))")
+    cells = each.groupBy("cuboid", *ENTITY, *_ALL).agg(F.sum("n").alias("n"))
+    return cells.select(*ENTITY, *_ALL, "n", "cuboid")
 
 
 def write_cube(
@@ -84,8 +90,7 @@ def write_cube(
     ordering = ("cuboid", *ENTITY)
     cells = posixpath.join(path, "cells")
     (
-        cuboid_cells(base, cuboids)
-        .repartitionByRange(*([files] if files else []), *ordering)
+        cuboid_cells(base, cuboids, files)
         .sortWithinPartitions(*ordering)
         .write.mode(mode).partitionBy("cuboid").parquet(cells)
     )

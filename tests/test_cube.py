@@ -105,3 +105,9 @@ def test_changes_are_merged(make, tables, cubed, tmp_path):
 def test_base_comes_first(tables, tmp_path):
     with pytest.raises(ValueError):
         C.write_cube(C.base_cells(tables.enriched_index), str(tmp_path / "x"), cuboids=(("category_id",),))
+
+
+def test_cells_are_added_up_where_they_are(tables):
+    """No exchange carries a row for each cell and cuboid."""
+    plan = plan_of(C.cuboid_cells(C.base_cells(tables.enriched_index)))
+    assert "Expand" not in plan and "Exchange" not in plan[: plan.index("Generate")]
