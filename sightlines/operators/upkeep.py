@@ -21,6 +21,8 @@ from sightlines.sources.tables import OccurrenceTables
 # Observation ids of a batch, and batches of one job.
 BATCH_IDS, TOGETHER = 50_000_000, 20
 
+# Ids of a block, whose rows one task writes, as a power of two.
+_BLOCK_BITS = 15
 _COLUMNS = (*INDEX_KEYS, *FILTER_COLUMNS)
 # Tables with rows per observation, which an id range cuts alike.
 _BY_OBSERVATION = ("observation", "observation_tag", "observation_behavior", "media_file", "organization_relation")
@@ -45,12 +47,15 @@ def of_observations(tables: OccurrenceTables, ids: DataFrame) -> OccurrenceTable
     return tables
 
 
-def _write(rows: DataFrame, path: str, batches: DataFrame) -> None:
-    """Replaces the partitions of ``batches``; a row without keys marks each, so that an emptied one is replaced too."""
-    marks = batches.select(*[F.lit(None).alias(c) for c in _COLUMNS], "batch")
-    every = rows.select(*_COLUMNS, "batch").unionByName(marks)
+def _write(rows: DataFrame, path: str, batches: DataFrame | None = None) -> None:
+    """Replaces the partitions of the rows and of ``batches``, where a row without keys marks each, so that an emptied one is
+    replaced too. Rows meet by block of ids: no ranges are sampled, which would derive the rows twice, and a large batch is
+    many blocks."""
+    every = rows.select(*_COLUMNS, "batch")
+    if batches is not None:
+        every = every.unionByName(batches.select(*[F.lit(None).alias(c) for c in _COLUMNS], "batch"))
     (
-        every.repartitionByRange("batch", "entity_type_id", "entity_id", "observation_id")
+        every.repartition("batch", F.expr(f"shiftright(observation_id, {_BLOCK_BITS})"))
         .sortWithinPartitions("batch", "entity_type_id", "entity_id", "observation_id")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
         .parquet(posixpath.join(path, "rows"))
@@ -103,22 +108,21 @@ def backfill_batches(
 
 
 def write_batched_index(index: DataFrame, path: str, batch_ids: int = BATCH_IDS) -> None:
-    """Store a whole index in batches."""
-    rows = index.withColumn("batch", F.expr(_batch(batch_ids)))
-    _write(rows, path, rows.select("batch").distinct())
+    """Store a whole index in batches. Each has rows, so that none is looked for beside them: the index is derived once."""
+    _write(index.withColumn("batch", F.expr(_batch(batch_ids))), path)
 
 
 def merge_changes(changed: DataFrame, tables: OccurrenceTables, path: str, batch_ids: int = BATCH_IDS) -> None:
     """Brings the stored index up to date for changed observations (observation_id), from the tables as they are now.
 
     Added, moved, retagged and removed observations alike: their old rows go, and new ones come for those that exist.
-    Only the batches of changed ids are rewritten. ``changed`` may repeat ids and is read more than once. The new rows of
-    the batches are complete in the shared folder before the first partition is replaced.
+    Only the batches of changed ids are rewritten. ``changed`` may repeat ids; it is read once and its ids are stored, as six
+    joins need them. The new rows of the batches are complete in the shared folder before the first partition is replaced.
     """
     spark = changed.sparkSession
-    ids = changed.select("observation_id").where("observation_id IS NOT NULL").distinct()
-    touched = ids.select(F.expr(_batch(batch_ids)).alias("batch")).distinct()
+    ids = stored(changed.select("observation_id").where("observation_id IS NOT NULL").distinct(), "changed_ids")
+    touched = stored(ids.select(F.expr(_batch(batch_ids)).alias("batch")).distinct(), "touched")
     kept = _stored(spark, path).join(touched, "batch", "left_semi").join(ids, "observation_id", "left_anti")
     fresh = index_enriched(of_observations(tables, ids)).withColumn("batch", F.expr(_batch(batch_ids)))
     merged = kept.select(*_COLUMNS, "batch").unionByName(fresh.select(*_COLUMNS, "batch"))
-    _write(stored(merged, "changed_batches"), path, stored(touched, "touched"))
+    _write(stored(merged, "changed_batches"), path, touched)

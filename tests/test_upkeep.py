@@ -73,3 +73,32 @@ def test_changes_are_merged(spark, make, tables, tmp_path):
     assert files(0) == untouched
     U.merge_changes(changed, after, path, batch_ids=10)
     assert rows(U.batched_index(spark, path)) == expected
+
+
+def _counting(spark, frame):
+    """The frame with a counter of its rows' readings."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(row):
+        seen.add(1)
+        return tuple(row)
+
+    return spark.createDataFrame(spark.sparkContext.parallelize([tuple(r) for r in frame.collect()], 3).map(one), frame.schema), seen
+
+
+def test_a_whole_index_is_derived_once(spark, tables, tmp_path):
+    full = I.index_enriched(tables)
+    counted, seen = _counting(spark, full)
+    U.write_batched_index(counted, str(tmp_path / "index"), batch_ids=10)
+    assert seen.value == full.count() > 0
+    assert rows(U.batched_index(spark, str(tmp_path / "index"))) == rows(full)
+
+
+def test_changed_ids_are_read_once(spark, tables, tmp_path):
+    path = str(tmp_path / "index")
+    U.write_batched_index(I.index_enriched(tables), path, batch_ids=10)
+    ids = spark.createDataFrame([(i,) for i in (10, 11, 11, 47, None)], "observation_id bigint")
+    counted, seen = _counting(spark, ids)
+    U.merge_changes(counted, tables, path, batch_ids=10)
+    assert seen.value == 5
+    assert rows(U.batched_index(spark, path)) == rows(I.index_enriched(tables))
