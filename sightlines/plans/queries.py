@@ -89,8 +89,8 @@ def index_backfill(t: OccurrenceTables) -> DataFrame:
 
 @_query
 def backfill_resumed(t: OccurrenceTables) -> DataFrame:
-    """A backfill in batches that ends after its first job and is taken up again."""
-    marked = index.as_unfilled(index.index_all(t))
+    """A backfill of a stored index in batches that ends after its first job and is taken up again."""
+    marked = stored(index.as_unfilled(index.index_all(t)), "unfilled")
     path = new_folder(t.spark, "backfill")
     highest = t.observation.agg(F.max("observation_id")).first()[0] or 0
     batch_ids = highest // 3 + 1

@@ -9,6 +9,7 @@ import pytest
 
 from sightlines.operators import index as I
 from sightlines.operators import upkeep as U
+from sightlines.plans import queries
 from tests.conftest import area, location, observation, plan_of
 
 
@@ -102,3 +103,10 @@ def test_changed_ids_are_read_once(spark, tables, tmp_path):
     U.merge_changes(counted, tables, path, batch_ids=10)
     assert seen.value == 5
     assert rows(U.batched_index(spark, path)) == rows(I.index_enriched(tables))
+
+
+def test_the_resumed_backfill_reads_a_stored_index(supplied, monkeypatch):
+    plans, run = [], U.backfill_batches
+    monkeypatch.setattr(U, "backfill_batches", lambda index, *a, **b: (plans.append(plan_of(index)), run(index, *a, **b))[1])
+    assert rows(queries.backfill_resumed(supplied)) == rows(I.index_enriched(supplied))
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)
