@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from sightlines import codes
 from sightlines.functions.scalars import parse_entity_ids
 from sightlines.operators.filters import ObservationFilter, apply_filters
-from sightlines.operators.index import observation_attributes
+from sightlines.operators.index import index_areas, index_institutions, observation_attributes
 from sightlines.sources.shared import shuffle_partitions
 from sightlines.sources.tables import OccurrenceTables
 
@@ -48,17 +49,23 @@ _ANSWERED = (
 )
 
 
-def facet_values(tables: OccurrenceTables) -> DataFrame:
-    """(facet, value, observation_id), null values left out, as no filter matches them."""
+def _facet_parts(tables: OccurrenceTables) -> list[DataFrame]:
+    """(facet, value, observation_id) from each table that holds facets, null values left out; no facet is in two parts."""
     attributes = ", ".join(f"struct('{k}' AS facet, CAST({e} AS BIGINT) AS value)" for k, e in _ATTRIBUTES.items())
     own = observation_attributes(tables).selectExpr(f"inline(array({attributes}))", "observation_id")
-    entities = tables.entity_index.selectExpr(
-        "concat('entity_', entity_type_id) AS facet", "CAST(entity_id AS BIGINT) AS value", "observation_id"
-    )
+    derived = [tables.entity_index] if tables.has_stored_index else [index_areas(tables), index_institutions(tables)]
+    entities = [
+        index.selectExpr("concat('entity_', entity_type_id) AS facet", "CAST(entity_id AS BIGINT) AS value", "observation_id")
+        for index in derived
+    ]
     behaviors = tables.observation_behavior.selectExpr("'behavior' AS facet", "CAST(behavior_id AS BIGINT) AS value", "observation_id")
     tags = tables.observation_tag.selectExpr("'tag' AS facet", "CAST(tag_id AS BIGINT) AS value", "observation_id")
-    every = own.unionByName(entities).unionByName(behaviors).unionByName(tags)
-    return every.where("value IS NOT NULL AND observation_id IS NOT NULL")
+    return [part.where("value IS NOT NULL AND observation_id IS NOT NULL") for part in (own, *entities, behaviors, tags)]
+
+
+def facet_values(tables: OccurrenceTables) -> DataFrame:
+    """(facet, value, observation_id), null values left out, as no filter matches them."""
+    return reduce(DataFrame.unionByName, _facet_parts(tables))
 
 
 def facet_bitmaps(tables: OccurrenceTables, files: int | None = None) -> DataFrame:
@@ -68,12 +75,27 @@ def facet_bitmaps(tables: OccurrenceTables, files: int | None = None) -> DataFra
     bitmap, and every partition is in the order in which bitmaps are stored. ``files`` is the number of ranges, by default that
     of shuffle partitions; given as a number, they are not put together by their compressed size.
     """
+    return _built(facet_values(tables), files or shuffle_partitions(tables.spark))
+
+
+def _built(facets: DataFrame, files: int) -> DataFrame:
     bucket, position = F.bitmap_bucket_number("observation_id"), F.bitmap_bit_position("observation_id")
-    keyed = facet_values(tables).select("facet", "value", bucket.alias("bucket"), position.cast("int").alias("position"))
-    dealt = keyed.repartitionByRange(files or shuffle_partitions(tables.spark), *_ORDER)
+    keyed = facets.select("facet", "value", bucket.alias("bucket"), position.cast("int").alias("position"))
+    dealt = keyed.repartitionByRange(files, *_ORDER)
     return _counted(dealt.groupBy(*_ORDER).agg(F.bitmap_construct_agg(F.col("position").cast("bigint")).alias("bitmap")))
 
 
+def write_facet_bitmaps(tables: OccurrenceTables, path: str, files: int | None = None) -> None:
+    """Store the bitmaps of all facets, those of each table by a job of its own.
+
+    In one job, all tables' rows would be joined and made distinct in one stage and share the few tasks that adaptive execution
+    leaves it.
+    """
+    for i, part in enumerate(_facet_parts(tables)):
+        bitmaps = _built(part, files or shuffle_partitions(tables.spark))
+        write_bitmaps(bitmaps, path, mode="append" if i else "error", dealt=True)
+
+
 def _counted(bitmaps: DataFrame) -> DataFrame:
     """Bitmaps with the directory column ``n``, their number of observations."""
     return bitmaps.select("value", "bucket", F.bitmap_count("bitmap").alias("n"), "bitmap", "facet")

@@ -241,7 +241,7 @@ def text_postings(t: OccurrenceTables) -> DataFrame:
 
 def _bitmapped(t: OccurrenceTables) -> OccurrenceTables:
     path = new_folder(t.spark, "bitmaps")
-    bitmaps.write_bitmaps(bitmaps.facet_bitmaps(t), path, dealt=True)
+    bitmaps.write_facet_bitmaps(t, path)
     return t.with_bitmaps(path)
 
 

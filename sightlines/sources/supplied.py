@@ -17,6 +17,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from sightlines import schema
+from sightlines.sources.shared import dealt
 from sightlines.sources.tables import OccurrenceTables
 
 Raw = Callable[[str], DataFrame]
@@ -98,7 +99,7 @@ def _observation(raw: Raw) -> DataFrame:
     first_part = raw("lineitem").groupBy("l_orderkey").agg({"l_partkey": "min"}).withColumnsRenamed(
         {"l_orderkey": "o_orderkey", "min(l_partkey)": "first_part"}
     )
-    orders = raw("orders").join(first_part, "o_orderkey", "left").selectExpr(
+    orders = dealt(raw("orders"), "o_orderkey").join(first_part, "o_orderkey", "left").selectExpr(
         "*", "coalesce(first_part, 0L) AS p_partkey"
     )
     return orders.join(raw("part").select("p_partkey", "p_brand"), "p_partkey").selectExpr(
@@ -130,13 +131,15 @@ def _observation_detail(raw: Raw) -> DataFrame:
 
 
 def _observation_behavior(raw: Raw) -> DataFrame:
-    return raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_linenumber AS behavior_id").distinct()
+    lines = raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_linenumber AS behavior_id")
+    return dealt(lines, "observation_id").distinct()
 
 
 def _observation_tag(raw: Raw) -> DataFrame:
-    return raw("lineitem").where("l_quantity <= 8").selectExpr(
+    lines = raw("lineitem").where("l_quantity <= 8").selectExpr(
         "l_orderkey AS observation_id", "CASE l_returnflag WHEN 'A' THEN 5 WHEN 'R' THEN 6 ELSE 3 END AS tag_id"
-    ).distinct()
+    )
+    return dealt(lines, "observation_id").distinct()
 
 
 def _media_file(raw: Raw) -> DataFrame:
@@ -157,7 +160,8 @@ def _organization(raw: Raw) -> DataFrame:
 
 
 def _organization_relation(raw: Raw) -> DataFrame:
-    return raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_suppkey AS organization_id").distinct()
+    lines = raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_suppkey AS organization_id")
+    return dealt(lines, "observation_id").distinct()
 
 
 _AREA_FIELDS = (

@@ -11,6 +11,7 @@ import pytest
 from sightlines.operators import areas, observations
 from sightlines.operators import bitmaps as B
 from sightlines.operators.filters import ObservationFilter, apply_filters
+from sightlines.sources import supplied
 from tests.conftest import area, location, observation, plan_of, values
 
 IDS = [-40_000, -1, 0, 1, 2, 32_768, 32_769, 32_770, 65_536, 65_537, 10**12, 10**12 + 7, *range(100, 130)]
@@ -106,6 +107,29 @@ def test_ids_move_and_bitmaps_stay(tables, tmp_path):
     assert moved == dealt and moved
 
 
+def test_tables_are_stored_one_by_one(tables, tmp_path):
+    """What is stored table by table is what the union of all facets gives, with no facet in two parts."""
+    path = str(tmp_path / "parts")
+    B.write_facet_bitmaps(tables, path, files=3)
+    rows = lambda frame: sorted(map(tuple, frame.select("facet", "value", "bucket", "n", "bitmap").collect()), key=repr)
+    assert rows(tables.with_bitmaps(path).bitmaps.rows) == rows(B.facet_bitmaps(tables))
+    facets = [{r.facet for r in part.select("facet").distinct().collect()} for part in B._facet_parts(tables)]
+    assert len(facets) == 5 and sum(map(len, facets)) == len(set().union(*facets))
+
+
+def test_lines_are_dealt_into_a_given_number(spark):
+    """Ids compress well: put together by their compressed size, they were too many for one task's memory."""
+    lines = spark.sql(
+        "SELECT id div 3 AS l_orderkey, CAST(id % 2 AS INT) AS l_linenumber, id % 5 AS l_suppkey, 5 AS l_quantity, 'A' AS l_returnflag "
+        "FROM range(300)"
+    )
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for build in (supplied._observation_behavior, supplied._observation_tag, supplied._organization_relation):
+        frame = build(lambda name: lines)
+        assert frame.rdd.getNumPartitions() == number
+        assert sorted(frame.collect()) == sorted({tuple(r) for r in frame.collect()})
+
+
 def test_no_id_is_shuffled(mapped):
     f = ObservationFilter(county_ids=["2"], ocean_area_ids=["94"], category_ids=[9], organization_ids=[5])
     for frame in (mapped.bitmaps.count(f), areas.area_counts(mapped, 1, f), B.apply_bitmaps(mapped.observation, mapped, f)):
