@@ -118,7 +118,8 @@ def digests(texts: DataFrame, key: str) -> DataFrame:
     """(key, whole, digest) of every unit of every text; whole tells the entire text from its blocks and lines."""
     form = texts.selectExpr(f"`{key}`", f"{_form()} AS form")
     parts = r"array_distinct(concat(split(form, '\n\n+'), split(form, '\n')))"
-    units = form.filter("form <> ''").selectExpr(
+    # no filter here: it would be pushed below the form and make it a second time; null and empty units go below
+    units = form.selectExpr(
         f"`{key}`",
         "inline(concat(array(struct(true AS whole, form AS unit)),"
         f" transform({parts}, u -> struct(false AS whole, u AS unit))))",

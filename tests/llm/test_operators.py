@@ -412,6 +412,16 @@ def test_license_scan(spark, docs, empty):
     assert licenses.scanned(docs, known).count() == 0 and licenses.scanned(empty, known).count() == 0
 
 
+def test_canonical_form_is_made_once(spark):
+    """A filter on the form would be pushed below it and make it a second time; empty texts still have no units."""
+    frame = spark.createDataFrame([(1, None), (2, ""), (3, " ...\n\n,"), (4, "One\n\nTWO")], "doc_id long, text string")
+    found = licenses.digests(frame, "doc_id")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    digest = lambda unit: hashlib.sha256(unit.encode()).hexdigest()
+    expected = [(4, False, digest("one")), (4, False, digest("two")), (4, True, digest("one two"))]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_licenses_of_several_paragraphs(spark):
     mit, isc = licenses.KNOWN[0][1], licenses.KNOWN[3][1]
     text = lambda name: (licenses.TEXTS / f"{name}.txt").read_text()
