@@ -25,10 +25,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dealt(frame: DataFrame, key: str) -> DataFrame:
-    """The rows dealt by a key with few rows each into the session's number of shuffle partitions.
+def dealt(frame: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys with few rows each into the session's number of shuffle partitions.
 
     Adaptive execution puts partitions together by their compressed size, and ids take ten times that in memory. It leaves a
-    given number alone; joins and distincts by the key that follow need no shuffle of their own.
+    given number alone; joins and distincts by the same keys that follow need no shuffle of their own.
     """
-    return frame.repartition(shuffle_partitions(frame.sparkSession), key)
+    return frame.repartition(shuffle_partitions(frame.sparkSession), *keys)

@@ -132,14 +132,14 @@ def _observation_detail(raw: Raw) -> DataFrame:
 
 def _observation_behavior(raw: Raw) -> DataFrame:
     lines = raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_linenumber AS behavior_id")
-    return dealt(lines, "observation_id").distinct()
+    return dealt(lines, "observation_id", "behavior_id").distinct()
 
 
 def _observation_tag(raw: Raw) -> DataFrame:
     lines = raw("lineitem").where("l_quantity <= 8").selectExpr(
         "l_orderkey AS observation_id", "CASE l_returnflag WHEN 'A' THEN 5 WHEN 'R' THEN 6 ELSE 3 END AS tag_id"
     )
-    return dealt(lines, "observation_id").distinct()
+    return dealt(lines, "observation_id", "tag_id").distinct()
 
 
 def _media_file(raw: Raw) -> DataFrame:
@@ -161,7 +161,7 @@ def _organization(raw: Raw) -> DataFrame:
 
 def _organization_relation(raw: Raw) -> DataFrame:
     lines = raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_suppkey AS organization_id")
-    return dealt(lines, "observation_id").distinct()
+    return dealt(lines, "observation_id", "organization_id").distinct()
 
 
 _AREA_FIELDS = (

@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sightlines.operators import areas, observations
 from sightlines.operators import bitmaps as B
@@ -128,6 +129,8 @@ def test_lines_are_dealt_into_a_given_number(spark):
         frame = build(lambda name: lines)
         assert frame.rdd.getNumPartitions() == number
         assert sorted(frame.collect()) == sorted({tuple(r) for r in frame.collect()})
+    hot = supplied._organization_relation(lambda name: lines.withColumns({"l_orderkey": F.lit(7), "l_suppkey": F.expr("uuid()")}))
+    assert hot.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
 def test_no_id_is_shuffled(mapped):
