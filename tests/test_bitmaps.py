@@ -7,7 +7,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from sightlines.operators import areas, observations
 from sightlines.operators import bitmaps as B
@@ -121,7 +120,7 @@ def test_tables_are_stored_one_by_one(tables, tmp_path):
 def test_lines_are_dealt_into_a_given_number(spark):
     """Ids compress well: put together by their compressed size, they were too many for one task's memory."""
     lines = spark.sql(
-        "SELECT id div 3 AS l_orderkey, CAST(id % 2 AS INT) AS l_linenumber, id % 5 AS l_suppkey, 5 AS l_quantity, 'A' AS l_returnflag "
+        "SELECT id div 3 AS l_orderkey, CAST(id % 2 AS INT) AS l_linenumber, id % 5 AS l_suppkey, 5 AS l_quantity, substring('ARN', CAST(id % 3 AS INT) + 1, 1) AS l_returnflag "
         "FROM range(300)"
     )
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -129,8 +128,9 @@ def test_lines_are_dealt_into_a_given_number(spark):
         frame = build(lambda name: lines)
         assert frame.rdd.getNumPartitions() == number
         assert sorted(frame.collect()) == sorted({tuple(r) for r in frame.collect()})
-    hot = supplied._organization_relation(lambda name: lines.withColumns({"l_orderkey": F.lit(7), "l_suppkey": F.expr("uuid()")}))
-    assert hot.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    hot = lines.selectExpr("l_orderkey - l_orderkey AS l_orderkey", "l_orderkey AS l_suppkey")
+    parts = supplied._organization_relation(lambda name: hot).rdd.glom().map(len).collect()
+    assert sum(parts) == 100 and max(parts) < 100
 
 
 def test_no_id_is_shuffled(mapped):
