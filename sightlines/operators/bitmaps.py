@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from sightlines import codes
 from sightlines.functions.scalars import parse_entity_ids
 from sightlines.operators.filters import ObservationFilter, apply_filters
-from sightlines.operators.index import index_areas, index_institutions, observation_attributes
-from sightlines.sources.shared import shuffle_partitions
+from sightlines.operators.index import FILTER_COLUMNS, index_areas, index_institutions, observation_attributes
+from sightlines.sources.shared import partitions_for, shuffle_partitions, stored
 from sightlines.sources.tables import OccurrenceTables
 
 SCHEMA = "value bigint, bucket bigint, n bigint, bitmap binary, facet string"
@@ -49,10 +49,13 @@ _ANSWERED = (
 )
 
 
-def _facet_parts(tables: OccurrenceTables) -> list[DataFrame]:
-    """(facet, value, observation_id) from each table that holds facets, null values left out; no facet is in two parts."""
+def _facet_parts(tables: OccurrenceTables, partitions: int | None = None) -> list[DataFrame]:
+    """(facet, value, observation_id) from each table that holds facets, null values left out; no facet is in two parts.
+
+    ``partitions`` is a number that observations are dealt into, see ``observation_attributes``.
+    """
     attributes = ", ".join(f"struct('{k}' AS facet, CAST({e} AS BIGINT) AS value)" for k, e in _ATTRIBUTES.items())
-    own = observation_attributes(tables).selectExpr(f"inline(array({attributes}))", "observation_id")
+    own = observation_attributes(tables, partitions).selectExpr(f"inline(array({attributes}))", "observation_id")
     derived = [tables.entity_index] if tables.has_stored_index else [index_areas(tables), index_institutions(tables)]
     entities = [
         index.selectExpr("concat('entity_', entity_type_id) AS facet", "CAST(entity_id AS BIGINT) AS value", "observation_id")
@@ -86,14 +89,17 @@ def _built(facets: DataFrame, files: int) -> DataFrame:
 
 
 def write_facet_bitmaps(tables: OccurrenceTables, path: str, files: int | None = None) -> None:
-    """Store the bitmaps of all facets, those of each table by a job of its own.
+    """Store the bitmaps of all facets, those of each table by jobs of its own.
 
     In one job, all tables' rows would be joined and made distinct in one stage and share the few tasks that adaptive execution
-    leaves it.
+    leaves it. The observations' columns are stored first, and so are each table's rows: sampling ranges derives nothing again,
+    and the number of ranges follows the number of rows, so that more rows are more tasks and not larger ones.
     """
-    for i, part in enumerate(_facet_parts(tables)):
-        bitmaps = _built(part, files or shuffle_partitions(tables.spark))
-        write_bitmaps(bitmaps, path, mode="append" if i else "error", dealt=True)
+    columns = tables.observation.select("observation_id", "location_id", *FILTER_COLUMNS[:5])
+    tables = tables.with_table("observation", stored(columns, "facet_observations"))
+    for i, part in enumerate(_facet_parts(tables, partitions_for(tables.observation))):
+        rows = stored(part, "facet_rows")
+        write_bitmaps(_built(rows, files or partitions_for(rows)), path, mode="append" if i else "error", dealt=True)
 
 
 def _counted(bitmaps: DataFrame) -> DataFrame:

@@ -55,18 +55,19 @@ def index_areas(tables: OccurrenceTables) -> DataFrame:
 
 
 def index_institutions(tables: OccurrenceTables) -> DataFrame:
-    """O-41: institution rows."""
+    """O-41: institution rows. Relations are made distinct by their own columns, as they may be dealt by these."""
     institutions = tables.organization.where(
         f"organization_type_id = {codes.INSTITUTION_ORGANIZATION_TYPE}"
     ).select("organization_id")
     return (
         tables.organization_relation.join(institutions, "organization_id", "left_semi")
+        .select("observation_id", "organization_id")
+        .distinct()
         .selectExpr(
             "observation_id",
             f"{codes.INSTITUTION} AS entity_type_id",
             "CAST(organization_id AS INT) AS entity_id",
         )
-        .distinct()
     )
 
 
@@ -86,17 +87,23 @@ def observation_status(tables: OccurrenceTables) -> DataFrame:
     )
 
 
-def observation_attributes(tables: OccurrenceTables) -> DataFrame:
-    """The filter columns per observation (O-14, O-15), with its location."""
+def observation_attributes(tables: OccurrenceTables, partitions: int | None = None) -> DataFrame:
+    """The filter columns per observation (O-14, O-15), with its location.
+
+    ``partitions`` is a number that all sides of the join are dealt into; without it they are left to adaptive execution.
+    """
     media = (
         tables.media_file.select("observation_id")
         .where("observation_id IS NOT NULL")
         .distinct()
         .selectExpr("observation_id", "TRUE AS has_media_files")
     )
+    sides = [tables.observation.select("observation_id", "location_id", *FILTER_COLUMNS[:5]), observation_status(tables), media]
+    if partitions is not None:
+        sides = [side.repartition(partitions, "observation_id") for side in sides]
+    own, status, media = sides
     return (
-        tables.observation.select("observation_id", "location_id", *FILTER_COLUMNS[:5])
-        .join(observation_status(tables), "observation_id", "left")
+        own.join(status, "observation_id", "left")
         .join(media, "observation_id", "left")
         .selectExpr(
             "observation_id",

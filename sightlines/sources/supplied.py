@@ -17,7 +17,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from sightlines import schema
-from sightlines.sources.shared import dealt
+from sightlines.sources.shared import dealt, partitions_for, shuffle_partitions
 from sightlines.sources.tables import OccurrenceTables
 
 Raw = Callable[[str], DataFrame]
@@ -99,7 +99,10 @@ def _observation(raw: Raw) -> DataFrame:
     first_part = raw("lineitem").groupBy("l_orderkey").agg({"l_partkey": "min"}).withColumnsRenamed(
         {"l_orderkey": "o_orderkey", "min(l_partkey)": "first_part"}
     )
-    orders = dealt(raw("orders"), "o_orderkey").join(first_part, "o_orderkey", "left").selectExpr(
+    # Into the session's number the aggregate is dealt already; into more, a join would deal the orders as the aggregate is.
+    if partitions_for(raw("orders")) > shuffle_partitions(first_part.sparkSession):
+        first_part = dealt(first_part, "o_orderkey", table=raw("orders"))
+    orders = dealt(raw("orders"), "o_orderkey", table=raw("orders")).join(first_part, "o_orderkey", "left").selectExpr(
         "*", "coalesce(first_part, 0L) AS p_partkey"
     )
     return orders.join(raw("part").select("p_partkey", "p_brand"), "p_partkey").selectExpr(
@@ -132,14 +135,14 @@ def _observation_detail(raw: Raw) -> DataFrame:
 
 def _observation_behavior(raw: Raw) -> DataFrame:
     lines = raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_linenumber AS behavior_id")
-    return dealt(lines, "observation_id", "behavior_id").distinct()
+    return dealt(lines, "observation_id", "behavior_id", table=raw("lineitem")).distinct()
 
 
 def _observation_tag(raw: Raw) -> DataFrame:
     lines = raw("lineitem").where("l_quantity <= 8").selectExpr(
         "l_orderkey AS observation_id", "CASE l_returnflag WHEN 'A' THEN 5 WHEN 'R' THEN 6 ELSE 3 END AS tag_id"
     )
-    return dealt(lines, "observation_id", "tag_id").distinct()
+    return dealt(lines, "observation_id", "tag_id", table=raw("lineitem")).distinct()
 
 
 def _media_file(raw: Raw) -> DataFrame:
@@ -161,7 +164,7 @@ def _organization(raw: Raw) -> DataFrame:
 
 def _organization_relation(raw: Raw) -> DataFrame:
     lines = raw("lineitem").selectExpr("l_orderkey AS observation_id", "l_suppkey AS organization_id")
-    return dealt(lines, "observation_id", "organization_id").distinct()
+    return dealt(lines, "observation_id", "organization_id", table=raw("lineitem")).distinct()
 
 
 _AREA_FIELDS = (

@@ -11,7 +11,8 @@ import pytest
 from sightlines.operators import areas, observations
 from sightlines.operators import bitmaps as B
 from sightlines.operators.filters import ObservationFilter, apply_filters
-from sightlines.sources import supplied
+from sightlines.operators.index import index_institutions, observation_attributes
+from sightlines.sources import shared, supplied
 from tests.conftest import area, location, observation, plan_of, values
 
 IDS = [-40_000, -1, 0, 1, 2, 32_768, 32_769, 32_770, 65_536, 65_537, 10**12, 10**12 + 7, *range(100, 130)]
@@ -133,6 +134,36 @@ def test_lines_are_dealt_into_a_given_number(spark):
     assert sum(parts) == 100 and max(parts) < 100
 
 
+def test_more_rows_are_more_tasks(spark, tables, tmp_path, monkeypatch):
+    """With the session's number of partitions alone, a task's memory grew with the rows."""
+    lines = spark.sql(
+        "SELECT id div 3 AS l_orderkey, id % 7 AS l_partkey, CAST(id % 2 AS INT) AS l_linenumber, id % 5 AS l_suppkey, 5 AS l_quantity, "
+        "substring('ARN', CAST(id % 3 AS INT) + 1, 1) AS l_returnflag FROM range(300)"
+    )
+    orders = spark.sql(
+        "SELECT id AS o_orderkey, id % 4 AS o_custkey, 'F' AS o_orderstatus, 5.0D AS o_totalprice, "
+        "TIMESTAMP_NTZ '2000-01-01 00:00:00' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(200)"
+    )
+    parts = spark.sql("SELECT id AS p_partkey, 'Brand#11' AS p_brand FROM range(7)")
+    raw = {"lineitem": lines, "orders": orders, "part": parts}.get
+    builds = (supplied._observation_behavior, supplied._observation_tag, supplied._organization_relation, supplied._observation)
+    before = [sorted(build(raw).collect(), key=repr) for build in builds]
+    monkeypatch.setattr(shared, "ROWS_TOGETHER", 20)
+    frames = [build(raw) for build in builds]
+    assert [frame.rdd.getNumPartitions() for frame in frames] == [15, 15, 15, 10]
+    assert [sorted(frame.collect(), key=repr) for frame in frames] == before
+    assert observation_attributes(tables, 9).rdd.getNumPartitions() == 9
+    related = tables.with_table("organization_relation", tables.organization_relation.repartition(9, "observation_id", "organization_id").distinct())
+    assert index_institutions(related).rdd.getNumPartitions() == 9
+    ranges, built = [], B._built
+    monkeypatch.setattr(B, "_built", lambda rows, files: ranges.append((rows.count(), files)) or built(rows, files))
+    path = str(tmp_path / "parts")
+    B.write_facet_bitmaps(tables, path)
+    assert len(ranges) == 5 and all(files == max(4, -(-rows // 20)) for rows, files in ranges) and ranges[0][1] > 4
+    rows = lambda frame: sorted(map(tuple, frame.select("facet", "value", "bucket", "n", "bitmap").collect()), key=repr)
+    assert rows(tables.with_bitmaps(path).bitmaps.rows) == rows(B.facet_bitmaps(tables))
+
+
 def test_no_id_is_shuffled(mapped):
     f = ObservationFilter(county_ids=["2"], ocean_area_ids=["94"], category_ids=[9], organization_ids=[5])
     for frame in (mapped.bitmaps.count(f), areas.area_counts(mapped, 1, f), B.apply_bitmaps(mapped.observation, mapped, f)):
