@@ -176,9 +176,12 @@ def _bytes_of(frame: DataFrame, *columns: str) -> int:
 
 
 def _below(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows whose (lang, prefix) is kept; the kept prefixes are broadcast only if their measured bytes are few."""
-    if _bytes_of(kept, "lang", "prefix") <= BROADCAST_BYTES:
-        kept = F.broadcast(kept)
+    """Rows whose (lang, prefix) is kept; the kept prefixes are broadcast only if their measured bytes are few.
+
+    Else both sides are shuffled, and the few kept ones are hashed: the many rows with their lists need no sort.
+    """
+    few = _bytes_of(kept, "lang", "prefix") <= BROADCAST_BYTES
+    kept = F.broadcast(kept) if few else kept.hint("shuffle_hash")
     return rows.join(kept, ["lang", "prefix"], "left_semi")
 
 

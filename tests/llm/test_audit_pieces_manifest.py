@@ -16,6 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from sightlines.llm import merkle, queries, ranks, sentence_piece, source_audit
+from tests.conftest import plan_of
 from tests.test_queries import _normal
 
 from . import cases
@@ -50,6 +51,17 @@ def folder(docs, tmp_path_factory):
     return root
 
 
+def test_postings_are_not_sorted_to_meet_kept_prefixes(spark, monkeypatch):
+    """Neither by a broadcast nor by a shuffle."""
+    rows = spark.createDataFrame([("en", b"a"), ("en", b"b"), ("de", b"a"), ("en", b"a")], "lang string, prefix binary")
+    kept = spark.createDataFrame([("en", b"a")], "lang string, prefix binary")
+    for most, join in ((source_audit.BROADCAST_BYTES, "BroadcastHashJoin"), (-1, "ShuffledHashJoin")):
+        monkeypatch.setattr(source_audit, "BROADCAST_BYTES", most)
+        below = source_audit._below(rows, kept)
+        assert join in plan_of(below) and "SortMergeJoin" not in plan_of(below)
+        assert [tuple(r) for r in below.collect()] == [("en", b"a")] * 2
+
+
 def _audit(rows):
     kept, groups = defaultdict(Counter), defaultdict(Counter)
     for _, text, lang, source, _ in rows:
