@@ -84,8 +84,7 @@ class _Gathered:
 
     def add(self, langs: list[str], sources: list[str], texts: list[str]) -> None:
         terms: list[bytes] = []
-        at: list[int] = []
-        n: list[int] = []
+        at, n = [], []
         starts, origin = [], []
         for lang, source, text in zip(langs, sources, texts):
             if not (found := term_counts(text)):
@@ -96,8 +95,9 @@ class _Gathered:
             origin.append(self.sources.setdefault(source, len(self.sources)))
             own = sorted(found)
             terms += own
-            at += map(rows.__getitem__, own)
-            n += map(found.__getitem__, own)
+            # straight into arrays, as a list of numbers would be gone through once more
+            at.append(np.fromiter(map(rows.__getitem__, own), np.int64, len(own)))
+            n.append(np.fromiter(map(found.__getitem__, own), np.int64, len(own)))
         if not terms:
             return
         first = np.zeros(len(terms), bool)
@@ -106,7 +106,7 @@ class _Gathered:
         data = np.frombuffer(b"\0".join(terms) + b"\0", np.uint8)
         shared = _shared(data, np.cumsum(sizes) - sizes, sizes, first)
         origins = np.repeat(np.array(origin), np.diff([*starts, len(terms)]))
-        self.parts.append((np.array(at, np.int64), np.array(n, np.int64), shared, origins))
+        self.parts.append((np.concatenate(at), np.concatenate(n), shared, origins))
         self.gathered += len(terms)
 
     def sums(self) -> pa.RecordBatch:
@@ -123,9 +123,11 @@ class _Gathered:
         at = back[at]
         lang = np.repeat(np.arange(len(self.rows)), list(map(len, self.rows.values())))
 
-        pairs, place = np.unique(at * width + origins, return_inverse=True)
-        total = np.zeros(len(pairs), np.int64)
-        np.add.at(total, place, n)
+        pairs = at * width + origins
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        new = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        pairs, total = pairs[new], np.add.reduceat(n[order], new)
         source = pa.array(list(self.sources), pa.string()).take(pa.array(pairs % width))
         found = pa.StructArray.from_arrays([source, pa.array(total)], ["source", "n"])
         found = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(size + 1) * width), pa.int32()), found)
@@ -266,6 +268,15 @@ def _tile_of(table: pa.Table) -> dict:
     }
 
 
+def _entries(totals: DataFrame, sources: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The totals with what is known of their source and term, and the term's share in the source.
+
+    A term has a row for each of its sources in the totals and one number: numbers are hashed, totals need no sort.
+    """
+    found = totals.join(sources, ["lang", "source"]).join(numbered.hint("shuffle_hash"), ["lang", "term"])
+    return found.withColumn("p", F.expr(_share("count", "total", "terms_kept")))
+
+
 def _pairs(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """(lang, source, item, value): sums over all kept terms for any two sources of a language.
 
@@ -321,8 +332,7 @@ def audited(docs: DataFrame, least: int = LEAST_DOCUMENTS, most: int = MOST_TERM
     sources = ranked(stored(sources.na.fill(0), "sources"), "lang", ["source"])
     sources = sources.withColumn("zero", F.expr(_share("0", "total", "terms_kept")))
 
-    entries = totals.join(sources, ["lang", "source"]).join(numbered, ["lang", "term"])
-    entries = stored(entries.withColumn("p", F.expr(_share("count", "total", "terms_kept"))), "entries")
+    entries = stored(_entries(totals, sources, numbered), "entries")
 
     pairs = _pairs(entries, sources).withColumn("part", F.lit("pair"))
     above = entries.withColumn("q", F.expr(_share("whole", "whole_total", "terms_kept"))).filter("p > q")

@@ -108,6 +108,17 @@ def test_prefixes_are_refined_to_kept_terms(docs, rows):
     assert found == {(g, t.encode() + b"\0") for g, c in expected.items() for t, n in c.items() if n >= 5}
 
 
+def test_entries_need_no_sort(spark):
+    totals = spark.createDataFrame([("nb", "a", b"x\0", 3), ("nb", "b", b"x\0", 1)], "lang string, source string, term binary, count long")
+    names = "lang string, source string, total long, terms_kept long, rank long, size long, zero long"
+    sources = spark.createDataFrame([("nb", "a", 3, 1, 0, 2, 1), ("nb", "b", 1, 1, 1, 2, 1)], names)
+    numbered = spark.createDataFrame([("nb", b"x\0", 4, 0, 0)], "lang string, term binary, whole long, block long, number long")
+    found = source_audit._entries(totals, sources, numbered)
+    assert [*map(tuple, found.orderBy("source").select("source", "number", "p").collect())] == [("a", 0, 10**9 + 1), ("b", 0, 10**9 + 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+
+
 def test_source_audit_of_nothing(spark):
     assert source_audit.audited(spark.createDataFrame([], cases.DOCS)).count() == 0
 
