@@ -6,17 +6,20 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from sightlines.llm import (
-    byte_bpe, chat_rotation, decontamination, divergence, html_content, licenses, near_dedup, substring_dedup, toxicity,
+    byte_bpe, chat_rotation, common, decontamination, divergence, html_content, licenses, near_dedup, substring_dedup, toxicity,
     warc_zip,
 )
 from sightlines.llm.components import components
@@ -46,6 +49,26 @@ def _sorted(frame, *columns):
     return sorted(map(tuple, frame.select(*columns).collect()), key=repr)
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """They stayed until the driver collected its garbage, on top of the tables themselves."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*")}
+    settings = {key: spark.conf.get(key) for key in common._WRITING}
+    before = shuffles()
+    rows = common.stored(spark.range(1000).groupBy(F.expr("id % 7 AS k")).count(), "counts")
+    for _ in range(100):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and rows.count() == 7 and settings == {key: spark.conf.get(key) for key in common._WRITING}
+
+
+def test_stored_tables_are_made_of_small_batches(spark):
+    docs = spark.range(0, 200, 1, 1).selectExpr("id", "repeat('a b ', 25000) AS text")
+    found = common.appended(docs, ["text"], lambda c: {"together": [len(c["text"])] * len(c["text"])}, "together int")
+    assert common.stored(found, "batches").agg({"together": "max"}).first()[0] <= 100
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, 9), (9, 8), (8, 8), (None, 3), (5, 2), (2, 5), (140, 1)]
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
