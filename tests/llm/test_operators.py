@@ -69,6 +69,15 @@ def test_stored_tables_are_made_of_small_batches(spark):
     assert common.stored(found, "batches").agg({"together": "max"}).first()[0] <= 100
 
 
+def test_texts_know_the_sides_they_are_needed_on(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in (1, 2, 3, 4, 5, 2)], "doc_id long, text string")
+    met = spark.createDataFrame([(2, 1), (3, 2), (3, 1)], "doc_id long, of long")
+    found = substring_dedup._texts(docs, met, spark.createDataFrame([(4,), (2,)], "doc_id long"))
+    assert sorted(map(tuple, found.select("doc_id", "text", "later", "first").collect())) == [
+        (1, "text 1", False, True), (2, "text 2", True, True), (3, "text 3", True, False), (4, "text 4", False, False),
+    ]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, 9), (9, 8), (8, 8), (None, 3), (5, 2), (2, 5), (140, 1)]
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
