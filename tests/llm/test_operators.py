@@ -192,6 +192,33 @@ def test_equal_passages_behind_lists_of_others(spark):
     assert {r.doc_id: r.n_repeated for r in found} == wanted
 
 
+def test_near_equal_passages_behind_lists_of_others(spark):
+    """The lists of either half of a passage begin with documents that hold that half alone; no 51 words are equal."""
+    r = random.Random(17)
+    apart = lambda text: f"{cases.prose(r, 60)} {text} {cases.prose(r, 60)}"
+    texts, wanted = [], {}
+    for _ in range(12):
+        halves = cases.prose(r, 36), cases.prose(r, 30)
+        texts += [apart(half) for half in halves for _ in range(2)]
+        words = " ".join(halves).split(" ")
+        texts += [apart(" ".join(words)), apart(" ".join([*words[:30], "other", *words[31:]]))]
+        wanted[len(texts) - 1] = 66
+    found = substring_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeated for r in found} == wanted
+
+
+def test_all_members_of_a_list_are_met(spark):
+    """Each of a family of near copies lies too far from all but one, which stands anywhere in their lists."""
+    r = random.Random(19)
+    words = [f"w{k}" for k in range(60)]
+    # the 25 words in the middle are common, what stands around them is shared by two
+    texts = [" ".join([*(f"a{k}x{i}" for i in range(20)), *words[:25], *(f"b{k}x{i}" for i in range(20))]) for k in range(40)]
+    order = r.sample(range(40), 40)
+    texts += [texts[k].replace(f"a{k}x9", "other") for k in order]
+    found = substring_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: {p.of for p in r.passages} for r in found} == {40 + i: {k} for i, k in enumerate(order)}
+
+
 def test_near_equal_passages(spark):
     """Passages of 51 words with one other word in the middle: similarity 42 / 52, found but for one in ten thousand."""
     r = random.Random(11)
@@ -219,6 +246,24 @@ def test_passages_whose_beginning_stands_further_up(size, earlier):
     assert any(abs(c - 230 - earlier) <= 8 for _, _, c, _, s in found if s >= 0.8)
 
 
+def test_unlike_texts_are_told_by_their_shared_tokens(monkeypatch):
+    r = random.Random(8)
+    line = cases.prose(r, 40)
+    left, right = (substring_dedup.tokens(f"{cases.prose(r, 200)} {line} {cases.prose(r, 200)}") for _ in range(2))
+    monkeypatch.setattr(substring_dedup, "_pieces", lambda *_: pytest.fail("compared"))
+    assert substring_dedup.matched(left, right) == []
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "one", " Å b\tB\x0b\x1cc ", "a\x00b  ab ba", "x" * 3000 + " y " + "x" * 3000, "ab ba " * 9])
+def test_words_are_hashed_all_at_a_time(text):
+    words, data = common.space_words(text), substring_dedup._bytes(text)
+    found = substring_dedup.word_hashes(data)
+    assert len(found) == len(words) and len(set(found.tolist())) == len(set(words))
+    assert [len({f for f, w in zip(found.tolist(), words) if w == word}) for word in set(words)] == [1] * len(set(words))
+    for start, end in [(0, 1), (1, 3), (0, 99), (2, 2)]:
+        assert substring_dedup.words_from(data, start, end).split() == words[start:end]
+
+
 def test_texts_without_repeats(docs, rows, empty):
     left = {r.doc_id: r for r in substring_dedup.deduplicated(docs).collect()}
     assert left[0].text == rows[0][1] and left[0].spans == "x" and 3 not in left
